@@ -45,7 +45,24 @@ def op6_mixing(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op4_url_filter, op5_top_k, op6_mixing)}
+def op7_toxicity(spark, sf_dir):
+    toxicity, docs = _module("toxicity"), _table(spark, sf_dir, "documents")
+    model = toxicity.fit_model(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model).withColumnRenamed("id", "doc_id")
+
+
+def op8_jaccard_join(spark, sf_dir):
+    found = _module("jaccard").near_classes(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies")
+
+
+def op9_quality(spark, sf_dir):
+    quality, docs = _module("quality"), _table(spark, sf_dir, "documents")
+    model = quality.fit_model(docs, _table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, model).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op4_url_filter, op5_top_k, op6_mixing, op7_toxicity, op8_jaccard_join, op9_quality)}
 
 _EXACT_SQL = """
 with d as (select doc_id, coalesce(text, '') t, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') c from documents),
