@@ -32,6 +32,11 @@ def op2_bpe(spark, sf_dir):
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    found = _module("suffix_dedup").remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_url_filter(spark, sf_dir):
     return _module("url_filter").filter_urls(_table(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
 
@@ -62,7 +67,7 @@ def op9_quality(spark, sf_dir):
     return quality.score_documents(docs, model).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op4_url_filter, op5_top_k, op6_mixing, op7_toxicity, op8_jaccard_join, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_suffix_dedup, op4_url_filter, op5_top_k, op6_mixing, op7_toxicity, op8_jaccard_join, op9_quality)}
 
 _EXACT_SQL = """
 with d as (select doc_id, coalesce(text, '') t, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') c from documents),
