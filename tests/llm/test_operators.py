@@ -1,0 +1,349 @@
+"""Edge cases and brute-force comparisons of the operators for training data."""
+
+import base64
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+
+from veriloom.llm import bpe, exact_dedup, jaccard, line_dedup, mixing, quality, toxicity, topk, url_filter
+from veriloom.llm.components import components
+
+P = pytest.importorskip("public_tokenizers")
+SCHEMA = "doc_id long, text string, source string, content string, key long, digest string"
+ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "a b c"), (5, "abc"), (6, "a  bc"), (7, "x" * 300_000), (None, "abc"), (8, "é漢 😀"), (4, "a b c")]
+
+
+def docs(spark, rows, source="s"):
+    return spark.createDataFrame([(i, t, source, "c", 1, "d") for i, t in rows], SCHEMA)
+
+
+# exact dedup
+
+
+def exact_brute(rows):
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((i, t or ""))
+    out = []
+    for content, members in groups.items():
+        keep = min(members, key=lambda m: (-len(m[1]), m[0] is None, m[0] or 0))[0]
+        out += [(i, keep, len(members), i == keep, hashlib.sha256(content.encode()).hexdigest()) for i, _ in members]
+    return sorted(out, key=str)
+
+
+def test_exact_dedup(spark):
+    got = exact_dedup.exact_groups(docs(spark, ODD)).collect()
+    assert sorted(map(tuple, got), key=str) == exact_brute(ODD)
+    assert exact_dedup.exact_groups(docs(spark, [])).collect() == []
+    kept = exact_dedup.keep_one_copy(docs(spark, ODD))
+    assert kept.columns == SCHEMA.replace(",", "").split()[::2]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 7, 8]
+
+
+def test_exact_dedup_compares_content_when_digests_collide(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"text {i % 7}") for i in range(60)]
+    got = exact_dedup.exact_groups(docs(spark, rows), digest=lambda c: F.substring(F.sha2(c, 256), 1, 0)).collect()
+    assert sorted((r["id"], r["keep_id"], r["group_size"]) for r in got) == sorted(r[:3] for r in exact_brute(rows))
+
+
+# byte-level BPE
+
+
+def codecs():
+    import tiktoken
+
+    table = open(P.path("byte_bpe_50k.tiktoken"), "rb").read()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, table.splitlines())}
+    return bpe.Codec.parse(table, P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_equals_tiktoken():
+    own, theirs = codecs()
+    rng = random.Random(1)
+    kinds = ["abc '", "é漢 \x1c\x85x1 ", "a", "ab1 \n\t'sd", "".join(map(chr, range(0x20, 0x2100, 7)))]
+    for _ in range(1500):
+        text = "".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randrange(60)))
+        assert own.encode(text) == theirs.encode_ordinary(text)
+        assert own.decode(own.encode(text)) == text.encode()
+    for text in ("ab" * 30_000, "=" * 50_000, "".join(rng.choice("etaoin") for _ in range(50_000))):
+        assert own.encode(text) == theirs.encode_ordinary(text)
+
+
+def test_bpe_query(spark):
+    own, _ = codecs()
+    got = bpe.encode_digests(docs(spark, ODD), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    assert len(got) == len(ODD)
+    for i, text in ODD[:8]:
+        ids = own.encode(text or "")
+        want = (i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+        assert want in [tuple(r) for r in got]
+    whole = bpe.encode_documents(docs(spark, ODD), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    assert {bytes(r["decoded"]) for r in whole} == {(t or "").encode() for _, t in ODD}
+    assert bpe.encode_digests(docs(spark, []), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect() == []
+
+
+# URL filter
+
+
+def url_brute(url, rules):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    _, rule, verdict = max(fits, default=(0, None, "allow"))
+    return host, path, rule, verdict
+
+
+def test_url_filter(spark):
+    from veriloom.llm.queries import URL_RULES
+
+    urls = [None, "", "no scheme", "http://", "https://A.Example.ORG/es/x", "http://example.org/en/12?q", "http://org/", "http://x.com/de/", "http://xcom/de/", "ftp://ü.com/fr/é#f", "http://a..org/", "http://org?x=/", "x://example.org/en/2\n/y"]
+    urls += [f"http://h{i}.example.org/en/{i}" for i in range(300)]
+    rows = spark.createDataFrame([(i, u, "r", "h") for i, u in enumerate(urls)], "page_id long, url string, rule string, host string")
+    got = {r["id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(rows, URL_RULES).collect()}
+    assert got == {i: url_brute(u, URL_RULES) for i, u in enumerate(urls)}
+    assert url_filter.filter_urls(rows.limit(0), URL_RULES).collect() == []
+
+
+def test_cascade_is_exact_over_its_universe(spark):
+    universe = spark.range(3000).selectExpr("cast(id as string) as key")
+    listed = universe.where("cast(key as int) % 9 = 0")
+    cascade = url_filter.BloomCascade.build(listed, universe, rate=0.2)
+    assert len(cascade.levels) > 2
+    assert universe.where(cascade.holds(universe["key"]) != (universe["key"].cast("int") % 9 == 0)).count() == 0
+
+
+# top k
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(700, 20)) * rng.gamma(1.0, size=(700, 1))).astype(np.float32)
+    x[600:650] = x[5]
+    rows = [(i, v.tolist(), "s") for i, v in enumerate(x)] + [(800, None, "s"), (801, [float("nan")] * 20, "s"), (802, [None] * 20, "s"), (803, [1.0], "s"), (804, [float("inf")] * 20, "s"), (None, [1.0] * 20, "s")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, "id % 50 = 0").collect())
+    y, want = np.floor(256 * x.astype(float)).astype(np.int64), []
+    for q in range(0, 700, 50):
+        s = y @ y[q]
+        best = sorted((-int(v), i) for i, v in enumerate(s) if i != q)[:5]
+        want += [(q, r + 1, i, -v) for r, (v, i) in enumerate(best)]
+    assert got == want
+    assert topk.top_k(df.limit(0), "id % 50 = 0").collect() == []
+    few = topk.top_k(df.where("vec_id in (0, 1)"), "id % 50 = 0").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in few] == [(0, 1)]
+
+
+def test_top_k_prunes():
+    rng = np.random.default_rng(4)
+    y = (rng.normal(size=(20_000, 64)) * np.geomspace(3000, 1, 20_000)[:, None]).astype(np.int64)
+    rotation = np.linalg.svd(y.T.astype(float) @ y)[0]
+    search = topk.Searcher(np.arange(50) + 10**6, y[::400][:50], rotation, 5)
+    search.scan(np.arange(20_000), y[np.argsort(-(y**2).sum(1))])
+    assert search.multiplied < 50 * 20_000 / 5
+
+
+# mixing
+
+
+def test_mixing(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join("w" for _ in range(rng.randrange(200))), rng.choice(["a", "b", "c", "d", None]), "c", 1, "d") for i in range(400)]
+    rows += [(1000, None, "e", "c", 1, "d"), (1001, "", "a", "c", 1, "d"), (None, "x y z", "a", "c", 1, "d")] + [(2000 + i, "w " * 3000, "huge", "c", 1, "d") for i in range(5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    by, total = {}, sum(r["size"] for r in got)
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        by.setdefault(r["source"], [r["target"], 0, r["source_size"]])[1] += r["taken"]
+    for target, taken, size in by.values():
+        assert abs(taken - target) < 1 and target <= 2 * size + 1e-6
+    assert abs(sum(t for t, _, _ in by.values()) - 1.5 * total) < 1e-3
+    assert sorted(map(str, mixing.mix(df.repartition(7)).collect())) == sorted(map(str, got))
+    assert mixing.mix(df.limit(0)).collect() == []
+
+
+def test_schedule_is_even(spark):
+    targets = spark.createDataFrame([("a", 60_000, 5.0, 50_000.0), ("b", 60_000, 2.0, 20_000.0), ("c", 9_000, 1.0, 10_000.0)], "source string, source_size long, weight double, target double")
+    rows = mixing.schedule(targets, 64).orderBy("slot").collect()
+    for source, share in (("a", 5 / 8), ("b", 2 / 8), ("c", 1 / 8)):
+        seen = list(itertools.accumulate(r["source"] == source for r in rows))
+        assert max(abs(n - share * (i + 1)) for i, n in enumerate(seen)) < 12
+        assert sum(r["words"] for r in rows if r["source"] == source) == {"a": 50_000, "b": 20_000, "c": 10_000}[source]
+
+
+# toxicity and quality
+
+
+def test_toxicity_finds_the_sentence(spark):
+    rng = random.Random(6)
+    clean = ["alpha", "beta", "gamma", "delta", "omega", "sigma"] + [f"word{chr(97 + i)}" for i in range(20)]
+    sample = []
+    for i in range(600):
+        sentences = [" ".join(rng.choice(clean) for _ in range(6)) for _ in range(rng.randrange(1, 8))]
+        if i % 4 == 0:
+            k = rng.randrange(len(sentences))
+            sentences[k] += " " + rng.choice(["vile", "rotten"])
+        sample.append((". ".join(sentences) + ".", int(i % 4 == 0)))
+    model = toxicity.fit(sample)
+    assert all((model.score(t) >= 0.5) == bool(y) for t, y in sample)
+    rows = docs(spark, [(1, "alpha beta. you vile gamma. omega."), (2, "alpha. beta."), (3, None), (None, "")])
+    found = toxicity.offending_sentences(rows, model).collect()
+    assert [(r["id"], r["start"], r["end"]) for r in found] == [(1, 11, 26)]
+    scored = {r["id"]: r for r in toxicity.score_documents(rows, model).collect()}
+    assert scored[1]["predicted"] == 1 and scored[2]["predicted"] == scored[3]["predicted"] == 0
+    assert sorted(r["doc_id"] or 0 for r in toxicity.keep_clean(rows, model).collect()) == [0, 2, 3]
+    assert toxicity.fit([]).score("x") == toxicity.fit([]).score("")
+
+
+def test_quality(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)  # needs an interaction
+    model = quality.fit(x[:2000], y[:2000], np.ones(2000))
+    assert ((model.score(x[2000:]) > 0.5) == y[2000:]).mean() > 0.93
+    assert quality.Model().score(np.zeros((2, 4))).tolist() == [0.5, 0.5]
+    rows = docs(spark, ODD)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(9)], "doc_id long, quality int, toxic int")
+    got = quality.score_documents(rows, quality.fit_model(rows, labels)).collect()
+    assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
+    assert len(quality.measure(b"")) == len(quality.FEATURES) == len(quality.measure("é a\nA".encode()))
+
+
+def test_held_out_accuracy(spark):
+    folder = "/root/testdata/sf0.01"
+    rows, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    for module, label, least in ((toxicity, "toxic", 0.92), (quality, "quality", 0.97)):
+        scored = module.score_documents(rows, module.fit_model(rows, labels)).withColumnRenamed("id", "doc_id")
+        judged = scored.join(labels, "doc_id").where("held_out").selectExpr(f"avg(cast(predicted = {label} as int)) as right").first()
+        assert judged["right"] >= least
+
+
+# Jaccard join
+
+
+def jaccard_brute(rows):
+    texts = {}
+    for i, t in rows:
+        words = tuple(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+        texts.setdefault(words, []).append(i)
+    names = {min(v): k for k, v in texts.items() if k}
+    sets = {n: {w[i : i + 5] for i in range(max(1, len(w) - 4))} for n, w in names.items()}
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    root = {n: n for n in names}
+    for _ in names:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    out = {}
+    for words, members in texts.items():
+        for i in members:
+            n = min(members)
+            out[i] = (root[n], sum(n in p for p in links), len(members) - 1) if words else (i, 0, 0)
+    return out
+
+
+@pytest.mark.parametrize("chunk", [4, 512])
+def test_jaccard(spark, monkeypatch, chunk):
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(4000)]
+    rows = [(0, None), (1, ""), (2, "one two"), (3, "one  two "), (4, "one two three"), (5, "z " * 40)]
+    name = 10
+    for size in (1, 2, 3, 30):
+        base = [rng.choice(words) for _ in range(150)]
+        for _ in range(size):
+            text = list(base)
+            for _ in range(rng.randrange(4)):
+                text[rng.randrange(150)] = rng.choice(words)
+            rows.append((name, " ".join(text)))
+            name += 1
+    rows += [(name, rows[8][1]), (name + 1, rows[8][1].replace(" ", "\n"))]
+    rng.shuffle(rows)
+    got = {r["id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in jaccard.near_classes(docs(spark, rows)).collect()}
+    assert got == jaccard_brute(rows)
+
+
+def test_jaccard_edges(spark):
+    assert jaccard.near_classes(docs(spark, [])).collect() == []
+    got = jaccard.near_classes(docs(spark, ODD)).collect()
+    assert len(got) == len(ODD)
+    assert [r["class_id"] for r in got if r["id"] is None] == [None]
+    assert jaccard.prefix_depth() == 5
+    kept = jaccard.keep_one_of_class(docs(spark, [(3, "a b c"), (1, "a b c"), (2, "x")])).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 2]
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)]
+    root = list(range(500))
+    for _ in range(200):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {n: root[n] for e in edges for n in e if e[0] != e[1]}
+
+
+# line dedup
+
+
+def line_brute(rows):
+    """By id: kept, lines, lines removed, chunks removed, with first occurrences by id and line."""
+    seen, out = set(), {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        lines, kept, gone, n = (t or "").encode().split(b"\n"), [], 0, 0
+        for a, b in line_dedup.chunks_of(lines):
+            content = b"\n".join(lines[a:b])
+            if b - a > 1 and sum(1 for x in lines[a:b] if x.strip()) > 1 and content in seen:
+                gone, n = gone + b - a, n + 1
+            else:
+                kept += lines[a:b]
+                seen.add(content)
+        out[i] = (b"\n".join(kept).decode(), len(lines), gone, n)
+    return out
+
+
+@pytest.mark.parametrize("digest", [line_dedup.digest_of, lambda content: (0, len(content) % 2)])
+def test_line_dedup(spark, digest):
+    rng = random.Random(11)
+    lines = [f"line number {i}" for i in range(60)]
+    rows = [(0, None), (1, ""), (2, "\n\n\n"), (3, "same\n" * 50), (4, "one line")]
+    passage = "\n".join(f"passage {i}" for i in range(20))
+    for i in range(10, 40):
+        own = [rng.choice(lines) for _ in range(rng.randrange(8))]
+        rows.append((i, "\n".join([*own, passage, *own[::-1]]) if i % 2 else "\n".join(own)))
+    rows += [(50, rows[20][1]), (None, rows[21][1])]
+    got = {r["id"]: (r["kept"], r["n_lines"], r["n_removed"], r["n_chunks"]) for r in line_dedup.remove_repeated_chunks(docs(spark, rows), digest=digest).collect()}
+    assert got == line_brute(rows)
+    assert line_dedup.remove_repeated_chunks(docs(spark, [])).collect() == []
+
+
+def test_chunks_resist_shifts():
+    lines = [f"line {i}".encode() for i in range(300)]
+    cut = lambda x: {b"\n".join(x[a:b]) for a, b in line_dedup.chunks_of(x)}
+    assert len(cut(lines) - cut([b"new", *lines])) <= 1
+    assert line_dedup.chunks_of([]) == []
+
+
+# pipeline
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    docs_in = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs_in
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, "/root/testdata/sf0.001")
+        assert rows.columns == docs_in.columns, name
+    final = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert 0 < final.select("doc_id").distinct().count() <= docs_in.count()
+    assert final.count() == rows.count()

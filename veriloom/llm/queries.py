@@ -67,7 +67,12 @@ def op9_quality(spark, sf_dir):
     return quality.score_documents(docs, model).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_suffix_dedup, op4_url_filter, op5_top_k, op6_mixing, op7_toxicity, op8_jaccard_join, op9_quality)}
+def op10_line_dedup(spark, sf_dir):
+    found = _module("line_dedup").remove_repeated_chunks(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", "n_chunks", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_suffix_dedup, op4_url_filter, op5_top_k, op6_mixing, op7_toxicity, op8_jaccard_join, op9_quality, op10_line_dedup)}
 
 _EXACT_SQL = """
 with d as (select doc_id, coalesce(text, '') t, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') c from documents),

@@ -27,10 +27,11 @@ from .labelled import held_out, labelled_sample
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+").findall
 #: A word is learnt when so many sample documents hold it, and the vocabulary has so many words at most.
-LEAST_DOCUMENTS, MOST_WORDS, STEM = 5, 40_000, 4
+LEAST_DOCUMENTS, MOST_WORDS, STEM = 3, 40_000, 4
 #: A word of more than this part of the clean sample documents belongs to the language and isn't learnt.
 MOST_USUAL = 0.05
-PENALTY, STEPS, RATE, START = 5e-5, 300, 0.3, -5.0
+#: The L1 penalty falls with the root of the sample's size.
+PENALTY, STEPS, RATE, START = 3.4e-3, 300, 0.3, -5.0
 THRESHOLD = 0.7
 
 
@@ -83,6 +84,7 @@ def fit(sample: list[tuple[str, int]], weigh: tuple[float, float] = (1.0, 1.0))
     words, of_sentence, of_bag = np.array(words, np.int32), np.array(of_sentence, np.int32), np.array(of_bag, np.int32)
     share = np.where(y == 1, weigh[1], weigh[0])
     share = share / share.sum()
+    penalty = PENALTY / len(y) ** 0.5
     w, bias, total, total_bias = np.zeros(len(common)), START, np.full(len(common), 1e-8), 1e-8
     for _ in range(STEPS):
         logits = bias + np.bincount(of_sentence, w[words], len(of_bag))
@@ -94,7 +96,7 @@ def fit(sample: list[tuple[str, int]], weigh: tuple[float, float] = (1.0, 1.0))
         total, total_bias = total + g * g, total_bias + g_bias * g_bias
         rate = RATE / np.sqrt(total)
         w = w - rate * g
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * PENALTY, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * penalty, 0)
         bias -= RATE / np.sqrt(total_bias) * g_bias
     found = {common[i]: float(w[i]) for i in np.flatnonzero(w)}
     return Model(float(bias), {k: v for k, v in found.items() if k[-1] != "*"}, {k[:-1]: v for k, v in found.items() if k[-1] == "*"})
