@@ -1,4 +1,37 @@
-"""Every query of the library by name, with its SQL."""
+"""Every query of the library by name, with its SQL. A name begins with the operators it shows."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..shipping import ship
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of a folder: t.documents, t.orders, ..."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = ship(spark), folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of Tables as a query, and SQL with the same result where there is one."""
+
+    def register(function):
+        QUERIES[name] = lambda spark, folder: function(Tables(spark, folder))
+        if sql:
+            ORACLES[name] = sql
+        return function
+
+    return register
+
+
+from . import corpus, evidence, findings, gates, overlap, packing, sources, traces  # noqa: E402, F401
