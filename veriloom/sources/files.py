@@ -15,7 +15,7 @@ from ..functions.text import is_safe_path, is_sha256, trimmed
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes, digest and text of whole files."""
     rows = spark.read.format("binaryFile").load(path)
-    return rows.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), "content", F.is_valid_utf8(F.col("content").cast("string")).alias("is_utf8"), F.decode("content", "UTF-8").alias("text"))
+    return rows.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), "content", F.is_valid_utf8(F.col("content").cast("string")).alias("is_utf8"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def csv_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
