@@ -230,3 +230,48 @@ def test_manifest(spark):
     rows = spark.createDataFrame([("k", " ", "0", "x", "../a", "z"), ("k", "n", "3", "2026-01-01", "a/b", "0" * 64)], "k string, name string, n string, d string, p string, h string")
     got = sorted(r["rule"] for r in I.manifest_violations(rows, "k", ["name"], ["n"], ["d"], ["p"], ["h"]).collect())
     assert got == ["count:n", "date:d", "empty:name", "path:p", "repeated", "sha256:h"]
+
+
+def test_context_windows(spark):
+    from veriloom.operators import windows as X
+
+    assert X.term_ranges("한빛그룹의 한빛, 큰한빛", "한빛") == [(0, 5), (6, 8)]
+    assert X.term_ranges("A-bc d", "bcd") == [(2, 6)]
+    text = "😀" * 200 + "term" + "가" * 300
+    start, end = X.context(text, 200, 204)
+    assert len(text[start:end].encode()) <= X.MOST_BYTES and start <= 200 and end >= 204
+    rows = docs(spark, " ".join(["term x"] * 20), "nothing").withColumn("w", F.lit("term"))
+    got = X.term_windows(rows, "doc_id", "text", "w").collect()
+    assert len(got) == 8 and not any(r["complete"] for r in got)
+    for r in got:
+        assert r["window"].encode()[r["match_start"] : r["match_end"]] == b"term"
+
+
+def test_selectors(spark):
+    index = spark.createDataFrame([("d", 1, 0, 10), ("d", 2, 10, 20)], "doc string, sequence int, start_byte long, end_byte long")
+    rows = spark.createDataFrame([("d", "a", [2, 1], []), ("d", "b", [], [(5, 9), (5, 9)]), ("d", "c", [1], [(0, 1)])], "doc string, name string, s array<int>, r array<struct<start_byte:long,end_byte:long>>")
+    got = [(r["name"], r["place"], r["start_byte"], r["repeated"]) for r in S.observation_selectors(rows, index, "doc", "name", "s", "r").orderBy("name", "place").collect()]
+    assert got == [("a", 1, 0, False), ("a", 2, 10, False), ("b", 1, 5, False), ("b", 2, 5, True)]
+
+
+def test_manager_checks(spark):
+    rows = spark.createDataFrame([("a", "supports", ["x"]), ("a", "supports", ["y"]), ("b", "supports", ["x"]), ("c", "contradicts", ["x", "y"])], "g string, c string, f array<string>")
+    assert {r["g"]: r["verdict"] for r in G.phase_verdicts(rows, "g", "c", "f", ["x", "y"]).collect()} == {"a": "supported", "b": "insufficient", "c": "contradicted"}
+    sources = spark.createDataFrame([("g", 1, "m"), ("g", 2, "m"), ("g", 3, "n")], "g string, s int, sig string")
+    compared = spark.createDataFrame([("g", 1, 2, "distinct-variant"), ("g", 2, 3, "shared-core"), ("g", 2, 3, "shared-core"), ("g", 3, 2, "x")], "g string, l int, r int, v string")
+    got = sorted((r["l"], r["r"], r["rule"]) for r in G.comparison_violations(compared, sources, "g", "l", "r", "v", "s", "sig").collect())
+    assert got == [(1, 2, "same-mechanism"), (1, 3, "missing-pair"), (2, 3, "repeated-pair"), (3, 2, "unbound-pair")]
+
+
+def test_arrivals(spark, tmp_path):
+    from veriloom.streaming.arrivals import scan_arrivals
+
+    leak = " ".join(f"w{i}" for i in range(20))
+    data = spark.createDataFrame([(1, leak), (2, "clean")], "doc_id long, text string")
+    data.write.parquet(str(tmp_path / "in"))
+    sources = spark.createDataFrame([(9, leak)], "item_id long, text string")
+    for _ in range(2):
+        scan_arrivals(spark, str(tmp_path / "in"), data.schema, sources, str(tmp_path), str(tmp_path / "check")).awaitTermination(120)
+    found = list(tmp_path.glob("receipts-*"))
+    assert len(found) == 1
+    assert {r["doc_id"]: r["status"] for r in spark.read.parquet(str(found[0])).collect()} == {1: "quarantine", 2: "pass"}

@@ -63,6 +63,17 @@ def deterministic_id(prefix: str, digits: int, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\0", *parts), 256), 1, digits))
 
 
+def selector_id(source: Column, start: Column, end: Column, slice_sha256: Column) -> Column:
+    """Id of a byte selector: a part of the source's id and of the digest of source, range and content."""
+    whole = F.concat_ws(":", source, start.cast("string"), end.cast("string"), slice_sha256)
+    return F.concat(F.lit("sel-"), F.substring(source, 8, 12), F.lit("-"), F.substring(F.sha2(whole, 256), 1, 20))
+
+
+def mechanism_form(text: Column) -> Column:
+    """Trimmed, with single blanks; the text should be in NFC."""
+    return F.regexp_replace(trimmed(text), rf"[{SPACE}]+", " ")
+
+
 def without_fences(text: Column) -> Column:
     """A JSON answer without the code fence around it."""
     return F.regexp_replace(F.regexp_replace(trimmed(text), r"^```(?:json)?[ \t]*\n?", ""), r"\n?```$", "")

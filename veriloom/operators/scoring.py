@@ -23,6 +23,26 @@ def collective_verdict(rows: DataFrame, group: str, verdict: str) -> DataFrame:
     return rows.groupBy(group).agg(F.max(rank).alias("r")).select(group, F.element_at(F.array(*map(F.lit, ("supported", "insufficient", "contradicted"))), F.col("r") + 1).alias("verdict"))
 
 
+def phase_verdicts(samples: DataFrame, group: str, contribution: str, fields: str, canonical: list[str]) -> DataFrame:
+    """A source's verdict from its phase samples: any contradiction, then any gap in contributions or fields."""
+    says = lambda v: F.bool_or(F.col(contribution) == v)
+    union = F.array_sort(F.array_distinct(F.flatten(F.collect_list(fields))))
+    out = samples.groupBy(group).agg(says("contradicts").alias("c"), says("insufficient").alias("i"), union.alias("fields"))
+    whole = F.col("fields") == F.array(*map(F.lit, sorted(canonical)))
+    return out.select(group, "fields", F.when(F.col("c"), "contradicted").when(F.col("i") | ~whole, "insufficient").otherwise("supported").alias("verdict"))
+
+
+def comparison_violations(compared: DataFrame, sources: DataFrame, group: str, left: str, right: str, verdict: str, source: str, signature: str) -> DataFrame:
+    """Missing, repeated or disordered pairs of a group's sources, and distinct variants with one signature."""
+    a = sources.select(group, F.col(source).alias(left), F.col(signature).alias("ls"))
+    b = sources.select(group, F.col(source).alias(right), F.col(signature).alias("rs"))
+    want = a.join(b, group).where(F.col(left) < F.col(right))
+    times = compared.groupBy(group, left, right).agg(F.count("*").alias("times"), F.max(verdict).alias("v"))
+    both = want.join(times, [group, left, right], "full")
+    rule = F.when(F.col("ls").isNull(), "unbound-pair").when(F.col("times").isNull(), "missing-pair").when(F.col("times") > 1, "repeated-pair").when((F.col("v") == "distinct-variant") & (F.col("ls") == F.col("rs")), "same-mechanism")
+    return both.select(group, left, right, rule.alias("rule")).where("rule is not null")
+
+
 def reasoned_verdict(rows: DataFrame, group: str, reasons: dict[str, Column]) -> DataFrame:
     """Sorted codes of the reasons that hold for some row, and fail where there is any."""
     flags = rows.groupBy(group).agg(*[F.bool_or(F.coalesce(c, F.lit(False))).alias(k) for k, c in reasons.items()])

@@ -91,3 +91,19 @@ def identity_of(file: Column) -> tuple[Column, Column]:
     """Title and author from <title>_<author>_<rest>.txt."""
     form = r"^(.+)_([^_]+)_합본\.txt$"
     return F.nullif(F.regexp_extract(file, form, 1), F.lit("")), F.nullif(F.regexp_extract(file, form, 2), F.lit(""))
+
+
+def observation_selectors(observations: DataFrame, index: DataFrame, key: str, name: str, sequences: str, ranges: str) -> DataFrame:
+    """Selectors of observations that name either chapters or byte ranges, in order, with repeats marked.
+
+    observations: key, name, array of chapter sequences, array of structs (start_byte, end_byte). An observation with
+    both or neither gives no selectors: see `mode`.
+    """
+    has_c, has_r = F.coalesce(F.size(sequences) > 0, F.lit(False)), F.coalesce(F.size(ranges) > 0, F.lit(False))
+    rows = observations.where(has_c != has_r)
+    by_chapter = rows.select(key, name, F.explode(sequences).alias("sequence")).join(index.select(key, "sequence", "start_byte", "end_byte"), [key, "sequence"], "left")
+    by_range = rows.select(key, name, F.lit(None).cast("int").alias("sequence"), F.explode(ranges).alias("r")).select(key, name, "sequence", "r.start_byte", "r.end_byte")
+    both = by_chapter.select(key, name, "sequence", "start_byte", "end_byte").unionByName(by_range)
+    order = W.partitionBy(key, name).orderBy("start_byte", "end_byte", F.coalesce("sequence", F.lit(-1)))
+    again = (F.lag("start_byte").over(order) == F.col("start_byte")) & (F.lag("end_byte").over(order) == F.col("end_byte"))
+    return both.withColumn("place", F.row_number().over(order)).withColumn("repeated", F.coalesce(again, F.lit(False)))

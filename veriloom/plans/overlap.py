@@ -73,8 +73,8 @@ def j9(t):
 with d as (select doc_id, regexp_replace(lower(coalesce(text, '')), '[^가-힣a-z0-9]+', '', 'g') f from documents),
 n as (select n_nationkey, regexp_replace(lower(n_name), '[^가-힣a-z0-9]+', '', 'g') term from nation),
 r as (select item_id, substr(regexp_replace(lower(text), '[^가-힣a-z0-9]+', '', 'g'), 1, 24) term from benchmark)
-select doc_id, 'item' kind, item_id reference, term from d join r on contains(f, term) where length(term) >= 3
-union all select doc_id, 'nation', n_nationkey, term from d join n on contains(f, term) where length(term) >= 3""")
+select doc_id, 'item' kind, item_id reference, term from d join r on contains(f, term) where length(term) >= 2
+union all select doc_id, 'nation', n_nationkey, term from d join n on contains(f, term) where length(term) >= 2""")
 def j10(t):
     items = t.benchmark.select("item_id", F.substring(T.surface_norm(F.col("text")), 1, 24).alias("term"))
     nations = t.nation.select("n_nationkey", F.col("n_name").alias("term"))

@@ -34,4 +34,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from . import corpus, evidence, findings, gates, overlap, packing, sources, traces  # noqa: E402, F401
+from . import assembly, corpus, evidence, findings, gates, overlap, packing, sources, traces  # noqa: E402, F401
