@@ -59,29 +59,34 @@ class Model:
 
 def fit(sample: list[tuple[str, int]], weigh: tuple[float, float] = (1.0, 1.0)) -> Model:
     """Proximal gradient with AdaGrad steps on the weighted likelihood of the bags."""
-    seen: dict[str, int] = {}
-    bags = [[{*(found := WORD(part.lower())), *(x[:STEM] + "*" for x in found)} for part in SENTENCE.findall(text)] or [set()] for text, _ in sample]
-    for bag in bags:
-        for word in {w for part in bag for w in part}:
-            seen[word] = seen.get(word, 0) + 1
-    clean = [bag for bag, (_, label) in zip(bags, sample) if not label]
-    usual: dict[str, int] = {}
-    for bag in clean:
-        for word in {w for part in bag for w in part}:
-            usual[word] = usual.get(word, 0) + 1
-    common = sorted((w for w, n in seen.items() if n >= LEAST_DOCUMENTS and usual.get(w, 0) <= MOST_USUAL * len(clean)), key=lambda w: (-seen[w], w))[:MOST_WORDS]
-    number = {w: i for i, w in enumerate(common)}
+    number: dict[str, int] = {}
+    parts, of_sentence, of_bag = [], [], []  # numbers of each sentence's different words, as arrays
+    for b, (text, _) in enumerate(sample):
+        for part in SENTENCE.findall(text.lower()) or [""]:
+            found = WORD(part)
+            names = {*found, *(x[:STEM] + "*" for x in found)}
+            parts.append(np.array([number.setdefault(w, len(number)) for w in sorted(names)], np.int32))
+            of_sentence.append(len(names))
+            of_bag.append(b)
+    of_bag = np.array(of_bag, np.int32)
+    words = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    of_sentence = np.repeat(np.arange(len(of_bag), dtype=np.int32), of_sentence)
+    label = np.array([k for _, k in sample], bool)
+    pairs = np.unique(of_bag[of_sentence].astype(np.int64) * max(1, len(number)) + words)  # a word counts once a document
+    there, word = pairs // max(1, len(number)), pairs % max(1, len(number))
+    seen, usual = np.bincount(word, minlength=len(number)), np.bincount(word[~label[there]], minlength=len(number))
+    learnt = (seen >= LEAST_DOCUMENTS) & (usual <= MOST_USUAL * (~label).sum())
+    names = list(number)
+    chosen = sorted(np.flatnonzero(learnt).tolist(), key=lambda i: (-seen[i], names[i]))[:MOST_WORDS]
+    common = [names[i] for i in chosen]
+    place = np.full(len(number), -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    known = place[words] >= 0
+    words, of_sentence = place[words[known]], of_sentence[known]
+    del parts, pairs, there, word, number, names
     y = np.array([label for _, label in sample], float)
     if not len(common) or y.min(initial=1) == y.max(initial=0):
         return Model(START, {}, {})
-    words, of_sentence, of_bag = [], [], []
-    for b, bag in enumerate(bags):
-        for part in bag:
-            known = {number[w] for w in part if w in number}
-            words += known
-            of_sentence += [len(of_bag)] * len(known)
-            of_bag.append(b)
-    words, of_sentence, of_bag = np.array(words, np.int32), np.array(of_sentence, np.int32), np.array(of_bag, np.int32)
     share = np.where(y == 1, weigh[1], weigh[0])
     share = share / share.sum()
     penalty = PENALTY / len(y) ** 0.5
