@@ -2,41 +2,21 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship  # noqa: F401
+
 #: The characters that the contracts call blank, as a regular expression class.
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 #: A row without an id sorts after every row that has one.
 LAST_ID = (1 << 63) - 1
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Give the executors this package, once for each application."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        archive = os.path.join(tempfile.mkdtemp(prefix="veriloom-"), "veriloom_code.zip")
-        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-            for folder, _, names in os.walk(root):
-                for name in names:
-                    if name.endswith(".py"):
-                        path = os.path.join(folder, name)
-                        out.write(path, os.path.join("veriloom", os.path.relpath(path, root)))
-        context.addPyFile(archive)
-        _shipped.add(context.applicationId)
-    return spark
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is configured."""
     context = spark.sparkContext
