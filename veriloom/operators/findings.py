@@ -54,38 +54,41 @@ def surface_terms(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     return terms.unionByName(quoted.where("length(term) >= 2")).distinct()
 
 
-def shared_terms(candidate_terms: DataFrame, sample_terms: DataFrame, rule: str, left: list[str], right: list[str], candidate: str, sample: str) -> DataFrame:
-    """Terms of kinds `left` of a candidate that a sample has among its kinds `right`: an equi-join, never an OR."""
-    a = candidate_terms.where(F.col("kind").isin(left)).select(candidate, "term").distinct()
-    b = sample_terms.where(F.col("kind").isin(right)).select(sample, "term").distinct()
-    return a.join(b, "term").select(F.lit(rule).alias("rule"), "term", candidate, sample)
+#: Which kinds of a candidate's and of a sample's terms a rule compares, each pair a class of its own.
+CLASSES = {
+    "p1": ("person-overlap", ["exact"], ["person"]), "p2": ("person-overlap", ["person"], ["exact"]),
+    "s": ("surname-overlap", ["surname"], ["surname"]),
+    "o1": ("org-stem-overlap", ["exact", "org_stem", "attribution"], ["org_stem"]), "o2": ("org-stem-overlap", ["org_stem"], ["exact", "org_stem", "attribution"]),
+}
+SHAPES = ["quoted", "latin", "org_full"]
 
 
-def contained_terms(terms: DataFrame, texts: DataFrame, rule: str, kind: str, owner: str, other: str, text: str = "text") -> DataFrame:
-    """Terms of a kind that the other side's normal form contains."""
-    wanted = terms.where(F.col("kind") == kind).select(owner, "term")
-    hits = term_containment(texts, wanted, other, owner, text)
-    return hits.select(F.lit(rule).alias("rule"), "term", owner, other)
+def _classed(terms: DataFrame, key: str, side: int) -> DataFrame:
+    """key, class, term: a term once for each class that its kind belongs to on this side."""
+    classes = F.array_compact(F.array(*[F.when(F.col("kind").isin(c[side]), F.lit(name)) for name, c in CLASSES.items()]))
+    return terms.select(key, "term", F.explode(classes).alias("class")).distinct()
+
+
+def shared_terms(candidate_terms: DataFrame, sample_terms: DataFrame, candidate: str, sample: str) -> DataFrame:
+    """Terms that both sides have in kinds which a rule compares: all rules in one equi-join on class and term."""
+    rule = F.create_map(*[F.lit(x) for name, c in CLASSES.items() for x in (name, c[0])])
+    both = _classed(candidate_terms, candidate, 1).join(_classed(sample_terms, sample, 2), ["class", "term"])
+    return both.select(rule[F.col("class")].alias("rule"), "term", candidate, sample)
+
+
+def contained_terms(terms: DataFrame, texts: DataFrame, owner: str, other: str, text: str = "text") -> DataFrame:
+    """Terms of the shape kinds that the other side's normal form contains."""
+    hits = term_containment(texts, terms.where(F.col("kind").isin(SHAPES)), other, owner, text, ("kind",))
+    return hits.select(F.concat("kind", F.lit("-overlap")).alias("rule"), "term", owner, other)
 
 
 def findings(candidates: DataFrame, samples: DataFrame, candidate: str, sample: str, text: str = "text") -> DataFrame:
     """All ambiguous overlaps, rolled up by rule and term with sorted locations and references.
 
-    Shape terms (quoted, latin, org_full) are sought by containment in both directions (from three characters on),
-    the others by equality.
+    Shape terms (quoted, latin, org_full) are sought by containment in both directions, the others by equality.
     """
     a, b = surface_terms(candidates, candidate, text), surface_terms(samples, sample, text)
-    parts = []
-    for kind in ("quoted", "latin", "org_full"):
-        rule = f"{kind}-overlap"
-        parts.append(contained_terms(b, candidates, rule, kind, sample, candidate, text))
-        parts.append(contained_terms(a, samples, rule, kind, candidate, sample, text))
-    parts.append(shared_terms(a, b, "person-overlap", ["exact"], ["person"], candidate, sample))
-    parts.append(shared_terms(a, b, "person-overlap", ["person"], ["exact"], candidate, sample))
-    parts.append(shared_terms(a, b, "surname-overlap", ["surname"], ["surname"], candidate, sample))
-    whole = ["exact", "org_stem", "attribution"]
-    parts.append(shared_terms(a, b, "org-stem-overlap", whole, ["org_stem"], candidate, sample))
-    parts.append(shared_terms(a, b, "org-stem-overlap", ["org_stem"], whole, candidate, sample))
+    parts = [contained_terms(b, candidates, sample, candidate, text), contained_terms(a, samples, candidate, sample, text), shared_terms(a, b, candidate, sample)]
     rows = reduce(lambda x, y: x.unionByName(y), parts).distinct()
     return rows.groupBy("rule", "term").agg(F.array_sort(F.collect_set(candidate)).alias("locations"), F.array_sort(F.collect_set(sample)).alias("references"))
 

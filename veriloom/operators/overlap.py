@@ -57,18 +57,18 @@ def surface_copies(candidates: DataFrame, samples: DataFrame, candidate: str, sa
     return left.join(right.drop("pos").distinct(), ["g1", "g2"]).select(candidate, sample).distinct()
 
 
-def term_containment(candidates: DataFrame, terms: DataFrame, candidate: str, reference: str, text: str = "text") -> DataFrame:
+def term_containment(candidates: DataFrame, terms: DataFrame, candidate: str, reference: str, text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """Pairs where a candidate's normal form contains the term's (two characters or more).
 
-    Terms are cut to their first three characters (or two, if that is all); candidates give their distinct runs of
+    `also` names further columns of the terms to carry. Terms are cut to their first three characters (or two, if that is all); candidates give their distinct runs of
     three and two: an equi-join that leaves few pairs for the containment itself.
     """
-    wanted = terms.select(reference, T.surface_norm(F.col("term")).alias("term")).where("length(term) >= 2").withColumn("k", F.substring("term", 1, 3)).distinct()
+    wanted = terms.select(reference, *also, T.surface_norm(F.col("term")).alias("term")).where("length(term) >= 2").withColumn("k", F.substring("term", 1, 3)).distinct()
     forms = candidates.select(candidate, T.surface_norm(F.col(text)).alias("form")).where("length(form) >= 2")
     # Matches of no width: one pass over the text, where substring() would count characters from its start each time.
     runs = F.concat(*[F.regexp_extract_all("form", F.lit(f"(?=(.{{{n}}}))"), F.lit(1)) for n in (2, 3)])
     pieces = forms.select(candidate, "form", F.explode(F.array_distinct(runs)).alias("k"))
-    return pieces.join(wanted, "k").where(F.contains("form", "term")).select(candidate, reference, "term").distinct()
+    return pieces.join(wanted, "k").where(F.contains("form", "term")).select(candidate, reference, "term", *also).distinct()
 
 
 def leak_matches(tokens: DataFrame, windows: DataFrame, artifact: str = "doc_id", source: str = "item_id") -> DataFrame:

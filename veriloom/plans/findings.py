@@ -29,12 +29,53 @@ def f11(t):
     return N.surface_terms(t.documents, "doc_id").groupBy("kind").agg(F.count("*").alias("n"))
 
 
+_SHAPES = r"""
+p as (select page_id k, coalesce(html, '') t from pages), b as (select item_id k, text t from benchmark),
+@SIDE(p, pt, pf), @SIDE(b, bt, bf),
+m as (select kind, term, pt.k page_id, bf.k item_id from pt join bf on contains(bf.f, term) union select kind, term, pf.k, bt.k from bt join pf on contains(pf.f, term))
+"""
+_SIDE = r"""
+@Bk as (select k, unnest(regexp_extract_all(t, '[가-힣A-Za-z0-9_-]+')) r from @A),
+@Bq as (select k, unnest(regexp_extract_all(t, '["“”''‘’『』「」《》〈〉]([^"“”''‘’『』「」《》〈〉\r\n]{2,80})["“”''‘’『』「」《》〈〉]', 1)) r from @A),
+@C as (select k, regexp_replace(lower(t), '[^가-힣a-z0-9]+', '', 'g') f from @A),
+@B as (select distinct k, kind, term from (
+  select k, 'latin' kind, regexp_replace(lower(r), '[^가-힣a-z0-9]+', '', 'g') term from @Bk where regexp_matches(r, '^[A-Za-z][A-Za-z0-9_-]+$') and (regexp_matches(r, '[0-9_-]') or regexp_matches(r, '[A-Z].*[A-Z]') or regexp_matches(r, '[a-z][A-Z]'))
+  union all select k, 'quoted', regexp_replace(lower(r), '[^가-힣a-z0-9]+', '', 'g') from @Bq) where length(term) >= 2)"""
+
+
+def _shapes(candidates: str = "select page_id k, coalesce(html, '') t from pages") -> str:
+    sql = _SHAPES.replace("select page_id k, coalesce(html, '') t from pages", candidates)
+    for a, b, c in (("p", "pt", "pf"), ("b", "bt", "bf")):
+        sql = sql.replace(f"@SIDE({a}, {b}, {c})", _SIDE.replace("@A", a).replace("@B", b).replace("@C", c).strip())
+    return sql
+
+
+@query("j11_a13_shape_overlaps", "with " + _shapes() + """
+select kind || '-overlap' rule, term, array_to_string(list_sort(list(distinct page_id)), ',') locations, array_to_string(list_sort(list(distinct item_id)), ',') refs from m group by kind, term""")
+def j11_shapes(t):
+    items = t.benchmark.withColumnRenamed("text", "html")
+    rows = N.findings(t.pages, items, "page_id", "item_id", "html").where("rule in ('latin-overlap', 'quoted-overlap')")
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return rows.select("rule", "term", text("locations").alias("locations"), text("references").alias("refs"))
+
+
 @query("j11_j12_j13_j14_findings")
 def j11(t):
     return N.findings(t.pages, t.benchmark.withColumnRenamed("text", "html"), "page_id", "item_id", "html")
 
 
-@query("g5_surface_gate")
+_GATE = r""",
+g1 as (select k, regexp_extract_all(lower(t), '[가-힣A-Za-z0-9_-]+') t from p), g2 as (select k, regexp_extract_all(lower(t), '[가-힣A-Za-z0-9_-]+') t from b),
+h1 as (select distinct k, array_to_string(t[i:i + 4], chr(1)) g from g1, unnest(range(1, len(t) - 3)) u(i) where len(t) >= 5),
+h2 as (select distinct k, array_to_string(t[i:i + 4], chr(1)) g from g2, unnest(range(1, len(t) - 3)) u(i) where len(t) >= 5),
+n as (select n_nationkey k, regexp_replace(lower(n_name), '[^가-힣a-z0-9]+', '', 'g') term from nation),
+bl as (select distinct h1.k, 'copy' rule, h2.k ref from h1 join h2 using (g) union select distinct pf.k, 'name', n.k from pf join n on contains(f, term)),
+bc as (select k, count(*) c from bl group by k), fc as (select page_id k, count(distinct kind || term) c from m group by 1)
+select p.k doc_id, coalesce(bc.c, 0)::bigint blockers, coalesce(fc.c, 0)::bigint findings, case when bc.c > 0 then 'blocked' when fc.c > 0 then 'pending_semantic_review' else 'pass' end gate
+from p left join bc on bc.k = p.k left join fc on fc.k = p.k"""
+
+
+@query("g5_surface_gate", "with " + _shapes("select doc_id k, coalesce(text, '') t from documents") + _GATE)
 def g5(t):
     protected = t.nation.select("n_nationkey", F.col("n_name").alias("term"))
     return N.surface_gate(t.documents, t.benchmark, protected, "doc_id", "item_id", "n_nationkey")
