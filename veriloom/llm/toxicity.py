@@ -14,6 +14,7 @@ any usable label all scores are those of the starting bias. Repeated rows score
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,8 @@ from .labelled import held_out, labelled_sample
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+").findall
+#: The sample has so many rows of each label at most.
+ROWS_OF_A_LABEL = 2000
 #: A word is learnt when so many sample documents hold it, and the vocabulary has so many words at most.
 LEAST_DOCUMENTS, MOST_WORDS, STEM = 3, 40_000, 4
 #: A word of more than this part of the clean sample documents belongs to the language and isn't learnt.
@@ -60,30 +63,34 @@ class Model:
 def fit(sample: list[tuple[str, int]], weigh: tuple[float, float] = (1.0, 1.0)) -> Model:
     """Proximal gradient with AdaGrad steps on the weighted likelihood of the bags."""
     number: dict[str, int] = {}
-    parts, of_sentence, of_bag = [], [], []  # numbers of each sentence's different words, as arrays
-    for b, (text, _) in enumerate(sample):
+    seen, usual = array("i"), array("i")  # documents, and clean documents, with each word
+    words, sizes, of_bag = array("i"), array("i"), array("i")  # numbers of each sentence's different words, one after the other
+    for b, (text, label) in enumerate(sample):
+        bag = set()
         for part in SENTENCE.findall(text.lower()) or [""]:
             found = WORD(part)
             names = {*found, *(x[:STEM] + "*" for x in found)}
-            parts.append(np.array([number.setdefault(w, len(number)) for w in sorted(names)], np.int32))
-            of_sentence.append(len(names))
+            here = [number.setdefault(w, len(number)) for w in sorted(names)]
+            words.extend(here)
+            sizes.append(len(here))
             of_bag.append(b)
-    of_bag = np.array(of_bag, np.int32)
-    words = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    of_sentence = np.repeat(np.arange(len(of_bag), dtype=np.int32), of_sentence)
-    label = np.array([k for _, k in sample], bool)
-    pairs = np.unique(of_bag[of_sentence].astype(np.int64) * max(1, len(number)) + words)  # a word counts once a document
-    there, word = pairs // max(1, len(number)), pairs % max(1, len(number))
-    seen, usual = np.bincount(word, minlength=len(number)), np.bincount(word[~label[there]], minlength=len(number))
-    learnt = (seen >= LEAST_DOCUMENTS) & (usual <= MOST_USUAL * (~label).sum())
-    names = list(number)
-    chosen = sorted(np.flatnonzero(learnt).tolist(), key=lambda i: (-seen[i], names[i]))[:MOST_WORDS]
-    common = [names[i] for i in chosen]
+            bag.update(here)
+        fresh = len(number) - len(seen)
+        seen.extend([0] * fresh)
+        usual.extend([0] * fresh)
+        for i in bag:
+            seen[i] += 1
+            usual[i] += not label
+    words, of_bag = np.array(words, np.int32), np.array(of_bag, np.int32)
+    of_sentence = np.repeat(np.arange(len(of_bag), dtype=np.int32), np.array(sizes, np.int32))
+    most = MOST_USUAL * sum(not label for _, label in sample)
+    learnt = {w: i for w, i in number.items() if seen[i] >= LEAST_DOCUMENTS and usual[i] <= most}
+    common = sorted(learnt, key=lambda w: (-seen[learnt[w]], w))[:MOST_WORDS]
     place = np.full(len(number), -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    known = place[words] >= 0
-    words, of_sentence = place[words[known]], of_sentence[known]
-    del parts, pairs, there, word, number, names
+    place[[learnt[w] for w in common]] = np.arange(len(common))
+    del number, learnt
+    words = place[words]
+    words, of_sentence = words[words >= 0], of_sentence[words >= 0]
     y = np.array([label for _, label in sample], float)
     if not len(common) or y.min(initial=1) == y.max(initial=0):
         return Model(START, {}, {})
@@ -108,7 +115,7 @@ def fit(sample: list[tuple[str, int]], weigh: tuple[float, float] = (1.0, 1.0))
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    return fit(*labelled_sample(docs, labels, label, id_col, text_col))
+    return fit(*labelled_sample(docs, labels, label, id_col, text_col, ROWS_OF_A_LABEL))
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
