@@ -60,6 +60,18 @@ def test_empty_table_and_repeated_rows(spark):
     assert [(r["n_removed"], r["n_bytes"]) for r in S.remove_repeats(df).collect()] == [(0, 50)] * 3
 
 
+def test_repeated_and_nameless_rows_over_the_length(spark):
+    rng = random.Random(7)
+    text, other = ("".join(rng.choice("abcdefgh") for _ in range(400)) for _ in range(2))
+    rows = [(1, text), (None, other), (3, text[:250]), (4, text + text[:150])]
+    want = brute(rows)
+    assert want[1][1] == want[None][1] == 0 and want[3][1] == 250
+    df = spark.createDataFrame([(i, t, "", 1) for i, t in rows * 3], SCHEMA)
+    for parts in (1, 5):
+        got = [(r["id"], (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]))) for r in S.remove_repeats(df.repartition(parts)).collect()]
+        assert sorted(got, key=repr) == sorted([(i, want[i]) for i, _ in rows * 3], key=repr)
+
+
 def test_sort_orders_and_groups():
     rng = np.random.default_rng(0)
     for shallow in (8, 16):

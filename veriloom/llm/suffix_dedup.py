@@ -95,9 +95,12 @@ def segments(buffer: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _first_of_equals(r: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Masks over r: the first of its segment, one of several equal ones and not the first, first but with an unlike segment at its anchor."""
-    rank = np.empty(len(docs), np.int64)
-    rank[np.lexsort((docs["tie"], docs["key"]))] = np.arange(len(docs))
+    """Masks over r: the first of its segment, one of several equal ones and not the first, first but with an unlike segment at its anchor.
+
+    Records of one document and start, from rows that repeat an id and a text, count once: the others are in no mask.
+    """
+    rank = np.unique(docs, return_inverse=True)[1]
+    again = np.zeros(len(r), bool)
     covered, unlike = np.zeros(len(r), bool), np.zeros(len(r), bool)
     by = np.argsort(r["anchor"], kind="stable")
     a = r["anchor"][by]
@@ -109,10 +112,12 @@ def _first_of_equals(r: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.nd
     if len(s):
         same_anchor = np.r_[False, s["anchor"][1:] == s["anchor"][:-1]]
         same = same_anchor & np.r_[False, s["segment"][1:] == s["segment"][:-1]]
-        covered[several[same]] = True
+        once_more = same & np.r_[False, (rank[s["doc"]][1:] == rank[s["doc"]][:-1]) & (s["start"][1:] == s["start"][:-1])]
+        again[several[once_more]] = True
+        covered[several[same & ~once_more]] = True
         kinds = np.bincount(np.cumsum(~same_anchor) - 1, ~same)
         unlike[several[~same]] = (kinds > 1)[np.cumsum(~same_anchor) - 1][~same]
-    return ~covered, covered, unlike
+    return ~covered & ~again, covered, unlike
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
