@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from veriloom.llm import bpe, exact_dedup, jaccard, line_dedup, mixing, quality, toxicity, topk, url_filter
+from veriloom.llm import bpe, exact_dedup, jaccard, line_dedup, mixing, quality, queries, toxicity, topk, url_filter
 from veriloom.llm.components import components
 
 P = pytest.importorskip("public_tokenizers")
@@ -326,6 +326,50 @@ def test_line_dedup(spark, digest):
     assert line_dedup.remove_repeated_chunks(docs(spark, [])).collect() == []
 
 
+def run_brute(rows):
+    """Repeated runs by comparing lines from every earlier place: no pairs, no chunks."""
+    texts = [(i, (t or "").split("\n")) for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))]
+    gone, places = {}, [(n, j) for n, (_, lines) in enumerate(texts) for j in range(len(lines))]
+    for n, j in places:
+        for m, k in places[: places.index((n, j))]:
+            size = 0
+            while j + size < len(texts[n][1]) and k + size < len(texts[m][1]) and texts[n][1][j + size] == texts[m][1][k + size]:
+                size += 1
+            full = [x for x in range(j, j + size) if texts[n][1][x].strip()]
+            if len(full) > 1:
+                gone.setdefault(n, set()).update(range(full[0], full[-1] + 1))
+    out = {}
+    for n, (i, lines) in enumerate(texts):
+        drop = gone.get(n, set())
+        out[i] = ("\n".join(x for k, x in enumerate(lines) if k not in drop), len(lines), len(drop), sum(k - 1 not in drop for k in drop))
+    return out
+
+
+@pytest.mark.parametrize("digest", [line_dedup.digest_of, lambda content: (0, len(content) % 2)])
+def test_repeated_runs_go_whole(spark, digest):
+    rng = random.Random(12)
+    rows = [(0, None), (1, ""), (2, "\n\n\n"), (3, "same\n" * 6), (4, "one line")]
+    passages = {n: [f"passage {n} {k}" for k in range(n)] for n in (2, 3, 5, 12)}
+    passages[4] = ["a", "", " ", "b"]
+    for i in range(10, 34):
+        name = (2, 3, 4, 5, 12)[i % 5]
+        rows.append((i, "\n".join([f"head {i}", *passages[name], *(["", "x"] if i % 2 else []), f"tail {i}"])))
+    rows += [(40, "\n".join(rng.choice("abcd") for _ in range(12))), (50, rows[9][1]), (None, rows[12][1])]
+    rng.shuffle(rows)
+    found = line_dedup.remove_repeated_runs(docs(spark, rows), digest=digest).collect()
+    got = {r["id"]: (r["kept"], r["n_lines"], r["n_removed"], r["n_chunks"]) for r in found}
+    assert got == run_brute(rows)
+    assert got[15][0].split("\n")[:1] == ["head 15"] and got[16][2] == 3  # a passage of three lines goes as a whole
+    assert line_dedup.remove_repeated_runs(docs(spark, [])).collect() == []
+
+
+def test_line_dedup_query_takes_whole_runs(spark, tmp_path):
+    passage = "\n".join(f"line {k}" for k in range(3))
+    docs(spark, [(i, f"head {i}\n{passage}\ntail {i}") for i in range(20)]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["n_removed"] for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: 3 if i else 0 for i in range(20)}
+
+
 def test_chunks_resist_shifts():
     lines = [f"line {i}".encode() for i in range(300)]
     cut = lambda x: {b"\n".join(x[a:b]) for a, b in line_dedup.chunks_of(x)}

@@ -1,10 +1,18 @@
-"""Line deduplication by content-defined chunks of lines.
+"""Line deduplication: repeated runs of lines, or repeated content-defined chunks of lines.
 
-Each line has a hash; a rolling hash over the last `WINDOW` line hashes ends a chunk where it is divisible by `EVERY`.
+`remove_repeated_runs` removes every line of a repeated run. A pair is two successive lines with other than blank
+characters and the blank lines between them; a run with two or more such lines is made of overlapping pairs, so
+a line goes if a pair that covers it also starts earlier in the corpus. This finds passages of any length at any
+place, which chunks do not: they miss a passage's head, its tail and all of it where no whole chunk lies inside.
+What covers what is as in suffix_dedup.py: of each line its first occurrence stays. Blank lines around a run stay.
+
+`remove_repeated_chunks` takes only whole chunks. Each line has a hash; a rolling hash over the last `WINDOW` line hashes ends a chunk where it is divisible by `EVERY`.
 Boundaries so depend on nearby lines alone and come back after an insertion. Of the chunks of two or
 more lines with other than blank characters that occur more than once in the corpus, the first occurrence (smallest id, then
 first line) stays, and the others' lines are removed.
 
+Both take the same steps; what is said of chunks goes for pairs:
+
 1. Each document's chunks, as hashes and line numbers (narrow), are counted by hash.
 2. Texts are dealt by document once; the bytes of chunks with a repeated hash meet by (hash, bytes): the bytes are a
    grouping key, first per salt, then globally, so only chunks of identical bytes count as repeated.
@@ -50,16 +58,30 @@ def digest_of(content: bytes) -> tuple[int, int]:
     return tuple(np.frombuffer(both, "<i8").tolist())
 
 
-def _chunks(rows: DataFrame, digest) -> DataFrame:
+def whole_chunks(lines: list[bytes]) -> list[tuple[int, int]]:
+    """The chunks of two or more lines with other than blank characters."""
+    return [(a, b) for a, b in chunks_of(lines) if b - a > 1 and sum(1 for x in lines[a:b] if x.strip()) > 1]
+
+
+def pairs_of(lines: list[bytes]) -> list[tuple[int, int]]:
+    """First line and line after the last of each two successive lines with other than blank characters."""
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    return [(a, b + 1) for a, b in zip(full, full[1:])]
+
+
+def runs_of(drop: set[int]) -> int:
+    """How many runs of neighbouring lines there are."""
+    return sum(1 for i in drop if i - 1 not in drop)
+
+
+def _chunks(rows: DataFrame, digest, spans_of) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
             keys, ties = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for key, tie, raw in zip(keys, ties, utf8(batch.column(2))):
                 lines = raw.split(b"\n")
-                for a, b in chunks_of(lines):
-                    if b - a > 1 and sum(1 for x in lines[a:b] if x.strip()) > 1:
-                        out.append((key, tie, a, b, *digest(b"\n".join(lines[a:b]))))
+                out += [(key, tie, a, b, *digest(b"\n".join(lines[a:b]))) for a, b in spans_of(lines)]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             columns = list(zip(*out)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "tie", "first", "after", "h", "h2"])
@@ -91,12 +113,21 @@ def _contents(asked: DataFrame) -> DataFrame:
 
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=digest_of) -> DataFrame:
     """Per row of docs: id, kept (text), n_lines, n_removed (lines), n_chunks (removed)."""
+    return _removed(docs, id_col, text_col, digest, whole_chunks, lambda spans, drop: len(spans))
+
+
+def remove_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=digest_of) -> DataFrame:
+    """Per row of docs: id, kept (text), n_lines, n_removed (lines), n_chunks (maximal runs removed)."""
+    return _removed(docs, id_col, text_col, digest, pairs_of, lambda spans, drop: runs_of(drop))
+
+
+def _removed(docs: DataFrame, id_col: str, text_col: str, digest, spans_of, count) -> DataFrame:
     spark = ship(docs.sparkSession)
     parts = tasks(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("key"), text_or_empty(text_col).alias("text"), F.col(id_col).isNull().alias("nameless"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     salt = F.pmod(F.xxhash64("key", "tie", "first"), F.lit(SALTS)).cast("int")
-    chunks = _chunks(rows, digest).dropDuplicates(["key", "tie", "first"]).withColumn("salt", salt)
+    chunks = _chunks(rows, digest, spans_of).dropDuplicates(["key", "tie", "first"]).withColumn("salt", salt)
     repeated = chunks.groupBy("h", "h2").agg(F.count("*").alias("n"), F.collect_set("salt").alias("salts")).where("n > 1")
     marks = cut(chunks.join(repeated.select("h", "h2", F.explode("salts").alias("salt")), ["h", "h2", "salt"]))
     asks = marks.groupBy("key", "tie").agg(F.collect_list(F.struct("first", "after", "h", "h2", "salt")).alias("chunks"))
@@ -121,7 +152,7 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
                 lines, spans = raw.split(b"\n"), spans.as_py() or []
                 drop = {i for s in spans for i in range(s["first"], s["after"])}
                 kept = b"\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else raw
-                out.append((kept, len(lines), len(drop), len(spans)))
+                out.append((kept, len(lines), len(drop), count(spans, drop)))
             for i in range(0, len(out), 1000):
                 kept, n, removed, spans = zip(*out[i : i + 1000])
                 arrays = [batch.column(0).slice(i, 1000), batch.column(1).slice(i, 1000), pa.array(kept, pa.binary()).cast(pa.string()), *[pa.array(c, pa.int64()) for c in (n, removed, spans)]]

@@ -68,7 +68,7 @@ def op9_quality(spark, sf_dir):
 
 
 def op10_line_dedup(spark, sf_dir):
-    found = _module("line_dedup").remove_repeated_chunks(_table(spark, sf_dir, "documents"))
+    found = _module("line_dedup").remove_repeated_runs(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", "n_chunks", F.sha2("kept", 256).alias("kept_sha256"))
 
 
