@@ -204,6 +204,24 @@ def test_toxicity_finds_the_sentence(spark):
     assert toxicity.fit([]).score("x") == toxicity.fit([]).score("")
 
 
+def test_toxicity_is_independent_of_length(spark):
+    model = toxicity.Model(-8.5, {"vile": 11.0, "stray": 3.0}, {"odd": 1.0})
+    for n in (1_000, 10_000, 50_000):
+        clean = "alpha beta stray. gamma odd delta. " * (n // 2)
+        assert model.score(clean) < 0.01
+        assert model.score(clean + "you vile gamma.") > 0.9
+    assert model.score("") == model.score("alpha. " * 10_000) == toxicity.fit([]).score("x. " * 10_000) == 0
+
+
+def test_toxicity_learns_from_long_texts(spark, monkeypatch):
+    rows = docs(spark, [(i, "alpha beta. " * (5_000 if i % 4 == 0 else 5)) for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda sample, weigh: seen.extend(sample))
+    toxicity.fit_model(rows, labels)
+    assert any(len(t) > 40_000 for t, _ in seen) and any(len(t) < 1_000 for t, _ in seen)
+
+
 def test_quality(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(3000, 4))

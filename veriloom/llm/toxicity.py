@@ -3,12 +3,13 @@
 A document is a bag of sentences. A sentence's probability is the logistic function of the summed weights of its
 words and of their first letters (word families in languages that inflect); the document's is their noisy-or, 1 - prod(1 - p). Only documents have labels: the gradient of the bag's
 likelihood spreads over its sentences, so the fitted weights locate the sentences that made a document toxic.
+When scoring, sentences at or below `FLOOR` contribute nothing to the noisy-or, so that any number of sentences without
+evidence leaves a text at 0.
 
-The model is fitted on a bounded labelled sample (see labelled.py) with an L1 penalty, which leaves a short list of
+The model is fitted on a labelled sample with texts of every length (see labelled.py) with an L1 penalty, which leaves a short list of
 weighted words: that list, not the corpus, is what executors get. Every row's whole text is scored in one scan.
 
-Null texts count as empty; an empty text has one empty sentence, so its score is that of the bias alone. Without
-any usable label all scores are those of the starting bias. Repeated rows score alike; other columns are left alone.
+Null texts count as empty; an empty text has one empty sentence. Without any usable label all scores are 0. Repeated rows score alike; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ MOST_USUAL = 0.05
 #: The L1 penalty falls with the root of the sample's size.
 PENALTY, STEPS, RATE, START = 3.4e-3, 300, 0.3, -5.0
 THRESHOLD = 0.7
+#: The logit up to which a sentence is no evidence (a probability of 0.047).
+FLOOR = -3.0
 
 
 @dataclass
@@ -57,7 +60,7 @@ class Model:
 
     def score(self, text: str) -> float:
         logits = np.array([self.of_words(WORD(part)) for part in SENTENCE.findall(text.lower())] or [0.0]) + self.bias
-        return float(-np.expm1(-np.logaddexp(0, logits).sum()))  # 1 - prod(1 - sigmoid)
+        return float(-np.expm1(-np.logaddexp(0, logits[logits > FLOOR]).sum()))  # 1 - prod(1 - sigmoid)
 
 
 def fit(sample: list[tuple[str, int]], weigh: tuple[float, float] = (1.0, 1.0)) -> Model:
@@ -115,7 +118,7 @@ def fit(sample: list[tuple[str, int]], weigh: tuple[float, float] = (1.0, 1.0))
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    return fit(*labelled_sample(docs, labels, label, id_col, text_col, ROWS_OF_A_LABEL))
+    return fit(*labelled_sample(docs, labels, label, id_col, text_col, ROWS_OF_A_LABEL, None))
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
