@@ -1,10 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash LSH in fixed bands, in place of a forest.
 
 Texts are words between blanks, shingles five words (a shorter text is one shingle). Texts with the same words are
-collapsed to a representative first. A representative has `TREES` labels of `DEPTH` min-hashes. Two texts match in
-a tree to the depth of their labels' common prefix; starting from whole labels, prefixes are shortened until a pair
-at the threshold is found in some tree with the target recall. Sorted by tree and prefix, the members of a
-trie node follow each other; each is tied to the first of them, so a node of m texts gives m - 1 ties, never its
+collapsed to a representative first. A representative has `TREES` labels of as many min-hashes as `prefix_depth`
+gives: the longest up to `DEPTH` with which a pair at the threshold has an equal label in some tree with the target
+recall. That depth is fixed before any data are seen; there are no tries, and no prefix is shortened for a text.
+The texts of an equal label in a tree are each tied to the first of them, so m texts give m - 1 ties, never their
 pairs. Ties join texts into candidate families.
 
 A family's texts meet in cells: its members are dealt to chunks of about `CHUNK` texts, and those pairs of chunks
