@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -17,26 +16,72 @@ BLANK_CLASS = r"[\x20\x09-\x0D]"
 #: A row without an id sorts after every row that has one.
 LAST_ID = (1 << 63) - 1
 
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    context = spark.sparkContext
+    """The folder that driver and executors share: spark.checkpoint.dir, else a folder of the warehouse, which they share too."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        current = context._jsc.sc().getCheckpointDir()
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = current.get() if current.isDefined() else None
-    if not named:
-        if not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="veriloom-shared-")
-        context.setCheckpointDir(named)
-    return named
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_veriloom"
+
+
+def _delete(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if at_exit:
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+    else:
+        files.delete(at, True)
+
+
+_marked: set[str] = set()
+
+
+def new_table(spark: SparkSession) -> str:
+    """A path for a table in the session's own part of the shared folder, which goes when the session's JVM ends."""
+    folder = f"{shared_folder(spark)}/veriloom/{spark.sparkContext.applicationId}"
+    if folder not in _marked:
+        _delete(spark, folder, at_exit=True)
+        _marked.add(folder)
+    return f"{folder}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back, so that a lost executor costs no recomputation."""
-    path = f"{shared_folder(df.sparkSession)}/veriloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as a table in the shared folder and read it back, so that a lost executor costs no recomputation.
+
+    The shuffles that made the table are removed at once: nothing reads them again.
+    """
+    spark, path = df.sparkSession, new_table(df.sparkSession)
+    tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(tidy, "false")
+    spark.conf.set(tidy, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(tidy, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of cut() that no later result reads."""
+    for table in tables:
+        if path := table.__dict__.get("_written_at"):
+            _delete(table.sparkSession, path)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names that no column has, in any spelling of case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
 
 
 def tasks(spark: SparkSession) -> int:

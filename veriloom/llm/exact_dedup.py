@@ -10,9 +10,10 @@ content (the content is a grouping key next to its digest, so a digest collision
 The narrow result (digest, salts, winner, size) is written to the shared folder and joined to the rows on
 (digest, salt): again no task gets more than a salt's share of a hot text.
 
-Null texts count as empty and equal each other. A row without id loses against rows with one. Rows that
-repeat an id are rows of their own in the sizes; each of them is reported as kept when its id wins.
-An empty table gives an empty result. Other columns, whatever their names, are not touched.
+Null texts count as empty and equal each other. A row without id loses against rows with one; such rows are salted
+by their place, and their groups' winners go to all salts. Rows that repeat an id are rows of their own in the sizes;
+of those that repeat the winner's id only the ones of the winner's length are kept. An empty table gives an empty
+result. Other columns, whatever their names, are not touched. Very long texts are values like others.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, cut, text_or_empty
+from .common import BLANK_CLASS, cut, fresh, text_or_empty
 
 SALTS = 32
 
@@ -33,35 +34,46 @@ def sha256_hex(content: Column) -> Column:
 def _keyed(docs: DataFrame, id_col: str, text_col: str, salts: int, digest) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     rows = rows.select("id", F.regexp_replace("text", BLANK_CLASS + "+", "").alias("content"), F.length("text").alias("points"))
-    return rows.withColumn("digest", digest(F.col("content"))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    place = F.when(F.col("id").isNull(), F.monotonically_increasing_id()).otherwise(F.col("id"))
+    return rows.withColumn("digest", digest(F.col("content"))).withColumn("salt", F.pmod(F.xxhash64(place), F.lit(salts)).cast("int"))
 
 
-def _winners(rows: DataFrame) -> DataFrame:
+def _winners(rows: DataFrame, salts: int) -> DataFrame:
     """One row per content: digest, content, best, size, salts, and how many contents share the digest."""
-    salted = rows.groupBy("digest", "content", "points", "salt").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    best = F.min(F.struct((-F.col("points")).alias("shorter"), F.col("id").isNull().alias("nameless"), "id")).alias("best")
-    whole = salted.repartition("digest").groupBy("digest", "content").agg(best, F.sum("n").alias("size"), F.collect_set("salt").alias("salts"))
+    salted = rows.groupBy("digest", "content", "points", "salt").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.bool_or(F.col("id").isNull()).alias("nameless"))
+    best = F.min(F.struct((-F.col("points")).alias("shorter"), F.col("id").isNull().alias("last"), "id")).alias("best")
+    whole = salted.repartition("digest").groupBy("digest", "content").agg(best, F.sum("n").alias("size"), F.collect_set("salt").alias("found"), F.bool_or("nameless").alias("nameless"))
+    every = F.sequence(F.lit(0), F.lit(salts - 1))  # a second scan may place rows without id elsewhere
+    whole = whole.withColumn("salts", F.when(F.col("nameless"), every).otherwise(F.col("found")))
     return whole.withColumn("sharing", F.count("*").over(W.partitionBy("digest")))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest=sha256_hex) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, digest of the content."""
     rows = _keyed(docs, id_col, text_col, salts, digest)
-    winners = _winners(rows)
-    narrow = cut(winners.select("digest", F.col("best.id").alias("keep_id"), F.col("size").alias("group_size"), "salts", "sharing"))
+    winners = _winners(rows, salts)
+    narrow = cut(winners.select("digest", F.col("best.id").alias("keep_id"), (-F.col("best.shorter")).alias("longest"), F.col("size").alias("group_size"), "salts", "sharing"))
     if narrow.where("sharing > 1").isEmpty():
-        found = narrow.select("digest", F.explode("salts").alias("salt"), "keep_id", "group_size")
-        joined = rows.select("id", "digest", "salt").join(found, ["digest", "salt"])
+        found = narrow.select("digest", F.explode("salts").alias("salt"), "keep_id", "longest", "group_size")
+        joined = rows.select("id", "points", "digest", "salt").join(found, ["digest", "salt"])
     else:  # colliding digests: the content itself decides
-        found = winners.select("digest", "content", F.explode("salts").alias("salt"), F.col("best.id").alias("keep_id"), F.col("size").alias("group_size"))
-        joined = rows.select("id", "digest", "salt", "content").join(found, ["digest", "content", "salt"])
-    return joined.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+        found = winners.select("digest", "content", F.explode("salts").alias("salt"), F.col("best.id").alias("keep_id"), (-F.col("best.shorter")).alias("longest"), F.col("size").alias("group_size"))
+        joined = rows.select("id", "points", "digest", "salt", "content").join(found, ["digest", "content", "salt"])
+    kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("longest"))
+    return joined.select("id", "keep_id", "group_size", kept.alias("kept"), "digest")
 
 
 def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows that repeat an id and a content one stays."""
-    winners = exact_groups(docs, id_col, text_col, salts).where("kept").select(F.col("id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    """The rows of docs that stay, with all their columns: of each group of equal texts the longest, then the least id.
+
+    Rows that agree with it in id, content and length count as one, and any of them stays. Nulls, empty tables and
+    clashing names are as in exact_groups.
+    """
+    rows = _keyed(docs, id_col, text_col, salts, sha256_hex)
+    mark = lambda digest, i, points: F.concat_ws(":", digest, F.coalesce(i.cast("string"), F.lit("~")), points.cast("string"))
+    winners = cut(_winners(rows, salts).select(mark(F.col("digest"), F.col("best.id"), -F.col("best.shorter")).alias("winner")))
+    (name,) = fresh(docs.columns, "mark")
     content = F.regexp_replace(text_or_empty(text_col), BLANK_CLASS + "+", "")
-    marked = docs.withColumns({"__digest": sha256_hex(content), "__id": F.col(id_col).cast("long")})
-    joined = marked.join(winners.withColumnsRenamed({"__id": "__wid", "__digest": "__wdigest"}), (F.col("__id").eqNullSafe(F.col("__wid"))) & (F.col("__digest") == F.col("__wdigest")), "left_semi")
-    return joined.dropDuplicates(["__id", "__digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.withColumn(name, mark(sha256_hex(content), F.col(id_col).cast("long"), F.length(text_or_empty(text_col))))
+    found = marked.join(winners, marked[name] == winners["winner"], "left_semi")  # one shuffle serves the join and the distinct
+    return found.dropDuplicates([name]).select(*[F.col(f"`{c}`") for c in docs.columns])
