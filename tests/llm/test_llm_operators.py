@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -44,6 +45,17 @@ def test_exact_dedup(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 7, 8]
 
 
+def test_exact_dedup_of_repeated_ids_and_clashing_names(spark):
+    rows = [(1, "a b"), (1, "a   b"), (1, "other"), (None, "a b"), *[(None, "n n")] * 5, (5, "same"), (5, "same")]
+    df = spark.createDataFrame([(i, t, *"vwxyz") for i, t in rows], "doc_id long, text string, mark string, MARK_ string, winner string, __digest string, __id string")
+    kept = exact_dedup.keep_one_copy(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, "a   b"), (1, "other"), (None, "n n"), (5, "same")], key=str)
+    got = exact_dedup.exact_groups(df)
+    assert sorted(got.where("kept").select("id").collect(), key=str) == sorted([(1,), (1,), *[(None,)] * 5, (5,), (5,)], key=str)
+    assert [r["group_size"] for r in got.where("id is null").collect()].count(5) == 5
+
+
 def test_exact_dedup_compares_content_when_digests_collide(spark):
     from pyspark.sql import functions as F
 
@@ -115,10 +127,31 @@ def test_url_filter(spark):
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(3000).selectExpr("cast(id as string) as key")
     listed = universe.where("cast(key as int) % 9 = 0")
-    cascade = url_filter.BloomCascade.build(listed, universe, rate=0.2)
-    assert len(cascade.levels) > 2
-    assert universe.where(cascade.holds(universe["key"]) != (universe["key"].cast("int") % 9 == 0)).count() == 0
+    for rate in (0.2, None):
+        cascade = url_filter.BloomCascade.build(listed, universe, rate=rate)
+        assert len(cascade.levels) > 2
+        assert universe.where(cascade.holds(spark, universe["key"]) != (universe["key"].cast("int") % 9 == 0)).count() == 0
+
 
+def test_cascade_holds_millions_of_keys(spark):
+    universe = spark.range(4_000_000).selectExpr("concat('h', id, '.org\n/') as key", "id")
+    listed = universe.where("id % 4 <> 0").select("key")
+    cascade = url_filter.BloomCascade.build(listed, universe.select("key"))
+    assert sum(bits for bits, _, _ in cascade.levels) < 12 * 3_000_000
+    assert universe.where(cascade.holds(spark, universe["key"]) != (universe["id"] % 4 != 0)).count() == 0
+
+
+def test_url_filter_repeats_ties_and_long_urls(spark):
+    from veriloom.llm.queries import URL_RULES
+
+    urls = ["http://example.org/es/" + "x" * 200_000, "http://org/", "http://org/", "HTTP://a.com/fr/"]
+    rows = spark.createDataFrame([(1, u, "k", "a", 3, 4) for u in urls], "page_id long, url string, keys string, hit string, a long, b long")
+    got = sorted((r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(rows, URL_RULES).collect())
+    assert got == sorted(url_brute(u, URL_RULES) for u in urls)
+    tied = [("a.org", "/", "allow"), ("org", "/", "block"), ("org", "/x", "allow")]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a.org/x", "http://b.org/x", "http://b.org/y"])], "page_id long, url string")
+    assert {r["id"]: r["rule"] for r in url_filter.filter_urls(rows, tied).collect()} == {0: "a.org/", 1: "org/x", 2: "org/"}
+    assert {r["verdict"] for r in url_filter.filter_urls(rows, []).collect()} == {"allow"}
 
 # top k
 
@@ -141,6 +174,38 @@ def test_top_k(spark):
     assert [(r["query_id"], r["vec_id"]) for r in few] == [(0, 1)]
 
 
+def top_brute(rows, k=5):
+    ints = [(i, [math.floor(v * 256) if math.isfinite(v * 256) else math.floor(v) * 256 for v in x]) for i, x in rows]
+    out = []
+    for q, x in ints:
+        if q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in ints if i != q and len(y) == len(x))[:k]
+            out += [(q, r + 1, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, i) in enumerate(scores)]
+    return sorted(out)
+
+
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(9)
+    for top in (8388608.0, 1e7, 3e12, 1e30, 1e306):
+        x = rng.normal(size=(120, 6))
+        x[::7, 2] = top
+        x[3::7, 1] = -top
+        x[50, :] = x[57, :]
+        rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, "id % 50 = 0").collect())
+        assert got == top_brute(rows), top
+
+
+def test_top_k_keeps_every_dimension_and_repeats(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, rng.normal(size=8 if i % 3 else 5).tolist()) for i in range(200)] + [(900, [1.0, 2.0]), (7, rng.normal(size=8).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as n", "2 as dim", "3 as square", "4 as lane")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, "id % 50 = 0").collect())
+    assert got == top_brute(rows)
+
+
 def test_top_k_prunes():
     rng = np.random.default_rng(4)
     y = (rng.normal(size=(20_000, 64)) * np.geomspace(3000, 1, 20_000)[:, None]).astype(np.int64)

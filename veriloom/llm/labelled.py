@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Documented bounds of the sample: rows of each label, and the length of a row's text in code points (quality only).
-ROWS_OF_A_LABEL, LONGEST = 3000, 40_000
+from .common import ship, utf8
+
+#: The documented bound of the sample: rows of each label, whatever their length.
+ROWS_OF_A_LABEL = 3000
 
 
 def held_out(id_col: Column) -> Column:
@@ -14,11 +17,11 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS_OF_A_LABEL, longest: int | None = LONGEST) -> tuple[list[tuple[str, int]], tuple[float, float]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS_OF_A_LABEL, measure=None) -> tuple[list[tuple], tuple[float, float]]:
     """(text, label) of up to `rows` rows for each label, the first by a hash of the id; and what a row of label 0 and 1 stands for.
-    Texts of more than `longest` code points are left out; None leaves out none.
 
-    Labels that are null or neither 0 nor 1 don't count; of several labels of an id the greatest does. The ids
+    With measure(bytes), a list of numbers takes the text's place and is made where the text is, so that texts of any
+    length stay on the executors. Labels that are null or neither 0 nor 1 don't count; of several labels of an id the greatest does. The ids
     are chosen first (a bounded top of each label), so only their texts move.
     """
     spark = docs.sparkSession
@@ -30,9 +33,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str
         return [], (1.0, 1.0)
     wanted = F.broadcast(spark.createDataFrame([(r["id"], r["y"]) for r in chosen], "wanted long, y int"))  # 2 * rows at most
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    if longest is not None:
-        found = found.where(F.length("t") <= longest)
     sample = found.join(wanted, F.col("id") == F.col("wanted")).groupBy("id").agg(F.min("t").alias("t"), F.max("y").alias("y"))
-    got = [(r["t"], r["y"]) for r in sample.orderBy("id").toLocalIterator()]
+    got = [(r["t"], r["y"]) for r in sample.orderBy("id").toLocalIterator()] if measure is None else _measured(sample, measure)
     have = [max(1, sum(1 for _, y in got if y == k)) for k in (0, 1)]
     return got, tuple(max(1, totals.get(k, 0)) / have[k] for k in (0, 1))
+
+
+def _measured(sample: DataFrame, measure) -> list[tuple[list[float], int]]:
+    ship(sample.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            found = [measure(raw) for raw in utf8(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], names=["id", "y", "x"])
+
+    rows = sample.select("id", "y", "t").mapInArrow(run, "id long, y int, x array<double>")
+    return [(r["x"], r["y"]) for r in sorted(rows.toLocalIterator(), key=lambda r: r["id"])]

@@ -162,8 +162,8 @@ def _quadrants(g: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    sample, weigh = labelled_sample(docs, labels, label, id_col, text_col)
-    x = np.array([measure(t.encode()) for t, _ in sample]).reshape(-1, len(FEATURES))
+    sample, weigh = labelled_sample(docs, labels, label, id_col, text_col, measure=measure)
+    x = np.array([features for features, _ in sample]).reshape(-1, len(FEATURES))
     y = np.array([k for _, k in sample], float)
     return fit(x, y, np.where(y == 1, weigh[1], weigh[0]))
 
