@@ -333,24 +333,30 @@ def jaccard_brute(rows):
     return out
 
 
-@pytest.mark.parametrize("chunk", [4, 512])
-def test_jaccard(spark, monkeypatch, chunk):
-    monkeypatch.setattr(jaccard, "CHUNK", chunk)
-    rng = random.Random(9)
-    words = [f"w{i}" for i in range(4000)]
-    rows = [(0, None), (1, ""), (2, "one two"), (3, "one  two "), (4, "one two three"), (5, "z " * 40)]
-    name = 10
-    for size in (1, 2, 3, 30):
+def family_rows(rng, sizes, first=10):
+    words, rows = [f"w{i}" for i in range(4000)], []
+    for size in sizes:
         base = [rng.choice(words) for _ in range(150)]
         for _ in range(size):
             text = list(base)
             for _ in range(rng.randrange(4)):
                 text[rng.randrange(150)] = rng.choice(words)
-            rows.append((name, " ".join(text)))
-            name += 1
+            rows.append((first + len(rows), " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("chunk,dense,sample,hot", [(4, 64, 64, 32), (512, 64, 64, 32), (512, 3, 64, 32), (7, 64, 1, 2)])
+def test_jaccard(spark, monkeypatch, chunk, dense, sample, hot):
+    """Plain; with many chunks; with nearly all trie nodes dense; with nearly all nodes hot."""
+    for name, value in (("CHUNK", chunk), ("SAMPLE", sample), ("HOT", hot)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(9)
+    rows = [(0, None), (1, ""), (2, "one two"), (3, "one  two "), (4, "one two three"), (5, "z " * 40)]
+    rows += family_rows(rng, (1, 2, 3, 30))
+    name = 10 + 36
     rows += [(name, rows[8][1]), (name + 1, rows[8][1].replace(" ", "\n"))]
     rng.shuffle(rows)
-    got = {r["id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in jaccard.near_classes(docs(spark, rows)).collect()}
+    got = {r["id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in jaccard.near_classes(docs(spark, rows), dense=dense).collect()}
     assert got == jaccard_brute(rows)
 
 
@@ -358,12 +364,90 @@ def test_jaccard_edges(spark):
     assert jaccard.near_classes(docs(spark, [])).collect() == []
     got = jaccard.near_classes(docs(spark, ODD)).collect()
     assert len(got) == len(ODD)
-    assert [r["class_id"] for r in got if r["id"] is None] == [None]
-    assert jaccard.prefix_depth() == 5
+    assert sorted((str(r["class_id"]), r["n_copies"]) for r in got if r["id"] is None) == [("5", 1)]
+    assert jaccard.floor_depth() == 5
     kept = jaccard.keep_one_of_class(docs(spark, [(3, "a b c"), (1, "a b c"), (2, "x")])).collect()
     assert sorted(r["doc_id"] for r in kept) == [1, 2]
 
 
+def test_jaccard_repeated_and_missing_ids(spark):
+    rng = random.Random(4)
+    base = " ".join(f"w{rng.randrange(9)}{i}" for i in range(60))
+    near = base + " end"
+    rows = [(1, base), (2, base), (2, "an entirely different text of words"), (None, near), (None, "on its own"), (None, "on its own"), (None, ""), (7, ""), (7, ""), (8, near)]
+    df = spark.createDataFrame([(i, t, *"pqrst") for i, t in rows], "doc_id long, text string, mark string, words string, gone string, __gone string, MARK_ string")
+    kept = jaccard.keep_one_of_class(df)
+    assert kept.columns == df.columns
+    want = [(1, base), (2, rows[2][1]), (None, "on its own"), (None, ""), (7, ""), (7, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+    alone = jaccard.near_classes(spark.createDataFrame([(None, base), (None, near)], "doc_id long, text string")).collect()
+    assert [(r["class_id"], r["n_links"]) for r in alone] == [(None, 1)] * 2 and sum(r["stays"] for r in alone) == 1
+    full = jaccard.near_classes(spark.createDataFrame([((1 << 63) - 1, base), (-(1 << 62), near), (-(1 << 62), "x")], "doc_id long, text string")).collect()
+    assert sorted((r["class_id"], r["n_links"]) for r in full) == [(-(1 << 62), 0), (-(1 << 62), 1), (-(1 << 62), 1)]
+
+
+def test_prefixes_are_shortened_until_the_recall(spark):
+    rows = [(n, d) for n, depths in enumerate([[8] * 25, [8] * 3, [7] * 10 + [6] * 15, [6] * 2, [8] * 12]) for d in depths]
+    below = spark.createDataFrame(rows, "node int, depth int")
+    for recall in (0.9, 0.99, 0.9995):
+        floor = jaccard.floor_depth(recall=recall)
+        got = {r["node"]: r["steps"] for r in jaccard.shortened(below.where(f"depth > {floor}"), 0.8, 25, floor, recall).collect()}
+        for n in got:
+            own = [d for m, d in rows if m == n and d > floor]
+            reached = lambda k: 1 - math.prod(1 - 0.8 ** max(floor, d - k) for d in own) * (1 - 0.8**floor) ** (25 - len(own)) >= recall
+            assert got[n] == next(k for k in range(9 - floor) if reached(k) or k == 8 - floor)
+
+
+def test_dense_prefixes_stay_longer(spark):
+    """Texts that only share a dense prefix aren't tied by it where other trees give the recall; without shortening they'd be lost."""
+    forest = jaccard.Forest()
+    near = family_rows(random.Random(1), (2,))
+    labels = [forest.labels(jaccard.shingles(t.encode())).ravel() for _, t in near]
+    rng = np.random.default_rng(2)
+    crowd = [rng.integers(0, 1 << 64, 50, dtype=np.uint64) for _ in range(40)]
+    for i, x in enumerate(crowd):
+        x[0], x[1] = labels[0][0], (int(labels[0][1]) & ~((1 << 48) - 1)) | i << 32  # the first five values of the first tree
+    table = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate([*labels, *crowd])], "node long, labels binary")
+    ties = lambda dense: {tuple(sorted(r)) for r in jaccard._ties(table, 4, 0.8, 25, 0.9995, dense).collect()}
+    assert len(ties(100)) >= 41 and (0, 1) in ties(100)
+    assert (0, 1) in ties(8) and len(ties(8)) < 10
+
+
+def inverted_links(rows):
+    """Number of links of each text by its least id, over an inverted index of shingles of all rows."""
+    first = {}
+    for i, t in sorted(rows):
+        words = tuple(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+        if words:
+            first.setdefault(words, i)
+    sets = {i: {w[j : j + 5] for j in range(max(1, len(w) - 4))} for w, i in first.items()}
+    holders, links = {}, dict.fromkeys(sets, 0)
+    for i, shingles in sets.items():
+        seen = {}
+        for g in shingles:
+            for j in holders.setdefault(g, []):
+                seen[j] = seen.get(j, 0) + 1
+            holders[g].append(i)
+        for j, both in seen.items():
+            if both / (len(shingles) + len(sets[j]) - both) >= 0.8:
+                links[i], links[j] = links[i] + 1, links[j] + 1
+    return links
+
+
+def test_jaccard_recall_over_all_rows(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = inverted_links([tuple(r) for r in table.collect()])
+    got = {r["id"]: r["n_links"] for r in jaccard.near_classes(table).collect()}
+    assert all(got[i] <= n for i, n in want.items())
+    assert sum(got[i] for i in want) >= 0.99 * sum(want.values()) > 0
+
+
+def test_components_of_hubs(spark):
+    edges = [(0, i) for i in range(1, 1200)] + [(i, 2000 + i) for i in range(1, 40)] + [(5000, 5001)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {n: 5000 if n >= 5000 else 0 for e in edges for n in e}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)]
