@@ -245,6 +245,32 @@ def test_schedule_is_even(spark):
         assert sum(r["words"] for r in rows if r["source"] == source) == {"a": 50_000, "b": 20_000, "c": 10_000}[source]
 
 
+def test_mix_in_order_keeps_the_shares(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join("w" for _ in range(rng.randrange(1, 120))), rng.choice("aaaab"), *"wxyz") for i in range(900)] + [(i, "w " * 200, "c", *"wxyz") for i in range(900, 960)]
+    rows += [(960, "", "a", *"wxyz"), (961, None, None, *"wxyz")] + [(None, "no id at all", "a", *"wxyz")] * 3 + [(5, "again " * 9, "b", *"wxyz")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mark string, slot string, of string, turns string")
+    table, taken = mixing.in_order(df), mixing.mix(df).collect()
+    assert table.columns == df.columns
+    got = table.collect()
+    assert [r["doc_id"] for r in got].count(960) == [r["doc_id"] for r in got].count(961) == 1
+    whole = {r["id"]: r["taken"] / r["size"] for r in taken if r["size"] and r["id"] is not None and r["id"] != 5}
+    for i, times in whole.items():
+        assert abs(sum(r["doc_id"] == i for r in got) - times) <= 0.5
+    assert sum(r["doc_id"] is None for r in got) == round(sum(r["taken"] / r["size"] for r in taken if r["id"] is None))
+    target = {r["source"]: r["target"] for r in taken}
+    total, seen, n = sum(target.values()), dict.fromkeys(target, 0), 0
+    for r in got:
+        size = len((r["text"] or "").split())
+        seen[r["source"]], n = seen[r["source"]] + size, n + size
+        if total / 20 < n < total * 0.9:  # any prefix but the shortest, up to where closing slots begin
+            assert all(abs(seen[s] - n * target[s] / total) < 1500 for s in ("a", "b", "c"))
+    slots = {r["id"]: r["first_slot"] for r in taken}
+    order = [slots[r["doc_id"]] for r in got if slots.get(r["doc_id"]) is not None]
+    assert sum(a <= b for a, b in zip(order, order[1:])) > 0.5 * len(order)
+    assert mixing.in_order(df.limit(0)).collect() == []
+
+
 # toxicity and quality
 
 

@@ -10,10 +10,15 @@ Sources by code point, null last, weigh `weights` in turn and share `share` of a
 `most_repeats` times its source's words, and what is over is shared again by weight (water filling).
 
 Positions within a source are prefix sums in two steps, over ranges of the shuffled order and within a range, so a
-source with any part of the rows spreads over many tasks.
+source with any part of the rows spreads over many tasks. Slots find their source by an equi-join on cells of the unit
+interval, as many as there are sources at least; only the numbers of slots and sources reach the driver.
 
-Null texts have no words; documents without words take nothing. Rows that repeat an id keep separate positions
-(ordered by text). An empty table gives empty results. Other columns are left alone.
+`mix` tells for each document how many words are taken and the first slot that takes some; `in_order` gives the mix
+itself, documents in the order of their slots, so that any prefix of it has the sources in proportion.
+
+Null texts have no words; documents without words take nothing and have no slot. Rows that repeat an id keep separate
+positions (ordered by text); rows without id are placed by their text. A null source is a source. Very long texts span
+many blocks. An empty table gives empty results. Other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -24,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, fresh, tasks, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_REPEATS = 1.5, 2.0
 #: The fractional part of the golden ratio.
 GOLDEN = 0.6180339887498949
-#: A mix has about so many slots at most; blocks have at least LEAST_BLOCK words.
+#: The finest mix: blocks of LEAST_BLOCK words, or larger ones where that would make more than MOST_SLOTS slots. It
+#: sets how closely a prefix keeps the shares, not how many words of a document are taken.
 MOST_SLOTS, LEAST_BLOCK = 1 << 20, 64
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -38,8 +44,9 @@ _WORDS = r"[^\x20\x09-\x0D]+"
 def sizes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """id, source, size, and the place in the shuffled order; 4,096 ranges of it for the prefix sums."""
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(_WORDS)).cast("long").alias("size"), F.md5(F.col(id_col).cast("string")).alias("place"), F.xxhash64(text).alias("tie"))
-    return rows.withColumn("place", F.coalesce("place", F.lit("~"))).withColumn("range", F.substring("place", 1, 3))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(_WORDS)).cast("long").alias("size"), F.xxhash64(text).alias("tie"))
+    rows = rows.withColumn("place", F.md5(F.coalesce(F.col("id").cast("string"), F.concat(F.lit("~"), F.col("tie").cast("string")))))
+    return rows.withColumn("range", F.substring("place", 1, 3))
 
 
 def targets_of(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS) -> DataFrame:
@@ -69,27 +76,24 @@ def placed(sizes: DataFrame) -> DataFrame:
     within = W.partitionBy("source", "range").orderBy("place", F.col("id").asc_nulls_last(), "tie").rowsBetween(W.unboundedPreceding, -1)
     rows = sizes.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-    return rows.select("id", "source", "size", (F.col("offset") + F.col("within")).alias("start"))
+    return rows.select("id", "source", "tie", "size", (F.col("offset") + F.col("within")).alias("start"))
 
 
 def schedule(targets: DataFrame, block: int) -> DataFrame:
-    """The mix in order: slot, source, block number, words taken from that block.
-
-    Sources are few next to slots; their cumulated shares are joined to the slots by range in one broadcast-free
-    step: each slot finds its source by the sorted array of bounds.
-    """
+    """The mix in order: slot, source, block number, rank of the slot in its source, round, words taken from that block."""
     spark = targets.sparkSession
     order = W.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    rows = targets.where("target >= 1").withColumn("goal", F.floor("target").cast("long")).withColumn("n", F.row_number().over(order))
+    rows = targets.where("target >= 1").withColumn("goal", F.floor("target").cast("long")).withColumn("n", F.row_number().over(order).cast("long"))
     rows = rows.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
     rows = rows.withColumn("need", F.expr(f"(goal div source_size) * blocks + cast(ceil((goal % source_size) / cast({block} as double)) as bigint)"))
     rows = cut(rows.withColumn("upto", F.sum("target").over(order) / F.sum("target").over(W.partitionBy(F.lit(0)))))
-    head = rows.agg(F.sum("need").alias("slots"), F.array_sort(F.collect_list(F.struct("upto", "n"))).alias("bounds")).first()
-    slots = head["slots"] or 0
-    at = (F.col("slot") * F.lit(GOLDEN)) % 1
-    bounds = F.from_json(F.lit("[" + ",".join(repr(b["upto"]) for b in head["bounds"]) + "]"), "array<double>")
-    points = spark.range(slots).withColumnRenamed("id", "slot").withColumn("n", F.size(F.filter(bounds, lambda b: b <= at)) + 1)
-    points = points.withColumn("n", F.least("n", F.lit(max(1, len(head["bounds"])))))
+    slots, sources = (x or 0 for x in rows.agg(F.sum("need"), F.count("*")).first())
+    cells = 1 << max(6, (sources - 1).bit_length())
+    # A source's share of the unit interval, in every cell that it reaches into; the last one ends at 1.
+    share = rows.select("n", F.coalesce(F.lag("upto").over(W.partitionBy(F.lit(0)).orderBy("n")), F.lit(0.0)).alias("low"), F.when(F.col("n") == sources, 1.0).otherwise(F.col("upto")).alias("high"))
+    share = share.select("n", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1)))).alias("cell"))
+    points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") * F.lit(GOLDEN)) % 1).alias("at"))
+    points = points.withColumn("cell", F.floor(F.col("at") * cells)).join(share, "cell").where("low <= at and at < high").select("slot", "n")
     # Ranks within a source in two steps, by ranges of slots, as one source may have most of them.
     points = points.withColumn("part", F.expr("slot div 8192"))
     counts = points.groupBy("n", "part").agg(F.count("*").alias("c"))
@@ -98,28 +102,62 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     ranked = ranked.select("slot", "n", (F.col("offset") + F.col("within") - 1).alias("rank"))
     got = counts.groupBy("n").agg(F.sum("c").alias("got"))
     short = rows.join(got, "n", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < need")
-    closing = short.select((F.lit(slots) + F.col("n")).alias("slot"), "n", F.explode(F.sequence("got", F.col("need") - 1)).alias("rank"))
+    closing = short.select("n", "got", F.explode(F.sequence("got", F.col("need") - 1)).alias("rank"))
+    closing = closing.select((F.lit(slots) + (F.col("rank") - F.col("got")) * sources + F.col("n") - 1).alias("slot"), "n", "rank")
     taken = ranked.unionByName(closing).join(rows, "n").where("rank < need")
     taken = taken.withColumn("block", F.col("rank") % F.col("blocks")).withColumn("round", F.expr("rank div blocks"))
     full = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
     left = F.col("goal") - F.col("round") * F.col("source_size") - F.col("block") * block
-    return taken.select("slot", "source", "block", "rank", F.least(full, left).alias("words"))
+    return taken.select("slot", "source", "block", "rank", "round", F.least(full, left).alias("words"))
+
+
+def _block_size(targets: DataFrame, most_slots: int) -> int:
+    return max(LEAST_BLOCK, math.ceil((targets.agg(F.sum("target")).first()[0] or 0.0) / most_slots))
+
+
+def _taken(sizes: DataFrame, targets: DataFrame, block: int) -> DataFrame:
+    """source, id, tie, start, size, round, slot, words: what each slot takes of each document (words null: nothing)."""
+    slots = schedule(targets, block).select(F.col("source").alias("s"), "block", "slot", "round", "words")
+    cuts = F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))
+    pieces = placed(sizes).where("size > 0").select("source", "id", "tie", "start", "size", F.explode(cuts).alias("b"))
+    joined = pieces.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("block")), "left")
+    inside = F.least(F.col("start") + F.col("size") - F.col("b") * block, F.col("words")) - F.greatest(F.col("start") - F.col("b") * block, F.lit(0))
+    return joined.select("source", "id", "tie", "start", "size", "round", "slot", F.when(F.col("words").isNotNull() & (inside > 0), inside).alias("words"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS) -> DataFrame:
-    """Per row: id, size, source_size, target, taken (words of it that the schedule's blocks hold, repeats counted)."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS, most_slots: int = MOST_SLOTS) -> DataFrame:
+    """Per row: id, size, source_size, target, taken (words of it that the schedule's slots take, repeats counted), first_slot."""
     sizes = cut(sizes_of(docs, id_col, text_col, source_col))
     targets = cut(targets_of(sizes, weights, share, most))
-    total = targets.agg(F.sum("target")).first()[0] or 0.0
-    block = max(LEAST_BLOCK, math.ceil(total / MOST_SLOTS))
-    # How many words each block gives, from its start, for each time it is used.
-    used = schedule(targets, block).groupBy("source", "block", "words").agg(F.count("*").alias("times"))
-    pieces = placed(sizes).where("size > 0")
-    cuts = F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))
-    pieces = pieces.select("source", "id", "start", "size", F.explode(cuts).alias("b"))
-    inside = (F.greatest(F.lit(0), F.least(F.col("start") + F.col("size") - F.col("b") * block, F.col("words")) - F.greatest(F.col("start") - F.col("b") * block, F.lit(0)))) * F.col("times")
-    joined = pieces.join(used.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("block")), "left")
-    taken = joined.groupBy("source", "id", "start", "size").agg(F.coalesce(F.sum(inside), F.lit(0)).cast("long").alias("taken"))
-    empty = sizes.where("size = 0").select("source", "id", "size", F.lit(0).cast("long").alias("taken"))
-    rows = taken.select("source", "id", "size", "taken").unionByName(empty).withColumnRenamed("source", "s")
-    return rows.join(targets, F.col("source").eqNullSafe(F.col("s"))).select("id", "source", "size", "source_size", "target", "taken")
+    taken = _taken(sizes, targets, _block_size(targets, most_slots)).groupBy("source", "id", "start", "size")
+    taken = taken.agg(F.coalesce(F.sum("words"), F.lit(0)).cast("long").alias("taken"), F.min(F.when(F.col("words").isNotNull(), F.col("slot"))).alias("first_slot"))
+    empty = sizes.where("size = 0").select("source", "id", "size", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
+    rows = taken.select("source", "id", "size", "taken", "first_slot").unionByName(empty).withColumnRenamed("source", "s")
+    return rows.join(targets, F.col("source").eqNullSafe(F.col("s"))).select("id", "source", "size", "source_size", "target", "taken", "first_slot")
+
+
+def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS, most_slots: int = MOST_SLOTS) -> DataFrame:
+    """The mix as rows of docs, each as often as it is taken, in the order of the slots that take it.
+
+    A source's stream is taken from the start again and again, so only the one document at which it stops is taken in
+    part; it is in the mix when half of it or more is. Documents without words come last, once each.
+    """
+    sizes = cut(sizes_of(docs, id_col, text_col, source_col))
+    targets = cut(targets_of(sizes, weights, share, most))
+    turns = _taken(sizes, targets, _block_size(targets, most_slots)).where("words is not null").groupBy("source", "id", "tie", "start", "size", "round")
+    turns = turns.agg(F.sum("words").alias("words"), F.min("slot").alias("slot")).where("2 * words >= size")
+    mark = lambda i, tie, source: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("~")), tie.cast("string"), F.coalesce(F.concat(F.lit("'"), source), F.lit("~")))
+    rows = turns.select(mark(F.col("id"), F.col("tie"), F.col("source")).alias("of"), F.struct("start", "slot").alias("turn"))
+    # Rows that agree in id, text and source have one mark: the first of them takes the turns of the first start, and so on.
+    rows = rows.groupBy("of").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    name, number, slot, words, of, turn = fresh(docs.columns, "mark", "number", "slot", "words", "of", "turns")
+    rows = rows.select(F.col("of").alias(of), F.col("turns").alias(turn))
+    text = text_or_empty(text_col)
+    marked = docs.withColumns({name: mark(F.col(id_col).cast("long"), F.xxhash64(text), F.col(source_col).cast("string")), words: F.regexp_count(text, F.lit(_WORDS))})
+    marked = marked.withColumn(number, F.row_number().over(W.partitionBy(name).orderBy(name)))
+    joined = marked.join(rows, F.col(name) == F.col(of), "left")
+    starts = F.array_sort(F.array_distinct(F.transform(turn, lambda t: t["start"])))
+    own = F.transform(F.filter(turn, lambda t: t["start"] == F.get(starts, F.col(number) - 1)), lambda t: t["slot"])
+    none = F.array(F.lit((1 << 63) - 1))
+    mixed = joined.withColumn(slot, F.explode(F.when(F.col(words) == 0, none).otherwise(own)))
+    return mixed.repartitionByRange(tasks(docs.sparkSession), slot).sortWithinPartitions(slot, name).select(*[F.col(f"`{c}`") for c in docs.columns])

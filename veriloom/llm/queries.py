@@ -47,7 +47,7 @@ def op5_top_k(spark, sf_dir):
 
 def op6_mixing(spark, sf_dir):
     found = _module("mixing").mix(_table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")  # the SQL has no slots
 
 
 def op7_toxicity(spark, sf_dir):
