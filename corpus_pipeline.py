@@ -6,44 +6,38 @@ rows as Parquet in the folder that driver and executors share and rereads them f
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veriloom.llm import bpe, exact_dedup, jaccard, mixing, toxicity
-from veriloom.llm.common import shared_folder
+from veriloom.llm.common import cut, discard
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go; without usable labels none does."""
     model = toxicity.fit_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one stays."""
+    """Of texts that are equal without blanks the longest stays, of equals the one of the least id."""
     return exact_dedup.keep_one_copy(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the texts that links of five-word Jaccard similarity 0.8 connect one stays."""
+    """Of the texts that links of five-word Jaccard similarity 0.8 connect the one of the least id stays; texts without words all do."""
     return jaccard.keep_one_of_class(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice, by its taken words.
+    """The mix in the order of its schedule: each document as often as it is taken, once, twice or not at all.
 
-    The schedule takes a source's shuffled stream from the start again and again, so only the one document at
-    which it stops is taken in part; its part is rounded to a whole document. One without words stays as it is.
+    Only the one document at which a source's stream stops is taken in part; it counts when half of it or more is.
+    Documents without words stay, once each, at the end.
     """
-    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)).cast("int")
-    taken = mixing.mix(docs).select(F.col("id").alias("__id"), times.alias("__times")).groupBy("__id").agg(F.max("__times").alias("__times"))
-    mixed = docs.join(taken.where("__times > 0"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+    return mixing.in_order(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +55,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        path = f"{shared_folder(spark)}/veriloom/pipeline-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        last, docs = docs, cut(stage(spark, docs, sf_dir))
+        discard(last)
     return docs
