@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from veriloom.llm import suffix_dedup as S
 from veriloom.llm.suffix_sort import BlindTrie, equal_classes
@@ -25,12 +26,14 @@ def brute(rows):
     return out
 
 
-def ran(spark, rows):
+def ran(spark, rows, **options):
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
-    return {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in S.remove_repeats(df).collect()}
+    return {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in S.remove_repeats(df, **options).collect()}
 
 
-def test_equal_to_brute_force(spark):
+@pytest.mark.parametrize("bits", [64, 1])
+def test_equal_to_brute_force(spark, bits):
+    """With hashes of one bit unlike segments collide all the time."""
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
     make = lambda n: " ".join(rng.choice(words) for _ in range(n))
@@ -44,7 +47,22 @@ def test_equal_to_brute_force(spark):
     rows += [(i, make(30) + " " + passage + " " + make(rng.randrange(40))) for i in range(40, 60)]
     rows += [(60, passage + passage), (61, base), (62, base)]
     rng.shuffle(rows)
-    assert ran(spark, rows) == brute(rows)
+    assert ran(spark, rows, bits=bits) == brute(rows)
+
+
+def test_colliding_hashes_in_one_scan_task_are_told_apart():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab") for _ in range(300)).encode() for _ in range(20)]
+    texts += [texts[3], texts[5][:200] + texts[4]]
+    scan = S._Scan(4, 1)
+    for i, t in enumerate(texts):
+        scan.add(i, 0, t)
+    gone = {}
+    for row in scan.flush():
+        if row[3]:
+            gone[row[1]] = sorted(S.np.frombuffer(row[3], S._SPAN).tolist())
+    assert gone[20] == [(0, 300)]
+    assert all(texts[i][a:b] in b"|".join(texts[:i]) for i, spans in gone.items() for a, b in spans)
 
 
 def test_long_text_over_several_blocks(spark):
