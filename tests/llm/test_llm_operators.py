@@ -584,3 +584,13 @@ def test_pipeline_stages(spark):
     final = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert 0 < final.select("doc_id").distinct().count() <= docs_in.count()
     assert final.count() == rows.count()
+
+
+def test_pairs_know_their_chunk():
+    lines = [f"line {i}".encode() if i % 5 else b"" for i in range(200)]
+    spans = line_dedup.all_spans(lines)
+    chunks = {(a, b) for a, b, kind, _ in spans if kind == 0}
+    assert chunks == set(line_dedup.whole_chunks(lines)) and len(chunks) > 20
+    for a, b, kind, inside in spans:
+        if kind == 1:
+            assert inside == next((x for x, y in chunks if x <= a and b <= y), -1)

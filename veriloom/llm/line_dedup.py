@@ -1,27 +1,27 @@
-"""Line deduplication: repeated runs of lines, or repeated content-defined chunks of lines.
+"""Line deduplication by content-defined chunks of lines, completed at their edges.
 
-`remove_repeated_runs` removes every line of a repeated run. A pair is two successive lines with other than blank
-characters and the blank lines between them; a run with two or more such lines is made of overlapping pairs, so
-a line goes if a pair that covers it also starts earlier in the corpus. This finds passages of any length at any
-place, which chunks do not: they miss a passage's head, its tail and all of it where no whole chunk lies inside.
-What covers what is as in suffix_dedup.py: of each line its first occurrence stays. Blank lines around a run stay.
+Each line has a hash; a rolling hash over the last `WINDOW` line hashes ends a chunk where it is divisible by `EVERY`.
+Boundaries so depend on nearby lines alone and come back after an insertion. Of the chunks of two or more lines with
+other than blank characters that occur more than once in the corpus, the first occurrence (smallest id, then first
+line) stays, and the others' lines are removed.
 
-`remove_repeated_chunks` takes only whole chunks. Each line has a hash; a rolling hash over the last `WINDOW` line hashes ends a chunk where it is divisible by `EVERY`.
-Boundaries so depend on nearby lines alone and come back after an insertion. Of the chunks of two or
-more lines with other than blank characters that occur more than once in the corpus, the first occurrence (smallest id, then
-first line) stays, and the others' lines are removed.
+Whole chunks miss a repeated passage's head, its tail, and all of it where no whole chunk lies inside.
+`remove_repeated_runs` therefore also looks at pairs, two successive lines with other than blank characters and the
+blank lines between them, but for those inside a chunk that goes: a run with two or more such lines is made of
+overlapping pairs, so passages of any length go whole. What covers what is as in suffix_dedup.py: a line goes if a chunk or pair
+that covers it also starts earlier in the corpus; of each line its first occurrence stays. Blank lines around a run stay.
+`remove_repeated_chunks` takes chunks alone.
 
-Both take the same steps; what is said of chunks goes for pairs:
-
-1. Each document's chunks, as hashes and line numbers (narrow), are counted by hash.
-2. Texts are dealt by document once; the bytes of chunks with a repeated hash meet by (hash, bytes): the bytes are a
-   grouping key, first per salt, then globally, so only chunks of identical bytes count as repeated.
-3. The removed line ranges go back to the texts.
+1. Each document's chunks and pairs, as hashes and line numbers (narrow), are written down and counted by hash.
+2. Of documents with a repeated hash the texts are dealt; the bytes behind repeated hashes meet by (hash, bytes): the
+   bytes are a grouping key, first per salt, then globally, so only identical bytes count as repeated.
+3. The removed line ranges go back to the texts that lose some.
 
 What is hot, a chunk in many documents, is summed on its scan task and spread over `SALTS` keys.
 
 Rows without id come last; rows that share an id go by a hash of their text; rows that repeat an id and a text are
-judged as one. Null texts count as empty. An empty table gives an empty result; other columns are left alone.
+judged as one. Null texts count as empty; very long ones are cut into lines whole. An empty table gives an empty result;
+other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, cut, ship, tasks, text_or_empty, utf8
+from .common import LAST_ID, cut, discard, ship, tasks, text_or_empty, utf8
+from .key_filter import key_filter
 
 WINDOW, EVERY, SALTS = 2, 3, 32
 
@@ -69,28 +70,50 @@ def pairs_of(lines: list[bytes]) -> list[tuple[int, int]]:
     return [(a, b + 1) for a, b in zip(full, full[1:])]
 
 
+def chunk_spans(lines: list[bytes]) -> list[tuple[int, int, int, int]]:
+    """First line, line after the last, kind (0: chunk) and -1 of each whole chunk."""
+    return [(a, b, 0, -1) for a, b in whole_chunks(lines)]
+
+
+def all_spans(lines: list[bytes]) -> list[tuple[int, int, int, int]]:
+    """Whole chunks, and pairs (kind 1) with the first line of the whole chunk that they lie in, else -1."""
+    chunks = whole_chunks(lines)
+    owner = [-1] * len(lines)
+    for n, (a, b) in enumerate(chunks):
+        owner[a:b] = [n] * (b - a)
+    return [(a, b, 0, -1) for a, b in chunks] + [(a, b, 1, chunks[owner[a]][0] if owner[a] >= 0 and owner[a] == owner[b - 1] else -1) for a, b in pairs_of(lines)]
+
+
 def runs_of(drop: set[int]) -> int:
     """How many runs of neighbouring lines there are."""
     return sum(1 for i in drop if i - 1 not in drop)
 
 
-def _chunks(rows: DataFrame, digest, spans_of) -> DataFrame:
+_SPANS = "key long, tie long, first int, after int, kind int, inside int, h long, h2 long"
+_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+
+
+def _spans(rows: DataFrame, digest, spans_of) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
             keys, ties = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for key, tie, raw in zip(keys, ties, utf8(batch.column(2))):
                 lines = raw.split(b"\n")
-                out += [(key, tie, a, b, *digest(b"\n".join(lines[a:b]))) for a, b in spans_of(lines)]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            columns = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "tie", "first", "after", "h", "h2"])
+                for a, b, kind, inside in spans_of(lines):
+                    h, h2 = digest(b"\n".join(lines[a:b]))
+                    out.append((key, tie, a, b, kind, inside, h, h2 ^ kind))
+                if len(out) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS)], names=[x.split()[0] for x in _SPANS.split(", ")])
+                    out = []
+            columns = list(zip(*out)) or [()] * len(_KINDS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], names=[x.split()[0] for x in _SPANS.split(", ")])
 
-    return rows.select("key", "tie", "text").mapInArrow(run, "key long, tie long, first int, after int, h long, h2 long")
+    return rows.select("key", "tie", "text").mapInArrow(run, _SPANS)
 
 
-def _contents(asked: DataFrame) -> DataFrame:
-    """asked: key, tie, text, chunks. A row for each chunk, with its bytes."""
+def _contents(asked: DataFrame, all_pairs: bool) -> DataFrame:
+    """asked: key, tie, text, spans. A row for each span, with its bytes; pairs inside chunks that go only with all_pairs."""
 
     def run(batches):
         names = ["key", "tie", "first", "after", "h", "h2", "salt", "content"]
@@ -99,51 +122,63 @@ def _contents(asked: DataFrame) -> DataFrame:
             keys, ties = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = []
             for i, raw in enumerate(utf8(batch.column(2))):
-                lines = raw.split(b"\n")
-                for c in batch.column(3)[i].as_py():
-                    out.append((keys[i], ties[i], c["first"], c["after"], c["h"], c["h2"], c["salt"], b"\n".join(lines[c["first"] : c["after"]])))
+                lines, spans = raw.split(b"\n"), batch.column(3)[i].as_py()
+                going = {c["first"] for c in spans if c["kind"] == 0 and c["later"]}
+                for c in spans:
+                    if all_pairs or c["inside"] not in going:
+                        out.append((keys[i], ties[i], c["first"], c["after"], c["h"], c["h2"], c["salt"], b"\n".join(lines[c["first"] : c["after"]])))
                 if len(out) > 5000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    return asked.select("key", "tie", "text", "chunks").mapInArrow(run, "key long, tie long, first int, after int, h long, h2 long, salt int, content binary")
+    return asked.select("key", "tie", "text", "spans").mapInArrow(run, "key long, tie long, first int, after int, h long, h2 long, salt int, content binary")
 
 
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=digest_of) -> DataFrame:
     """Per row of docs: id, kept (text), n_lines, n_removed (lines), n_chunks (removed)."""
-    return _removed(docs, id_col, text_col, digest, whole_chunks, lambda spans, drop: len(spans))
+    return _removed(docs, id_col, text_col, digest, chunk_spans, lambda spans, drop: len(spans))
 
 
 def remove_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=digest_of) -> DataFrame:
     """Per row of docs: id, kept (text), n_lines, n_removed (lines), n_chunks (maximal runs removed)."""
-    return _removed(docs, id_col, text_col, digest, pairs_of, lambda spans, drop: runs_of(drop))
+    return _removed(docs, id_col, text_col, digest, all_spans, lambda spans, drop: runs_of(drop))
 
 
 def _removed(docs: DataFrame, id_col: str, text_col: str, digest, spans_of, count) -> DataFrame:
     spark = ship(docs.sparkSession)
-    parts = tasks(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("key"), text_or_empty(text_col).alias("text"), F.col(id_col).isNull().alias("nameless"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    salt = F.pmod(F.xxhash64("key", "tie", "first"), F.lit(SALTS)).cast("int")
-    chunks = _chunks(rows, digest, spans_of).dropDuplicates(["key", "tie", "first"]).withColumn("salt", salt)
-    repeated = chunks.groupBy("h", "h2").agg(F.count("*").alias("n"), F.collect_set("salt").alias("salts")).where("n > 1")
-    marks = cut(chunks.join(repeated.select("h", "h2", F.explode("salts").alias("salt")), ["h", "h2", "salt"]))
-    asks = marks.groupBy("key", "tie").agg(F.collect_list(F.struct("first", "after", "h", "h2", "salt")).alias("chunks"))
-    dealt = rows.repartition(parts, "key", "tie")
-    contents = _contents(asks.join(dealt.dropDuplicates(["key", "tie"]), ["key", "tie"]))
     place = F.struct("key", "tie", "first")
-    salted = contents.groupBy("h", "h2", "content", "salt").agg(F.min(place).alias("stays"))
-    whole = salted.repartition("h", "h2").groupBy("h", "h2", "content").agg(F.min("stays").alias("stays"), F.collect_set("salt").alias("salts"))
-    whole = whole.withColumn("sharing", F.count("*").over(W.partitionBy("h", "h2")))
-    narrow = cut(whole.select("h", "h2", "stays", "salts", "sharing"))
+    salt = F.pmod(F.xxhash64("key", "tie", "first"), F.lit(SALTS)).cast("int")
+    spans = cut(_spans(rows, digest, spans_of).withColumn("salt", salt))
+    # Rows that repeat an id and a text give the same places, so the number of places decides.
+    repeated = spans.groupBy("h", "h2").agg(F.min(place).alias("least"), F.max(place).alias("most"), F.collect_set("salt").alias("salts")).where("least <> most")
+    marks = cut(spans.join(repeated.select("h", "h2", "least", F.explode("salts").alias("salt")), ["h", "h2", "salt"]).withColumn("later", place != F.col("least")).drop("least").dropDuplicates(["key", "tie", "first", "after", "kind"]))
+    discard(spans)
+    asks = marks.groupBy("key", "tie").agg(F.collect_list(F.struct("first", "after", "kind", "inside", "later", "h", "h2", "salt")).alias("spans"))
+    concerned = key_filter(marks, F.col("key"))
+    texts = rows.where(concerned(F.col("key"))).select("key", "tie", "text").dropDuplicates(["key", "tie"])
+    asked = asks.join(texts, ["key", "tie"])
+
+    def whole(contents: DataFrame) -> DataFrame:
+        salted = contents.groupBy("h", "h2", "content", "salt").agg(F.min(place).alias("stays"))
+        met = salted.repartition("h", "h2").groupBy("h", "h2", "content").agg(F.min("stays").alias("stays"), F.collect_set("salt").alias("salts"))
+        return met.withColumn("sharing", F.count("*").over(W.partitionBy("h", "h2")))
+
+    narrow = cut(whole(_contents(asked, False)).select("h", "h2", "stays", "sharing"))
     if narrow.where("sharing > 1").isEmpty():
-        found = marks.join(narrow.select("h", "h2", F.explode("salts").alias("salt"), "stays"), ["h", "h2", "salt"])
-    else:  # colliding hashes: the bytes decide
-        found = contents.join(whole.select("h", "h2", "content", F.explode("salts").alias("salt"), "stays"), ["h", "h2", "content", "salt"])
-    gone = found.where(place != F.col("stays")).groupBy("key", "tie").agg(F.collect_list(F.struct("first", "after")).alias("gone"))
-    both = dealt.join(gone, ["key", "tie"], "left").select("key", "nameless", "text", "gone")
+        salts = repeated_salts(marks)
+        found = marks.join(narrow.join(salts, ["h", "h2"]).select("h", "h2", F.explode("salts").alias("salt"), "stays"), ["h", "h2", "salt"])
+    else:  # colliding hashes: the bytes of every span decide
+        contents = _contents(asked, True)
+        found = contents.join(whole(contents).select("h", "h2", "content", F.explode("salts").alias("salt"), "stays"), ["h", "h2", "content", "salt"])
+    gone = cut(found.where(place != F.col("stays")).groupBy("key", "tie").agg(F.collect_list(F.struct("first", "after")).alias("gone")))
+    discard(marks, narrow)
+    touched = key_filter(gone, F.col("key"))
+    both = rows.where(touched(F.col("key"))).join(gone, ["key", "tie"], "left").select("key", "nameless", "text", "gone")
+    whole_rows = rows.where(~touched(F.col("key"))).select("key", "nameless", "text", F.lit(None).cast("array<struct<first:int,after:int>>").alias("gone"))
 
     def run(batches):
         for batch in batches:
@@ -158,5 +193,10 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, digest, spans_of, coun
                 arrays = [batch.column(0).slice(i, 1000), batch.column(1).slice(i, 1000), pa.array(kept, pa.binary()).cast(pa.string()), *[pa.array(c, pa.int64()) for c in (n, removed, spans)]]
                 yield pa.RecordBatch.from_arrays(arrays, names=["key", "nameless", "kept", "n_lines", "n_removed", "n_chunks"])
 
-    out = both.mapInArrow(run, "key long, nameless boolean, kept string, n_lines long, n_removed long, n_chunks long")
+    out = both.unionByName(whole_rows).mapInArrow(run, "key long, nameless boolean, kept string, n_lines long, n_removed long, n_chunks long")
     return out.select(F.when(~F.col("nameless"), F.col("key")).alias("id"), "kept", "n_lines", "n_removed", "n_chunks")
+
+
+def repeated_salts(marks: DataFrame) -> DataFrame:
+    """The salts on which each hash lies."""
+    return marks.groupBy("h", "h2").agg(F.collect_set("salt").alias("salts"))
