@@ -39,6 +39,8 @@ from .suffix_sort import equal_classes
 
 LENGTH, GRAM = 100, 48
 _BLOCK = 1 << 20
+#: Anchors go to so many buckets at least; the marks of so many buckets of a task, or of fewer with so many marks, are gathered by document.
+LEAST_BUCKETS, GATHERED, MOST_MARKS = 256, 12, 2_000_000
 #: Text that a scan task looks at before it passes its records on, in bytes.
 _FLUSH = 24 << 20
 _rng = np.random.default_rng(3)
@@ -300,7 +302,23 @@ def _merged(found: DataFrame, parts: int, sort_all: bool) -> DataFrame:
                     done.append(batch.filter(whole))
                 yield batch
 
+        def out():
+            """The marks of some buckets together, a row for each document."""
+            docs, number = np.unique(np.concatenate([d for d, *_ in gathered]), return_inverse=True)
+            at, a_doc, c_doc = 0, [], []
+            for d, asked, _, claiming, _ in gathered:
+                own = number[at : at + len(d)]
+                a_doc.append(own[asked])
+                c_doc.append(own[claiming])
+                at += len(d)
+            join = lambda i: np.concatenate([g[i] for g in gathered])
+            rows = _by_document(docs, asks=(np.concatenate(a_doc), join(2)), claims=(np.concatenate(c_doc), join(4)))
+            for i in range(0, len(rows), 20_000):
+                yield _batch([(0, key, tie, s, a, c, None, None) for key, tie, s, a, c in rows[i : i + 20_000]])
+
         done: list[pa.RecordBatch] = []
+        gathered: list[tuple] = []
+        size, seen = 0, 0
         for held in _by_bucket(passing(), 0, 6, 7):
             while done:
                 yield done.pop()
@@ -320,9 +338,16 @@ def _merged(found: DataFrame, parts: int, sort_all: bool) -> DataFrame:
             later = np.flatnonzero((first >= 0) & (first != np.arange(len(r)))) if not sort_all else np.zeros(0, np.int64)
             _, _, doc, start, end, f_doc, f_start = _runs(r, docs, later, first[later])
             claims = _items(_CLAIM, start=start, end=end, key=docs["key"][f_doc], tie=docs["tie"][f_doc], at=f_start)
-            rows = _by_document(docs, asks=(asked["doc"], asks), claims=(doc, claims))
-            for i in range(0, len(rows), 20_000):
-                yield _batch([(0, key, tie, s, a, c, None, None) for key, tie, s, a, c in rows[i : i + 20_000]])
+            if len(asks) or len(claims):
+                used, local = np.unique(np.concatenate([asked["doc"], doc]), return_inverse=True)
+                gathered.append((docs[used], local[: len(asks)], asks, local[len(asks) :], claims))
+                size += len(used) + len(asks) + len(claims)
+            seen += 1
+            if gathered and (size > MOST_MARKS or seen % GATHERED == 0):
+                yield from out()
+                gathered, size = [], 0
+        if gathered:
+            yield from out()
         yield from done
 
     return found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _ROW).select("key", "tie", "spans", "asks", "claims")
@@ -476,7 +501,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = ship(docs.sparkSession)
     parts = tasks(spark)
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    buckets = max(4 * parts, min(size >> 28, 1 << 24))  # about 256 MB of text at most stand behind a bucket
+    buckets = max(LEAST_BUCKETS, 4 * parts, min(size >> 28, 1 << 24))  # about 256 MB of text at most stand behind a bucket
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("key"), text_or_empty(text_col).alias("text"), F.col(id_col).isNull().alias("nameless"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     spans = _covered(rows, parts, buckets, bits, False)
