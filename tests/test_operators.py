@@ -1,6 +1,10 @@
 """Operators on literal inputs and against plain Python."""
 
+import hashlib
+import json
 import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,26 +35,70 @@ def test_chapters(spark):
 
 
 def test_chapter_number_forms(spark):
-    rows = docs(spark, "ⓚ12화. 제목", "<ⓚ7> 제목", "ⓚ제목 33화", "12화").select("doc_id", S.chapter_number(F.col("text")).alias("n"))
-    assert [r["n"] for r in rows.orderBy("doc_id").collect()] == [12, 7, 33, None]
+    lines = {
+        "ⓚ12화. 제목": 12, "ⓚ12화 제목": 12, "ⓚ12": 12, "ⓚ<7> 제목": 7, "<ⓚ7> 제목": None, "ⓚ제목 33화": 33, "ⓚ제목33화": 33, "ⓚ제목 33화 끝": 33, "ⓚ제목 33화끝": None, "ⓚa33화": None,
+        "ⓚ제목 12345화": None, "ⓚ12345": 1234, "ⓚ1권 2화": 1, "ⓚ<12345>": None, "12화": None, "ⓚ제목": None, "ⓚ제 5화 그리고 7화": 5, "ⓚ" + "가" * 121 + " 3화": None, "ⓚ" + "가" * 119 + " 3화": 3,
+    }
+    rows = docs(spark, *lines).select("doc_id", S.chapter_number(F.col("text")).alias("n"))
+    assert [r["n"] for r in rows.orderBy("doc_id").collect()] == list(lines.values())
 
 
 def test_structure_profile(spark):
-    got = S.structure_profile(docs(spark, "ⓚ1화. a\nⓚ3화. b", "ⓚ1화. a\nⓚ2화. b", "�", None)).orderBy("doc_id").collect()
-    assert [(r["chapters"], r["gaps"], r["replacements"], r["status"]) for r in got] == [(2, 1, 0, "needs-review"), (2, 0, 0, "complete"), (0, 0, 1, "needs-review"), (0, 0, 0, "needs-review")]
+    texts = ["ⓚ1화. a\nⓚ3화. b", "ⓚ2화 a\nⓚ3 b\r\nⓚ<4>", "\ufffdⓚ1\u2028ⓚ2\rⓚ3\nx ⓚ4", None, "ⓚ1\nⓚ이름뿐"]
+    got = S.structure_profile(docs(spark, *texts)).orderBy("doc_id").collect()
+    shown = [(r["marker_lines"], r["chapters"], r["unparsed"], r["gaps"], r["first_number"], r["last_number"], r["replacements"], r["status"]) for r in got]
+    assert shown == [
+        (2, 2, 0, 1, 1, 3, 0, "needs-review"), (3, 3, 0, 0, 2, 4, 0, "complete"), (2, 2, 0, 0, 2, 3, 1, "needs-review"), (0, 0, 0, 0, None, None, 0, "needs-review"), (2, 1, 1, 0, 1, 1, 0, "complete"),
+    ]
+    broken = spark.createDataFrame([(0, b"\xff\xe2\x93\x9a1")], "doc_id int, text binary")
+    row = S.structure_profile(broken).first()
+    assert (row["utf8_valid"], row["marker_lines"], row["status"]) == (False, 0, "needs-review")
+
+
+def test_chapter_index_at_other_line_ends(spark):
+    text = "앞\rⓚ1화\u2028ⓚ2\r\n😀\u2029ⓚ<3> x\nⓚ4\n끝"
+    raw = text.encode()
+    got = S.chapter_index(docs(spark, text)).orderBy("sequence").collect()
+    assert [r["chapter_number"] for r in got] == [1, 3, 4]
+    assert [raw[r["start_byte"] :].decode()[:2] for r in got] == ["ⓚ1", "ⓚ<", "ⓚ4"]
+    assert [r["end_byte"] for r in got] == [got[1]["start_byte"], got[2]["start_byte"], len(raw)]
+
+
+def test_chapter_offsets_are_utf16(spark):
+    text = "😀\nⓚ1 a😀\n본문\nⓚ2"
+    got = S.chapters(docs(spark, text)).orderBy("sequence").collect()
+    units = text.encode("utf-16-le")
+    assert [units[2 * r["start_offset"] : 2 * r["end_offset"]].decode("utf-16-le") for r in got] == ["ⓚ1 a😀\n본문\n", "ⓚ2"]
 
 
 def test_survey_windows(spark):
-    got = S.survey_windows(spark.createDataFrame([("a", 250), ("b", 751)], "work string, n int"), "work").collect()
+    got = S.survey_picks(spark.createDataFrame([("a", 250), ("b", 751), ("c", 12_000)], "work string, n int"), "work").collect()
     assert [r["chapter_sequence"] for r in got if r["work"] == "a"] == [1, 63, 126, 188, 250]
+    assert [r["phase"] for r in got if r["work"] == "a"] == ["opening", "distributed-1", "distributed-2", "distributed-3", "ending"]
     assert sum(r["work"] == "b" for r in got) == 8
+    names = [r["window_id"] for r in got if r["work"] == "c"]
+    assert len(set(names)) == 120 and names[:2] == ["w01", "w02"] and names[-1] == "w120"
+    text = "".join(f"ⓚ{i}화\n" + "가😀" * 30 + "\n" for i in range(1, 13))
+    raw = text.encode()
+    rows = S.survey_windows(docs(spark, text), size=50).orderBy("window_id").collect()
+    assert [r["chapter_number"] for r in rows] == [1, 4, 7, 9, 12]
+    for r in rows:
+        piece = raw[r["start_byte"] : r["end_byte"]]
+        assert piece.decode().startswith("ⓚ") and 47 <= len(piece) <= 50
+
+
+def test_corpus_identity(spark):
+    names = ["긴_제목_작가_합본.txt", "제목_합본.txt", "_작가_합본.txt", "a/b_작가_합본.txt", "제목_작가.txt", None]
+    rows = spark.createDataFrame([(str(i), n, "text/plain", 5, "2026-01-01T00:00:00Z") for i, n in enumerate(names)], "provider_file_id string, title string, mime_type string, size_bytes long, modified_at string")
+    got = [(r["source_id"], r["author"], r["problem"]) for r in S.corpus_identity(rows).orderBy("provider_file_id").collect()]
+    assert got == [("gdrive-0", "작가", None), (None, None, "no-author"), (None, None, "no-author"), (None, None, "unsafe-title"), (None, None, "not-a-corpus-name"), (None, None, "not-a-corpus-name")]
 
 
 def test_spans_are_byte_exact(spark):
-    text = "  가나 \n\n　다😀\t\n"
+    text = "  가나 \n\n　다😀\t\n라\r마"
     raw = text.encode()
     got = S.evidence_spans(docs(spark, text)).orderBy("line_no").collect()
-    assert [raw[r["start_byte"] : r["end_byte"]].decode() for r in got] == ["가나", "다😀"]
+    assert [raw[r["start_byte"] : r["end_byte"]].decode() for r in got] == ["가나", "다😀", "라", "마"]
 
 
 def mattr_brute(tokens, w):
@@ -75,9 +123,13 @@ def test_summary_uses_lower_ranks(spark):
 
 
 def test_style_profile(spark):
-    got = R.style_profile(docs(spark, "“안녕.”\n\n바람처럼 달렸다.", "")).orderBy("doc_id").collect()
-    assert (got[0]["paragraphs"], got[0]["dialogues"], got[0]["similes"], got[0]["sentences"]) == (2, 1, 1, 3)
-    assert (got[1]["sentences"], got[1]["dialogue_share"], got[1]["sentence_mean"]) == (0, 0.0, 0.0)
+    got = R.style_profile(docs(spark, "“안녕? 안녕!”\n\n바람처럼 달렸다.", "", None)).orderBy("doc_id").collect()
+    r = got[0]
+    assert (r["characters"], r["paragraphs"], r["sentences"], r["sentence_p50"], r["tokens"]) == (16, 2, 4, 2, 4)
+    assert (r["dialogue_paragraph_share"], r["dialogue_share"], r["short_share"]) == (0.5, 0.5, 1.0)
+    assert (r["similes_per_10k"], r["questions_per_10k"], r["exclamations_per_10k"], r["mattr"]) == (625.0, 625.0, 625.0, 0.75)
+    for r in got[1:]:
+        assert (r["sentences"], r["dialogue_share"], r["sentence_mean"], r["questions_per_10k"], r["mattr"]) == (0, 0.0, 0.0, 0.0, 0.0)
 
 
 def test_token_overlap_equals_brute_force(spark):
@@ -96,15 +148,55 @@ def test_token_overlap_equals_brute_force(spark):
     assert got == want and want
 
 
-def test_byte_windows_keep_characters_whole(spark):
-    shared = "가" * 50
-    items = spark.createDataFrame([(1, shared)], "item_id int, text string")
-    got = O.window_overlap(docs(spark, "x" + shared), items).collect()
-    assert {(r["source_offset"] % 3, (r["artifact_offset"] - 1) % 3) for r in got} == {(0, 0)} and len(got) == 11 * 11
+def windows_brute(source, artifact, size=120):
+    fine = lambda raw, at: at == len(raw) or raw[at] & 0xC0 != 0x80
+    ok = lambda raw, at: fine(raw, at) and fine(raw, at + size)
+    return {(s, a) for s in range(len(source) - size + 1) for a in range(len(artifact) - size + 1) if source[s : s + size] == artifact[a : a + size] and ok(source, s) and ok(artifact, a)}
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_byte_windows(spark, monkeypatch, most):
+    """With the sources' keys broadcast and shuffled."""
+    monkeypatch.setattr(O, "MOST_BROADCAST", most)
+    rng = random.Random(3)
+    make = lambda n: "".join(rng.choice("ab é가") for _ in range(n))
+    base = make(300)
+    sources = ["가" * 50, base, make(40), make(200) + base[100:180]]
+    artifacts = ["x" + "가" * 50, make(50) + base[20:230] + make(70), base, make(90), base[:60], "", None, base[150:] + base[:150]]
+    items = spark.createDataFrame(list(enumerate(sources)), "item_id int, text string")
+    got = {(r["item_id"], r["doc_id"], r["source_offset"], r["artifact_offset"]) for r in O.window_overlap(docs(spark, *artifacts), items).collect()}
+    assert got == {(i, j, s, a) for i, x in enumerate(sources) for j, y in enumerate(artifacts) for s, a in windows_brute(x.encode(), (y or "").encode())} and got
+
+
+def test_leak_matches(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("abcdé가나") for _ in range(rng.randrange(1, 9))) for _ in range(n))
+    source = words(120)
+    artifact = "앞 " + source[40:330] + "　뒤 " + words(30)
+    items = spark.createDataFrame([(7, source)], "item_id int, text string")
+    got = O.leak_matches(docs(spark, artifact, words(60)), items).collect()
+    raw, own = source.encode(), artifact.encode()
+    assert {r["method"] for r in got} == {O.LONG, O.EXACT} and {r["doc_id"] for r in got} == {0}
+    for r in got:
+        a, b = raw[r["source_start"] : r["source_end"]], own[r["artifact_start"] : r["artifact_end"]]
+        assert hashlib.sha256(a).hexdigest() == r["source_slice_sha256"] and hashlib.sha256(b).hexdigest() == r["artifact_slice_sha256"]
+        head = "long" if r["method"] == O.LONG else "tokens"
+        key = f"{head}:7:{r['source_start']}:{r['artifact_start']}:{r['source_slice_sha256']}"
+        assert r["match_id"] == "match-" + hashlib.sha256(key.encode()).hexdigest()[:24]
+        assert a.split() == b.split() and (head == "tokens" or a == b)
+    first = O.first_matches(O.leak_matches(docs(spark, artifact), items), "doc_id", most=5).orderBy("place").collect()
+    assert [r["method"] for r in first] == [O.LONG] * 5 and [r["source_start"] for r in first] == sorted(r["source_start"] for r in first)
     receipts = O.leak_receipts(docs(spark, "x", "y"), spark.createDataFrame([(1, i) for i in range(100)], "doc_id int, at int")).orderBy("doc_id").collect()
     assert [(r["match_count"], r["truncated"], r["status"]) for r in receipts] == [(0, False, "pass"), (100, True, "quarantine")]
 
 
+def test_leaks_of_few_tokens_show_in_windows(spark):
+    """Long words: 120 equal bytes hold fewer than twelve tokens."""
+    text = " ".join(c * 40 for c in "가나다라마")
+    got = O.leak_receipts(docs(spark, "x" + text), O.leak_matches(docs(spark, "x" + text), spark.createDataFrame([(1, text)], "item_id int, text string"))).first()
+    assert got["status"] == "quarantine" and got["match_count"] == 5  # one for each word: others would cut a character
+
+
 def test_findings(spark):
     candidates = spark.createDataFrame([("c1", "한빛그룹의 김철수 사장은 “푸른 새벽”을 ABx9에서"), ("c2", "아무 말")], "path string, text string")
     samples = spark.createDataFrame([("s1", "한빛 방식으로 김철수는 푸른새벽 abx9"), ("s2", "다른 글")], "ref string, text string")
@@ -115,6 +207,121 @@ def test_findings(spark):
     assert gates == {"c1": "blocked", "c2": "pass"}
 
 
+def norm(text):
+    return re.sub("[^가-힣a-z0-9]+", "", unicodedata.normalize("NFC", text).lower())
+
+
+def twin_terms(text):
+    """Terms by kind, token by token in plain Python."""
+    from veriloom.functions import korean as K
+
+    longest = lambda words: sorted(words, key=lambda w: -len(w))
+    text = unicodedata.normalize("NFC", text)
+    found = [(m[0], m.start(), m.end()) for m in re.finditer("[가-힣A-Za-z0-9_-]+", text)]
+    out = set()
+
+    def base_of(token, least=2):
+        plain = re.sub("[^가-힣a-z0-9]+", "", token.lower())
+        for ending in longest(K.ENDINGS):
+            if plain.endswith(ending) and len(plain) - len(ending) >= least:
+                return plain[: -len(ending)]
+        return plain
+
+    def is_role(token):
+        bare = base_of(token, 1)
+        for h in longest(K.HONORIFICS):
+            if bare.endswith(h) and len(bare) > len(h):
+                if bare[: -len(h)] in [*K.ROLES, *K.HONORIFICS]:
+                    return True
+        return bare in [*K.ROLES, *K.HONORIFICS]
+
+    surname = lambda w: re.fullmatch(f"[{K.SURNAMES}][가-힣]{{1,3}}", w) and w not in K.ONTOLOGY
+    for i, (raw, _, end) in enumerate(found):
+        hangul = re.search("[가-힣]", raw)
+        plain = re.sub("[^가-힣a-z0-9]+", "", raw.lower())
+        base = base_of(raw) if hangul else plain
+        if len(base) >= 2:
+            out.add(("exact", base))
+        if surname(base):
+            out.add(("surname", base))
+        if base.endswith("이") and surname(base[:-1]):
+            out.add(("surname", base[:-1]))
+        if re.fullmatch("[A-Za-z][A-Za-z0-9_-]+", raw) and (re.search("[0-9_-]", raw) or re.search("[A-Z].*[A-Z]", raw) or re.search("[a-z][A-Z]", raw)):
+            out.add(("latin", plain))
+        for role in longest([*K.ROLES, *K.HONORIFICS]):
+            if base.endswith(role) and re.fullmatch("[가-힣]{2,4}", base[: -len(role)]):
+                out |= {("anchored", base[: -len(role)]), ("person", base[: -len(role)])}
+                break
+        near = [found[j][0] for j in (i - 1, i + 1) if 0 <= j < len(found)]
+        if re.fullmatch("[가-힣]{2,4}", base) and surname(base) and any(map(is_role, near)):
+            out.add(("person", base))
+        for company in longest(K.ORGANIZATIONS):
+            if base.endswith(company):
+                stem = base[: -len(company)]
+                if re.fullmatch("[가-힣a-z0-9_-]{2,20}", stem):
+                    out |= {("org_stem", stem), ("org_full", base), ("exact", base)}
+                break
+        after = found[i + 1] if i + 1 < len(found) else None
+        spaced = after and re.fullmatch(r"[\t\u0020\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]+", text[end : after[1]])
+        following = base_of(after[0]) if after else ""
+        stem_like = re.fullmatch("[가-힣a-z0-9_-]{2,20}", base)
+        if spaced and stem_like and following in K.ORGANIZATIONS:
+            out |= {("org_stem", base), ("org_full", base + following), ("exact", base + following)}
+        if stem_like and ((plain.endswith("의") and plain != base) or (spaced and following in K.ATTRIBUTIONS)):
+            out.add(("attribution", base))
+    for m in re.finditer(N.QUOTED, text):
+        if len(norm(m[1])) >= 2:
+            out.add(("quoted", norm(m[1])))
+    return out
+
+
+SENTENCES = [
+    "한빛그룹의 김철수 사장은 “푸른 새벽”을 ABx9에서", "한빛 방식으로 김철수는 푸른새벽 abx9", "박영희이 회장님과 최 전무가 만났다", "대한 은행의 이사 정민수사장님께서", "한빛 그룹에서 「달빛 검」과 x_1", "전략의 문화, 김철수가 아닌 김철수씨",
+    "ABC-1 ab Ab aB", "가나다라재단 이야기", unicodedata.normalize("NFD", "한빛그룹의 김철수 사장은 “푸른 새벽”"), "", "이민수　사장 그리고 오세훈 시장",
+]
+
+
+def test_surface_terms_equal_a_plain_twin(spark):
+    rng = random.Random(12)
+    words = [w for t in SENTENCES for w in re.findall("[가-힣A-Za-z0-9_-]+", t)] + ["사장", "회장님", "그룹", "방식", "의", "은행"]
+    texts = SENTENCES + [rng.choice([" ", "\t", ", "]).join(rng.choice(words) for _ in range(rng.randrange(1, 14))) for _ in range(120)]
+    got = {}
+    for r in N.surface_terms(docs(spark, *texts), "doc_id").collect():
+        got.setdefault(r["doc_id"], set()).add((r["kind"], r["term"]))
+    for i, text in enumerate(texts):
+        assert got.get(i, set()) == twin_terms(text), text
+
+
+def test_findings_equal_a_plain_twin(spark):
+    texts = {f"t{i}": t for i, t in enumerate(SENTENCES)}
+    half = {k: v for k, v in texts.items() if int(k[1:]) % 2 == 0}
+    rest = {k: v for k, v in texts.items() if int(k[1:]) % 2}
+    want = set()
+    for c, x in half.items():
+        for s, y in rest.items():
+            a, b = twin_terms(x), twin_terms(y)
+            of = lambda terms, *kinds: {t for k, t in terms if k in kinds}
+            want |= {("person-overlap", t, c, s) for t in (of(a, "exact", "anchored") & of(b, "person")) | (of(a, "person") & of(b, "exact"))}
+            want |= {("surname-overlap", t, c, s) for t in of(a, "surname") & of(b, "surname")}
+            stems = (of(b, "org_stem") & of(a, "exact", "anchored", "org_stem", "attribution")) | (of(a, "org_stem") & of(b, "exact", "org_stem", "attribution"))
+            want |= {("org-stem-overlap", t, c, s) for t in stems}
+            for kind in N.SHAPES:
+                shared = {t for t in of(a, kind) if len(t) >= 2 and t in norm(y)} | {t for t in of(b, kind) if len(t) >= 2 and t in norm(x)}
+                want |= {(f"{kind}-overlap", t, c, s) for t in shared}
+    frames = [spark.createDataFrame(list(d.items()), "name string, text string") for d in (half, rest)]
+    found = N.findings(frames[0].withColumnRenamed("name", "c"), frames[1].withColumnRenamed("name", "s"), "c", "s").collect()
+    pairs = {(r, t) for r, t, _, _ in want}
+    assert {(r["rule"], r["term"]) for r in found} == pairs and pairs
+    for r in found:
+        assert r["locations"] == sorted({c for x, t, c, _ in want if (x, t) == (r["rule"], r["term"])}) and r["references"] == sorted({s for x, t, _, s in want if (x, t) == (r["rule"], r["term"])})
+
+
+def test_decomposed_hangul_matches(spark):
+    rows = spark.createDataFrame([(1, unicodedata.normalize("NFD", "한빛 그룹의 약속"))], "id int, text string")
+    got = O.term_containment(rows, spark.createDataFrame([("t", "한빛그룹")], "ref string, term string"), "id", "ref").collect()
+    assert [r["term"] for r in got] == ["한빛그룹"]
+
+
 def next_fit(costs, target):
     parts, part, total = [], 0, 0
     for c in costs:
@@ -130,10 +337,11 @@ def test_next_fit(spark):
     rng = random.Random(7)
     groups = {g: [rng.choice([0, 5, 30, 200]) for _ in range(rng.randrange(1, 60))] for g in range(8)}
     rows = spark.createDataFrame([(g, i, c) for g, cs in groups.items() for i, c in enumerate(cs)], "g int, i long, c long")
-    for packed in (P.next_fit(rows, "g", "i", "c", 100), P.next_fit_stream(rows, "g", "i", "c", 100)):
-        got = {(r["g"], r["i"]): r["part"] for r in packed.collect()}
-        assert got == {(g, i): p for g, cs in groups.items() for i, p in enumerate(next_fit(cs, 100))}
-        assert all(r["covered"] for r in P.exact_cover(packed, rows, "g", "part", "i").collect())
+    packed = P.next_fit(rows, "g", "i", "c", 100)
+    got = {(r["g"], r["i"]): r["part"] for r in packed.collect()}
+    assert got == {(g, i): p for g, cs in groups.items() for i, p in enumerate(next_fit(cs, 100))}
+    assert all(r["covered"] for r in P.exact_cover(packed, rows, "g", "part", "i").collect())
+    assert {r["g"]: r["covered"] for r in P.exact_cover(packed.where("not (g = 3 and i = 0)"), rows, "g", "part", "i").collect()} == {g: g != 3 for g in groups}
 
 
 def test_budgets(spark):
@@ -186,19 +394,68 @@ def test_promotion(spark):
     assert {r["g"]: r["eligible"] for r in G.promotion(rows, "g", "p", "gain", "score", "leaks").collect()} == {"a": True, "b": False}
 
 
+def chain_twin(texts, budget):
+    """The reads that files in order demand, and the whole transcript, in plain Python."""
+    dumps = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    cursor = lambda n, h, i: "cursor-" + sha("\0".join(["firefly-hermes-read-cursor/v1", n, h, str(i)]))
+    name = lambda n: f"input-{n + 1:03d}"
+    parts = []
+    for text in texts:
+        chunks, now = [], ""
+        for c in text:
+            if len(dumps(now + c)) > budget:
+                chunks.append(now)
+                now = ""
+            now += c
+        parts.append(chunks + [now] if now or not text else chunks)
+    rows, messages, expected = [], [], None
+    for f, chunks in enumerate(parts):
+        for i, content in enumerate(chunks):
+            if i + 1 < len(chunks):
+                following = (name(f), cursor(name(f), sha(texts[f]), i + 1))
+            else:
+                following = (name(f + 1), cursor(name(f + 1), sha(texts[f + 1]), 0)) if f + 1 < len(texts) else (None, None)
+            payload = {"schemaVersion": "firefly-hermes-read-result/v2", "inputId": name(f), "sha256": sha(texts[f]), "sizeBytes": len(texts[f].encode()), "chunkIndex": i, "chunkCount": len(chunks), "chunkSha256": sha(content), "nextInputId": following[0], "nextCursor": following[1], "content": content}
+            rows.append((len(rows) + 1, name(f), expected, sha(content), *following))
+            call = f"call-{len(rows):04d}-" + "0" * 128
+            arguments = {"inputId": name(f)} if expected is None else {"inputId": name(f), "cursor": expected}
+            messages += [{"role": "assistant", "finish_reason": "tool_calls", "compacted": 0, "tool_calls": [{"id": call, "function": {"name": "firefly_read_source", "arguments": dumps(arguments)}}]}, {"role": "tool", "tool_call_id": call, "tool_name": "firefly_read_source", "compacted": 0, "content": dumps(payload)}]
+            expected = following[1]
+    return rows, len(dumps(messages).encode())
+
+
+def test_chunk_chain_and_transcript(spark):
+    rng = random.Random(6)
+    groups = {g: ["".join(rng.choice('ab"\\\n\t\x01é가😀') for _ in range(rng.choice([0, 5, 60]))) for _ in range(rng.randrange(1, 4))] for g in range(6)}
+    files = spark.createDataFrame([(g, i, t) for g, ts in groups.items() for i, t in enumerate(ts)], "g int, i int, text string")
+    chain = A.chunk_chain(files, "g", "i", "text", 20)
+    sizes = {r["g"]: (r["chunks"], r["transcript_bytes"]) for r in A.transcript_bytes(chain, "g").collect()}
+    got = chain.orderBy("g", "at").collect()
+    for g, texts in groups.items():
+        rows, size = chain_twin(texts, 20)
+        assert [(r["at"], r["input_id"], r["cursor"], r["chunk_sha256"], r["next_input_id"], r["next_cursor"]) for r in got if r["g"] == g] == rows
+        assert sizes[g] == (len(rows), size)
+
+
 def test_replay(spark):
-    plan = A.chunk_plan(docs(spark, "abcdefg"), "doc_id", "text", 3)
-    good = plan.select("doc_id", F.col("ordinal").alias("at"), "cursor", "chunk_sha256")
-    assert [r["state"] for r in A.replay(good, plan, "doc_id", "at").collect()] == ["ok"] * 3
-    assert sorted(r["state"] for r in A.replay(good.where("at <> 1"), plan, "doc_id", "at").collect()) == ["missing", "ok", "wrong-cursor"]
+    chain = A.chunk_chain(docs(spark, "abcdefg", "hi").withColumn("g", F.lit(1)), "g", "doc_id", "text", 5)
+    good = chain.select("g", "at", "input_id", "cursor", "chunk_sha256")
+    assert [r["state"] for r in A.replay(good, chain, "g", "at").collect()] == ["ok"] * 4
+    assert sorted(r["state"] for r in A.replay(good.where("at <> 2"), chain, "g", "at").collect()) == ["missing", "ok", "wrong-cursor", "wrong-input"]
 
 
 def test_csv_cases(spark, tmp_path):
     path = tmp_path / "x.csv"
-    path.write_bytes('﻿a,b,c\r\n1,"x, y","say ""hi"""\r\n2,"two\nlines"\r\n,,\r\n'.encode())
+    path.write_bytes('\ufeffa,b,c\r\n1,"x, y","say ""hi"""\r\n2,"two\nlines"\r\n,,\r\n\r\n\n3,a"b,c"d,"",e'.encode())
     got = I.csv_rows(spark, str(path), ["a", "b", "c"]).collect()
-    assert [tuple(r) for r in got] == [("1", "x, y", 'say "hi"'), ("2", "two\nlines", "")]
+    assert [tuple(r) for r in got] == [("1", "x, y", 'say "hi"'), ("2", "two\nlines", ""), ("", "", ""), ("3", "ab,cd", "")]
+    assert [(r["row_no"], r["rule"]) for r in I.csv_shape_violations(spark, str(path), ["a", "b", "c"]).orderBy("row_no").collect()] == [(2, "cell-count"), (4, "cell-count")]
     assert I.csv_header_matches(spark, str(path), ["a", "b", "c"]) and not I.csv_header_matches(spark, str(path), ["a", "b"])
+    assert I.parse_csv("") == [] and I.parse_csv("a") == [["a"]] and I.parse_csv("a,") == [["a", ""]] and I.parse_csv('""\n,') == [["", ""]]
+    path.write_text('a,b\n1,"open')
+    with pytest.raises(Exception, match="unclosed"):
+        I.csv_rows(spark, str(path), ["a", "b"]).collect()
 
 
 def test_files_and_publishing(spark, tmp_path):
@@ -212,6 +469,10 @@ def test_files_and_publishing(spark, tmp_path):
     assert I.publish(data, str(tmp_path), "out", F.col("text")) == path and spark.read.parquet(path).count() == 2
     both = I.publish_with_receipt(data, spark.range(1), str(tmp_path), "pack", F.col("text"))
     assert spark.read.json(both[1]).first()["data_path"] == both[0]
+    assert I.publish_with_receipt(data.orderBy("text"), spark.range(1), str(tmp_path), "pack", F.col("text")) == both
+    with pytest.raises(FileExistsError):
+        I.publish_with_receipt(data, spark.range(2), str(tmp_path), "pack", F.col("text"))
+    assert I.rows_digest(data, F.col("text")) != I.rows_digest(data.union(data), F.col("text")) == I.rows_digest(data.union(data).repartition(3), F.col("text"))
     I.write_lines(data, str(tmp_path / "lines"))
     assert spark.read.json(str(tmp_path / "lines")).count() == 2
     (tmp_path / "bad.json").write_text("{nope")
@@ -224,6 +485,10 @@ def test_slices_and_chunks(spark):
     assert not I.proven_slices(rows.withColumn("e", F.lit(5)), "d", "s", "e", "h").first()["proven"]
     got = I.chunks(docs(spark, 'ab"c\n'), "doc_id", "text", 5).orderBy("idx").collect()
     assert [r["chunk"] for r in got] == ["ab", '"c', "\n"]
+    assert I.split_by_budget("😀😀😀", 5) == ["😀😀😀"] and I.split_by_budget("", 5) == [""]
+    assert got[1]["cursor"] == "cursor-" + hashlib.sha256("\0".join(["firefly-hermes-read-cursor/v1", "0", hashlib.sha256(b'ab"c\n').hexdigest(), "1"]).encode()).hexdigest()
+    with pytest.raises(ValueError):
+        I.split_by_budget("a\x01", 5)
 
 
 def test_manifest(spark):

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+
+from ..shipping import ship
 
 FORBIDDEN_KEY = r"(?i)^(body|text|prose|quote)$"
 
@@ -31,19 +32,28 @@ def leaves_of(value, path: str = "$"):
                 yield f"{path}[{i}]", None, x if isinstance(x, str) else json.dumps(x), isinstance(x, str)
 
 
-@udtf(returnType=StructType([StructField("path", StringType()), StructField("key", StringType()), StructField("leaf", StringType()), StructField("is_text", BooleanType())]))
-class JsonLeaves:
-    def eval(self, document: str):
-        if document is not None:
-            yield from leaves_of(json.loads(document))
+def flatten(rows: DataFrame, key: str, document: str) -> DataFrame:
+    """A row for each key and leaf of a JSON column: key, path, key's name, leaf, is_text. A null or broken document has none."""
+    kind = rows.schema[key].dataType
+    ship(rows.sparkSession)
 
+    def run(batches):
+        names, kinds = ["k", "path", "key", "leaf", "is_text"], [pa.string(), pa.string(), pa.string(), pa.bool_()]
+        for batch in batches:
+            owner, out = [], []
+            for i, raw in enumerate(batch.column(1).to_pylist()):
+                try:
+                    value = None if raw is None else json.loads(raw)
+                except ValueError:
+                    continue
+                for leaf in leaves_of(value):
+                    owner.append(i)
+                    out.append(leaf)
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=names)
 
-def flatten(rows: DataFrame, key: str, document: str) -> DataFrame:
-    """A row for each key and leaf of a JSON column."""
-    spark = rows.sparkSession
-    spark.udtf.register("veriloom_json_leaves", JsonLeaves)
-    rows.select(F.col(key), F.col(document).alias("_doc")).createOrReplaceTempView("_veriloom_json")
-    return spark.sql(f"select j.`{key}`, l.* from _veriloom_json j, lateral veriloom_json_leaves(j._doc) l")
+    found = rows.select(key, document).mapInArrow(run, f"k {kind.simpleString()}, path string, key string, leaf string, is_text boolean")
+    return found if key == "key" else found.withColumnRenamed("k", key)
 
 
 def forbidden_keys(rows: DataFrame, key: str, document: str, pattern: str = FORBIDDEN_KEY) -> DataFrame:

@@ -22,12 +22,12 @@ def scanner_tokens(text: Column) -> Column:
 
 
 def surface_tokens(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(SURFACE_TOKEN), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(F.lower(composed(text)), F.lit(SURFACE_TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
 def surface_norm(text: Column) -> Column:
-    """Lower case without anything but Hangul, Latin letters and digits; the text should be in NFC."""
-    return F.regexp_replace(F.lower(text), "[^가-힣a-z0-9]+", "")
+    """The text in NFC and lower case, without anything but Hangul, Latin letters and digits."""
+    return F.regexp_replace(F.lower(composed(text)), "[^가-힣a-z0-9]+", "")
 
 
 def trimmed(text: Column) -> Column:
@@ -70,17 +70,43 @@ def selector_id(source: Column, start: Column, end: Column, slice_sha256: Column
 
 
 def mechanism_form(text: Column) -> Column:
-    """Trimmed, with single blanks; the text should be in NFC."""
-    return F.regexp_replace(trimmed(text), rf"[{SPACE}]+", " ")
+    """In NFC, trimmed, with single blanks."""
+    return F.regexp_replace(trimmed(composed(text)), rf"[{SPACE}]+", " ")
+
+
+#: The fields of a mechanism in their order, and the schema versions that its signatures name.
+MECHANISM = ("protagonistRepeatedVerb", "pressure", "activeChoice", "resistance", "payoff", "recognition")
+MECHANISM_SCHEMA, ENGINE_SCHEMA = "genre-soul-commercial-mechanism-signature/v1", "genre-soul-commercial-engine-signature/v1"
+
+
+def _json_text(value: Column) -> Column:
+    """A text as JSON writes it, with its quotes."""
+    return F.regexp_replace(F.to_json(F.struct(value.alias("x"))), r'(?s)^\{"x":(.*)\}$', "$1")
+
+
+def mechanism_signature(fields: list[Column], source: Column | None = None) -> Column:
+    """SHA-256 of the JSON of a mechanism's fields, with the source's id where the signature is an engine's."""
+    parts = [F.concat(F.lit(f'"{name}":'), _json_text(mechanism_form(value))) for name, value in zip(MECHANISM, fields)]
+    body = F.concat(F.lit('"mechanism":{'), F.concat_ws(",", *parts), F.lit("}}"))
+    if source is None:
+        return F.sha2(F.concat(F.lit(f'{{"schemaVersion":"{MECHANISM_SCHEMA}",'), body), 256)
+    return F.sha2(F.concat(F.lit(f'{{"schemaVersion":"{ENGINE_SCHEMA}","sourceId":'), _json_text(source), F.lit(","), body), 256)
 
 
 def without_fences(text: Column) -> Column:
     """A JSON answer without the code fence around it."""
-    return F.regexp_replace(F.regexp_replace(trimmed(text), r"^```(?:json)?[ \t]*\n?", ""), r"\n?```$", "")
+    bare = trimmed(text)
+    open_ = F.regexp_replace(bare, rf"^```(?:json)?[{SPACE}]*", "")
+    return F.when(bare.startswith("```"), F.regexp_replace(open_, rf"[{SPACE}]*```\z", "")).otherwise(bare)
+
+
+def tolerant_json(text: Column) -> Column:
+    """The JSON value of an answer with or without a code fence; null where it doesn't parse."""
+    return F.try_parse_json(without_fences(text))
 
 
 def without_line_numbers(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?m)^\d+\|", "")
+    return F.regexp_replace(text, r"(?<![^\n])[0-9]+\|", "")
 
 
 def install_form(text: Column) -> Column:
@@ -115,6 +141,16 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+#: Texts of these characters alone are in NFC: Latin, Greek without marks, punctuation, CJK, composed Hangul.
+_ALWAYS_COMPOSED = r"^[\x{0}-\x{2ff}\x{400}-\x{482}\x{2010}-\x{2027}\x{24b6}-\x{24e9}\x{3000}-\x{3029}\x{3041}-\x{3096}\x{30a1}-\x{30fa}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}\x{ff01}-\x{ff5e}]*\z"
+
+
+def composed(text: Column) -> Column:
+    """The text in NFC. Only texts with characters that composition may change go through Python."""
+    fixed = F.when(~text.rlike(_ALWAYS_COMPOSED), text)
+    return F.coalesce(nfc(fixed), text)
+
+
 @F.pandas_udf(StringType())
 def canonical_json(value: pd.Series) -> pd.Series:
     """JSON text as two-space indented JSON with a line feed at its end, nulls kept, keys in their order."""

@@ -11,6 +11,7 @@ from ..functions import korean as K
 from ..functions import text as T
 from .overlap import surface_copies, term_containment
 
+# Quotation marks, quoted passages, the pieces of a text, and the form of an organisation's stem.
 QUOTES = "[\"“”'‘’『』「」《》〈〉]"
 QUOTED = rf"{QUOTES}([^\"“”'‘’『』「」《》〈〉\r\n]{{2,80}}){QUOTES}"
 _PIECES = r"[가-힣A-Za-z0-9_-]+|[^가-힣A-Za-z0-9_-]+"
@@ -24,8 +25,10 @@ def _kind(name: str, term: Column) -> Column:
 def surface_terms(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, kind, term. Neighbours are looked up within the row, so nothing is shuffled before the final distinct.
 
-    Kinds: exact, person, surname, org_stem, org_full, attribution, quoted, latin. Texts should be in NFC.
+    Kinds: exact, anchored (persons named by an attached role, exact terms of candidates only), person, surname,
+    org_stem, org_full, attribution, quoted, latin.
     """
+    rows = rows.select(key, T.composed(F.col(text)).alias(text))
     pieces = rows.select(key, F.col(text).alias("text"), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_PIECES), F.lit(0)).alias("p"))
     near = F.transform("p", lambda x, i: F.struct(x.alias("raw"), F.when(i >= 2, F.get("p", i - 2)).alias("before"), F.get("p", i + 1).alias("gap"), F.get("p", i + 2).alias("after")))
     tokens = pieces.select(key, F.explode(F.filter(near, lambda x: x["raw"].rlike(f"^{T.SURFACE_TOKEN}$"))).alias("x")).select(key, "x.*")
@@ -42,7 +45,7 @@ def surface_terms(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     helper = F.when(base.endswith("이"), F.regexp_replace(base, "이$", ""))
     owned = base.rlike(_STEM) & ((low.endswith("의") & (low != base)) | (spaced & following.isin(K.ATTRIBUTIONS)))
     found = F.array(
-        _kind("exact", F.when(F.length(base) >= 2, base)), _kind("exact", person), _kind("person", person),
+        _kind("exact", F.when(F.length(base) >= 2, base)), _kind("anchored", person), _kind("person", person),
         _kind("person", F.when(base.rlike("^[가-힣]{2,4}$") & K.surname_shaped(base) & beside, base)),
         _kind("surname", F.when(K.surname_shaped(base), base)), _kind("surname", F.when(K.surname_shaped(helper), helper)),
         _kind("org_stem", stem), _kind("org_full", F.concat(stem, suffix)), _kind("org_stem", F.when(apart, base)), _kind("org_full", F.when(apart, F.concat(base, following))),
@@ -56,9 +59,9 @@ def surface_terms(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 #: Which kinds of a candidate's and of a sample's terms a rule compares, each pair a class of its own.
 CLASSES = {
-    "p1": ("person-overlap", ["exact"], ["person"]), "p2": ("person-overlap", ["person"], ["exact"]),
+    "p1": ("person-overlap", ["exact", "anchored"], ["person"]), "p2": ("person-overlap", ["person"], ["exact"]),
     "s": ("surname-overlap", ["surname"], ["surname"]),
-    "o1": ("org-stem-overlap", ["exact", "org_stem", "attribution"], ["org_stem"]), "o2": ("org-stem-overlap", ["org_stem"], ["exact", "org_stem", "attribution"]),
+    "o1": ("org-stem-overlap", ["exact", "anchored", "org_stem", "attribution"], ["org_stem"]), "o2": ("org-stem-overlap", ["org_stem"], ["exact", "org_stem", "attribution"]),
 }
 SHAPES = ["quoted", "latin", "org_full"]
 

@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shipping import ship
 
 TOKENS, WINDOW_BYTES, MOST_MATCHES = 12, 120, 100
+#: So many keys of sources at most are broadcast (24 bytes each); beyond that, keys alone are shuffled first.
+MOST_BROADCAST = 1_000_000
 
 
 def grams(rows: DataFrame, key: str, text: str, size: int, tokens=T.scanner_tokens) -> DataFrame:
     """key, pos (from 0) and a 128-bit key of each run of `size` tokens: 24 bytes a row, however long the tokens."""
     listed = rows.select(key, tokens(F.col(text)).alias("t")).where(F.size("t") >= size)
-    at = listed.select(key, "t", F.explode(F.sequence(F.lit(0), F.size("t") - size)).alias("pos"))
-    piece = F.slice("t", F.col("pos") + 1, size)
-    return at.select(key, "pos", F.xxhash64(piece).alias("g1"), F.xxhash64(F.lit(7), piece).alias("g2"))
+    at = F.sequence(F.lit(0), F.size("t") - size)
+    piece = lambda i: F.slice("t", i + 1, size)
+    found = F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(piece(i)).alias("g1"), F.xxhash64(F.lit(7), piece(i)).alias("g2")))
+    return listed.select(key, F.explode(found).alias("x")).select(key, "x.pos", "x.g1", "x.g2")
 
 
 def token_overlap(artifacts: DataFrame, sources: DataFrame, artifact: str = "doc_id", source: str = "item_id", text: str = "text", size: int = TOKENS) -> DataFrame:
@@ -25,6 +34,8 @@ def token_overlap(artifacts: DataFrame, sources: DataFrame, artifact: str = "doc
     """
     wanted = grams(sources, source, text, size).withColumnRenamed("pos", "source_pos")
     keys = wanted.select("g1", "g2").distinct()
+    if keys.count() <= MOST_BROADCAST:
+        keys = F.broadcast(keys)
     first = grams(artifacts, artifact, text, size).join(keys, ["g1", "g2"]).groupBy(artifact, "g1", "g2").agg(F.min("pos").alias("artifact_pos"))
     return wanted.join(first, ["g1", "g2"]).select(source, artifact, "source_pos", "artifact_pos")
 
@@ -35,20 +46,45 @@ def is_boundary(data: Column, at: Column) -> Column:
     return F.coalesce(byte.bitwiseAND(0xC0) != 0x80, F.lit(True))
 
 
-def byte_windows(rows: DataFrame, key: str, text: str, size: int = WINDOW_BYTES) -> DataFrame:
-    """key, offset and a 128-bit key of each window of `size` bytes that begins and ends between characters."""
-    data = rows.select(key, F.encode(F.col(text), "UTF-8").alias("b")).where(F.octet_length("b") >= size)
-    at = data.select(key, "b", F.explode(F.sequence(F.lit(0), F.octet_length("b") - size)).alias("offset"))
-    whole = at.where(is_boundary(F.col("b"), F.col("offset")) & is_boundary(F.col("b"), F.col("offset") + size))
-    piece = F.substring("b", F.col("offset") + 1, F.lit(size))
-    return whole.select(key, "offset", F.xxhash64(piece).alias("g1"), F.xxhash64(F.lit(7), piece).alias("g2"))
+def _bytes(text: str) -> Column:
+    return F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+
+
+def _hashed(piece: Column) -> list[Column]:
+    return [F.xxhash64(piece).alias("g1"), F.xxhash64(F.lit(7), piece).alias("g2")]
 
 
 def window_overlap(artifacts: DataFrame, sources: DataFrame, artifact: str = "doc_id", source: str = "item_id", text: str = "text", size: int = WINDOW_BYTES) -> DataFrame:
-    """Every pair of offsets of equal byte windows."""
-    wanted = byte_windows(sources, source, text, size).withColumnRenamed("offset", "source_offset")
-    there = byte_windows(artifacts, artifact, text, size).withColumnRenamed("offset", "artifact_offset")
-    return there.join(wanted, ["g1", "g2"]).select(source, artifact, "source_offset", "artifact_offset")
+    """Every pair of offsets of equal windows of `size` bytes that begin and end between characters.
+
+    A window holds exactly one whole block that begins at a multiple of half its size and no earlier than half a size into
+    it. So artifacts give one key for each such block, sources one for each offset; where a block is met, the windows
+    around it are compared byte by byte. Blocks carry the bytes around them where the sources' keys can be
+    broadcast; else the keys are met first, and bytes are fetched for what meets.
+    """
+    half = size // 2
+    own = sources.select(F.col(source), _bytes(text).alias("sb"))
+    at = F.sequence(F.lit(0), F.octet_length("sb") - half)
+    keys = own.where(F.octet_length("sb") >= size).select(source, F.explode(F.transform(at, lambda i: F.struct(i.alias("s"), *_hashed(F.substring("sb", i + 1, F.lit(half)))))).alias("x")).select(source, "x.*")
+    data = artifacts.select(artifact, _bytes(text).alias("b")).where(F.octet_length("b") >= size)
+    small = keys.count() <= MOST_BROADCAST
+    near = lambda b: F.substring("b", F.greatest(b - half, F.lit(0)) + 1, F.least(b, F.lit(half)) + size)
+    carried = lambda b: near(b) if small else F.lit(None).cast("binary")
+    block = lambda i: F.struct((i * half).alias("at"), *_hashed(F.substring("b", i * half + 1, F.lit(half))), carried(i * half).alias("near"))
+    blocks = data.select(artifact, F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.octet_length("b") / half).cast("int") - 1), block)).alias("x")).select(artifact, "x.*")
+    met = blocks.join(F.broadcast(keys) if small else keys, ["g1", "g2"])
+    if not small:
+        met = met.drop("near").join(data, artifact).withColumn("near", near(F.col("at")))
+    met = met.join(F.broadcast(own) if small else own, source)
+    # A window begins up to half - 1 bytes before the block; `lead` bytes of `near` come before the block.
+    lead = F.least("at", F.lit(half))
+    fits = lambda d: (d <= F.col("s")) & (d <= lead) & (F.col("s") - d + size <= F.octet_length("sb")) & (lead - d + size <= F.octet_length("near"))
+    mine, theirs = lambda d: F.substring("near", lead - d + 1, F.lit(size)), lambda d: F.substring("sb", F.col("s") - d + 1, F.lit(size))
+    whole = lambda d: is_boundary(F.col("sb"), F.col("s") - d) & is_boundary(F.col("sb"), F.col("s") - d + size)
+    ends = lambda d: is_boundary(F.col("near"), lead - d) & is_boundary(F.col("near"), lead - d + size)
+    back = F.filter(F.sequence(F.lit(0), F.lit(half - 1)), lambda d: fits(d) & (mine(d) == theirs(d)) & whole(d) & ends(d))
+    found = met.select(source, artifact, "s", "at", F.explode(back).alias("d"))
+    return found.select(source, artifact, (F.col("s") - F.col("d")).alias("source_offset"), (F.col("at") - F.col("d")).alias("artifact_offset"))
 
 
 def surface_copies(candidates: DataFrame, samples: DataFrame, candidate: str, sample: str, text: str = "text", size: int = 5) -> DataFrame:
@@ -67,23 +103,73 @@ def term_containment(candidates: DataFrame, terms: DataFrame, candidate: str, re
     forms = candidates.select(candidate, T.surface_norm(F.col(text)).alias("form")).where("length(form) >= 2")
     # Matches of no width: one pass over the text, where substring() would count characters from its start each time.
     runs = F.concat(*[F.regexp_extract_all("form", F.lit(f"(?=(.{{{n}}}))"), F.lit(1)) for n in (2, 3)])
-    pieces = forms.select(candidate, "form", F.explode(F.array_distinct(runs)).alias("k"))
-    return pieces.join(wanted, "k").where(F.contains("form", "term")).select(candidate, reference, "term", *also).distinct()
+    pieces = forms.select(candidate, F.explode(F.array_distinct(runs)).alias("k"))  # no form travels with a run
+    pairs = pieces.join(wanted, "k").select(candidate, reference, "term", *also).distinct()
+    return pairs.join(forms, candidate).where(F.contains("form", "term")).select(candidate, reference, "term", *also).distinct()
 
 
-def leak_matches(tokens: DataFrame, windows: DataFrame, artifact: str = "doc_id", source: str = "item_id") -> DataFrame:
-    """Both kinds of matches in one order: source, windows before tokens, source place, artifact place."""
-    a = windows.select(source, artifact, F.lit("long-common-utf8-byte/v1").alias("method"), F.col("source_offset").alias("source_at"), F.col("artifact_offset").alias("artifact_at"))
-    b = tokens.select(source, artifact, F.lit("exact-token-sequence/v1").alias("method"), F.col("source_pos").alias("source_at"), F.col("artifact_pos").alias("artifact_at"))
-    rows = a.union(b).distinct()
-    return rows.withColumn("match_id", T.deterministic_id("match-", 24, F.col("method"), F.col(source).cast("string"), F.col(artifact).cast("string"), F.col("source_at").cast("string"), F.col("artifact_at").cast("string")))
+_TOKEN = re.compile("[가-힣A-Za-z0-9]+|[^\\t\\n\\x0b\\x0c\\r \\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]")
 
 
-def first_matches(matches: DataFrame, artifact: str, source: str = "item_id", most: int = MOST_MATCHES) -> DataFrame:
-    """An artifact's first matches in the fixed order, as many as a receipt holds."""
-    from pyspark.sql import Window as W
+def located(rows: DataFrame, texts: DataFrame, key: str, pos: str, size: int = TOKENS, text: str = "text", name: str = "") -> DataFrame:
+    """rows with the byte range and the slice's digest of the run of `size` tokens at place `pos` of their text.
+
+    Only texts that rows name are read, each once, whatever the number of its places.
+    """
+    ship(rows.sparkSession)
+    asked = rows.groupBy(key).agg(F.collect_set(pos).alias("places")).join(texts.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")), key)
+    kind = texts.schema[key].dataType
+
+    def run(batches):
+        import hashlib
+
+        for batch in batches:
+            which, place, start, end, digest = [], [], [], [], []
+            for i in range(batch.num_rows):
+                value = batch.column(2)[i].as_py()
+                spans = np.array([m.span() for m in _TOKEN.finditer(value)]).reshape(-1, 2)
+                width = np.array([len(c.encode()) for c in value]) if not value.isascii() else np.ones(len(value), int)
+                at = np.concatenate([[0], np.cumsum(width)])
+                raw = value.encode()
+                for p in batch.column(1)[i].as_py():
+                    a, b = int(at[spans[p][0]]), int(at[spans[p + size - 1][1]])
+                    which.append(i)
+                    place.append(p)
+                    start.append(a)
+                    end.append(b)
+                    digest.append(hashlib.sha256(raw[a:b]).hexdigest())
+            keys = batch.column(0).take(pa.array(which, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(place, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(digest, pa.string())], names=["k", "p", "a", "b", "h"])
+
+    found = asked.select(key, F.transform("places", lambda p: p.cast("int")).alias("places"), "t").mapInArrow(run, f"k {kind.simpleString()}, p int, a long, b long, h string")
+    found = found.select(F.col("k").alias(key), F.col("p").alias(pos), F.col("a").alias(f"{name}start"), F.col("b").alias(f"{name}end"), F.col("h").alias(f"{name}slice_sha256"))
+    return rows.join(found, [key, pos])
+
+
+#: The names of the two methods of matching.
+LONG, EXACT = "long-common-utf8-byte/v1", "exact-token-sequence/v1"
+
+
+def leak_matches(artifacts: DataFrame, sources: DataFrame, artifact: str = "doc_id", source: str = "item_id", text: str = "text") -> DataFrame:
+    """All matches of both methods with byte selectors on either side, the digests of their slices and an id."""
+    columns = ["source_start", "source_end", "artifact_start", "artifact_end", "source_slice_sha256", "artifact_slice_sha256"]
+    windows = window_overlap(artifacts, sources, artifact, source, text)
+    own = sources.select(source, _bytes(text).alias("sb"))
+    digest = F.sha2(F.substring("sb", F.col("source_offset") + 1, F.lit(WINDOW_BYTES)), 256)
+    long = windows.join(own, source).select(
+        source, artifact, F.lit(LONG).alias("method"), F.col("source_offset").cast("long").alias("source_start"), (F.col("source_offset") + WINDOW_BYTES).cast("long").alias("source_end"),
+        F.col("artifact_offset").cast("long").alias("artifact_start"), (F.col("artifact_offset") + WINDOW_BYTES).cast("long").alias("artifact_end"), digest.alias("source_slice_sha256"), digest.alias("artifact_slice_sha256"),
+    )
+    tokens = token_overlap(artifacts, sources, artifact, source, text)
+    tokens = located(located(tokens, sources, source, "source_pos", text=text, name="source_"), artifacts, artifact, "artifact_pos", text=text, name="artifact_")
+    rows = long.unionByName(tokens.select(source, artifact, F.lit(EXACT).alias("method"), *columns))
+    signature = F.concat_ws(":", F.when(F.col("method") == LONG, "long").otherwise("tokens"), F.col(source).cast("string"), F.col("source_start").cast("string"), F.col("artifact_start").cast("string"), F.col("source_slice_sha256"))
+    return rows.withColumn("match_id", F.concat(F.lit("match-"), F.substring(F.sha2(signature, 256), 1, 24)))
 
-    order = W.partitionBy(artifact).orderBy(source, F.desc("method"), "source_at", "artifact_at")
+
+def first_matches(matches: DataFrame, artifact: str, source: str = "item_id", most: int = MOST_MATCHES) -> DataFrame:
+    """An artifact's first matches in the fixed order, as many as a receipt holds: by source, windows before tokens, places."""
+    order = W.partitionBy(artifact).orderBy(source, F.desc("method"), "source_start", "artifact_start")
     return matches.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 

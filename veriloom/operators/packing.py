@@ -1,8 +1,7 @@
 """Ordered items into bounded parts, and context budgets.
 
-Next-fit is sequential within a group: each step depends on the last. The fold runs over a group's sorted
-array of (order, id, cost), a few bytes an item, within one task for each group; groups run side by side. For exact
-costs of encoded JSON the same walk runs in Python, streaming over the sorted rows of a group.
+Next-fit is sequential within a group: each step depends on the last. The walk streams over a group's sorted rows
+(order and cost, a few bytes an item) within one task for each group; groups run side by side.
 """
 
 from __future__ import annotations
@@ -12,27 +11,17 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 STATIC, LIMIT, INPUT_CAP, RESERVE = 16_384, 272_000, 190_000, 48_000
 
 
-def next_fit(items: DataFrame, group: str, order: str, cost: str, target: int) -> DataFrame:
-    """group, order and part (from 1): a part closes when it isn't empty and the next item would exceed the target."""
-    listed = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(cost).cast("long").alias("c")))).alias("xs"))
-    fold = f"""aggregate(xs, named_struct('part', 0L, 'n', 0L, 'sum', 0L, 'out', cast(array() as array<struct<o:bigint,c:bigint,part:bigint>>)),
-        (s, x) -> if(s.n > 0 and s.sum + x.c <= {target},
-            named_struct('part', s.part, 'n', s.n + 1L, 'sum', s.sum + x.c, 'out', concat(s.out, array(named_struct('o', x.o, 'c', x.c, 'part', s.part)))),
-            named_struct('part', s.part + 1L, 'n', 1L, 'sum', x.c, 'out', concat(s.out, array(named_struct('o', x.o, 'c', x.c, 'part', s.part + 1L))))),
-        s -> s.out)"""
-    return listed.select(group, F.explode(F.expr(fold)).alias("x")).select(group, F.col("x.o").alias(order), F.col("x.c").alias(cost), F.col("x.part").alias("part"))
+def next_fit(items: DataFrame, group: str, order: str, cost: str, target: int, fits: Callable[[int, int], bool] | None = None) -> DataFrame:
+    """group, order, cost and part (from 1): a part closes when it isn't empty and the next item would exceed the target.
 
-
-def next_fit_stream(items: DataFrame, group: str, order: str, cost: str, target: int, fits: Callable[[int, int], bool] | None = None) -> DataFrame:
-    """The same for groups of any length: a walk over sorted rows that keeps only the running sum.
-
-    fits(sum, cost) may replace the additive test. An item that doesn't fit alone still gets a part of its own.
+    A walk over a group's sorted rows that keeps only the running sum, for groups of any length. fits(sum, cost) may replace the additive test. An item that doesn't fit alone still gets a part of its own.
     """
     ok = fits or (lambda total, c: total + c <= target)
 
@@ -60,11 +49,12 @@ def greedy_by_tokens(items: DataFrame, group: str, order: str, cost: str, budget
 
 
 def exact_cover(parts: DataFrame, items: DataFrame, group: str, part: str, order: str) -> DataFrame:
-    """Per group whether the parts, one after the other, give the ordered items without repeats."""
-    by = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x[order])
-    a = parts.groupBy(group).agg(by(F.struct(part, order)).alias("got"))
-    b = items.groupBy(group).agg(F.array_sort(F.collect_list(order)).alias("want"))
-    return a.join(b, group, "full").select(group, F.coalesce((F.col("got") == F.col("want")) & (F.size("got") == F.size(F.array_distinct("got"))), F.lit(False)).alias("covered"))
+    """Per group whether the parts, one after the other, give the ordered items without repeats. Compared place by place."""
+    at = lambda *by: F.row_number().over(W.partitionBy(group).orderBy(*by))
+    a = parts.select(F.col(group).alias("_a"), F.col(order).alias("got"), at(part, order).alias("_i"))
+    b = items.select(F.col(group).alias("_b"), F.col(order).alias("want"), at(order).alias("_j"))
+    both = a.join(b, F.col("_a").eqNullSafe(F.col("_b")) & (F.col("_i") == F.col("_j")), "full").select(F.coalesce("_a", "_b").alias(group), "got", "want")
+    return both.groupBy(group).agg(F.bool_and(F.col("got").eqNullSafe(F.col("want"))).alias("covered"))
 
 
 def context_budget(input_bytes: Column, limit: int = LIMIT, reserve: int = RESERVE, static: int = STATIC) -> tuple[Column, Column]:

@@ -9,14 +9,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def lower_rank(value: str, fraction: float, key: str) -> Column:
-    """Percentile sorted[floor((n - 1) * fraction)] of an aggregation, without gathering a group in one row.
-
-    Expects `at` (rank from 0 within the group) and `n` beside the value: see ranked().
-    """
-    return F.max(F.when(F.col("at") == F.floor((F.col("n") - 1) * F.lit(fraction)), F.col(value)))
-
-
 def ranked(rows: DataFrame, key: str, value: str) -> DataFrame:
     """rows by distinct value with count, rank range and group size: at most as many rows as distinct values."""
     counts = rows.groupBy(key, value).agg(F.count("*").alias("c"))
@@ -35,15 +27,15 @@ def summary(rows: DataFrame, key: str, value: str) -> DataFrame:
     return out.select(key, T.round_half_up(F.col("m"), 1).alias("mean"), T.round_half_up(F.sqrt(F.greatest(F.lit(0.0), F.col("s") - F.col("m") * F.col("m"))), 1).alias("std_dev"), "p10", "p50", "p90")
 
 
-def mattr(tokens: DataFrame, key: str, token: str = "token", at: str = "pos", window: int = 200) -> DataFrame:
-    """Mean share of distinct tokens over sliding windows, in closed form.
+def mattr(tokens: DataFrame, key: str, token: str = "token", at: str = "pos", window: int = 200, n: str | None = None) -> DataFrame:
+    """Mean share of distinct tokens over sliding windows, in closed form. `n` names a column with a text's number of tokens.
 
     A token counts in each window that holds it but not its previous occurrence; how many windows those are
     follows from the two places. Up to `window` tokens the share is that of the whole.
     """
-    n = F.count("*").over(W.partitionBy(key))
+    total = F.col(n) if n else F.count("*").over(W.partitionBy(key))
     before = F.coalesce(F.lag(at).over(W.partitionBy(key, token).orderBy(at)), F.lit(-1))
-    rows = tokens.select(key, F.col(at).cast("long").alias("p"), before.cast("long").alias("q"), n.alias("n"))
+    rows = tokens.select(key, F.col(at).cast("long").alias("p"), before.cast("long").alias("q"), total.cast("long").alias("n"))
     spans = F.greatest(F.lit(0).cast("long"), F.least("p", F.col("n") - window) - F.greatest(F.col("q") + 1, F.col("p") - (window - 1)) + 1)
     fresh = (F.col("q") < 0).cast("long")
     whole = F.col("n") <= window
@@ -52,22 +44,45 @@ def mattr(tokens: DataFrame, key: str, token: str = "token", at: str = "pos", wi
     return rows.select(key, F.col("n").alias("tokens"), T.round_half_up(value, 3).alias("mattr"))
 
 
-def style_profile(docs: DataFrame, key: str = "doc_id", text: str = "text", simile: str = "처럼|같이|듯이|마치", word: str = "[가-힣]+", short: int = 18, window: int = 200) -> DataFrame:
-    """Per document: sentence and paragraph distributions, dialogue share, MATTR, short sentences and similes."""
+def _of_lengths(name: str, lengths: Column) -> dict[str, Column]:
+    """Mean, population deviation (both to one digit) and lower-rank percentiles of an array within its row; 0 without elements."""
+    n, ordered = F.size(lengths), F.array_sort(lengths)
+    mean = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x) / n
+    square = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x.cast("double") * x) / n
+    at = lambda f: F.get(ordered, F.floor((n - 1) * F.lit(f)).cast("int")).cast("long")
+    found = {"mean": T.round_half_up(mean, 1), "std_dev": T.round_half_up(F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)), 1), "p10": at(0.1), "p50": at(0.5), "p90": at(0.9)}
+    return {f"{name}_{k}": F.when(n > 0, v).otherwise(F.lit(0)) for k, v in found.items()}
+
+
+#: Signs of similes, Hangul words, sentences that count as short (in characters), the window of word variety.
+SIMILES, HANGUL_WORD, SHORT, VARIETY = "처럼|같이|듯이|마치", "[가-힣]+", 18, 200
+
+
+def style_profile(docs: DataFrame, key: str = "doc_id", text: str = "text", simile: str = SIMILES, word: str = HANGUL_WORD, short: int = SHORT, window: int = VARIETY) -> DataFrame:
+    """Per document: characters, sentence and paragraph lengths, dialogue shares, word variety, short sentences, rhetoric per 10,000.
+
+    All but the word variety comes from arrays within the row, in one scan.
+    """
     base = docs.select(key, T.trimmed(F.coalesce(F.col(text), F.lit(""))).alias("clean"))
-    sentence = base.select(key, F.explode(T.sentences(F.col("clean"))).alias("x")).select(key, T.dense_length(F.col("x")).alias("length"))
-    paragraph = base.select(key, F.explode(T.paragraphs(F.col("clean"))).alias("x")).select(key, T.dense_length(F.col("x")).alias("length"), T.is_dialogue(F.col("x")).alias("talk"))
-    token = base.select(key, F.posexplode(F.regexp_extract_all(F.lower("clean"), F.lit(word), F.lit(0))).alias("pos", "token"))
-    names = ("mean", "std_dev", "p10", "p50", "p90")
-    whole = base.select(key, T.dense_length(F.col("clean")).alias("characters"), F.regexp_count("clean", F.lit(simile)).alias("similes"))
-    counted = sentence.groupBy(key).agg(F.count("*").alias("sentences"), F.count_if(F.col("length") <= short).alias("short_sentences"))
-    talk = paragraph.groupBy(key).agg(F.count("*").alias("paragraphs"), F.count_if("talk").alias("dialogues"), F.sum(F.when(F.col("talk"), F.col("length")).otherwise(0)).alias("dialogue_characters"))
-    out = whole.join(counted, key, "left").join(talk, key, "left").join(mattr(token, key, window=window), key, "left")
-    for prefix, rows in (("sentence", sentence), ("paragraph", paragraph)):
-        out = out.join(summary(rows, key, "length").withColumnsRenamed({n: f"{prefix}_{n}" for n in names}), key, "left")
-    out = out.na.fill(0)
-    share = lambda a, b: F.when(F.col(b) > 0, T.round_half_up(F.col(a) / F.col(b), 3)).otherwise(0.0)
-    return out.withColumns({"dialogue_share": share("dialogue_characters", "characters"), "short_share": share("short_sentences", "sentences"), "similes_per_1000": F.when(F.col("characters") > 0, T.round_half_up(F.col("similes") * 1000.0 / F.col("characters"), 2)).otherwise(0.0)})
+    rows = base.select(
+        key, "clean", T.dense_length(F.col("clean")).cast("long").alias("characters"),
+        F.transform(T.sentences(F.col("clean")), T.dense_length).alias("s"),
+        F.transform(T.paragraphs(F.col("clean")), lambda p: F.struct(T.dense_length(p).alias("n"), T.is_dialogue(p).alias("talk"))).alias("p"),
+    )
+    talk = F.filter("p", lambda x: x["talk"])
+    share = lambda a, b: F.when(b > 0, T.round_half_up(a / b, 3)).otherwise(0.0)
+    rate = lambda pattern: F.when(F.col("characters") > 0, T.round_half_up(F.regexp_count("clean", F.lit(pattern)) * 10_000.0 / F.col("characters"), 2)).otherwise(0.0)
+    spoken = F.aggregate(talk, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    profile = rows.select(
+        key, "characters", F.size("s").cast("long").alias("sentences"), F.size("p").cast("long").alias("paragraphs"),
+        *[c.alias(n) for n, c in {**_of_lengths("sentence", F.col("s")), **_of_lengths("paragraph", F.transform("p", lambda x: x["n"]))}.items()],
+        share(F.size(F.filter("s", lambda x: x <= short)), F.size("s")).alias("short_share"),
+        share(F.size(talk), F.size("p")).alias("dialogue_paragraph_share"), share(spoken, F.col("characters")).alias("dialogue_share"),
+        rate(simile).alias("similes_per_10k"), rate("[?？]").alias("questions_per_10k"), rate("[!！]").alias("exclamations_per_10k"),
+    )
+    words = base.select(key, F.regexp_extract_all(F.lower("clean"), F.lit(word), F.lit(0)).alias("w")).withColumn("n", F.size("w"))
+    variety = mattr(words.select(key, "n", F.posexplode("w").alias("pos", "token")), key, window=window, n="n")
+    return profile.join(variety, key, "left").na.fill(0, ["tokens", "mattr"])
 
 
 def phase_bounds(n: Column, phase: Column, phases: int = 5) -> tuple[Column, Column]:

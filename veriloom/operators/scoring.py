@@ -77,6 +77,40 @@ def promotion(rows: DataFrame, group: str, pair: str, gain: str, score: str, lea
     return out.withColumn("eligible", F.col("pairs_ok") & F.col("wins_ok") & F.col("score_ok") & F.col("gain_ok") & F.col("leaks_ok"))
 
 
+#: Fixed values of a promotion: lists of exactly three digests, and what else it must hold.
+THREE_DIGESTS = ("review_packets", "blind_reviews", "content_neutral", "surface_comparisons")
+PACKET_SCHEMA = "firefly_review_packet/v2"
+
+
+def _digests(c: str, least: int, most: int | None = None) -> Column:
+    """Whether an array holds sorted, different SHA-256 values, as many as asked for."""
+    fine = (F.col(c) == F.array_sort(F.array_distinct(c))) & F.forall(c, lambda x: x.rlike("^[0-9a-f]{64}$")) & (F.size(c) >= least)
+    return fine if most is None else fine & (F.size(c) <= most)
+
+
+def _names(c: str, n: int) -> Column:
+    return (F.col(c) == F.array_sort(F.array_distinct(c))) & (F.size(c) == n)
+
+
+def promotion_violations(evidence: DataFrame, key: str) -> DataFrame:
+    """key and rule: every condition that a promotion's evidence, a row of counts, flags and lists, doesn't meet; null meets none."""
+    c = F.col
+    holds = {
+        "status": c("status") == "pass", "deep-reads": c("deep_read_sources") >= 3, "packet-schema": c("packet_schema") == PACKET_SCHEMA,
+        "blind-pairs": (c("blind_pairs") == 3) & (c("blind_runs") == 3),
+        "commercial": (c("soul_wins") >= 2) & (c("average_score") >= 85) & (c("least_gain") >= 2),
+        "genre-identity": c("genre_identity_passed") == 3, "content-neutral": (c("neutral_violations") == 0) & (c("canon_writes") == 0),
+        "surface": c("surface_classified") & (c("canon_leaks") == 0), "qa-and-leaks": c("manager_qa_passed") & (c("leak_matches") == 0),
+        "owner-decision": c("owner_required") & c("owner_decision_id").isNull(),
+        "authority": (c("authority.scope") == "analysis-only") & ~c("authority.may_write") & ~c("authority.may_promote") & c("authority.owner_required"),
+        **{f"digests:{name}": _digests(name, 3, 3) for name in THREE_DIGESTS},
+        "digests:deep_reads": _digests("deep_reads", 3), "digests:manager_qa": c("manager_qa_sha256").rlike("^[0-9a-f]{64}$"), "digests:leak_scan": c("leak_scan_sha256").rlike("^[0-9a-f]{64}$"),
+        "runs": _names("generation_runs", 6) & _names("blind_run_ids", 3), "digests:inputs": _digests("inputs", 0),
+    }
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(rule)) for rule, ok in holds.items()]))
+    return evidence.select(key, F.explode(broken).alias("rule"))
+
+
 def admissible(recommendation: Column, confidence: Column) -> Column:
     return (recommendation == "keep") & confidence.between(0, 1)
 

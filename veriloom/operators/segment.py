@@ -6,23 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.text import trimmed
+from .overlap import is_boundary
 
 MARKER = "ⓚ"
-
-
-def lines_with_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, line_no (from 0), line, start_byte, end_byte (without the line feed). One shuffle, by document."""
-    lines = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line"))
+#: Where a line begins, besides the text's start; forms of a chapter line in the order in which they are tried.
+LINE_STARTS = r"\n\r\x{2028}\x{2029}"
+CHAPTER_FORMS = (
+    rf"^{MARKER}([0-9]{{1,4}})(?:화)?",
+    rf"^{MARKER}<([0-9]{{1,4}})>",
+    rf"^{MARKER}[^\r\n]{{0,120}}?(?<![A-Za-z0-9_])([0-9]{{1,4}})화(?:[{T.SPACE}]|\z)",
+)
+WINDOW_BYTES = 12_000
+
+
+def lines_with_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", end: str = "\n") -> DataFrame:
+    """key, line_no (from 0), line, start_byte, end_byte (without what ends the line, one byte of `end`). One shuffle, by document."""
+    lines = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), end, -1)).alias("line_no", "line"))
     before = W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0)).cast("long")
     return lines.withColumn("start_byte", start).withColumn("end_byte", F.col("start_byte") + F.octet_length("line"))
 
 
 def evidence_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every line that isn't blank, trimmed, as a byte range with its digest."""
-    lines = lines_with_bytes(docs, key, text).withColumn("span", trimmed(F.col("line"))).where("span <> ''")
-    lead = F.octet_length("line") - F.octet_length(F.regexp_replace("line", r"^[\t\x0b\x0c\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+", ""))
+    """Every line that isn't blank, trimmed, as a byte range with its digest. Lines end at LF and at CR; line_no counts both."""
+    lines = lines_with_bytes(docs, key, text, "[\r\n]").withColumn("span", trimmed(F.col("line"))).where("span <> ''")
+    lead = F.octet_length("line") - F.octet_length(F.regexp_replace("line", rf"^[{T.SPACE}]+", ""))
     start = (F.col("start_byte") + lead).cast("long")
     return lines.select(key, "line_no", start.alias("start_byte"), (start + F.octet_length("span")).alias("end_byte"), F.sha2("span", 256).alias("span_sha256"))
 
@@ -34,51 +44,100 @@ def line_slice(docs: DataFrame, first: int, last: int, key: str = "doc_id", text
     return found.where(F.col("n") == last - first + 1).select(key, "start_byte", "end_byte", F.sha2("slice", 256).alias("slice_sha256"))
 
 
-def chapters(docs: DataFrame, marker: str = rf"{MARKER}(?=\d)", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Marked chapters: sequence, marker line, prose. Text before the first marker goes. Splits within the row."""
-    parts = F.filter(F.split(F.col(text), rf"(?m)^(?={marker})"), lambda p: p.rlike(rf"^(?:{marker})"))
-    rows = docs.select(key, F.posexplode(parts).alias("at", "part")).withColumn("part", trimmed(F.col("part")))
+def chapters(docs: DataFrame, marker: str = rf"{MARKER}(?=[0-9])", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Marked chapters: sequence, marker line, prose, start and end offset in UTF-16 units. Text before the first marker goes."""
+    parts = F.split(F.coalesce(F.col(text), F.lit("")), rf"(?<![^{LINE_STARTS}])(?={marker})")
+    rows = docs.select(key, F.posexplode(parts).alias("at", "part"))
+    units = F.length("part") + F.regexp_count("part", F.lit(r"[\x{10000}-\x{10ffff}]"))
+    by = W.partitionBy(key).orderBy("at")
+    rows = rows.withColumn("units", units.cast("long")).withColumn("end_offset", F.sum("units").over(by))
+    rows = rows.withColumn("start_offset", F.col("end_offset") - F.col("units")).where(F.col("part").rlike(rf"^(?:{marker})"))
+    rows = rows.withColumn("sequence", F.row_number().over(by)).withColumn("part", trimmed(F.col("part")))
     cut = F.instr("part", "\n")
     head = trimmed(F.when(cut > 0, F.substring("part", F.lit(1), cut - 1)).otherwise(F.col("part")))
-    return rows.select(key, (F.col("at") + 1).alias("sequence"), head.alias("marker"), F.when(cut > 0, trimmed(F.substring("part", cut + 1, F.length("part")))).otherwise("").alias("prose"))
+    prose = F.when(cut > 0, trimmed(F.substring("part", cut + 1, F.length("part")))).otherwise("")
+    return rows.select(key, "sequence", head.alias("marker"), prose.alias("prose"), "start_offset", "end_offset")
 
 
 def chapter_number(line: Column) -> Column:
-    """The number of a chapter line by three forms in order, else null."""
-    forms = [rf"^{MARKER}(\d+)화\.", rf"^<{MARKER}(\d+)>", rf"^{MARKER}.* (\d+)화"]
-    return F.coalesce(*[F.when(line.rlike(f), F.regexp_extract(line, f, 1).cast("int")) for f in forms])
+    """The number of a chapter line by the first form that fits, else null."""
+    return F.coalesce(*[F.when(line.rlike(f), F.regexp_extract(line, f, 1).cast("int")) for f in CHAPTER_FORMS])
 
 
 def chapter_index(docs: DataFrame, number=chapter_number, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Byte range of each chapter: from its line to the next chapter's or the end."""
-    lines = lines_with_bytes(docs, key, text).withColumn("chapter_number", number(F.col("line")))
-    size = F.max("end_byte").over(W.partitionBy(key))
-    marks = lines.withColumn("size", size).where("chapter_number is not null")
+    """Byte range of each numbered chapter: from its marker to the next one's or the end."""
+    lines = lines_with_bytes(docs, key, text, "[\r\n]").withColumn("size", F.max("end_byte").over(W.partitionBy(key)))
+    form = rf"(?s)^(?:.*?[\x{{2028}}\x{{2029}}])??({MARKER}.*)\z"  # a marker may follow a line separator within
+    marks = lines.where(F.contains("line", F.lit(MARKER))).withColumn("marker", F.regexp_extract("line", form, 1)).withColumn("chapter_number", number(F.col("marker"))).where("chapter_number is not null")
+    start = (F.col("start_byte") + F.octet_length("line") - F.octet_length("marker")).cast("long")
     order = W.partitionBy(key).orderBy("line_no")
+    marks = marks.withColumn("start_byte", start)
     return marks.select(key, F.row_number().over(order).alias("sequence"), "chapter_number", "start_byte", F.coalesce(F.lead("start_byte").over(order), "size").alias("end_byte"))
 
 
+def structure(text: Column, number=chapter_number) -> Column:
+    """A text's structure as a struct, within its row: whether it is valid UTF-8 (for binary columns), marker lines, chapters
+    among them, steps between their numbers other than one, first and last number, replacement characters, status."""
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    valid = F.is_valid_utf8(whole)
+    clean = F.when(valid, whole).otherwise("")
+    markers = F.regexp_extract_all(clean, F.lit(rf"(?<![^{LINE_STARTS}]){MARKER}[^\r\n]*"), F.lit(0))
+    numbers = F.filter(F.transform(markers, lambda m: number(m)), lambda n: n.isNotNull())
+    steps = F.zip_with(F.slice(numbers, 2, F.greatest(F.size(numbers) - 1, F.lit(0))), F.slice(numbers, 1, F.greatest(F.size(numbers) - 1, F.lit(0))), lambda b, a: b - a)
+    issues = F.size(F.filter(steps, lambda d: d != 1))
+    damaged = F.regexp_count(clean, F.lit("\ufffd"))
+    status = F.when(valid & (F.size(numbers) > 0) & (issues == 0) & (damaged == 0), "complete").otherwise("needs-review")
+    long = lambda c, name: c.cast("long").alias(name)
+    return F.struct(
+        status.alias("status"), valid.alias("utf8_valid"), long(F.size(markers), "marker_lines"), long(F.size(numbers), "chapters"),
+        long(F.size(markers) - F.size(numbers), "unparsed"), long(issues, "gaps"), long(F.get(numbers, F.lit(0)), "first_number"),
+        long(F.when(F.size(numbers) > 0, F.element_at(numbers, -1)), "last_number"), long(damaged, "replacements"),
+    )
+
+
 def structure_profile(docs: DataFrame, number=chapter_number, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: chapters, gaps in their numbers, first and last number, replacement characters, status."""
-    index = chapter_index(docs, number, key, text)
-    step = F.col("chapter_number") - F.lag("chapter_number").over(W.partitionBy(key).orderBy("sequence"))
-    found = index.withColumn("gap", F.coalesce(step != 1, F.lit(False))).groupBy(key).agg(F.count("*").alias("chapters"), F.count_if("gap").alias("gaps"), F.min_by("chapter_number", "sequence").alias("first_number"), F.max_by("chapter_number", "sequence").alias("last_number"))
-    damage = docs.select(key, F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit("\ufffd")).cast("long").alias("replacements"))
-    rows = damage.join(found, key, "left").fillna(0, ["chapters", "gaps"])
-    whole = (F.col("chapters") > 0) & (F.col("gaps") == 0) & (F.col("first_number") == 1) & (F.col("replacements") == 0)
-    return rows.withColumn("status", F.when(F.coalesce(whole, F.lit(False)), "complete").otherwise("needs-review"))
+    """The structure of each document's text; no shuffle."""
+    return docs.select(key, structure(F.col(text), number).alias("s")).select(key, "s.*")
+
+
+#: Fixed value: a file below this size is suspicious.
+SMALL_FILE = 100_000
+
+
+def integrity_hints(size: Column, s: Column) -> Column:
+    """What is odd about a source of a size and a structure, in a fixed order."""
+    hints = [
+        F.when(size < SMALL_FILE, "suspiciously-small"), F.when(~s["utf8_valid"], "utf8-invalid"),
+        F.when(s["replacements"] > 0, "replacement-character"), F.when(s["chapters"] == 0, "chapter-markers-missing"),
+        F.when(s["unparsed"] > 0, "chapter-markers-unparsed"), F.when(s["gaps"] > 0, "chapter-sequence-anomaly"),
+    ]
+    return F.array_compact(F.array(*hints))
 
 
 def survey_count(n: Column) -> Column:
     return F.greatest(F.lit(5), F.ceil(n / 100.0)).cast("long")
 
 
-def survey_windows(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
-    """Systematic sample of 1..n: window ids and the chapter sequences at equal distances."""
+def survey_picks(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """Systematic sample of 1..n: window ids, phases and the chapter sequences at equal distances."""
     k = survey_count(F.col(n))
     rows = counts.where(F.col(n) > 0).select(key, F.col(n).alias("n"), k.alias("k"), F.posexplode(F.sequence(F.lit(0).cast("long"), k - 1)).alias("i", "_"))
     at = F.floor(F.col("i") * (F.col("n") - 1) / (F.col("k") - 1) + 0.5) + 1
-    return rows.select(key, F.concat(F.lit("w"), F.lpad((F.col("i") + 1).cast("string"), 2, "0")).alias("window_id"), at.cast("long").alias("chapter_sequence"))
+    number = (F.col("i") + 1).cast("string")
+    name = F.concat(F.lit("w"), F.when(F.length(number) < 2, F.concat(F.lit("0"), number)).otherwise(number))
+    phase = F.when(F.col("i") == 0, "opening").when(F.col("i") == F.col("k") - 1, "ending").otherwise(F.concat(F.lit("distributed-"), F.col("i").cast("string")))
+    return rows.select(key, name.alias("window_id"), at.cast("long").alias("chapter_sequence"), phase.alias("phase"))
+
+
+def survey_windows(docs: DataFrame, number=chapter_number, key: str = "doc_id", text: str = "text", size: int = WINDOW_BYTES) -> DataFrame:
+    """The picks of each document as byte ranges: from the chapter's start, `size` bytes or to its end, back to a whole character."""
+    index = chapter_index(docs, number, key, text)
+    picks = survey_picks(index.groupBy(key).agg(F.count("*").alias("n")), key)
+    rows = picks.join(index.withColumnRenamed("sequence", "chapter_sequence"), [key, "chapter_sequence"])
+    data = docs.select(key, F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("data"))
+    most = F.least("end_byte", F.col("start_byte") + size)
+    back = F.when(is_boundary(F.col("data"), most), 0).when(is_boundary(F.col("data"), most - 1), 1).when(is_boundary(F.col("data"), most - 2), 2).otherwise(3)
+    return rows.join(data, key).select(key, "window_id", "chapter_sequence", "chapter_number", "start_byte", (most - back).cast("long").alias("end_byte"), "phase")
 
 
 def coverage_band(start: Column, end: Column, size: Column) -> Column:
@@ -87,10 +146,30 @@ def coverage_band(start: Column, end: Column, size: Column) -> Column:
     return F.when(middle < size * 2, "early").when(middle < size * 4, "middle").otherwise("late")
 
 
+#: How corpus files are named, where they lie, and their type.
+CORPUS_NAME, CORPUS_FOLDER, CORPUS_TYPE = r"(?s)^(.+)_([^_]+)_합본\.txt\z", "private_sources/korean_webnovel_corpus", "text/plain"
+
+
 def identity_of(file: Column) -> tuple[Column, Column]:
-    """Title and author from <title>_<author>_<rest>.txt."""
-    form = r"^(.+)_([^_]+)_합본\.txt$"
-    return F.nullif(F.regexp_extract(file, form, 1), F.lit("")), F.nullif(F.regexp_extract(file, form, 2), F.lit(""))
+    """Title and author from <title>_<author>_합본.txt, by the last underscore before the ending."""
+    return F.nullif(F.regexp_extract(file, CORPUS_NAME, 1), F.lit("")), F.nullif(F.regexp_extract(file, CORPUS_NAME, 2), F.lit(""))
+
+
+def corpus_identity(files: DataFrame, id_col: str = "provider_file_id", title: str = "title", kind: str = "mime_type", size: str = "size_bytes", modified: str = "modified_at") -> DataFrame:
+    """files with source_id, author and repo_relative_path, or the first problem that keeps them from having these."""
+    name = F.col(title)
+    author = identity_of(name)[1]
+    problem = (
+        F.when(F.coalesce(F.col(id_col), F.lit("")) == "", "no-file-id")
+        .when(~F.coalesce(name.endswith("_합본.txt"), F.lit(False)), "not-a-corpus-name")
+        .when(name.rlike(r"[\\/\x00]"), "unsafe-title")
+        .when(~F.col(kind).eqNullSafe(F.lit(CORPUS_TYPE)), "not-plain-text")
+        .when(~F.coalesce(F.col(size) >= 1, F.lit(False)), "bad-size")
+        .when(F.try_to_timestamp(F.col(modified).cast("string")).isNull(), "bad-time")
+        .when(author.isNull(), "no-author")
+    )
+    found = {"source_id": F.concat(F.lit("gdrive-"), F.col(id_col)), "author": author, "repo_relative_path": F.concat_ws("/", F.lit(CORPUS_FOLDER), author, name)}
+    return files.withColumn("problem", problem).withColumns({k: F.when(F.col("problem").isNull(), v) for k, v in found.items()})
 
 
 def observation_selectors(observations: DataFrame, index: DataFrame, key: str, name: str, sequences: str, ranges: str) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import assembly as A
 from ..operators import evidence as E
 from ..operators import scoring as G
 from ..operators import segment as S
+from ..operators import validation as V
 from ..operators import windows as X
 from .evidence import _ARCS, _CHAPTERS, arcs, chapters
 from .registry import query
@@ -25,80 +27,303 @@ def p7(t):
 
 
 @query("p9_w18_observation_selectors", """
-with o as (select l_orderkey, l_linenumber, l_partkey % 50 s, l_partkey % 50 + l_quantity::bigint e from lineitem where l_orderkey % 3 = 0),
+with o as (select l_orderkey, l_linenumber, l_partkey % 50 s, l_partkey % 50 + l_quantity::bigint e from lineitem),
 u as (select l_orderkey, s, e, row_number() over w place, coalesce(lag(s) over w = s and lag(e) over w = e, false) repeated from o window w as (partition by l_orderkey order by s, e))
 select l_orderkey, place, s start_byte, e end_byte, repeated from u""")
 def p9(t):
-    rows = t.lineitem.where("l_orderkey % 3 = 0").groupBy("l_orderkey").agg(F.collect_list(F.struct((F.col("l_partkey") % 50).alias("start_byte"), (F.col("l_partkey") % 50 + F.col("l_quantity").cast("long")).alias("end_byte"))).alias("ranges"))
+    rows = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct((F.col("l_partkey") % 50).alias("start_byte"), (F.col("l_partkey") % 50 + F.col("l_quantity").cast("long")).alias("end_byte"))).alias("ranges"))
     rows = rows.withColumns({"name": F.lit("o"), "sequences": F.array().cast("array<int>")})
     index = t.spark.createDataFrame([], "l_orderkey long, sequence int, start_byte long, end_byte long")
     found = S.observation_selectors(rows, index, "l_orderkey", "name", "sequences", "ranges")
     return found.select("l_orderkey", F.col("place").cast("long").alias("place"), "start_byte", "end_byte", "repeated")
 
 
-@query("p16_p19_nested_assembly", """
-select c_nationkey, count(*) n, array_to_string(list(c_custkey || ':' || c_mktsegment order by c_custkey), ',') members from customer group by c_nationkey""")
+@query("f21_selector_ids", """
+with d as (select doc_id, coalesce(text, '') t, 'source-' || lpad(doc_id::varchar, 12, '0') s from documents)
+select doc_id, 'sel-' || substr(s, 8, 12) || '-' || substr(sha256(s || ':0:' || strlen(t) || ':' || sha256(t)), 1, 20) selector_id from d""")
+def f21(t):
+    source, text = F.concat(F.lit("source-"), F.lpad(F.col("doc_id").cast("string"), 12, "0")), F.coalesce("text", F.lit(""))
+    return t.documents.select("doc_id", T.selector_id(source, F.lit(0), F.octet_length(text), F.sha2(text, 256)).alias("selector_id"))
+
+
+@query("f22_mechanism_signature", r"""
+with n as (select item_id, replace(replace(trim(regexp_replace(coalesce(text, ''), '[\t\n\x0b\x0c\r ]+', ' ', 'g')), '\', '\\'), '"', '\"') m from benchmark),
+b as (select item_id, '"mechanism":{"protagonistRepeatedVerb":"' || m || '","pressure":"p","activeChoice":"' || m || '","resistance":"r","payoff":"","recognition":"' || m || '"}}' body from n)
+select item_id, sha256('{"schemaVersion":"genre-soul-commercial-mechanism-signature/v1",' || body) signature, sha256('{"schemaVersion":"genre-soul-commercial-engine-signature/v1","sourceId":"s-' || item_id || '",' || body) engine from b""")
+def f22(t):
+    text = F.coalesce("text", F.lit(""))
+    fields = [text, F.lit(" p "), text, F.lit("r"), F.lit(""), text]
+    return t.benchmark.select("item_id", T.mechanism_signature(fields).alias("signature"), T.mechanism_signature(fields, F.concat(F.lit("s-"), F.col("item_id").cast("string"))).alias("engine"))
+
+
+_INVENTORY = """inv as (select c_custkey k, 's' || c_custkey source_id, c_name title, c_mktsegment author, sha256(c_name) h, c_custkey + 100 b, case c_custkey % 19 when 0 then 'remote-only' else 'verified-local' end status, case c_custkey % 23 when 0 then 'needs-review' else 'complete' end structure, c_custkey % 300 chapters from customer where c_custkey % 29 <> 0)"""
+
+
+def _inventory(t):
+    k = F.col("c_custkey")
+    return t.customer.where(k % 29 != 0).select(
+        F.concat(F.lit("s"), k.cast("string")).alias("source_id"), k.cast("string").alias("provider_file_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("author"), F.sha2("c_name", 256).alias("source_sha256"), (k + 100).alias("actual_size_bytes"),
+        F.when(k % 19 == 0, "remote-only").otherwise("verified-local").alias("status"), F.when(k % 23 == 0, "needs-review").otherwise("complete").alias("structure_status"), (k % 300).alias("chapters"),
+    )
+
+
+def _selection(t):
+    k = F.col("c_custkey")
+    basis = F.get(F.array(*map(F.lit, ("commercial-anchor", "genre-breadth", "surface-anchor"))), (k % 3).cast("int"))
+    return t.customer.select(
+        F.concat(F.lit("g"), F.floor(k / 3).cast("string")).alias("genre"), F.concat(F.lit("s"), k.cast("string")).alias("source_id"), F.when(k % 31 == 0, "x").otherwise(k.cast("string")).alias("provider_file_id"), F.when(k % 37 == 0, F.lit(None)).otherwise(F.col("c_name")).alias("title"),
+        F.col("c_mktsegment").alias("author"), F.sha2("c_name", 256).alias("source_sha256"), (k + 100 + (k % 41 == 0).cast("int")).alias("size_bytes"), (k % 300).alias("chapter_count"), F.when(k % 43 == 0, "other").otherwise(basis).alias("basis"),
+        F.when(k % 47 == 0, F.lit(None)).otherwise("local-source-inspection").alias("mode"),
+    )
+
+
+@query("j5_selection_claims", "with " + _INVENTORY + """,
+s as (select c_custkey k, 'g' || (c_custkey // 3) genre, inv.source_id is not null there, status, structure, case when c_custkey % 43 = 0 then 'other' else ['commercial-anchor', 'genre-breadth', 'surface-anchor'][c_custkey % 3 + 1] end basis from customer left join inv on k = c_custkey)
+select genre, 's' || k source_id, 'not-inventoried' rule from s where not there union all select genre, 's' || k, 'drifted:provider_file_id' from s where there and k % 31 = 0 union all select genre, 's' || k, 'drifted:title' from s where there and k % 37 = 0
+union all select genre, 's' || k, 'drifted:size_bytes' from s where there and k % 41 = 0 union all select genre, 's' || k, 'not-verified' from s where there and k % 19 = 0 union all select genre, 's' || k, 'incomplete' from s where there and k % 23 = 0
+union all select genre, 's' || k, 'bad-basis' from s where k % 43 = 0 union all select genre, 's' || k, 'bad-mode' from s where k % 47 = 0
+union all select genre, null, case when count(*) <> 3 then 'wrong-count' else 'bases-not-covered' end from s group by genre having count(*) <> 3 or list_sort(list(basis)) <> ['commercial-anchor', 'genre-breadth', 'surface-anchor']""")
+def j5_claims(t):
+    return A.selection_violations(_selection(t), _inventory(t))
+
+
+@query("j6_apply_selection", "with " + _INVENTORY + """
+select source_id, case when k % 5 = 0 then 'manager-selected' else 'unclassified' end classification, case when k % 5 = 0 then 'g' || k end genre, k % 5 = 0 eligible from inv""")
+def j6(t):
+    k = F.col("c_custkey")
+    chosen = t.customer.where(k % 5 == 0).select(F.concat(F.lit("s"), k.cast("string")).alias("source_id"), F.concat(F.lit("g"), k.cast("string")).alias("genre"))
+    return A.apply_selection(_inventory(t), chosen, "0" * 64).select("source_id", "classification", "genre", "eligible")
+
+
+@query("j21_routing", """
+with n as (select a.n_regionkey g, a.n_nationkey k, (select count(*) from nation b where b.n_regionkey = a.n_regionkey and b.n_nationkey < a.n_nationkey) p from nation a),
+r as (select g, p, case when k % 7 = 3 then 'style' else ['spine', 'style', 'supporting'][p + 1] end role, ['spine', 'style', 'supporting'][p + 1] want, case when k % 11 = 2 then null else ['commercial-anchor', 'surface-anchor', 'genre-breadth'][(k % 13 = 4)::int + p + 1] end basis from n where p < 3)
+select g, role, 'role-out-of-place' rule from r where role <> want union all select g, role, 'unbound-source' from r where basis is null
+union all select g, role, 'wrong-basis' from r where basis <> case role when 'spine' then 'commercial-anchor' when 'style' then 'surface-anchor' else 'genre-breadth' end""".replace("[(k % 13 = 4)::int + p + 1]", "[1 + (p + (k % 13 = 4)::int) % 3]"))
+def j21_routing(t):
+    k, roles, bases = F.col("n_nationkey"), ("spine", "style", "supporting"), ("commercial-anchor", "surface-anchor", "genre-breadth")
+    n = t.nation.select(F.col("n_regionkey").alias("g"), "n_nationkey", (F.row_number().over(W.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1).alias("place")).where("place < 3")
+    routes = n.select("g", "place", F.when(k % 7 == 3, "style").otherwise(F.get(F.array(*map(F.lit, roles)), "place")).alias("role"), k.alias("source_id"))
+    works = n.where(k % 11 != 2).select("g", k.alias("source_id"), F.get(F.array(*map(F.lit, bases)), ((F.col("place") + (k % 13 == 4).cast("int")) % 3).cast("int")).alias("basis"))
+    return A.routing_violations(routes, works, "g")
+
+
+@query("j22_j24_registry_lookups", """
+select o_orderkey, case when o_custkey % 7 = 0 then 'not-registered' when o_custkey % 11 = 0 then 'unsafe-path' when o_custkey % 13 = 0 then 'not-verified' when o_custkey % 5 <> o_orderkey % 5 then 'not-selected' else 'ok' end state,
+  case when o_custkey % 7 <> 0 then sha256(c_name) end source_sha256 from orders join customer on c_custkey = o_custkey""")
+def j24(t):
+    k = F.col("c_custkey")
+    registry = t.customer.where(k % 7 != 0).select(k.alias("source_id"), F.when(k % 11 == 0, "../x").otherwise("a/b.txt").alias("path"), F.when(k % 13 == 0, "missing").otherwise("available").alias("status"), F.sha2("c_name", 256).alias("source_sha256"), k.alias("size_bytes"), F.lit(True).alias("eligible"), (k % 5).alias("genre"), F.lit("a" * 64).alias("receipt_sha256"))
+    wanted = t.orders.select("o_orderkey", F.col("o_custkey").alias("source_id"), (F.col("o_orderkey") % 5).alias("asked"))
+    found = A.resolve_sources(wanted, registry, "asked").select("o_orderkey", "source_id", "state")
+    return A.match_sources(found, registry).select("o_orderkey", "state", "source_sha256")
+
+
+@query("p16_surface_candidate", """
+with c as (select conv_id, turn, role, coalesce(text, '') t from conversations), a as (select conv_id, list(t || '/' || role order by turn) p, list(role order by turn) r from c group by conv_id), m as (select conv_id, list(turn || '' order by turn) m from c where role = 'user' group by conv_id)
+select conv_id, array_to_string(p, '|') patterns, array_to_string(m, '|') mechanisms, array_to_string(r, '|') rationales from a left join m using (conv_id)""")
 def p16(t):
-    rows = t.customer.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment"))).alias("m"))
-    return rows.select("c_nationkey", "n", F.array_join(F.transform("m", lambda x: F.concat(x["c_custkey"].cast("string"), F.lit(":"), x["c_mktsegment"])), ",").alias("members"))
+    rows = t.conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("t"))
+    listed = F.array_sort(F.collect_list(F.struct("turn", F.col("t").alias("guidance"), F.col("role").alias("commercial_function"), F.col("role").alias("rationale"))))
+    results = rows.groupBy("conv_id").agg(listed.alias("patterns")).withColumn("routes", F.col("patterns"))
+    works = rows.where("role = 'user'").select("conv_id", F.col("turn").alias("place"), F.col("turn").cast("string").alias("mechanism"))
+    found = A.surface_candidate(results, works, "conv_id")
+    text = F.array_join(F.transform("patterns", lambda p: F.concat(p["guidance"], F.lit("/"), p["commercial_function"])), "|")
+    return found.select("conv_id", text.alias("patterns"), F.array_join("mechanisms", "|").alias("mechanisms"), F.array_join("rationales", "|").alias("rationales"))
+
+
+@query("p17_opaque_inputs", """
+select o_custkey, '[' || string_agg('{"id":' || o_orderkey || ',"status":"' || o_orderstatus || '"}', ',' order by o_orderkey) || ']' candidates, 'candidates,o_custkey' columns_ from orders group by o_custkey""")
+def p17(t):
+    rows = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("lane")))).alias("candidates"), F.max("o_orderdate").alias("profile"))
+    kept = A.opaque(rows, ["o_custkey", "candidates"], {"candidates": ["id", "status"]})
+    return kept.select("o_custkey", F.to_json("candidates").alias("candidates"), F.lit(",".join(sorted(kept.columns))).alias("columns_"))
+
+
+def _observations(t):
+    """A customer's orders as observations of a work, their line items as selectors."""
+    bands = F.array(*map(F.lit, A.BANDS))
+    selector = F.struct(F.concat("l_orderkey", F.lit("-"), F.col("l_partkey") % 50).alias("selector_id"), F.col("l_partkey").alias("start_byte"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end_byte"), F.get(bands, F.col("l_linenumber") % 3).alias("coverage_band"))
+    listed = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(selector).alias("selectors"))
+    rows = t.orders.join(listed, F.col("o_orderkey") == F.col("l_orderkey"))
+    return rows.select(
+        F.col("o_custkey").alias("work"), F.col("o_orderkey").alias("observation_id"), F.col("o_orderkey").alias("place"), (F.col("o_orderkey") % 3).alias("segment_index"), (-F.col("o_orderkey")).alias("observation_index"),
+        F.col("o_orderstatus").alias("kind"), F.col("o_orderpriority").alias("finding"), F.lit("f").alias("commercial_function"), F.lit("early").alias("coverage_band"), "selectors",
+    )
+
+
+@query("p18_synthesis_input", """
+with l as (select l_orderkey o, l_orderkey || '-' || (l_partkey % 50) sel, l_partkey s, l_partkey + l_quantity::bigint e from lineitem),
+x as (select o_custkey work, o_orderkey o from orders where o_orderkey % 4 <> 0 and o_orderkey in (select o from l)),
+t as (select o_custkey work, count(*) total from orders where o_orderkey in (select o from l) group by 1),
+c as (select work, count(distinct x.o) n, count(*) refs, count(distinct sel) sels from x join l using (o) group by work),
+w as (select work, string_agg(o::varchar, ',' order by o % 3, -o) ids from x group by work),
+f as (select work, string_agg(s || ':' || e, ',' order by o % 3, -o, s, e) ranges from x join l using (o) group by work)
+select work, ids, ranges, n, refs selector_references, sels selectors, total total_observations from w join c using (work) join t using (work) join f using (work)""")
+def p18(t):
+    rows = _observations(t)
+    found = A.synthesis_input(rows, "work", rows.where("observation_id % 4 <> 0"))
+    ranges = F.flatten(F.transform("observations", lambda o: F.transform(o["selectors"], lambda s: F.concat_ws(":", s["start_byte"], s["end_byte"]))))
+    whole = [F.col(c).cast("long").alias(c) for c in ("n", "selector_references", "selectors", "total_observations")]
+    return found.select("work", F.array_join(F.transform("observations", lambda o: o["observation_id"].cast("string")), ",").alias("ids"), F.array_join(ranges, ",").alias("ranges"), *whole)
+
+
+@query("p18_sample_coverage", """
+with l as (select o_custkey work, o_orderstatus kind, l_orderkey || '-' || (l_partkey % 50) sel, ['early', 'middle', 'late'][l_linenumber % 3 + 1] band from lineitem join orders on o_orderkey = l_orderkey),
+r as (select * from l where sel in (select l_orderkey || '-' || (l_partkey % 50) from lineitem where l_suppkey % 2 = 0)),
+w as (select distinct work, b.band from r, (values ('early'), ('middle'), ('late')) b(band)), f as (select work, band, count(distinct sel) n, list_sort(list(distinct kind)) kinds from r group by 1, 2)
+select work, band coverage_band, coalesce(n, 0)::bigint selectors, coalesce(array_to_string(kinds, ','), '') kinds, coalesce(n >= 3 and len(kinds) >= 2, false) enough from w left join f using (work, band)""")
+def p18_coverage(t):
+    wanted = t.lineitem.where("l_suppkey % 2 = 0").join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("work"), F.concat("l_orderkey", F.lit("-"), F.col("l_partkey") % 50).alias("selector_id"))
+    return A.sample_coverage(_observations(t), "work", wanted).withColumn("kinds", F.coalesce(F.array_join("kinds", ","), F.lit("")))
+
 
+def _parts(t):
+    rows = _observations(t).select("work", "observation_id").withColumn("part_no", F.expr("observation_id div 4000").cast("int"))
+    rows = rows.groupBy("work", "part_no").agg(F.array_sort(F.collect_list("observation_id")).alias("observation_ids"))
+    return rows.select("*", F.concat_ws("-", F.lit("part"), "part_no").alias("part_id"), F.concat(F.lit("p/"), F.col("part_no").cast("string")).alias("path"), F.to_json(F.struct("part_no")).alias("result"))
 
-@query("p21_p25_identity_projection", """
-select doc_id, lang, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}') identity_sha256 from documents where lang is not null and source is not null""")
+
+@query("p19_consolidation_input", """
+with o as (select o_custkey work, o_orderkey o, o_orderstatus kind from orders where o_orderkey in (select l_orderkey from lineitem)), b as (select l_orderkey o, array_to_string(list_sort(list(distinct ['early', 'middle', 'late'][l_linenumber % 3 + 1])), '+') bands from lineitem group by 1),
+c as (select work, string_agg(o || kind || bands, ',' order by o) catalogue, count(*) n from o join b using (o) group by work), q as (select work, o // 4000 p, string_agg(o::varchar, '+' order by o) ids from o group by 1, 2),
+d as (select work, string_agg('part-' || p || ':' || ids || ':' || substr(sha256('{"part_no":' || p || '}'), 1, 8), ',' order by p) parts, count(*) k from q group by work)
+select work, catalogue, parts, n total_observations, k part_count from c join d using (work)""")
+def p19(t):
+    found = A.consolidation_input(_observations(t), _parts(t), "work")
+    catalogue = F.transform("catalogue", lambda c: F.concat(c["observation_id"].cast("string"), c["kind"], F.array_join(c["bands"], "+")))
+    parts = F.transform("parts", lambda p: F.concat(p["part_id"], F.lit(":"), F.array_join(p["observation_ids"].cast("array<string>"), "+"), F.lit(":"), F.substring(p["sha256"], 1, 8)))
+    return found.select("work", F.array_join(catalogue, ",").alias("catalogue"), F.array_join(parts, ",").alias("parts"), F.col("total_observations").cast("long").alias("total_observations"), F.col("part_count").cast("long").alias("part_count"))
+
+
+@query("p19_partition_violations", """
+with a as (select o_custkey work, o_orderkey o, row_number() over (partition by o_custkey order by o_orderkey) n from orders where o_orderkey in (select l_orderkey from lineitem)),
+b as (select work, o, row_number() over (partition by work order by o) n from a where o % 500 <> 0)
+select coalesce(a.work, b.work) work, coalesce(a.n, b.n) n, a.o want, b.o given from a full join b on a.work = b.work and a.n = b.n where a.o is distinct from b.o""")
+def p19_partition(t):
+    parts = _parts(t).withColumn("observation_ids", F.filter("observation_ids", lambda x: x % 500 != 0))
+    return A.partition_violations(_observations(t), parts, "work").withColumn("n", F.col("n").cast("long"))
+
+
+def _patterns(t):
+    rows = t.orders.groupBy(F.col("o_custkey").alias("genre"), (F.col("o_orderkey") % 9).alias("place")).agg(F.collect_list(F.struct(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("observation_id"))).alias("evidence"))
+    names = F.array(*map(F.lit, A.DIMENSIONS))
+    return rows.select("genre", "place", F.get(names, F.col("place").cast("int")).alias("dimension"), F.lit("common").alias("classification"), F.lit("g").alias("guidance"), F.lit("f").alias("commercial_function"), "evidence")
+
+
+def _profiled(t):
+    seen = _observations(t).select(F.col("work").alias("source_id"), "observation_id", F.lit("seg").alias("segment_id"), "kind", "selectors")
+    return A.profile_patterns(_patterns(t), seen)
+
+
+@query("p20_profile_patterns", """
+with l as (select l_orderkey o, string_agg(l_partkey || '-' || (l_partkey + l_quantity::bigint), '+' order by l_partkey, l_partkey + l_quantity::bigint) r from lineitem group by 1)
+select o_custkey genre, o_orderkey % 9 place, coalesce(string_agg(o || ':' || o_orderstatus || ':' || r, ',' order by o_custkey || ':' || o) filter (r is not null), '') evidence, count(*) filter (r is null) missing, case when count(r) > 0 then o_custkey::varchar else '' end source_ids, true id_shaped
+from orders left join l on o = o_orderkey group by 1, 2""")
+def p20(t):
+    text = F.transform("evidence", lambda e: F.concat(e["observationId"].cast("string"), F.lit(":"), e["kind"], F.lit(":"), F.array_join(F.transform(e["selectors"], lambda s: F.concat_ws("-", s["startByte"], s["endByte"])), "+")))
+    return _profiled(t).select("genre", "place", F.array_join(text, ",").alias("evidence"), "missing", F.array_join(F.col("source_ids").cast("array<string>"), ",").alias("source_ids"), F.col("pattern_id").rlike("^pattern-[0-9a-f]{24}$").alias("id_shaped"))
+
+
+@query("p20_profile_dimensions", """
+with d as (select unnest(['worldConstraints', 'protagonistRepeatedVerbs', 'pressureAndOpposition', 'rewardAndStatusCurrency', 'nextChapterExpectedAction', 'commercialEngines', 'emotionalCoherence', 'arcAndGrowth', 'failurePatterns']) dimension, unnest(range(9)) place)
+select g.genre, d.place, d.dimension, count(p.place) n from (select distinct o_custkey genre from orders) g join d on true left join (select distinct o_custkey genre, o_orderkey % 9 place from orders) p on p.genre = g.genre and p.place = d.place group by 1, 2, 3""")
+def p20_dimensions(t):
+    return A.profile_dimensions(_profiled(t)).select("genre", F.col("place").cast("long").alias("place"), "dimension", F.size("pattern_ids").cast("long").alias("n"))
+
+
+@query("p21_semantic_subset", """
+select o_custkey, string_agg(o_orderkey::varchar, ',' order by o_orderkey) finding_ids, sha256('[' || string_agg('{"o":' || o_orderkey || '}', ',' order by o_orderkey) || ']') set_sha256 from orders where o_orderstatus <> 'P' group by 1""")
+def p21(t):
+    rows = t.orders.select("o_custkey", F.col("o_orderkey").alias("finding_id"), F.concat(F.lit('{"o":'), F.col("o_orderkey").cast("string"), F.lit("}")).alias("body"), "o_orderstatus")
+    found = A.semantic_subset(rows, rows.where("o_orderstatus <> 'P'"), "o_custkey")
+    return found.select("o_custkey", F.array_join(F.col("finding_ids").cast("array<string>"), ",").alias("finding_ids"), "set_sha256")
+
+
+@query("p25_packet_identity", """
+with b as (select event_id, '"a":' || user_id || ',"b":{"t":"' || event_type || '","n":null}' body from events), h as (select *, sha256('{' || body || '}') sha256 from b)
+select event_id, sha256, event_id % 4 = 0 genuine from h""")
 def p25(t):
-    rows = t.documents.where("lang is not null and source is not null")
-    return rows.select("doc_id", "lang", F.sha2(T.sorted_json(F.to_json(F.struct("lang", "doc_id", "source"))), 256).alias("identity_sha256"))
+    body = F.concat(F.lit('"a":'), F.col("user_id").cast("string"), F.lit(',"b":{"t":"'), "event_type", F.lit('","n":null}'))
+    digest = F.sha2(F.concat(F.lit("{"), body, F.lit("}")), 256)
+    k = F.col("event_id") % 4
+    name = F.concat(F.lit("frp-"), F.substring(F.when(k == 1, F.sha2(digest, 256)).otherwise(digest), 1, 24))
+    packet = F.concat(F.lit('{"schemaVersion":"firefly_review_packet/v'), F.when(k == 2, "1").otherwise("2"), F.lit('","packetId":"'), name, F.lit('",'), body, F.lit(',"packetSha256":"'), F.when(k == 3, F.upper(digest)).otherwise(digest), F.lit('"}'))
+    return A.packet_identity(t.events.select("event_id", packet.alias("packet")), "event_id")
 
 
-@query("f21_selector_ids", """
-select doc_id, 'sel-' || substr('source-' || lpad(doc_id::varchar, 12, '0'), 8, 12) || '-' || substr(sha256('source-' || lpad(doc_id::varchar, 12, '0') || ':0:' || strlen(text) || ':' || sha256(text)), 1, 20) selector_id from documents where text is not null""")
-def f21(t):
-    source = F.concat(F.lit("source-"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
-    rows = t.documents.where("text is not null")
-    return rows.select("doc_id", T.selector_id(source, F.lit(0), F.octet_length("text"), F.sha2("text", 256)).alias("selector_id"))
+@query("p25_identity_projection", """
+select doc_id, lang, sha256('{"doc_id":' || doc_id || case when lang is null then '' else ',"lang":"' || lang || '"' end || case when source is null then '' else ',"source":"' || source || '"' end || '}') identity_sha256 from documents""")
+def p25_identity(t):
+    return t.documents.select("doc_id", "lang", F.sha2(T.sorted_json(F.to_json(F.struct("lang", "doc_id", "source"))), 256).alias("identity_sha256"))
 
 
-@query("f22_mechanism_signature", r"""
-select item_id, sha256('{"mechanism":"' || trim(regexp_replace(text, '[\t\n\x0b\x0c\r ]+', ' ', 'g')) || '"}') signature from benchmark where not contains(text, '"')""")
-def f22(t):
-    form = T.mechanism_form(F.col("text"))
-    return t.benchmark.where("not contains(text, '\"')").select("item_id", F.sha2(F.concat(F.lit('{"mechanism":"'), form, F.lit('"}')), 256).alias("signature"))
-
-
-@query("f12_w13_context_windows")
-def f12(t):
-    term = F.get(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)), F.lit(2))
-    rows = t.documents.where("text is not null").withColumn("term", term).where("term is not null")
-    return X.term_windows(rows, "doc_id", "text", "term").drop("window")
-
-
-@query("g4_manager_checks", """
-with s as (select o_custkey k, case when o_orderstatus = 'P' then 'contradicts' when o_totalprice < 20000 then 'insufficient' else 'supports' end c, o_orderpriority f from orders),
-a as (select k, bool_or(c = 'contradicts') x, bool_or(c = 'insufficient') y, list_sort(list(distinct f)) fs from s group by k)
-select k, array_to_string(fs, ',') fields, case when x then 'contradicted' when y or len(fs) < 5 then 'insufficient' else 'supported' end verdict from a""")
-def g4(t):
-    c = F.when(F.col("o_orderstatus") == "P", "contradicts").when(F.col("o_totalprice") < 20000, "insufficient").otherwise("supports")
-    rows = t.orders.select(F.col("o_custkey").alias("k"), c.alias("c"), F.array("o_orderpriority").alias("f"))
-    out = G.phase_verdicts(rows, "k", "c", "f", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
-    return out.select("k", F.array_join("fields", ",").alias("fields"), "verdict")
-
-
-@query("g4_pair_violations", """
-with w as (select n_regionkey g, n_nationkey a from nation), p as (select x.g, x.a l, y.a r from w x join w y on x.g = y.g and x.a < y.a),
-c as (select * from p where (l + r) % 4 <> 0 union all select * from p where (l * r) % 7 = 1)
-select p.g, p.l, p.r, case when n is null then 'missing-pair' else 'repeated-pair' end rule from p left join (select l, r, count(*) n from c group by 1, 2) d on d.l = p.l and d.r = p.r where n is null or n > 1""")
-def g4_pairs(t):
-    n = t.nation.select(F.col("n_regionkey").alias("g"), F.col("n_nationkey").alias("a"), F.col("n_name").alias("s"))
-    p = n.select("g", F.col("a").alias("l")).join(n.select("g", F.col("a").alias("r")), "g").where("l < r")
-    c = p.where("(l + r) % 4 <> 0").unionByName(p.where("(l * r) % 7 = 1")).withColumn("v", F.lit("shared-core"))
-    return G.comparison_violations(c, n, "g", "l", "r", "v", "a", "s")
-
-
-@query("g8_pack_invariants", """
-with n as (select source, count(*) n, count(distinct lang) l, count(*) filter (text is null or text = '') e from documents group by source)
-select source, unnest(list_filter([case when n < 40 then 'too-few-chapters' end, case when l <> 1 then 'mixed-language' end, case when e > 0 then 'empty-chapters' end], lambda x: x is not null)) rule from n""")
+@query("a18_owner_outcome", "select o_custkey, case when bool_or(o_orderstatus = 'P') then 'rejected' else 'approved' end outcome from orders group by 1")
+def a18(t):
+    return A.owner_outcome(t.orders.withColumn("decision", F.when(F.col("o_orderstatus") == "P", "protected-reject").when(F.col("o_orderstatus") == "F", "generic-allow")), "o_custkey")
+
+
+@query("a24_usage_totals", """
+select user_id, count(*) segments, coalesce(sum(event_id % 7), 0)::bigint exact_read_count, coalesce(sum(case when event_id % 3 > 0 then event_id end), 0)::bigint total_tokens, coalesce(sum(case when event_id % 5 = 0 then 2 end), 0)::bigint api_calls from events group by 1""")
+def a24(t):
+    k = F.col("event_id")
+    return A.usage_totals(t.events.select("user_id", (k % 7).alias("exact_read_count"), F.when(k % 3 > 0, k).alias("total_tokens"), F.when(k % 5 == 0, 2).alias("api_calls")), "user_id")
+
+
+@query("a27_candidate_counts", """
+with x as (select user_id g, event_id c, case when event_id % 6 = 5 then null else event_id % 6 end v, event_id % 4 k, user_id % 3 q from events)
+select g, string_agg(c || '=' || coalesce(v, 0), ',' order by c) violations, sum(k)::bigint contradictions, sum(q)::bigint leaks from x group by g""")
+def a27(t):
+    some, k = lambda n: F.array_repeat(F.lit("x"), n.cast("int")), F.col("event_id")
+    rows = t.events.select(F.col("user_id").alias("g"), k.alias("candidate"), F.when(k % 6 != 5, some(k % 6)).alias("violations"), some(k % 4).alias("contradictions"), some(F.col("user_id") % 3).alias("leaks"))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("violations")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return A.candidate_counts(rows, "g").select("g", text.alias("violations"), "contradictions", "leaks")
+
+
+_PACK = """
+p as (select c_custkey k, case k % 8 when 0 then 'en' else 'ko' end lang, case k % 9 when 1 then 750 else 751 end chapters, case k % 10 when 2 then 4 else 5 end phases, case k % 11 when 3 then 'true' else 'false' end penalty, case k % 12 when 4 then '1' else 'null' end distance, case k % 13 when 5 then ',"quote" : "x"' else '' end extra
+  from (select c_custkey, c_custkey k from customer))
+"""
+
+
+@query("g8_pack_invariants", "with " + _PACK.strip().replace("case k %", "case c_custkey %").replace("(select c_custkey, c_custkey k from customer)", "customer") + """
+select k, 'language' rule from p where k % 8 = 0 union all select k, 'chapter-count' from p where k % 9 = 1 union all select k, 'phase-count' from p where k % 10 = 2 union all select k, 'similarity-penalty' from p where k % 11 = 3
+union all select k, 'distance-score' from p where k % 12 = 4 union all select k, 'source-bearing-fields' from p where k % 13 = 5""")
 def g8(t):
-    empty = F.coalesce(F.col("text"), F.lit("")) == ""
-    n = t.documents.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("lang").alias("l"), F.count_if(empty).alias("e"))
-    rules = [F.when(F.col("n") < 40, "too-few-chapters"), F.when(F.col("l") != 1, "mixed-language"), F.when(F.col("e") > 0, "empty-chapters")]
-    return n.select("source", F.explode(F.array_compact(F.array(*rules))).alias("rule"))
+    k = F.col("c_custkey")
+    when = lambda m, r, yes, no: F.when(k % m == r, yes).otherwise(no)
+    listed = lambda n: F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit("{}"), n), ","), F.lit("]"))
+    pack = F.concat(
+        F.lit('{"version":1,"kind":"reference-transformation-pack","language":"'), when(8, 0, "en", "ko"), F.lit('","source":{"chapterCount":'), when(9, 1, "750", "751"), F.lit(',"naturalArcCount":131},"phases":'), when(10, 2, listed(4), listed(5)),
+        F.lit(',"storyRetrieval":{"indexedChapterCount":751},"styleRetrieval":{"samples":'), listed(15), F.lit('},"commercialPolicy":{"similarityPenalty":'), when(11, 3, "true", "false"), F.lit(',"minimumDistanceScore":'), when(12, 4, "1", "null"), F.lit("}"), when(13, 5, ',"quote" : "x"', ""), F.lit("}"),
+    )
+    return V.pack_violations(t.customer.select(k.alias("k"), pack.alias("pack")), "k")
+
+
+@query("g9_core_manifest", """
+select c_custkey k, 'not-an-object' rule, null::varchar item from customer where c_custkey % 50 = 49
+union all select c_custkey, 'other:stylePolicy', null from customer where c_custkey % 50 <> 49 and c_custkey % 7 = 0 union all select c_custkey, 'too-little-evidence', null from customer where c_custkey % 50 <> 49 and c_custkey % 8 = 1
+union all select c_custkey, 'evidence-qa', 'w1' from customer where c_custkey % 50 <> 49 and c_custkey % 9 = 2 union all select c_custkey, 'card-count', null from customer where c_custkey % 50 <> 49 and c_custkey % 10 = 3
+union all select c_custkey, 'card-path', 'CHB-CORE-01' from customer where c_custkey % 50 <> 49 and c_custkey % 10 <> 3 and c_custkey % 11 = 4
+union all select c_custkey, 'card-id-again', 'CHB-CORE-01' from customer where c_custkey % 50 <> 49 and c_custkey % 10 <> 3 and c_custkey % 12 = 5
+union all select c_custkey, 'card-roles', 'CHB-CORE-03' from customer where c_custkey % 50 <> 49 and c_custkey % 10 <> 3 and c_custkey % 13 = 6""")
+def g9(t):
+    k = F.col("c_custkey")
+    card = lambda i, name=None, path=None, roles='["Hook"]': F.concat(F.lit('{"id":"CHB-CORE-0'), name if name is not None else F.lit(str(i)), F.lit('","status":"production_ready","path":"'), path if path is not None else F.lit(f"materials/{i}.md"), F.lit('","roles":'), roles if not isinstance(roles, str) else F.lit(roles), F.lit("}"))
+    cards = [card(1, path=F.when(k % 11 == 4, "materials/../1.md").otherwise("materials/1.md")), card(2, name=F.when(k % 12 == 5, "1").otherwise("2")), card(3, roles=F.when(k % 13 == 6, '["Hook","Nope"]').otherwise('["Hook"]')), card(4), card(5)]
+    cards.append(F.when(k % 10 != 3, card(6)))
+    proof = lambda i, qa: F.concat(F.lit(f'{{"workSlug":"w{i}","status":"GOLD_APPROVED","qa":"'), qa, F.lit('","referenceCard":"x/gold_reference_card.md"}'))
+    proofs = F.concat_ws(",", proof(1, F.when(k % 9 == 2, "14/15").otherwise("15/15 PASS")), F.when(k % 8 != 1, proof(2, F.lit("15/15 PASS"))))
+    head = {**V.CORE, "stylePolicy": None}
+    named = F.concat_ws(",", *[F.lit(f'"{c}":{v}' if c == "version" else f'"{c}":"{v}"') for c, v in head.items() if v], F.when(k % 7 != 0, f'"stylePolicy":"{V.CORE["stylePolicy"]}"'))
+    manifest = F.concat(F.lit("{"), named, F.lit(',"productionEvidence":['), proofs, F.lit('],"cards":['), F.concat_ws(",", *cards), F.lit("]}"))
+    return V.manifest_violations(t.customer.select(k.alias("k"), F.when(k % 50 == 49, "broken").otherwise(manifest).alias("manifest")), "k")
+
+
+@query("g9_reference_cards", """
+select doc_id id, unnest(list_filter([case when doc_id % 3 = 0 then 'heading' end, case when strlen(coalesce(text, '')) < 1300 and doc_id % 3 <> 0 or strlen(coalesce(text, '')) < 1300 then 'too-short' end, case when doc_id % 5 = 0 then 'private-path' end, case when doc_id % 7 = 0 then 'missing:## 실패 신호' end], lambda x: x is not null)) rule from documents""".replace("strlen(coalesce(text, '')) < 1300 and doc_id % 3 <> 0 or strlen(coalesce(text, '')) < 1300", "strlen(coalesce(text, '')) + strlen(case when doc_id % 3 = 0 then '' else '# ' || doc_id end) + case when doc_id % 5 = 0 then 16 else 0 end + 110 + case when doc_id % 7 = 0 then 0 else 16 end < 1500"))
+def g9_cards(t):
+    k = F.col("doc_id")
+    marks = F.concat(*[F.when((k % 7 == 0) & F.lit(m == "## 실패 신호"), "").otherwise(m) for m in V.CARD_MARKERS])
+    text = F.concat(F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("# "), k.cast("string"))), F.when(k % 5 == 0, "private_sources/").otherwise(""), marks, F.coalesce("text", F.lit("")))
+    return V.card_violations(t.documents.select(k.cast("string").alias("id"), text.alias("text"))).select(F.col("id").cast("long").alias("id"), "rule")

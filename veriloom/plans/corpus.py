@@ -66,28 +66,34 @@ def f16(t):
 
 
 @query("f18_dates", """
-select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') iso, true round_trip, epoch_us(ts) // 1000000 epoch_seconds from events""")
+with t as (select event_id, ts, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') iso from events),
+u as (select event_id, ts, iso, case event_id % 5 when 0 then replace(iso, 'T', ' ') when 1 then replace(iso, 'Z', '') when 2 then substr(iso, 1, 10) else iso end given from t)
+select event_id, given, case when event_id % 5 >= 3 then epoch_us(date_trunc('millisecond', ts)) // 1000000 end epoch_seconds from u""")
 def f18(t):
+    k = F.col("event_id") % 5
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    rows = t.events.select("event_id", "ts", iso.alias("iso"))
-    return rows.select("event_id", "iso", (F.date_trunc("second", T.strict_timestamp(F.col("iso"))).cast("timestamp") == F.date_trunc("second", "ts")).alias("round_trip"), F.unix_timestamp("ts").alias("epoch_seconds"))
+    given = F.when(k == 0, F.replace(iso, F.lit("T"), F.lit(" "))).when(k == 1, F.replace(iso, F.lit("Z"), F.lit(""))).when(k == 2, F.substring(iso, 1, 10)).otherwise(iso)
+    rows = t.events.select("event_id", given.alias("given"))
+    return rows.select("event_id", "given", F.unix_timestamp(T.strict_timestamp(F.col("given"))).alias("epoch_seconds"))
 
 
 @query("f19_f20_predicates", r"""
-with p as (select page_id, regexp_replace(url, '^[a-z]+://', '') path from pages)
-select page_id, path, length(path) > 0 and not regexp_matches(path, '^/|\\|\x00|//|/$') and not regexp_matches(path, '(^|/)\.\.?(/|$)') safe,
-  regexp_full_match(sha256(path), '[0-9a-f]{64}') is_digest, false is_path_digest from p""")
+with p as (select page_id, regexp_replace(url, '^[a-z]+://', '') path, sha256(regexp_replace(url, '^[a-z]+://', '')) h from pages),
+q as (select page_id, path, case page_id % 4 when 0 then upper(h) when 1 then substr(h, 2) when 2 then h || 'a' else h end digest from p)
+select page_id, path, length(path) > 0 and not regexp_matches(path, '^/|\\|\x00|//|/$') and not regexp_matches(path, '(^|/)\.\.?(/|$)') safe, page_id % 4 = 3 is_digest from q""")
 def f19(t):
-    rows = t.pages.select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
-    return rows.select("page_id", "path", T.is_safe_path(F.col("path")).alias("safe"), T.is_sha256(F.sha2("path", 256)).alias("is_digest"), T.is_sha256(F.col("path")).alias("is_path_digest"))
+    k = F.col("page_id") % 4
+    rows = t.pages.select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path")).withColumn("h", F.sha2("path", 256))
+    digest = F.when(k == 0, F.upper("h")).when(k == 1, F.substring("h", 2, 64)).when(k == 2, F.concat("h", F.lit("a"))).otherwise(F.col("h"))
+    return rows.select("page_id", "path", T.is_safe_path(F.col("path")).alias("safe"), T.is_sha256(digest).alias("is_digest"))
 
 
 @query("f24_p24_text_clean_up", spelled(r"""
-with n as (select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: i || '|' || x), chr(10)) numbered, text from documents where text is not null)
+with n as (select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: i || '|' || x), chr(10)) numbered, text from (select doc_id, coalesce(text, '') "text" from documents))
 select doc_id, sha256(@TRIM(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) installed, sha256(text) bare from n"""))
 def f24(t):
     numbered = F.array_join(F.transform(F.split("text", "\n", -1), lambda x, i: F.concat((i + 1).cast("string"), F.lit("|"), x)), "\n")
-    rows = t.documents.where("text is not null").select("doc_id", "text", numbered.alias("numbered"))
+    rows = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", numbered.alias("numbered"))
     return rows.select("doc_id", F.sha2(T.install_form(F.col("text")), 256).alias("installed"), F.sha2(T.without_line_numbers(F.col("numbered")), 256).alias("bare"))
 
 
@@ -108,61 +114,87 @@ def p23(t):
 @query("p1_marked_chapters", spelled(r"""
 with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) i from documents),
 m as (select *, sum(case when regexp_matches(line, '^[A-M]') then 1 else 0 end) over (partition by doc_id order by i) seq from l),
-c as (select doc_id, seq, @TRIM(string_agg(line, chr(10) order by i)) part from m where seq > 0 group by doc_id, seq)
-select doc_id, seq::bigint "sequence", @TRIM(string_split(part, chr(10))[1]) marker, case when contains(part, chr(10)) then sha256(@TRIM(substr(part, instr(part, chr(10)) + 1))) else sha256('') end prose_sha256 from c"""))
+r as (select doc_id, seq, string_agg(line, chr(10) order by i) raw from m group by doc_id, seq),
+u as (select *, length(raw) + length(regexp_replace(raw, '[^\x{10000}-\x{10ffff}]', '', 'g')) + 1 units from r),
+o as (select *, sum(units) over (partition by doc_id order by seq) upto, max(seq) over (partition by doc_id) most from u),
+c as (select doc_id, seq, @TRIM(raw) part, (upto - units)::bigint start_offset, (upto - (seq = most)::int)::bigint end_offset from o where seq > 0)
+select doc_id, start_offset, end_offset, seq::bigint "sequence", @TRIM(string_split(part, chr(10))[1]) marker, case when contains(part, chr(10)) then sha256(@TRIM(substr(part, instr(part, chr(10)) + 1))) else sha256('') end prose_sha256 from c"""))
 def p1(t):
-    rows = S.chapters(t.documents.where("text is not null"), marker="[A-M]")
-    return rows.select("doc_id", F.col("sequence").cast("long").alias("sequence"), "marker", F.sha2("prose", 256).alias("prose_sha256"))
+    rows = S.chapters(t.documents, marker="[A-M]")
+    return rows.select("doc_id", F.col("sequence").cast("long").alias("sequence"), "marker", F.sha2("prose", 256).alias("prose_sha256"), "start_offset", "end_offset")
 
 
-def _number(line):
-    return F.when(line.rlike("^[A-M]"), F.length(line) % 97)
+# Lines that begin with A to M become chapter lines of the three forms, or ones that none fits, by their number.
+_MARKED = """
+k as (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
+mk as (select doc_id, array_to_string(list_transform(ls, lambda l, i: case when not regexp_matches(l, '^[A-M]') then l when i % 5 = 1 then 'ⓚ' || (i % 1000) || '화 ' || l when i % 5 = 2 then 'ⓚ<' || (i % 1000) || '> ' || l
+  when i % 5 = 3 then 'ⓚ' || substr(l, 1, 20) || ' ' || (i % 1000) || '화' when i % 5 = 4 then 'ⓚ' || (i % 1000) else 'ⓚ' || replace(l, '화', '') end), chr(10)) txt from k),
+ml as (select doc_id, unnest(string_split(txt, chr(10))) line, generate_subscripts(string_split(txt, chr(10)), 1) i from mk),
+mb as (select *, coalesce(sum(strlen(line) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint start_byte, case when line like 'ⓚ%' and i % 5 > 0 then (i % 1000)::bigint end chapter_number from ml)
+"""
+
+
+def marked(t):
+    number = lambda i: ((i + 1) % 1000).cast("string")
+    of = lambda i, r: (i + 1) % 5 == r
+    line = lambda l, i: (
+        F.when(~l.rlike("^[A-M]"), l).when(of(i, 1), F.concat(F.lit("ⓚ"), number(i), F.lit("화 "), l)).when(of(i, 2), F.concat(F.lit("ⓚ<"), number(i), F.lit("> "), l))
+        .when(of(i, 3), F.concat(F.lit("ⓚ"), F.substring(l, 1, 20), F.lit(" "), number(i), F.lit("화"))).when(of(i, 4), F.concat(F.lit("ⓚ"), number(i)))
+        .otherwise(F.concat(F.lit("ⓚ"), F.replace(l, F.lit("화"), F.lit(""))))
+    )
+    return t.documents.select("doc_id", F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line), "\n").alias("text"))
 
 
-@query("p2_p3_w5_chapter_index", "with " + _LINES + """,
-m as (select *, max(start_byte + strlen(line)) over (partition by doc_id) size from lb),
-n as (select *, length(line) % 97 chapter_number from m where regexp_matches(line, '^[A-M]'))
-select doc_id, row_number() over w "sequence", chapter_number::bigint chapter_number, start_byte, coalesce(lead(start_byte) over w, size)::bigint end_byte from n window w as (partition by doc_id order by line_no)""")
+@query("p2_p3_w5_chapter_index", "with " + _MARKED + """,
+n as (select *, max(start_byte + strlen(line)) over (partition by doc_id) size from mb)
+select doc_id, row_number() over w "sequence", chapter_number, start_byte, coalesce(lead(start_byte) over w, size)::bigint end_byte from n where chapter_number is not null window w as (partition by doc_id order by i)""")
 def p2(t):
-    rows = S.chapter_index(t.documents, _number)
+    rows = S.chapter_index(marked(t))
     return rows.select("doc_id", F.col("sequence").cast("long").alias("sequence"), F.col("chapter_number").cast("long").alias("chapter_number"), "start_byte", F.col("end_byte").cast("long").alias("end_byte"))
 
 
-@query("p4_w1_a11_structure_profile", "with " + _LINES + """,
-n as (select doc_id, line_no, (length(line) % 97)::bigint c from lb where regexp_matches(line, '^[A-M]')),
-g as (select *, coalesce(c - lag(c) over (partition by doc_id order by line_no) <> 1, false) gap from n),
-a as (select doc_id, count(*) chapters, count(*) filter (gap) gaps, arg_min(c, line_no) first_number, arg_max(c, line_no) last_number from g group by doc_id),
-d as (select doc_id, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(65533), '')))::bigint replacements from documents)
-select d.doc_id, replacements, coalesce(chapters, 0)::bigint chapters, coalesce(gaps, 0)::bigint gaps, first_number, last_number,
-  case when chapters > 0 and gaps = 0 and first_number = 1 and replacements = 0 then 'complete' else 'needs-review' end status from d left join a using (doc_id)""")
+_PROFILE = _MARKED + """,
+c as (select doc_id, i, chapter_number n, chapter_number - lag(chapter_number) over (partition by doc_id order by i) step from mb where chapter_number is not null),
+x as (select doc_id, count(*) chapters, count(*) filter (step <> 1) gaps, arg_min(n, i) first_number, arg_max(n, i) last_number from c group by doc_id),
+y as (select doc_id, count(*) filter (line like 'ⓚ%') marker_lines from mb group by doc_id),
+z as (select doc_id, (length(txt) - length(replace(txt, chr(65533), '')))::bigint replacements from mk),
+sp as (select doc_id, marker_lines, coalesce(chapters, 0)::bigint chapters, (marker_lines - coalesce(chapters, 0))::bigint unparsed, coalesce(gaps, 0)::bigint gaps, first_number, last_number, replacements from z join y using (doc_id) left join x using (doc_id))
+"""
+
+
+@query("p4_w1_a11_structure_profile", "with " + _PROFILE + """
+select *, true utf8_valid, case when chapters > 0 and gaps = 0 and replacements = 0 then 'complete' else 'needs-review' end status from sp""")
 def p4(t):
-    rows = S.structure_profile(t.documents, _number)
-    return rows.select("doc_id", "replacements", "chapters", "gaps", F.col("first_number").cast("long").alias("first_number"), F.col("last_number").cast("long").alias("last_number"), "status")
+    return S.structure_profile(marked(t))
 
 
 @query("p5_identity", r"""
-with f as (select doc_id, lang || '_' || source || '_합본.txt' file from documents)
-select doc_id, nullif(regexp_extract(file, '^(.+)_([^_]+)_합본\.txt$', 1), '') title, nullif(regexp_extract(file, '^(.+)_([^_]+)_합본\.txt$', 2), '') author from f""")
+with f as (select doc_id, case doc_id % 9 when 0 then null when 1 then lang || source || '_합본.txt' when 2 then lang || '/' || source || '_합본.txt' when 3 then lang || '_' || source || '.txt' else lang || '_x_' || source || '_합본.txt' end title, n_chars from documents),
+p as (select *, case when title is null or not title like '%^_합본.txt' escape '^' then 'not-a-corpus-name' when contains(title, '/') then 'unsafe-title' when not coalesce(n_chars >= 1, false) then 'bad-size' when doc_id % 9 = 1 then 'no-author' end problem, split_part(title, '_', 3) author from f)
+select doc_id, problem, case when problem is null then 'gdrive-' || doc_id end source_id, case when problem is null then author end author, case when problem is null then 'private_sources/korean_webnovel_corpus/' || author || '/' || title end repo_relative_path from p""")
 def p5(t):
-    title, author = S.identity_of(F.col("file"))
-    return t.documents.select("doc_id", F.concat("lang", F.lit("_"), "source", F.lit("_합본.txt")).alias("file")).select("doc_id", title.alias("title"), author.alias("author"))
+    k, join = F.col("doc_id") % 9, lambda *c: F.concat(*[F.lit(x) if x in ("_", "/", "_x_", "_합본.txt", ".txt") else F.col(x) for x in c])
+    title = F.when(k == 0, F.lit(None).cast("string")).when(k == 1, join("lang", "source", "_합본.txt")).when(k == 2, join("lang", "/", "source", "_합본.txt")).when(k == 3, join("lang", "_", "source", ".txt")).otherwise(join("lang", "_x_", "source", "_합본.txt"))
+    files = t.documents.select("doc_id", F.col("doc_id").cast("string").alias("provider_file_id"), title.alias("title"), F.lit("text/plain").alias("mime_type"), F.col("n_chars").alias("size_bytes"), F.lit("2026-01-02T03:04:05Z").alias("modified_at"))
+    return S.corpus_identity(files).select("doc_id", "problem", "source_id", "author", "repo_relative_path")
 
 
-@query("p6_integrity_hints", """
-select doc_id, array_to_string(list_filter([case when n_chars < 200 then 'short' end, case when text is null or text = '' then 'empty' end,
-  case when l.quality = 0 then 'low-quality' end, case when l.toxic = 1 then 'toxic' end], lambda x: x is not null), ',') hints from documents d left join labels l using (doc_id)""")
+@query("p6_integrity_hints", "with " + _PROFILE + """
+select doc_id, array_to_string(list_filter([case when n_chars * 100 < 100000 then 'suspiciously-small' end, case when replacements > 0 then 'replacement-character' end, case when chapters = 0 then 'chapter-markers-missing' end,
+  case when unparsed > 0 then 'chapter-markers-unparsed' end, case when gaps > 0 then 'chapter-sequence-anomaly' end], lambda x: x is not null), ',') hints from sp join documents using (doc_id)""")
 def p6(t):
-    rows = t.documents.join(t.labels, "doc_id", "left")
-    text = F.col("text")
-    hints = [F.when(F.col("n_chars") < 200, "short"), F.when(text.isNull() | (text == ""), "empty"), F.when(F.col("quality") == 0, "low-quality"), F.when(F.col("toxic") == 1, "toxic")]
-    return rows.select("doc_id", F.array_join(F.array_compact(F.array(*hints)), ",").alias("hints"))
+    rows = marked(t).withColumn("s", S.structure(F.col("text"))).join(t.documents.select("doc_id", "n_chars"), "doc_id")
+    return rows.select("doc_id", F.array_join(S.integrity_hints(F.col("n_chars") * 100, F.col("s")), ",").alias("hints"))
 
 
-@query("p8_evidence_spans", spelled("with " + _LINES + r""",
+@query("p8_evidence_spans", spelled(r"""
+with t0 as (select doc_id, replace(coalesce(text, ''), '. ', '.' || chr(13)) txt from documents),
+l as (select doc_id, unnest(string_split_regex(txt, '[\r\n]')) line, generate_subscripts(string_split_regex(txt, '[\r\n]'), 1) - 1 line_no from t0),
+lb as (select *, coalesce(sum(strlen(line) + 1) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0)::bigint start_byte from l),
 s as (select *, @TRIM(line) span, strlen(line) - strlen(regexp_replace(line, '^[@S]+', '')) lead_ from lb)
 select doc_id, line_no::bigint line_no, (start_byte + lead_)::bigint start_byte, (start_byte + lead_ + strlen(span))::bigint end_byte, sha256(span) span_sha256 from s where span <> ''"""))
 def p8(t):
-    rows = S.evidence_spans(t.documents)
+    rows = S.evidence_spans(t.documents.select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\r")).alias("text")))
     return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "start_byte", F.col("end_byte").cast("long").alias("end_byte"), "span_sha256")
 
 
@@ -184,11 +216,25 @@ def p10(t):
     return rows.select("source", "doc_id", F.col("s").alias("start_byte"), F.col("e").alias("end_byte"), S.coverage_band(F.col("s"), F.col("e"), F.col("size")).alias("band"))
 
 
-@query("w9_survey_windows", """
-with n as (select source, count(*) n, greatest(5, ceil(count(*) / 100.0))::bigint k from documents group by source)
-select source, 'w' || lpad((i + 1)::varchar, 2, '0') window_id, (floor(i * (n - 1) / (k - 1) + 0.5) + 1)::bigint chapter_sequence from n, unnest(range(k)) u(i)""")
+@query("w9_survey_windows", "with " + _MARKED + """,
+n as (select *, max(start_byte + strlen(line)) over (partition by doc_id) size from mb),
+ix as (select doc_id, row_number() over w s, chapter_number, start_byte, coalesce(lead(start_byte) over w, size)::bigint end_byte from n where chapter_number is not null window w as (partition by doc_id order by i)),
+c as (select doc_id, count(*) n, greatest(5, ceil(count(*) / 100.0))::bigint k from ix group by doc_id),
+p as (select doc_id, i, k, (floor(i * (n - 1) / (k - 1) + 0.5) + 1)::bigint s from c, unnest(range(k)) u(i)),
+w as (select p.*, ix.chapter_number, ix.start_byte, least(ix.end_byte, ix.start_byte + 60) e from p join ix using (doc_id, s)),
+b as (select w.*, hex(encode(txt)) h from w join mk using (doc_id))
+select doc_id, printf('w%02d', i + 1) window_id, s chapter_sequence, chapter_number, start_byte,
+  e - (case when e * 2 >= length(h) or substr(h, 2 * e + 1, 1) not in ('8', '9', 'A', 'B') then 0 when substr(h, 2 * e - 1, 1) not in ('8', '9', 'A', 'B') then 1 when substr(h, 2 * e - 3, 1) not in ('8', '9', 'A', 'B') then 2 else 3 end) end_byte,
+  case when i = 0 then 'opening' when i = k - 1 then 'ending' else 'distributed-' || i end phase from b""")
 def w9(t):
-    return S.survey_windows(t.documents.groupBy("source").agg(F.count("*").alias("n")), "source")
+    return S.survey_windows(marked(t), size=60).withColumn("chapter_number", F.col("chapter_number").cast("long"))
+
+
+@query("w9_survey_picks", """
+with n as (select source, 120 * count(*) n, greatest(5, ceil(120 * count(*) / 100.0))::bigint k from documents group by source)
+select source, printf('w%02d', i + 1) window_id, (floor(i * (n - 1) / (k - 1) + 0.5) + 1)::bigint chapter_sequence, case when i = 0 then 'opening' when i = k - 1 then 'ending' else 'distributed-' || i end phase from n, unnest(range(k)) u(i)""")
+def w9_picks(t):
+    return S.survey_picks(t.documents.groupBy("source").agg((F.count("*") * 120).alias("n")), "source")
 
 
 @query("w7_phases", """
@@ -225,30 +271,37 @@ def a2(t):
     return P.summary(t.documents.select("source", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("v")), "source", "v")
 
 
-@query("a4_w14_mattr", """
-with k as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-zß-ÿ]+')) t, generate_subscripts(regexp_extract_all(lower(text), '[a-zß-ÿ]+'), 1) - 1 p from documents where text is not null),
+_WORDS = "[a-zß-ÿ]+"
+_MATTR = """
+k as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-zß-ÿ]+')) t, generate_subscripts(regexp_extract_all(lower(coalesce(text, '')), '[a-zß-ÿ]+'), 1) - 1 p from documents),
 q as (select doc_id, p, coalesce(lag(p) over (partition by doc_id, t order by p), -1) q, count(*) over (partition by doc_id) n from k),
-s as (select doc_id, max(n) n, sum(case when n <= 50 then (q < 0)::int else greatest(0, least(p, n - 50) - greatest(q + 1, p - 49) + 1) end) s from q group by doc_id)
-select doc_id, n tokens, floor((case when n <= 50 then s / n else s / (50.0::double * (n - 49)) end) * 1000.0 + 0.5) / 1000.0 mattr from s""")
+ms as (select doc_id, max(n) n, sum(case when n <= 50 then (q < 0)::int else greatest(0, least(p, n - 50) - greatest(q + 1, p - 49) + 1) end) s from q group by doc_id),
+mt as (select doc_id, n tokens, floor((case when n <= 50 then s / n else s / (50.0::double * (n - 49)) end) * 1000.0 + 0.5) / 1000.0 mattr from ms)
+"""
+
+
+@query("a4_w14_mattr", "with " + _MATTR + " select * from mt")
 def a4(t):
-    tokens = t.documents.where("text is not null").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zß-ÿ]+"), F.lit(0))).alias("pos", "token"))
-    return P.mattr(tokens, "doc_id", window=50)
+    words = t.documents.select("doc_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(_WORDS), F.lit(0)).alias("w")).withColumn("n", F.size("w"))
+    return P.mattr(words.select("doc_id", "n", F.posexplode("w").alias("pos", "token")), "doc_id", window=50, n="n")
 
 
-@query("a5_style_profile", spelled(r"""
-with b as (select doc_id, @TRIM(coalesce(text, '')) c from documents),
+@query("a5_style_profile", spelled("with " + _MATTR + r""",
+b as (select doc_id, @TRIM(coalesce(text, '')) c from documents),
 s as (select doc_id, length(regexp_replace(u, '[@S]+', '', 'g')) v from (select doc_id, unnest(string_split_regex(c, '[.!?。！？\n]+')) u from b) where @TRIM(u) <> ''),
-p as (select doc_id, length(regexp_replace(u, '[@S]+', '', 'g')) v from (select doc_id, unnest(string_split_regex(c, '\n[@S]*\n')) u from b) where @TRIM(u) <> ''),
-sa as (select doc_id, count(*) sentences, count(*) filter (v <= 18) short_sentences, floor(avg(v) * 10 + 0.5) / 10 sentence_mean, list_sort(list(v))[floor((count(*) - 1) * 0.9)::bigint + 1] sentence_p90 from s group by doc_id),
-pa as (select doc_id, count(*) paragraphs, list_sort(list(v))[floor((count(*) - 1) * 0.5)::bigint + 1] paragraph_p50 from p group by doc_id),
-w as (select doc_id, length(regexp_replace(c, '[@S]+', '', 'g')) characters, len(regexp_extract_all(c, 'that|than')) similes from b)
-select w.doc_id, characters::bigint characters, similes::bigint similes, coalesce(sentences, 0)::bigint sentences, coalesce(sentence_mean, 0) sentence_mean, coalesce(sentence_p90, 0)::bigint sentence_p90,
-  coalesce(paragraphs, 0)::bigint paragraphs, coalesce(paragraph_p50, 0)::bigint paragraph_p50, coalesce(floor(short_sentences / sentences * 1000.0 + 0.5) / 1000.0, 0) short_share
-from w left join sa using (doc_id) left join pa using (doc_id)"""))
+p as (select doc_id, length(regexp_replace(u, '[@S]+', '', 'g')) v, regexp_matches(@TRIM(u), '^[“「『"''‘—]') talk from (select doc_id, unnest(string_split_regex(c, '\n[@S]*\n')) u from b) where @TRIM(u) <> ''),
+sa as (select doc_id, count(*) sentences, count(*) filter (v <= 18) short, floor(avg(v) * 10 + 0.5) / 10 sentence_mean, floor(sqrt(greatest(0, avg(v::double * v) - avg(v) * avg(v))) * 10 + 0.5) / 10 sentence_std_dev, list_sort(list(v))[floor((count(*) - 1) * 0.1)::bigint + 1] sentence_p10, list_sort(list(v))[floor((count(*) - 1) * 0.9)::bigint + 1] sentence_p90 from s group by doc_id),
+pa as (select doc_id, count(*) paragraphs, count(*) filter (talk) spoken, coalesce(sum(v) filter (talk), 0) spoken_characters, list_sort(list(v))[floor((count(*) - 1) * 0.5)::bigint + 1] paragraph_p50 from p group by doc_id),
+w as (select doc_id, length(regexp_replace(c, '[@S]+', '', 'g')) n, len(regexp_extract_all(c, 'that|than')) similes, length(c) - length(regexp_replace(c, '[?？]', '', 'g')) questions, length(c) - length(regexp_replace(c, '[!！]', '', 'g')) exclamations from b)
+select w.doc_id, n::bigint characters, coalesce(sentences, 0)::bigint sentences, coalesce(sentence_mean, 0) sentence_mean, coalesce(sentence_std_dev, 0) sentence_std_dev, coalesce(sentence_p10, 0)::bigint sentence_p10, coalesce(sentence_p90, 0)::bigint sentence_p90,
+  coalesce(paragraphs, 0)::bigint paragraphs, coalesce(paragraph_p50, 0)::bigint paragraph_p50, coalesce(floor(short / sentences * 1000.0 + 0.5) / 1000.0, 0) short_share, coalesce(floor(spoken / paragraphs * 1000.0 + 0.5) / 1000.0, 0) dialogue_paragraph_share,
+  case when n > 0 then coalesce(floor(spoken_characters / n * 1000.0 + 0.5) / 1000.0, 0) else 0 end dialogue_share, case when n > 0 then floor(similes * 10000.0::double / n * 100.0 + 0.5) / 100.0 else 0 end similes_per_10k,
+  case when n > 0 then floor(questions * 10000.0::double / n * 100.0 + 0.5) / 100.0 else 0 end questions_per_10k, case when n > 0 then floor(exclamations * 10000.0::double / n * 100.0 + 0.5) / 100.0 else 0 end exclamations_per_10k,
+  coalesce(tokens, 0)::bigint tokens, coalesce(mattr, 0) mattr
+from w left join sa using (doc_id) left join pa using (doc_id) left join mt using (doc_id)"""))
 def a5(t):
-    rows = P.style_profile(t.documents, simile="that|than", word="[a-z]+")
-    whole = [F.col(c).cast("long").alias(c) for c in ("characters", "similes", "sentences", "sentence_p90", "paragraphs", "paragraph_p50")]
-    return rows.select("doc_id", *whole, "sentence_mean", "short_share")
+    rows = P.style_profile(t.documents, simile="that|than", word=_WORDS, window=50)
+    return rows.drop("sentence_p50", "paragraph_mean", "paragraph_std_dev", "paragraph_p10", "paragraph_p90")
 
 
 @query("a23_b4_b6_payload_budgets", """

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import evidence as E
+from ..operators import validation as V
 from .registry import query
 
 # Arcs: a customer's orders in their order, each as long as its line items.
@@ -69,7 +70,7 @@ def j4(t):
     return E.claims(c.where("k % 17 <> 0"), other, "k", ["c_nationkey", "c_mktsegment"])
 
 
-@query("j5_j6_a1_selection_counts", """
+@query("a1_selection_counts", """
 with j as (select d.*, l.quality, l.toxic from documents d left join labels l using (doc_id))
 select source, count(*) n, count(quality) selected, count(*) filter (quality = 1 and toxic = 0) eligible, count(*) filter (toxic = 1) rejected, count(*) filter (quality is null) unlabelled,
   count(*) filter (coalesce(n_chars, 0) > 1000) long_, count(*) filter (lang = 'en') english, count(*) filter (text is null) missing from j group by source""")
@@ -105,14 +106,6 @@ def j17(t):
     return want.join(got, ["l", "r"], "left").select("l", "r", F.col("g").isNotNull().alias("provided"))
 
 
-@query("j21_j22_j24_lookups", """
-select c_custkey, n_name, r_name, case when c_acctbal > 0 then 'available' else 'missing' end status, n_regionkey = 2 eligible
-from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""")
-def j21(t):
-    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.select("c_custkey", "n_name", "r_name", F.when(F.col("c_acctbal") > 0, "available").otherwise("missing").alias("status"), (F.col("n_regionkey") == 2).alias("eligible"))
-
-
 @query("w2_interval_tiling", "with " + _ARCS + """,
 x as (select work, arc, s + (arc % 11 = 0)::int s, e, n + (arc % 7 = 0)::int n from arcs),
 y as (select *, coalesce(lag(e) over (partition by work order by s, e) + 1, 1) expected from x)
@@ -190,6 +183,16 @@ def a8(t):
     return rows.groupBy("g", "scale").agg(F.count("*").alias("n"), F.count_if(E.scale_sum_ok(F.col("scale"), [F.col("a"), F.col("b")])).alias("sums_ok"))
 
 
+@query("a8_mixed_scales", "with " + _SCALE + """
+select l_orderkey, count(*) n, count(*) filter (scale = 'non-numeric') non_numeric, count(*) filter (scale = 'invalid') invalid, count(*) filter (scale = 'intensity') intensity, count(*) filter (scale = 'ratio') ratio, count(*) filter (scale = 'percentage') percentage,
+  count(*) filter (scale = 'ratio' and abs(a + b - 1) > 0.01) bad_ratio_sums, count(*) filter (scale = 'percentage' and abs(a + b - 100) > 1) bad_percentage_sums, count(distinct scale) filter (scale in ('ratio', 'percentage', 'intensity')) > 1 mixed from y group by 1""")
+def a8_mixed(t):
+    k, q = F.col("l_linenumber") % 4, F.col("l_quantity")
+    a = F.when(k == 0, q / 50.0).when(k == 1, 1 + F.floor(q / 6)).when(k == 2, q).otherwise(q - 3)
+    b = F.when(k == 0, 1 - q / 50.0).when(k == 1, 2.0).when(k == 2, 100 - q).otherwise(5.5)
+    return V.mixed_scales(t.lineitem.select("l_orderkey", a.alias("a"), b.alias("b")), "l_orderkey", [F.col("a"), F.col("b")])
+
+
 @query("a9_length_shape", "with " + _ARCS + """
 select work, count(*) n, count(*) filter (n <= 3) short, max(n) longest, count(*) >= 12 and count(*) filter (n <= 3) / count(*) >= 0.65 and max(n) <= 8 packet_like from o group by work""")
 def a9(t):
@@ -205,11 +208,11 @@ def a10(t):
 @query("a19_support_counts", """
 select p_partkey, count(distinct l_suppkey) sources, case p_size % 4 when 0 then 'common' when 1 then 'conditional' when 2 then 'specific' else 'failure' end classification,
   case p_size % 4 when 0 then count(distinct l_suppkey) = 3 when 1 then count(distinct l_suppkey) between 2 and 3 when 2 then count(distinct l_suppkey) = 1 else count(distinct l_suppkey) between 1 and 3 end supported
-from lineitem join part on l_partkey = p_partkey where l_quantity > 40 group by p_partkey, p_size""")
+from lineitem join part on l_partkey = p_partkey group by p_partkey, p_size""")
 def a19(t):
     from ..operators.scoring import support_rule
 
-    rows = t.lineitem.where("l_quantity > 40").join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_partkey", "p_size").agg(F.countDistinct("l_suppkey").alias("sources"))
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_partkey", "p_size").agg(F.countDistinct("l_suppkey").alias("sources"))
     kind = F.element_at(F.array(*map(F.lit, ("common", "conditional", "specific", "failure"))), (F.col("p_size") % 4 + 1).cast("int"))
     return rows.select("p_partkey", "sources", kind.alias("classification")).withColumn("supported", support_rule(F.col("classification"), F.col("sources")))
 
@@ -237,13 +240,23 @@ def a28(t):
     return rows.select("o_orderkey", F.round("o_totalprice", 2).alias("stated"), F.round("s", 2).alias("summed"), (F.abs(F.col("o_totalprice") - F.col("s")) < 0.01).alias("agree"))
 
 
-@query("o1_o2_o3_o6_sorted_samples", """
+@query("o2_o3_o6_sorted_samples", """
 select o_custkey, array_to_string(list_sort(list(o_orderkey))[1:5], ',') first_five, array_to_string(list_sort(list(distinct o_orderpriority)), ',') priorities from orders group by o_custkey""")
 def o6(t):
     text = lambda c: F.array_join(c, ",")
     return t.orders.groupBy("o_custkey").agg(text(F.slice(F.array_sort(F.collect_list("o_orderkey")), 1, 5).cast("array<string>")).alias("first_five"), text(F.array_sort(F.collect_set("o_orderpriority"))).alias("priorities"))
 
 
+@query("o1_korean_order", """
+with w as (select p_partkey, chr(44032 + (p_partkey * 7919 % 11172)::int) || chr(44032 + (p_partkey * 104729 % 11172)::int) title from part)
+select p_partkey, title, row_number() over (order by title, p_partkey) place from w""")
+def o1(t):
+    # Composed Hangul syllables are in dictionary order by code point too, which is what the SQL relies on.
+    code = lambda m: F.decode(F.unhex(F.lpad(F.hex(44032 + F.col("p_partkey") * m % 11172), 4, "0")), "UTF-16BE")
+    rows = t.part.select("p_partkey", F.concat(code(7919), code(104729)).alias("title"))
+    return rows.withColumn("place", F.row_number().over(W.orderBy(F.expr("title collate ko"), "p_partkey")).cast("long"))
+
+
 @query("u1_u2_u3_set_checks", """
 with s as (select o_custkey k, list(o_orderstatus order by o_orderkey) xs from orders group by o_custkey)
 select k, array_to_string(list_sort(list_distinct(xs)), '') distinct_sorted, xs = list_sort(list_distinct(xs)) unique_sorted, list_sort(list_distinct(xs)) = ['F', 'O', 'P'] complete, len(list_filter(list_distinct(xs), lambda x: x not in ('F', 'O'))) = 0 subset from s""")
@@ -268,3 +281,45 @@ def g12(t):
         E.violation(o, ~F.col("o_orderstatus").isin("F", "O"), "status", key), E.violation(o, F.col("o_totalprice") > 400000, "price", key, "warning"),
         E.violation(lost, F.lit(True), "reference", key), E.violation(o, F.col("place") > 15, "crowded", key, "warning"),
     ])
+
+
+_WORK = """
+with oc as (select o_custkey work, o_orderkey arc, count(*) n from orders join lineitem on l_orderkey = o_orderkey group by 1, 2),
+ar as (select work, arc, n, row_number() over w row_no, (sum(n) over w - n + 1)::bigint + (arc % 53 = 0)::int s, (sum(n) over w)::bigint e, n + (arc % 59 = 0)::int c from oc window w as (partition by work order by arc)),
+tr as (select work, arc, n, (sum(n) over w - n + 1)::bigint s, (sum(n) over w)::bigint e from oc window w as (partition by work order by arc)),
+ch as (select o_custkey work, o_orderkey arc, row_number() over (partition by o_custkey order by o_orderkey, l_linenumber) seq from lineitem join orders on l_orderkey = o_orderkey),
+mk as (select work, count(*) m from ch group by work)
+"""
+
+
+def _work(t):
+    c = chapters(t)
+    k = F.col("arc")
+    text = lambda x: x.cast("string")
+    order = W.partitionBy("work").orderBy("arc")
+    a = arcs(t).select("work", "arc", F.row_number().over(order).alias("row_no"), text(k).alias("arc_id"), text(F.col("s") + (k % 53 == 0).cast("int")).alias("start_sequence"), text(F.col("e")).alias("end_sequence"), text(F.col("n") + (k % 59 == 0).cast("int")).alias("episode_count"), *[text(k).alias(x) for x in V.REPEATS["arcs"]])
+    seq, arc = F.col("seq"), F.col("true_arc")
+    sequence = text(F.when(seq % 67 == 0, 0).otherwise(seq))
+    told = F.when(arc % 61 == 0, "zz").otherwise(text(arc))
+    ch = c.select("work", seq.alias("row_no"), sequence.alias("sequence"), told.alias("arc_id"), *[text(seq).alias(x) for x in V.REPEATS["chapters"]])
+    pa = c.select("work", seq.alias("row_no"), text(seq).alias("sequence"), text(arc).alias("arc_id"), *[text(1 + seq % 10).alias(x) for x in V.SCORES], *[F.lit("5").alias(x) for x in V.WEIGHTS], text(seq).alias("pacing_note"), text(seq).alias("concrete_event"))
+    works = c.groupBy("work").agg((F.count("*") + (F.col("work") % 71 == 0).cast("int")).alias("marker_count"))
+    return works, ch, a.drop("arc"), pa
+
+
+@query("g12_work_validation", _WORK + """,
+laid as (select work, unnest(range(s, e + 1)) q, arc, s from ar where e >= s),
+law as (select work, q, arg_max(arc, s) arc from laid group by 1, 2),
+r as (
+select work, 'chapters:row-count' rule, m::varchar detail from mk where work % 71 = 0 union all select work, 'pacing:row-count', m::varchar from mk where work % 71 = 0
+union all select work, 'arcs:coverage', m::varchar from mk where work % 71 = 0
+union all select work, 'chapters:sequence', '0' from ch where seq % 67 = 0
+union all select work, 'arcs:start', arc::varchar from ar where arc % 53 = 0
+union all select work, 'arcs:end', arc::varchar from ar where e < s
+union all select work, 'arcs:episode-count', arc::varchar from ar where c <> e - s + 1
+union all select work, 'chapters:unknown-arc', 'zz' from ch where arc % 61 = 0
+union all select work, 'chapters:other-arc', seq::varchar from ch join law on law.work = ch.work and q = seq where seq % 67 <> 0 and (arc % 61 = 0 or law.arc <> ch.arc)
+union all select work, 'pacing:other-arc', seq::varchar from ch join law on law.work = ch.work and q = seq where law.arc <> ch.arc)
+select work, 'error' severity, rule, detail from r""".replace("select work, 'chapters:other-arc', seq::varchar from ch", "select ch.work, 'chapters:other-arc', seq::varchar from ch").replace("select work, 'pacing:other-arc', seq::varchar from ch", "select ch.work, 'pacing:other-arc', seq::varchar from ch").replace("(arc % 61 = 0 or", "(ch.arc % 61 = 0 or"))
+def g12_work(t):
+    return V.work_violations(*_work(t)).where("severity = 'error'")

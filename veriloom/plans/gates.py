@@ -35,6 +35,28 @@ def g3(t):
     return out.select("g", "pairs", "wins", (F.floor(F.col("mean_score") * 1000 + 0.5) / 1000).alias("mean_score"), "least_gain", "leaks", "eligible")
 
 
+@query("g3_promotion_conditions", """
+with k as (select c_custkey k from customer)
+select k, 'status' rule from k where k % 23 = 0 union all select k, 'deep-reads' from k where k % 24 = 1 union all select k, 'packet-schema' from k where k % 25 = 2 union all select k, 'blind-pairs' from k where k % 26 = 3
+union all select k, 'commercial' from k where k % 27 = 4 or k % 28 = 5 union all select k, 'genre-identity' from k where k % 29 = 6 union all select k, 'content-neutral' from k where k % 30 = 7 union all select k, 'surface' from k where k % 31 = 8
+union all select k, 'qa-and-leaks' from k where k % 32 = 9 union all select k, 'owner-decision' from k where k % 33 = 10 union all select k, 'authority' from k where k % 34 = 11 union all select k, 'digests:blind_reviews' from k where k % 35 = 12
+union all select k, 'digests:deep_reads' from k where k % 36 = 13 union all select k, 'digests:leak_scan' from k where k % 37 = 14 union all select k, 'runs' from k where k % 38 = 15 union all select k, 'digests:inputs' from k where k % 39 = 16""")
+def g3_conditions(t):
+    k = F.col("c_custkey")
+    when = lambda m, r, yes, no: F.when(k % m == r, yes).otherwise(no)
+    digests = lambda n: F.array_sort(F.array(*[F.sha2(F.concat(F.lit(f"{i}-"), k.cast("string")), 256) for i in range(n)]))
+    names = lambda n: F.array(*[F.lit(f"run-{i}") for i in range(n)])
+    rows = t.customer.select(
+        k.alias("k"), when(23, 0, "fail", "pass").alias("status"), when(24, 1, 2, 3).alias("deep_read_sources"), when(25, 2, "v1", G.PACKET_SCHEMA).alias("packet_schema"), when(26, 3, 2, 3).alias("blind_pairs"), F.lit(3).alias("blind_runs"),
+        when(27, 4, 1, 2).alias("soul_wins"), when(28, 5, 84.9, 85.0).alias("average_score"), F.lit(2).alias("least_gain"), when(29, 6, 2, 3).alias("genre_identity_passed"), when(30, 7, 1, 0).alias("neutral_violations"), F.lit(0).alias("canon_writes"),
+        when(31, 8, F.lit(None).cast("boolean"), F.lit(True)).alias("surface_classified"), F.lit(0).alias("canon_leaks"), F.lit(True).alias("manager_qa_passed"), when(32, 9, 1, 0).alias("leak_matches"), F.lit(True).alias("owner_required"), when(33, 10, "d", F.lit(None)).alias("owner_decision_id"),
+        F.struct(F.lit("analysis-only").alias("scope"), F.lit(False).alias("may_write"), (k % 34 == 11).alias("may_promote"), F.lit(True).alias("owner_required")).alias("authority"),
+        digests(3).alias("review_packets"), when(35, 12, digests(4), digests(3)).alias("blind_reviews"), digests(3).alias("content_neutral"), digests(3).alias("surface_comparisons"), when(36, 13, F.reverse(digests(4)), digests(4)).alias("deep_reads"),
+        F.lit("a" * 64).alias("manager_qa_sha256"), when(37, 14, "A" * 64, "a" * 64).alias("leak_scan_sha256"), when(38, 15, names(5), names(6)).alias("generation_runs"), names(3).alias("blind_run_ids"), when(39, 16, F.array(F.lit("x")), digests(2)).alias("inputs"),
+    )
+    return G.promotion_violations(rows, "k")
+
+
 @query("a13_finding_rollup", """
 select event_type rule, (user_id % 50)::bigint term, array_to_string(list_sort(list(distinct user_id)), ',') refs, count(*) n from events group by 1, 2""")
 def a13(t):
@@ -42,7 +64,7 @@ def a13(t):
     return rows.agg(F.array_join(F.array_sort(F.collect_set("user_id")).cast("array<string>"), ",").alias("refs"), F.count("*").alias("n"))
 
 
-@query("a14_a15_a18_verdicts", """
+@query("a14_a15_verdicts", """
 with x as (select o_custkey k, case o_orderstatus when 'P' then 'contradicted' when 'O' then 'insufficient' else 'supported' end v from orders)
 select k, case max(case v when 'contradicted' then 2 when 'insufficient' then 1 else 0 end) when 2 then 'contradicted' when 1 then 'insufficient' else 'supported' end verdict from x group by k""")
 def a15(t):
@@ -67,13 +89,7 @@ def a17(t):
     return G.outcome(G.effective_decisions(rows, full, "doc_id", "decision", "complete"), "source", "effective", "reject", "uncertain")
 
 
-@query("a24_a27_counter_sums", """
-select event_type, count(*) n, sum(coalesce(json_extract_string(props, '$.k')::bigint, 0))::bigint total from events group by event_type""".replace("sum(coalesce(json_extract_string(props, '$.k')::bigint, 0))::bigint", "sum(strlen(coalesce(props, '')))::bigint"))
-def a24(t):
-    return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.octet_length(F.coalesce("props", F.lit("")))).cast("long").alias("total"))
-
-
-@query("g9_g10_manifest_and_separation", """
+@query("g10_separation", """
 select c_nationkey, count(*) filter (c_custkey in (select o_custkey from orders where o_orderpriority = '1-URGENT')) conflicted, count(*) n from customer group by 1""")
 def g10(t):
     producers = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"), F.lit(1).alias("hit")).distinct()

@@ -2,36 +2,84 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..sources import files as S
 from .registry import query
 
-_FILES = "f as (select doc_id, sha256(coalesce(text, '')) h, strlen(coalesce(text, ''))::bigint b from documents where doc_id % 7 <> 0), i as (select doc_id, sha256(case when doc_id % 10 = 0 then 'x' else coalesce(text, '') end) h, strlen(coalesce(text, ''))::bigint b from documents)"
-
-
-@query("s1_s5_s6_inspect_sources", "with " + _FILES + " select i.doc_id, case when f.h is null then 'remote-only' when f.h = i.h and f.b = i.b then 'verified-local' else 'drifted-local' end status from i left join f using (doc_id)")
+@query("s1_s5_s6_inspect_sources", """
+with f as (select doc_id, sha256(coalesce(text, '')) h, strlen(coalesce(text, ''))::bigint b from documents where doc_id % 7 <> 0), i as (select doc_id, strlen(coalesce(text, ''))::bigint + (doc_id % 10 = 0)::int b from documents)
+select i.doc_id, f.h source_sha256, f.b actual_size_bytes, f.b = i.b size_matches, case when f.h is null then 'remote-only' when f.b = i.b then 'verified-local' else 'drifted-local' end status,
+  array_to_string(list_filter([case when i.b < 100000 then 'suspiciously-small' end, case when f.h is not null then 'chapter-markers-missing' end], lambda x: x is not null), ',') hints from i left join f using (doc_id)""")
 def s5(t):
     text = F.coalesce("text", F.lit(""))
-    docs = t.documents.select(F.col("doc_id").alias("source_id"), text.alias("text"))
-    listed = docs.select("source_id", F.sha2(F.when(F.col("source_id") % 10 == 0, "x").otherwise(F.col("text")), 256).alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes"))
-    found = docs.where("source_id % 7 <> 0").select("source_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes"))
-    return S.inspect_sources(listed, found).select(F.col("source_id").alias("doc_id"), "status")
-
-
-@query("s7_p11_byte_slices")
+    docs = t.documents.select("doc_id", F.encode(text, "UTF-8").alias("content"), F.octet_length(text).cast("long").alias("size_bytes"))
+    listed = docs.select("doc_id", (F.col("size_bytes") + (F.col("doc_id") % 10 == 0).cast("int")).alias("size_bytes"))
+    found = docs.where("doc_id % 7 <> 0").select("doc_id", F.sha2("content", 256).alias("sha256"), "size_bytes", "content")
+    rows = S.inspect_sources(listed, found, "doc_id", content="content")
+    return rows.select("doc_id", "source_sha256", "actual_size_bytes", "size_matches", "status", F.array_join("hints", ",").alias("hints"))
+
+
+@query("s2_s3_csv_rows", "select doc_id::varchar doc_id, coalesce(text, '') body, coalesce(source, '') source, '' missing from documents where doc_id % 11 <> 0")
+def s2(t):
+    cell = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), cell("text"), F.coalesce("source", F.lit("")))
+    body = F.when(F.col("doc_id") % 11 == 0, F.lit("\r\n")).otherwise(line)  # an empty line isn't a row
+    texts = t.documents.select(F.col("doc_id").alias("file"), F.concat(F.lit("\ufeffdoc_id,body,source,missing\r\n"), body, F.lit("\r\n")).alias("csv"))
+    return S.csv_records(S.csv_cells_of(texts, "file", "csv"), ["doc_id", "body", "source", "missing"])
+
+
+@query("s4_f23_tolerant_json", """
+select event_id, case when event_id % 4 = 3 then null else json_extract_string(props, '$.k') end k, event_id % 4 <> 3 and props is not null parsed from events""")
+def s4(t):
+    k = F.col("event_id") % 4
+    answer = F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(k == 2, F.concat(F.lit("  ```\n"), "props", F.lit("```\n"))).otherwise(F.concat(F.lit("{oops "), "props"))
+    rows = t.events.select("event_id", T.tolerant_json(answer).alias("v"))
+    return rows.select("event_id", F.try_variant_get("v", "$.k", "string").alias("k"), F.col("v").isNotNull().alias("parsed"))
+
+
+@query("s7_p11_f20_byte_slices", """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h, doc_id % 40 s, doc_id % 40 + 1 + doc_id % 23 e from documents),
+x as (select *, substr(h, 2 * s + 1, 2 * (e - s)) piece, length(h) // 2 n from d)
+select doc_id, case when s < n then piece else '' end slice, e <= n and substr(h, 2 * s + 1, 1) not in ('8', '9', 'A', 'B') and (e = n or substr(h, 2 * e + 1, 1) not in ('8', '9', 'A', 'B')) and doc_id % 13 <> 0 proven from x""")
 def s7(t):
-    rows = t.documents.where("length(text) > 60").select("doc_id", F.encode("text", "UTF-8").alias("data"), F.lit(10).alias("s"), F.lit(50).alias("e"))
-    rows = rows.withColumn("sha", F.sha2(S.byte_slice(F.col("data"), F.col("s"), F.col("e")), 256))
-    return S.proven_slices(rows, "data", "s", "e", "sha").select("doc_id", "proven", F.hex("slice").alias("slice"))
-
-
-@query("s9_budgeted_chunks")
+    rows = t.documents.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"), (F.col("doc_id") % 40).cast("int").alias("s"), (F.col("doc_id") % 40 + 1 + F.col("doc_id") % 23).cast("int").alias("e"))
+    rows = rows.withColumn("sha", F.when(F.col("doc_id") % 13 == 0, F.lit("0" * 64)).otherwise(F.sha2(S.byte_slice(F.col("data"), F.col("s"), F.col("e")), 256)))
+    return S.proven_slices(rows, "data", "s", "e", "sha").select("doc_id", F.hex("slice").alias("slice"), "proven")
+
+
+# One walk over a text's characters with their costs in JSON; a chunk ends where the next character would exceed the budget.
+@query("s9_budgeted_chunks", r"""
+with recursive c as (select doc_id, text, unnest(string_split(text, '')) ch, generate_subscripts(string_split(text, ''), 1) i from documents where text <> ''),
+k as (select doc_id, i, case when ch in ('"', '\', chr(8), chr(9), chr(10), chr(12), chr(13)) then 2 when ord(ch) < 32 then 6 else 1 end cost from c),
+u as (select doc_id, i, sum(cost) over (partition by doc_id order by i) upto from k),
+w(doc_id, idx, first, last, upto) as (
+  select doc_id, 0, 1::bigint, max(i), max(upto) from u where upto <= 1998 group by doc_id
+  union all
+  select w.doc_id, w.idx + 1, w.last + 1, max(u.i), max(u.upto) from w join u on u.doc_id = w.doc_id and u.i > w.last and u.upto <= w.upto + 1998 group by w.doc_id, w.idx, w.last)
+select w.doc_id, idx::bigint idx, last - first + 1 n, 'cursor-' || sha256('firefly-hermes-read-cursor/v1' || chr(0) || w.doc_id || chr(0) || sha256(text) || chr(0) || idx) "cursor" from w join documents using (doc_id)
+union all select doc_id, 0, 0, 'cursor-' || sha256('firefly-hermes-read-cursor/v1' || chr(0) || doc_id || chr(0) || sha256('') || chr(0) || '0') from documents where coalesce(text, '') = ''""")
 def s9(t):
     rows = S.chunks(t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text", 2000)
     return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), F.length("chunk").cast("long").alias("n"), "cursor")
 
 
+@query("s10_s11_s12_s13_published", "select n_nationkey, n_name, true once, true seen from nation")
+def s12(t):
+    conf = t.spark.conf
+    folder = f"{conf.get('spark.checkpoint.dir', None) or conf.get('spark.sql.warehouse.dir').rstrip('/')}/_veriloom-published"
+    rows = t.nation.select("n_nationkey", "n_name")
+    text = F.concat_ws("\0", "n_nationkey", "n_name")
+    path, receipt = S.publish_with_receipt(rows, rows.agg(F.count("*").alias("n")), folder, "nation", text)
+    again = S.publish_with_receipt(rows.orderBy("n_name"), rows.agg(F.count("*").alias("n")), folder, "nation", text)
+    S.write_lines(rows, f"{folder}/lines-{uuid.uuid4().hex}")
+    seen = t.spark.read.schema("n long, data_path string").json(receipt).select("data_path").first()[0] == path
+    return t.spark.read.parquet(path).withColumns({"once": F.lit(again == (path, receipt)), "seen": F.lit(seen)})
+
+
 @query("s14_s15_upsert_plan", """
 with a as (select doc_id, sha256(coalesce(text, '')) h from documents where doc_id % 5 <> 0), b as (select doc_id, sha256(case when doc_id % 4 = 0 then 'new' else coalesce(text, '') end) h from documents where doc_id % 3 <> 0)
 select coalesce(a.doc_id, b.doc_id) doc_id, case when a.h is null then 'installed' when b.h is null then 'kept' when a.h = b.h then 'reused' else 'refreshed' end action from a full join b on a.doc_id = b.doc_id""")

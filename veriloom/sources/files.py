@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-import json
+import hashlib
+import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.text import is_safe_path, is_sha256, trimmed
+from ..operators.segment import integrity_hints, structure
+from ..shipping import ship
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -18,15 +23,79 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), "content", F.is_valid_utf8(F.col("content").cast("string")).alias("is_utf8"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
+#: A field: plain characters and quoted parts in any order; then a comma, a line feed or the end.
+_FIELD = re.compile(r'((?:[^",\n]|"(?:[^"]|"")*")*)(,|\n|\Z)')
+_QUOTED = re.compile(r'"((?:[^"]|"")*)"')
+
+
+def parse_csv(text: str) -> list[list[str]]:
+    """The cells of each row. A quote opens a quoted part wherever it stands; an unclosed one is an error.
+
+    Rows end at LF, before which one CR goes; only rows of a single empty cell are dropped; a mark of byte order goes.
+    """
+    rows, row, at = [], [], 0
+    while True:
+        found = _FIELD.match(text, at)
+        if not found:
+            raise ValueError("CSV has an unclosed quoted field")
+        raw, end = found[1], found[2]
+        field = _QUOTED.sub(lambda m: m[1].replace('""', '"'), raw) if '"' in raw else raw
+        at = found.end()
+        if end == ",":
+            row.append(field)
+            continue
+        if end == "\n" or field or row:
+            row.append(field.removesuffix("\r"))
+            rows.append(row)
+            row = []
+        if not end:
+            break
+    if rows and rows[0]:
+        rows[0][0] = rows[0][0].removeprefix("\ufeff")
+    return [r for r in rows if r != [""]]
+
+
+def csv_cells_of(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, row_no (0 is the header), cells, header of each CSV text. One text is read by one task, as quoted parts may hold line feeds."""
+    ship(rows.sparkSession)
+    kind = rows.schema[key].dataType
+
+    def run(batches):
+        for batch in batches:
+            for n, raw in enumerate(batch.column(1).to_pylist()):
+                found = parse_csv(raw or "")
+                for i in range(0, len(found), 10_000):
+                    part = found[i : i + 10_000]
+                    cells = pa.list_(pa.string())
+                    owner = batch.column(0).take(pa.array([n] * len(part), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([owner, pa.array(range(i, i + len(part)), pa.int64()), pa.array(part, cells), pa.array([found[0]] * len(part), cells)], names=["k", "row_no", "cells", "header"])
+
+    return rows.select(key, text).mapInArrow(run, f"k {kind.simpleString()}, row_no long, cells array<string>, header array<string>").withColumnRenamed("k", key)
+
+
+def csv_cells(spark: SparkSession, path: str) -> DataFrame:
+    """The cells of CSV files, by path; bytes that aren't UTF-8 become replacement characters."""
+    files = spark.read.format("binaryFile").load(path)
+    return csv_cells_of(files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text")), "path", "text")
+
+
+def csv_records(cells: DataFrame, columns: list[str], *keys: str) -> DataFrame:
+    """Data rows by the names in each header (of equal names the last): all strings, missing cells empty."""
+    place = lambda c: F.size("header") - F.array_position(F.reverse("header"), c)
+    value = lambda c: F.when(F.array_contains("header", c), F.coalesce(F.get("cells", place(c).cast("int")), F.lit("")))
+    return cells.where("row_no > 0").select(*keys, *[value(c).alias(c) for c in columns])
+
+
 def csv_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """CSV by a declared header, all strings: quoted line feeds and doubled quotes, no blank rows, missing cells empty."""
-    schema = StructType([StructField(c, StringType()) for c in columns])
-    rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', enforceSchema=True, mode="PERMISSIVE")
-    filled = rows.select(*[F.coalesce(F.regexp_replace(F.col(c), "\r$", ""), F.lit("")).alias(c) for c in columns])
-    blank = F.lit(True)
-    for c in columns:
-        blank = blank & (trimmed(F.col(c)) == "")
-    return filled.where(~blank)
+    return csv_records(csv_cells(spark, path), columns)
+
+
+def csv_shape_violations(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """path, row_no and rule: a header other than declared, rows with more or fewer cells than the header."""
+    cells = csv_cells(spark, path)
+    wrong = (F.col("row_no") == 0) & (F.array_join("cells", ",") != ",".join(columns))
+    uneven = (F.col("row_no") > 0) & (F.size("cells") != F.size("header"))
+    return cells.withColumn("rule", F.when(wrong, "header").when(uneven, "cell-count")).where("rule is not null").select("path", "row_no", "rule")
 
 
 def csv_header_matches(spark: SparkSession, path: str, columns: list[str]) -> bool:
@@ -39,11 +108,15 @@ def json_documents(spark: SparkSession, path: str, schema: StructType | str, tol
     return spark.read.schema(schema).json(path, multiLine=True, mode="DROPMALFORMED" if tolerant else "FAILFAST")
 
 
-def inspect_sources(inventory: DataFrame, files: DataFrame, key: str = "source_id") -> DataFrame:
-    """verified-local, drifted-local or remote-only, by presence, size and digest."""
-    rows = inventory.join(files.select(key, F.col("sha256").alias("found_sha256"), F.col("size_bytes").alias("found_bytes")), key, "left")
-    same = F.col("found_sha256").eqNullSafe(F.col("sha256")) & F.col("found_bytes").eqNullSafe(F.col("size_bytes"))
-    return rows.withColumn("status", F.when(F.col("found_sha256").isNull(), "remote-only").when(same, "verified-local").otherwise("drifted-local"))
+def inspect_sources(inventory: DataFrame, files: DataFrame, key: str = "source_id", size: str = "size_bytes", content: str | None = None) -> DataFrame:
+    """What each listed source is by presence and size: verified-local, drifted-local or remote-only; and its digest.
+
+    With `content`, a column of files, also the structure of what was found and hints at what is odd about it.
+    """
+    found = files.select(key, F.col("sha256").alias("source_sha256"), F.col("size_bytes").alias("actual_size_bytes"), *([structure(F.col(content)).alias("structure")] if content else []))
+    rows = inventory.join(found, key, "left").withColumn("size_matches", F.col("actual_size_bytes") == F.col(size))
+    rows = rows.withColumn("status", F.when(F.col("actual_size_bytes").isNull(), "remote-only").when(F.col("size_matches"), "verified-local").otherwise("drifted-local"))
+    return rows.withColumn("hints", integrity_hints(F.col(size), F.col("structure"))) if content else rows
 
 
 def byte_slice(data: Column, start: Column, end: Column) -> Column:
@@ -58,32 +131,47 @@ def proven_slices(rows: DataFrame, data: str, start: str, end: str, sha256: str)
     return rows.withColumn("slice", piece).withColumn("proven", F.coalesce(fine & (F.sha2("slice", 256) == F.col(sha256)) & F.is_valid_utf8(F.col("slice").cast("string")), F.lit(False)))
 
 
+#: Characters that JSON writes in two and in six characters, and the version that a cursor names.
+_SHORT_ESCAPES, CURSOR = '"\\\b\f\n\r\t', "firefly-hermes-read-cursor/v1"
+
+
+def encoded_costs(text: str) -> np.ndarray:
+    """How many code points JSON takes for each code point of a text, without the quotes around it."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    cost = np.ones(len(points), np.int64)
+    cost[points < 32] = 6
+    cost[np.isin(points, [ord(c) for c in _SHORT_ESCAPES])] = 2
+    return cost
+
+
+def split_by_budget(text: str, most: int) -> list[str]:
+    """Maximal prefixes whose JSON encoding, with its quotes, fits the budget, one after the other."""
+    if not text:
+        return [""]
+    upto = np.cumsum(encoded_costs(text))
+    out, at, spent = [], 0, 0
+    while at < len(text):
+        end = int(np.searchsorted(upto, spent + most - 2, side="right"))
+        if end == at:
+            raise ValueError("a character doesn't fit the budget by itself")
+        out.append(text[at:end])
+        at, spent = end, int(upto[end - 1])
+    return out
+
+
 @F.pandas_udf(ArrayType(StructType([StructField("idx", IntegerType()), StructField("chunk", StringType())])))
 def budgeted_chunks(text: pd.Series, budget: pd.Series) -> pd.Series:
-    """Maximal prefixes whose JSON encoding fits the budget of UTF-16 units, one after the other."""
-
-    def cost(c: str) -> int:
-        return len(json.dumps(c, ensure_ascii=False)) - 2 + (ord(c) > 0xFFFF)
+    return pd.Series([[{"idx": i, "chunk": c} for i, c in enumerate(split_by_budget(t or "", b))] for t, b in zip(text, budget)])
 
-    def cut(value: str | None, most: int):
-        out, part, used = [], [], 2
-        for c in value or "":
-            k = cost(c)
-            if used + k > most and part:
-                out.append("".join(part))
-                part, used = [], 2
-            part.append(c)
-            used += k
-        out.append("".join(part))
-        return [{"idx": i, "chunk": c} for i, c in enumerate(out)]
 
-    return pd.Series([cut(t, b) for t, b in zip(text, budget)])
+def cursor_of(input_id: Column, sha256: Column, idx: Column) -> Column:
+    return F.concat(F.lit("cursor-"), F.sha2(F.concat_ws("\0", F.lit(CURSOR), input_id.cast("string"), sha256, idx.cast("string")), 256))
 
 
 def chunks(rows: DataFrame, key: str, text: str, budget: int = 75_000) -> DataFrame:
-    """key, idx, chunk and the cursor sha256(key, digest of the text, idx)."""
-    found = rows.select(key, F.sha2(F.col(text), 256).alias("_sha"), F.explode(budgeted_chunks(F.col(text), F.lit(budget))).alias("x"))
-    return found.select(key, "x.idx", "x.chunk", F.sha2(F.concat_ws("\0", F.col(key).cast("string"), "_sha", F.col("x.idx").cast("string")), 256).alias("cursor"))
+    """key, idx, chunk and the cursor that names the chunk: a digest of version, key, the text's digest and idx."""
+    found = rows.select(key, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_sha"), F.explode(budgeted_chunks(F.col(text), F.lit(budget))).alias("x"))
+    return found.select(key, "x.idx", "x.chunk", cursor_of(F.col(key), F.col("_sha"), F.col("x.idx")).alias("cursor"))
 
 
 def write_lines(df: DataFrame, path: str) -> None:
@@ -91,22 +179,38 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
 
 
+def rows_digest(df: DataFrame, text: Column) -> str:
+    """A digest of a table's rows in any order: sums of parts of the rows' digests, partly summed before the shuffle."""
+    parts = df.select(F.sha2(text, 256).alias("h")).select(*[F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)").alias(f"p{i}") for i in range(4)])
+    row = parts.agg(F.count("*").alias("n"), *[F.sum(f"p{i}").alias(f"p{i}") for i in range(4)]).first()
+    return hashlib.sha256(":".join(str(x or 0) for x in row).encode()).hexdigest()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def publish(df: DataFrame, folder: str, name: str, text: Column) -> str:
     """Write under a name made from the content's digest; the same content again is left as it is. The path."""
-    digest = df.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.sha2(text, 256)))), 256)).first()[0]
-    path = f"{folder}/{name}-{digest[:24]}"
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+    path = f"{folder}/{name}-{rows_digest(df, text)[:24]}"
+    if not _exists(df.sparkSession, f"{path}/_SUCCESS"):
         df.write.mode("overwrite").parquet(path)
     return path
 
 
 def publish_with_receipt(data: DataFrame, receipt: DataFrame, folder: str, name: str, text: Column) -> tuple[str, str]:
-    """Data first, the receipt that makes it visible last."""
+    """Data first, the receipt that makes it visible last. A receipt that is there already must say the same; it is never overwritten."""
     path = publish(data, folder, name, text)
-    receipt.withColumn("data_path", F.lit(path)).coalesce(1).write.mode("overwrite").json(f"{path}.receipt")
-    return path, f"{path}.receipt"
+    spark, at = data.sparkSession, f"{path}.receipt"
+    said = receipt.withColumn("data_path", F.lit(path))
+    if not _exists(spark, f"{at}/_SUCCESS"):
+        said.coalesce(1).write.mode("overwrite").json(at)
+    else:
+        digest = lambda df: rows_digest(df, F.to_json(F.struct(*sorted(said.columns))))
+        if digest(spark.read.schema(said.schema).json(at)) != digest(said):
+            raise FileExistsError(f"{at} holds another receipt")
+    return path, at
 
 
 def upsert_plan(stored: DataFrame, offered: DataFrame, key: str, digest: str) -> DataFrame:

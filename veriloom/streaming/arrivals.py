@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.overlap import leak_receipts, token_overlap
+from ..operators.overlap import leak_matches, leak_receipts
 from ..sources.files import publish
 
 
@@ -19,7 +19,7 @@ def scan_arrivals(spark: SparkSession, folder: str, schema: StructType, sources:
     """Parquet files that appear in a folder, scanned against `sources` (item_id, text); a receipt table for each batch."""
 
     def scan(batch: DataFrame, number: int) -> None:
-        receipts = leak_receipts(batch, token_overlap(batch, sources))
+        receipts = leak_receipts(batch, leak_matches(batch, sources))
         publish(receipts, out, "receipts", F.concat_ws(":", "doc_id", "match_count", "status"))
 
     arriving = spark.readStream.schema(schema).parquet(folder)
