@@ -439,6 +439,21 @@ def test_dense_prefixes_stay_longer(spark):
     assert (0, 1) in ties(8) and len(ties(8)) < 10
 
 
+def test_differences_give_the_same_links():
+    rng = np.random.default_rng(7)
+    base = np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64))
+    sets = [base]
+    for _ in range(30):
+        keep = base[rng.random(len(base)) > rng.choice([0.0, 0.05, 0.2, 0.6])]
+        sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 63, int(rng.choice([0, 8, 60])), dtype=np.uint64)])))
+    every = np.arange(len(sets))
+    parts = [jaccard.difference(s, base) for s in sets]
+    got = jaccard.linked([x for x, _ in parts], every, every, 0.8, np.array([len(s) for s in sets]), np.array([n for _, n in parts]), len(base))
+    want = [[len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8 for b in sets] for a in sets]
+    apart = ~np.eye(len(sets), dtype=bool)  # a text isn't compared with itself
+    assert (got == np.array(want))[apart].all() and got[apart].sum() > 20 and (jaccard.linked(sets, every, every) == got)[apart].all()
+
+
 def inverted_links(rows):
     """Number of links of each text by its least id, over an inverted index of shingles of all rows."""
     first = {}

@@ -14,10 +14,13 @@ texts, each to the first of them, so m texts give m - 1 ties, never their pairs.
 families. Nodes with thousands of texts (estimated from a 64th of the texts, which changes only how work is
 dealt) are split by salts, tied within each and then across.
 
-A family's texts meet in cells: its members are dealt to chunks of `CHUNK` texts or `CHUNK_BYTES`, and those pairs of
-chunks that share a trie node form cells. Within a cell exact intersections of shingle sets are counted blockwise, so
-every pair of a family at the threshold is found, and only counts and one tie per text leave it. Verified ties give
-the classes.
+A family's texts meet in cells. A small family is one cell. The members of a large one are dealt to chunks of `CHUNK`
+texts or `CHUNK_BYTES`, and those pairs of chunks that share a trie node form cells. What goes to several cells is not the
+text but how its shingles differ from those of the family's first text, C: for sets with A = C - a + a' and B = C - b + b'
+the intersection has |C| - |a| - |b| + |a & b| + |a' & b'| shingles, exactly, and near copies differ little. Within a cell
+the intersections are counted blockwise, so every pair of a family at the threshold is found (counting all links of m
+near copies takes m * m / 2 comparisons of such differences, spread over cells), and only counts and one tie per text
+leave it. Verified ties give the classes.
 
 Result: a row per row of docs with id, class_id (least id of the texts that verified links connect), n_links (other
 different texts at the threshold), n_copies (rows with the same words), digest (of the words) and stays (whether
@@ -44,7 +47,9 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9995
 TREES, DEPTH = 25, 8
 #: Up to so many texts below a trie node of the floor depth meet without a longer prefix.
 DENSE = 64
-CHUNK, CHUNK_BYTES, SALTS = 1024, 16 << 20, 32
+CHUNK, CHUNK_BYTES, SALTS = 512, 16 << 20, 32
+#: Marks the shingles that a text lacks of its family's first text.
+_LACKS = np.uint64(0xA5A5A5A5A5A5A5A5)
 #: A node is hot when a sample of a 64th of the texts has so many of it; a salt of it gets about HOT * 64 texts.
 SAMPLE, HOT = 64, 32
 _M = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -282,10 +287,14 @@ def _ties(firsts: DataFrame, parts: int, threshold: float, trees: int, recall: f
     return ties
 
 
-def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-    """Which pairs (row of left, row of right) of shingle sets reach the threshold, by exact intersections."""
-    sizes = np.array([len(s) for s in sets])
-    value, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD, sizes: np.ndarray | None = None, lacks: np.ndarray | None = None, base: int = 0) -> np.ndarray:
+    """Which pairs (row of left, row of right) of shingle sets reach the threshold, by exact intersections.
+
+    With sizes, lacks and base the sets are differences from a set of `base` shingles: see difference().
+    """
+    lengths = np.array([len(s) for s in sets])
+    sizes, lacks = (lengths if sizes is None else sizes), (np.zeros(len(sets), int) if lacks is None else lacks)
+    value, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths)
     _, number, count = np.unique(value, return_inverse=True, return_counts=True)
     shared = count[number] > 1
     _, number = np.unique(number[shared], return_inverse=True)
@@ -307,8 +316,36 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
         here = of_right[who] >= 0
         y[of_right[who[here]], what[here]] = 1
         both += x @ y.T
-    union = sizes[left][:, None] + sizes[right][None, :] - both.astype(np.int64)
-    return both.astype(np.int64) / np.maximum(union, 1) >= threshold
+    both = base - lacks[left][:, None] - lacks[right][None, :] + both.astype(np.int64)
+    union = sizes[left][:, None] + sizes[right][None, :] - both
+    return both / np.maximum(union, 1) >= threshold
+
+
+def difference(x: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, int]:
+    """Shingles of x besides those of base, and marked ones of base that x lacks; and how many x lacks."""
+    more, less = np.setdiff1d(x, base, assume_unique=True), np.setdiff1d(base, x, assume_unique=True)
+    return np.concatenate([more, less ^ _LACKS]), len(less)
+
+
+def _differences(rows: DataFrame) -> DataFrame:
+    """rows: node, root, chunk, text, base (text of the root). Each text as what differs from the base."""
+    names, kinds = ["node", "root", "chunk", "size", "lacks", "base", "x"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def run(batches):
+        last, base = None, None
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                raw = batch.column(4)[i].as_py()
+                if raw != last:
+                    last, base = raw, shingles(raw.encode())
+                own = shingles(batch.column(3)[i].as_py().encode())
+                x, lacks = difference(own, base)
+                out.append((len(own), lacks, len(base), x.tobytes()))
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], *[pa.array(c, k) for c, k in zip(columns, kinds[3:])]], names=names)
+
+    return rows.select("node", "root", "chunk", "text", "base").mapInArrow(run, "node long, root long, chunk int, size long, lacks long, base long, x binary")
 
 
 def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
@@ -326,14 +363,16 @@ def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
 
 
 def _verified(cells: DataFrame, parts: int, threshold: float) -> DataFrame:
-    """cells: cell, a, b, chunk, node, text. Per text and cell: its links there and the first text they connect it to."""
+    """cells: cell, a, b, chunk, node, text or size, lacks, base, x. Per text and cell: its links there and the first text they connect it to."""
 
     def judge(rows):
         rows.sort(key=lambda r: r[3])
         names, chunks = np.array([r[3] for r in rows]), np.array([r[2] for r in rows])
-        sets = [shingles(r[4]) for r in rows]
         left, right = np.flatnonzero(chunks == rows[0][0]), np.flatnonzero(chunks == rows[0][1])
-        hit = linked(sets, left, right, threshold)
+        if rows[0][4] is not None:
+            hit = linked([shingles(r[4].encode()) for r in rows], left, right, threshold)
+        else:
+            hit = linked([np.frombuffer(r[8], np.uint64) for r in rows], left, right, threshold, np.array([r[5] for r in rows]), np.array([r[6] for r in rows]), rows[0][7])
         i, j = np.nonzero(hit)
         i, j = left[i], right[j]
         own = i != j
@@ -349,13 +388,13 @@ def _verified(cells: DataFrame, parts: int, threshold: float) -> DataFrame:
     def run(batches):
         now, rows, found = None, [], []
         for batch in batches:
-            cell, a, b, chunk, node = (batch.column(i).to_pylist() for i in range(5))
+            cell, *numbers = (batch.column(i).to_pylist() for i in range(5))
             for i in range(batch.num_rows):
                 if cell[i] != now and rows:
                     found.append(judge(rows))
                     rows = []
                 now = cell[i]
-                rows.append((a[i], b[i], chunk[i], node[i], batch.column(5)[i].as_py().encode()))
+                rows.append((*[c[i] for c in numbers], *[batch.column(c)[i].as_py() for c in range(5, 10)]))
             if found:
                 yield batch_of(found)
                 found = []
@@ -363,7 +402,7 @@ def _verified(cells: DataFrame, parts: int, threshold: float) -> DataFrame:
             yield batch_of([judge(rows)])
 
     dealt = cells.repartition(parts, "cell").sortWithinPartitions("cell")
-    return dealt.select("cell", "a", "b", "chunk", "node", "text").mapInArrow(run, "node long, links long, root long")
+    return dealt.select("cell", "a", "b", "chunk", "node", "text", "size", "lacks", "base", "x").mapInArrow(run, "node long, links long, root long")
 
 
 def _numbered(same: DataFrame) -> tuple[DataFrame, bool]:
@@ -420,15 +459,20 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     other = met.select(F.col("key").alias("k"), F.col("root").alias("r"), F.col("chunk").alias("b"))
     cells = met.join(other, (F.col("key") == F.col("k")) & (F.col("root") == F.col("r")) & (F.col("chunk") <= F.col("b"))).select("root", F.col("chunk").alias("a"), "b").distinct()
     sides = cells.select("root", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("chunk"))
-    dealt = large.join(sides, ["root", "chunk"]).select("node", "root", "a", "b", "chunk")
-    whole = member.where("over <= 1").select("node", "root", F.lit(0).alias("a"), F.lit(0).alias("b"), "chunk")
-    placed = whole.union(dealt).withColumn("cell", F.xxhash64("root", "a", "b"))
-    at = placed.join(same.select("node", _mark(F.col("digest"), F.col("id")).alias("mark")), "node")
     # Only texts of families move: a sieve of their ids comes before anything else is done with a text.
     asked = key_filter(member.select("node").join(same.select("node", "id"), "node"), F.col("id"))
     texts = docs.where(asked(F.col(id_col).cast("long"))).select(F.col(id_col).cast("long").alias("id"), _normal(text_col).alias("text"))
     texts = texts.select(_mark(F.sha2("text", 256), F.col("id")).alias("mark"), "text").dropDuplicates(["mark"])
-    verified = cut(_verified(texts.join(at, "mark"), parts, threshold))
+    placed = texts.join(member.join(same.select("node", _mark(F.col("digest"), F.col("id")).alias("mark")), "node"), "mark")
+    whole = placed.where("over <= 1").select(F.xxhash64("root").alias("cell"), F.lit(0).alias("a"), F.lit(0).alias("b"), "chunk", "node", "text", *[F.lit(None).cast("long").alias(c) for c in ("size", "lacks", "base")], F.lit(None).cast("binary").alias("x"))
+    if large.isEmpty():
+        verified = cut(_verified(whole, parts, threshold))
+    else:
+        crowd = placed.where("over > 1").select("node", "root", "chunk", "text")
+        bases = crowd.where("node = root").select("root", F.col("text").alias("base")).join(large.select("root", "chunk").distinct(), "root")
+        apart = cut(_differences(crowd.join(bases, ["root", "chunk"])))
+        dealt = apart.join(sides, ["root", "chunk"]).select(F.xxhash64("root", "a", "b").alias("cell"), "a", "b", "chunk", "node", F.lit(None).cast("string").alias("text"), "size", "lacks", "base", "x")
+        verified = cut(_verified(whole.union(dealt), parts, threshold))
     links = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
     roots = components(verified.select(F.col("node").alias("u"), F.col("root").alias("v")))
     found = same.join(links.join(roots, "node", "left"), "node", "left").withColumn("root", F.coalesce("root", "node"))
