@@ -321,7 +321,7 @@ def g9(t):
 
 
 @query("g9_reference_cards", """
-select doc_id id, unnest(list_filter([case when doc_id % 3 = 0 then 'heading' end, case when strlen(coalesce(text, '')) < 1300 and doc_id % 3 <> 0 or strlen(coalesce(text, '')) < 1300 then 'too-short' end, case when doc_id % 5 = 0 then 'private-path' end, case when doc_id % 7 = 0 then 'missing:## 실패 신호' end], lambda x: x is not null)) rule from documents""".replace("strlen(coalesce(text, '')) < 1300 and doc_id % 3 <> 0 or strlen(coalesce(text, '')) < 1300", "strlen(coalesce(text, '')) + strlen(case when doc_id % 3 = 0 then '' else '# ' || doc_id end) + case when doc_id % 5 = 0 then 16 else 0 end + 110 + case when doc_id % 7 = 0 then 0 else 16 end < 1500"))
+select doc_id id, unnest(list_filter([case when doc_id % 3 = 0 then 'heading' end, case when strlen(coalesce(text, '')) < 1300 and doc_id % 3 <> 0 or strlen(coalesce(text, '')) < 1300 then 'too-short' end, case when doc_id % 5 = 0 then 'private-path' end, case when doc_id % 7 = 0 then 'missing:## 실패 신호' end], lambda x: x is not null)) rule from documents""".replace("strlen(coalesce(text, '')) < 1300 and doc_id % 3 <> 0 or strlen(coalesce(text, '')) < 1300", "strlen(coalesce(text, '')) + strlen(case when doc_id % 3 = 0 then '' else '# ' || doc_id end) + case when doc_id % 5 = 0 then 16 else 0 end + 118 + case when doc_id % 7 = 0 then 0 else 16 end < 1500"))
 def g9_cards(t):
     k = F.col("doc_id")
     marks = F.concat(*[F.when((k % 7 == 0) & F.lit(m == "## 실패 신호"), "").otherwise(m) for m in V.CARD_MARKERS])

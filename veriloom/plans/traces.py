@@ -99,7 +99,8 @@ def p13(t):
     return rows.groupBy("event_id").agg(F.count("key").alias("keys"), F.count_if(F.col("key").rlike("(?i)^(body|text|prose|quote|k)$")).alias("forbidden"))
 
 
-@query("f17_f23_canonical_json")
+@query("f17_f23_canonical_json", r"""
+select event_id, sha256('{' || chr(10) || '  "k": ' || json_extract_string(props, '$.k') || chr(10) || '}' || chr(10)) canonical, sha256('{"k":' || json_extract_string(props, '$.k') || '}') sorted from events where props is not null""")
 def f17(t):
     rows = t.events.where("props is not null").select("event_id", T.without_fences(F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).alias("j"))
     return rows.select("event_id", F.sha2(T.canonical_json("j"), 256).alias("canonical"), F.sha2(T.sorted_json("j"), 256).alias("sorted"))
