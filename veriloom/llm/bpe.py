@@ -26,7 +26,7 @@ from .common import ship, utf8
 
 #: Fixed value: the characters with the Unicode property White_Space, which \s means in the pattern.
 WHITE_SPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Pieces up to so many bytes are remembered, and so many of them at a time.
+#: Pieces up to so many bytes are remembered, and so many of them at most in two generations.
 CACHED_BYTES, CACHED_PIECES = 48, 800_000
 BIT = [1 << i for i in range(64)]
 NO_RANK = 1 << 18
@@ -48,25 +48,32 @@ class RankQueue:
 
 
 class _Pieces(dict):
-    """From a piece to its ids as little-endian bytes; unknown pieces are merged."""
+    """From a piece to its ids as little-endian bytes; unknown pieces are merged.
 
-    def __init__(self, codec: Codec):
-        self.codec = codec
+    When half of the pieces are full they become the older generation, from which pieces still in use come back.
+    """
+
+    def __init__(self, codec: Codec, most: int):
+        self.codec, self.half, self.older = codec, most // 2, {}
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        ids = np.array(self.codec.merge(raw), "<u4").tobytes()
-        if len(raw) <= CACHED_BYTES:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
-            self[piece] = ids
+        ids = self.older.get(piece)
+        if ids is None:
+            raw = piece.encode()
+            ids = np.array(self.codec.merge(raw), "<u4").tobytes()
+            if len(raw) > CACHED_BYTES:
+                return ids
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
 class Codec:
     """Encodes and decodes texts by a table of ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = CACHED_PIECES):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         # \S and \s as the rank files mean them, by the Unicode property
@@ -77,12 +84,12 @@ class Codec:
         ascii_only = ascii_only.replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+")
         self.ascii_pieces_of = self.pieces_of if "\\p" in ascii_only else re.compile(ascii_only, re.ASCII).findall
         self.queue = RankQueue(max(self.tokens, default=0) + 1)
-        self.pieces = _Pieces(self)
+        self.pieces = _Pieces(self, cached)
 
     @classmethod
-    def parse(cls, table: bytes, pattern: str) -> Codec:
+    def parse(cls, table: bytes, pattern: str, cached: int = CACHED_PIECES) -> Codec:
         """table: lines of a token in base64 and its rank."""
-        return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, table.splitlines()) if a}, pattern)
+        return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, table.splitlines()) if a}, pattern, cached)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece."""
@@ -163,14 +170,14 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_codecs: dict[tuple[bytes, str], Codec] = {}
+_codecs: dict[tuple[bytes, str, int], Codec] = {}
 
 
-def codec_of(table: bytes, pattern: str) -> Codec:
-    """One codec for each table and pattern in a worker."""
-    key = (hashlib.sha256(table).digest(), pattern)
+def codec_of(table: bytes, pattern: str, cached: int = CACHED_PIECES) -> Codec:
+    """One codec for each table, pattern and size of its cache in a worker."""
+    key = (hashlib.sha256(table).digest(), pattern, cached)
     if key not in _codecs:
-        _codecs[key] = Codec.parse(table, pattern)
+        _codecs[key] = Codec.parse(table, pattern, cached)
     return _codecs[key]
 
 
@@ -181,21 +188,21 @@ def _table(vocabulary: str) -> bytes:
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, the ids of its text, their bytes decoded again (the real outputs of encoding and decoding)."""
-    return _coded(docs, vocabulary, pattern, id_col, text_col, digests=False)
+    return _coded(docs, vocabulary, pattern, id_col, text_col, False, CACHED_PIECES)
 
 
-def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_tokens, and the SHA-256 of ids and of decoded bytes."""
-    return _coded(docs, vocabulary, pattern, id_col, text_col, digests=True)
+def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED_PIECES) -> DataFrame:
+    """Per row: id, n_tokens, and the SHA-256 of ids and of decoded bytes. cached: pieces that a worker remembers."""
+    return _coded(docs, vocabulary, pattern, id_col, text_col, True, cached)
 
 
-def _coded(docs, vocabulary, pattern, id_col, text_col, digests: bool) -> DataFrame:
+def _coded(docs, vocabulary, pattern, id_col, text_col, digests: bool, cached: int) -> DataFrame:
     spark = ship(docs.sparkSession)
     table = spark.sparkContext.broadcast(_table(vocabulary))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "id long, ids array<int>, decoded binary"
 
     def run(batches):
-        codec = codec_of(table.value, pattern)
+        codec = codec_of(table.value, pattern, cached)
         for batch in batches:
             rows: list[tuple] = []
             held = 0
