@@ -327,13 +327,83 @@ def test_quality(spark):
     assert len(quality.measure(b"")) == len(quality.FEATURES) == len(quality.measure("é a\nA".encode()))
 
 
-def test_held_out_accuracy(spark):
-    folder = "/root/testdata/sf0.01"
+def slow_toxicity(model, text):
+    """Noisy-or of the sentences above the floor, one word after the other."""
+    clean = 1.0
+    for sentence in re.split(r"[.!?\n]+", (text or "").lower()):
+        logit = model.bias
+        for word in re.findall(r"[^\W\d_]+", sentence):
+            logit += model.weights.get(word, 0.0) + model.stems.get(word[: toxicity.STEM], 0.0)
+        if logit > toxicity.FLOOR:
+            clean *= 1 - 1 / (1 + math.exp(-logit))
+    return 1 - clean
+
+
+def slow_quality(model, features):
+    """One look into each table."""
+    total, bins = model.bias, []
+    for j, edges in enumerate(model.edges):
+        bins.append(sum(1 for e in edges if features[j] >= e))
+        total += model.tables[j][bins[j]]
+    for i, j, table in model.pairs:
+        total += table[bins[i] * quality.COARSE // quality.BINS][bins[j] * quality.COARSE // quality.BINS]
+    return 1 / (1 + math.exp(-total))
+
+
+def test_scores_equal_slow_twins(spark):
+    folder = "/root/testdata/sf0.001"
     rows, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
-    for module, label, least in ((toxicity, "toxic", 0.92), (quality, "quality", 0.97)):
-        scored = module.score_documents(rows, module.fit_model(rows, labels)).withColumnRenamed("id", "doc_id")
-        judged = scored.join(labels, "doc_id").where("held_out").selectExpr(f"avg(cast(predicted = {label} as int)) as right").first()
-        assert judged["right"] >= least
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    model = toxicity.fit_model(rows, labels)
+    for r in toxicity.score_documents(rows, model).collect():
+        assert r["score"] == pytest.approx(slow_toxicity(model, texts[r["id"]]), abs=1e-9)
+    model = quality.fit_model(rows, labels)
+    for r in quality.score_documents(rows, model).collect():
+        assert r["score"] == pytest.approx(slow_quality(model, quality.measure((texts[r["id"]] or "").encode())), abs=1e-9)
+
+
+def test_toxicity_slopes_are_those_of_the_loss():
+    rng = np.random.default_rng(3)
+    of_bag = np.repeat(np.arange(12), rng.integers(1, 4, 12))
+    words, of_sentence = rng.integers(0, 6, 60), np.sort(rng.integers(0, len(of_bag), 60))
+    y, share, w = (np.arange(12) % 3 == 0).astype(float), rng.random(12), rng.normal(size=6)
+    data = (words, of_sentence, of_bag, y, share)
+    _, g, g_bias = toxicity.loss_and_slopes(w, -1.0, *data)
+    for i in range(6):
+        step = np.eye(6)[i] * 1e-5
+        assert g[i] == pytest.approx((toxicity.loss_and_slopes(w + step, -1.0, *data)[0] - toxicity.loss_and_slopes(w - step, -1.0, *data)[0]) / 2e-5, rel=1e-4, abs=1e-7)
+    assert g_bias == pytest.approx((toxicity.loss_and_slopes(w, -1 + 1e-5, *data)[0] - toxicity.loss_and_slopes(w, -1 - 1e-5, *data)[0]) / 2e-5, rel=1e-4)
+
+
+def test_classifiers_take_odd_rows(spark):
+    rows = docs(spark, ODD + [(1, "vile words. " * 60_000), (4, "a b c")])
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(9)] + [(1, 1, 1), (None, 1, 1), (2, None, 7)], "doc_id long, quality int, toxic int")
+    for module in (toxicity, quality):
+        model = module.fit_model(rows, labels)
+        got = module.score_documents(rows, model).collect()
+        assert len(got) == len(ODD) + 2 and all(0 <= r["score"] <= 1 for r in got)
+        assert len({r["score"] for r in got if r["id"] == 4}) == 1
+        assert module.score_documents(rows.limit(0), model).collect() == []
+        assert module.fit_model(rows.limit(0), labels.limit(0)) is not None
+    assert toxicity.keep_clean(rows.limit(0), model=toxicity.Model(0.0, {}, {})).collect() == []
+
+
+def judged(spark, folder, module, label):
+    rows, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    scored = module.score_documents(rows, module.fit_model(rows, labels)).withColumnRenamed("id", "doc_id")
+    found = scored.join(labels, "doc_id").where("held_out").selectExpr("predicted p", f"{label} y").collect()
+    hits = sum(r["p"] == r["y"] == 1 for r in found)
+    return hits / max(1, sum(r["y"] for r in found)), hits / max(1, sum(r["p"] for r in found)), sum(r["p"] == r["y"] for r in found) / len(found)
+
+
+def test_held_out_toxicity(spark):
+    recall, precision, _ = judged(spark, "/root/testdata/sf0.1", toxicity, "toxic")
+    assert recall >= 0.78 and precision >= 0.88
+
+
+def test_held_out_quality(spark):
+    recall, precision, right = judged(spark, "/root/testdata/sf0.01", quality, "quality")
+    assert right >= 0.97 and recall >= 0.95 and precision >= 0.95
 
 
 # Jaccard join
@@ -585,20 +655,74 @@ def test_chunks_resist_shifts():
     assert line_dedup.chunks_of([]) == []
 
 
+def test_line_dedup_of_long_texts_and_odd_names(spark):
+    text = "\n".join(f"line {i}" for i in range(40_000))
+    rows = [(1, text), (2, "head\n" + text + "\ntail"), (2, "head\n" + text + "\ntail"), (None, None)]
+    df = spark.createDataFrame([(i, t, *"abcde") for i, t in rows], "doc_id long, text string, key string, tie string, salt string, gone string, spans string")
+    got = sorted((r["n_lines"], r["n_removed"], r["n_chunks"]) for r in line_dedup.remove_repeated_runs(df).collect())
+    assert got == [(1, 0, 0), (40_000, 0, 0), (40_002, 40_000, 1), (40_002, 40_000, 1)]
+
+
 # pipeline
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_equals_brute_force(spark):
+    """Each stage's rows against plain Python on what the stage before kept."""
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "exact dedup", "n-gram jaccard join", "source mixing", "byte-level bpe"]
+    now = [(r["doc_id"], r["text"]) for r in rows.collect()]
+
+    def ran(name):
+        nonlocal rows
+        out = stages[name](spark, rows, folder)
+        assert name == "byte-level bpe" or out.columns == rows.columns
+        rows = spark.createDataFrame(out.collect(), out.schema)
+        return rows
+
+    model = toxicity.fit_model(rows, spark.read.parquet(f"{folder}/labels.parquet"))
+    now = [(i, t) for i, t in now if slow_toxicity(model, t) < toxicity.THRESHOLD]
+    assert sorted(r["doc_id"] for r in ran("toxicity").collect()) == sorted(i for i, _ in now)
+    now = [(i, t) for i, t in now if (i, True) in {(r[0], r[3]) for r in exact_brute(now)}]
+    assert sorted(r["doc_id"] for r in ran("exact dedup").collect()) == sorted(i for i, _ in now)
+    classes = jaccard_brute(now)
+    now = [(i, t) for i, t in now if classes[i][0] == i]
+    assert sorted(r["doc_id"] for r in ran("n-gram jaccard join").collect()) == sorted(i for i, _ in now)
+    times = {r["id"]: r["taken"] / r["size"] if r["size"] else 1 for r in mixing.mix(rows).collect()}
+    got = [r["doc_id"] for r in ran("source mixing").collect()]
+    assert set(got) <= set(times) and all(abs(got.count(i) - n) <= 0.5 for i, n in times.items())
+    _, theirs = codecs()
+    texts = dict(now)
+    coded = ran("byte-level bpe").collect()
+    assert sorted(r["doc_id"] for r in coded) == sorted(got)
+    for r in coded:
+        ids = theirs.encode_ordinary(texts[r["doc_id"]] or "")
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+
+
+def test_pipeline_takes_odd_rows(spark, tmp_path):
     import corpus_pipeline
 
-    docs_in = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    rows = docs_in
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        rows = stage(spark, rows, "/root/testdata/sf0.001")
-        assert rows.columns == docs_in.columns, name
-    final = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert 0 < final.select("doc_id").distinct().count() <= docs_in.count()
-    assert final.count() == rows.count()
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, None, "a"), (2, "", "a"), (3, " \n", None), (4, "one two three", "a"), (4, "other words here", "b"), (None, "no id", "b"), (None, "no id", "b"), (5, long, "a"), (6, long + " x", "a"), (6, long + " x", "a")]
+    schema = "doc_id long, text string, source string, __gone string, __id string, mark string, words string, slot string"
+    df = spark.createDataFrame([(*r, *"abcde") for r in rows], schema)
+    spark.createDataFrame([(4, 0, 0), (1, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, part in (("some", df), ("none", df.limit(0))):
+        folder = tmp_path / name
+        part.write.parquet(str(folder / "documents.parquet"))
+        spark.read.parquet(str(tmp_path / "labels.parquet")).write.parquet(str(folder / "labels.parquet"))
+        kept = part
+        for stage, function in corpus_pipeline.STAGES[:3]:
+            kept = function(spark, kept, str(folder))
+            assert kept.columns == df.columns, stage
+        found = sorted({(r["doc_id"], (r["text"] or "")[:5].strip()) for r in kept.collect()}, key=str)
+        assert found == ([] if name == "none" else sorted({(3, ""), (4, "one t"), (4, "other"), (None, "no id"), (5, "w0 w1")}, key=str))
+        final = corpus_pipeline.run(spark, str(folder))
+        assert final.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and (final.count() > 0) == (name == "some")
 
 
 def test_pairs_know_their_chunk():

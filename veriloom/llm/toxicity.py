@@ -63,6 +63,20 @@ class Model:
         return float(-np.expm1(-np.logaddexp(0, logits[logits > FLOOR]).sum()))  # 1 - prod(1 - sigmoid)
 
 
+def loss_and_slopes(w: np.ndarray, bias: float, words: np.ndarray, of_sentence: np.ndarray, of_bag: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """The weighted negative log-likelihood of the bags, and its slopes in the words' weights and the bias.
+
+    words, of_sentence: a row for each word of a sentence; of_bag: each sentence's bag; y, share: each bag's label and weight.
+    """
+    logits = bias + np.bincount(of_sentence, w[words], len(of_bag))
+    p = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+    rest = np.exp(np.clip(np.bincount(of_bag, -np.logaddexp(0, logits), len(y)), -30, 0))  # the chance that no sentence is toxic
+    pull = np.where(y == 1, -rest / np.maximum(1 - rest, 1e-9), 1.0) * share
+    slope = pull[of_bag] * p
+    loss = -float((share * np.where(y == 1, np.log(np.maximum(1 - rest, 1e-9)), np.log(rest))).sum())
+    return loss, np.bincount(words, slope[of_sentence], len(w)), float(slope.sum())
+
+
 def fit(sample: list[tuple[str, int]], weigh: tuple[float, float] = (1.0, 1.0)) -> Model:
     """Proximal gradient with AdaGrad steps on the weighted likelihood of the bags."""
     number: dict[str, int] = {}
@@ -102,12 +116,7 @@ def fit(sample: list[tuple[str, int]], weigh: tuple[float, float] = (1.0, 1.0))
     penalty = PENALTY / len(y) ** 0.5
     w, bias, total, total_bias = np.zeros(len(common)), START, np.full(len(common), 1e-8), 1e-8
     for _ in range(STEPS):
-        logits = bias + np.bincount(of_sentence, w[words], len(of_bag))
-        p = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
-        rest = np.exp(np.clip(np.bincount(of_bag, -np.logaddexp(0, logits), len(y)), -30, 0))
-        pull = np.where(y == 1, -rest / np.maximum(1 - rest, 1e-9), 1.0) * share
-        slope = pull[of_bag] * p
-        g, g_bias = np.bincount(words, slope[of_sentence], len(w)), slope.sum()
+        _, g, g_bias = loss_and_slopes(w, bias, words, of_sentence, of_bag, y, share)
         total, total_bias = total + g * g, total_bias + g_bias * g_bias
         rate = RATE / np.sqrt(total)
         w = w - rate * g
@@ -136,7 +145,10 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 
 def offending_sentences(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """id, start and end (code points) and probability of each sentence at or over the threshold."""
+    """id, start and end (code points) and probability of each sentence at or over the threshold.
+
+    Null and empty texts have none; rows that repeat an id have theirs again; an empty table gives an empty result.
+    """
     spark = ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
 
@@ -150,7 +162,7 @@ def offending_sentences(docs: DataFrame, model: Model, id_col: str = "doc_id", t
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs below the threshold, with all their columns."""
+    """The rows of docs below the threshold, with all their columns, whatever their names. Null texts count as empty and stay; repeated rows stay or go together."""
     spark = ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
