@@ -115,6 +115,13 @@ def install_form(text: Column) -> Column:
     return trimmed(F.regexp_replace(F.regexp_replace(text, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"))
 
 
+def text_checks(text: Column, least_bytes: int, points: tuple[int, int], markers: list[str]) -> dict[str, Column]:
+    """Whether a text has enough bytes, a number of code points within bounds, and each of the markers; null counts as empty."""
+    body = F.coalesce(text, F.lit(""))
+    found = {"long_enough": F.octet_length(body) >= least_bytes, "sized": F.length(body).between(*points)}
+    return found | {f"has:{m}": F.contains(body, F.lit(m)) for m in markers}
+
+
 def is_safe_path(path: Column) -> Column:
     """Relative, with forward slashes, and no part that is empty or leads upwards."""
     return (F.length(path) > 0) & ~path.rlike(r"^/|\\|\x00|//|/$") & ~path.rlike(r"(^|/)\.\.?(/|$)")

@@ -136,3 +136,43 @@ def partition_of(parts: DataFrame, whole: DataFrame, key: str) -> DataFrame:
     """Per key of either: how often the parts hold it and whether the whole does; an exact partition has 1 and true."""
     n = parts.groupBy(key).agg(F.count("*").alias("times"))
     return whole.select(key, F.lit(True).alias("wanted")).distinct().join(n, key, "full").select(key, F.coalesce("times", F.lit(0)).cast("long").alias("times"), F.coalesce("wanted", F.lit(False)).alias("wanted"))
+
+
+def running_total(rows: DataFrame, group: str, order: str, value: str, width: int = 1 << 16) -> DataFrame:
+    """rows with `upto`, the sum of values up to and with each row, and `whole`, the group's sum.
+
+    In two steps, over ranges of `width` of the (whole-numbered) order and within a range, so that a group with any part of
+    the rows spreads over many tasks.
+    """
+    cut = F.floor(F.col(order) / width)
+    ranged = rows.withColumn("_range", cut)
+    sums = ranged.groupBy(group, "_range").agg(F.sum(value).alias("_sum"))
+    by = W.partitionBy(group).orderBy("_range")
+    before = F.coalesce(F.sum("_sum").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), before.alias("_before"), F.sum("_sum").over(W.partitionBy(group)).alias("whole"))
+    within = F.sum(value).over(W.partitionBy(group, "_range").orderBy(order))
+    found = ranged.withColumn("_within", within).join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return found.withColumn("upto", F.col("_before") + F.col("_within")).drop("_range", "_within", "_g", "_r", "_before")
+
+
+def dangling(references: DataFrame, targets: DataFrame, reference: str, target: str) -> DataFrame:
+    """References that no target has; a null refers to nothing and dangles."""
+    return references.join(targets.select(F.col(target).alias("_target")).distinct(), F.col(reference) == F.col("_target"), "left_anti")
+
+
+def bound(selectors: DataFrame, live: DataFrame, keys: list[str]) -> DataFrame:
+    """selectors with whether all of their keys agree with some live row."""
+    known = live.select(*keys).distinct().withColumn("_live", F.lit(True))
+    return selectors.join(known, keys, "left").withColumn("bound", F.col("_live").isNotNull()).drop("_live")
+
+
+def counts(rows: DataFrame, group: str, conditions: dict[str, Column]) -> DataFrame:
+    """Per group how many rows there are and for how many each condition holds."""
+    return rows.groupBy(group).agg(F.count("*").alias("n"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in conditions.items()])
+
+
+def story_index(points: DataFrame, intervals: DataFrame, facts: DataFrame, group: str, point: str, start: str, end: str, interval: str) -> DataFrame:
+    """Each point with its interval, the place in it, and the facts known about it (group, point, ...); points without an interval or facts stay."""
+    held = first_interval(points, intervals, group, point, start, end, interval, interval)
+    rows = held.join(intervals.select(group, interval, F.col(start).alias("_s")), [group, interval], "left")
+    return rows.withColumn("in_interval", F.col(point) - F.col("_s") + 1).withColumnRenamed("_s", start).join(facts, [group, point], "left")

@@ -88,3 +88,24 @@ def style_profile(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
 def phase_bounds(n: Column, phase: Column, phases: int = 5) -> tuple[Column, Column]:
     """First and last of 1..n in a phase (from 0)."""
     return F.floor(n * phase / phases) + 1, F.floor(n * (phase + 1) / phases)
+
+
+#: Fixed value: what a phase is sampled at.
+POSITIONS = ("entry", "escalation", "payoff")
+
+
+def phase_samples(counts: DataFrame, arcs: DataFrame, key: str, n: str = "n", phases: int = 5) -> DataFrame:
+    """key, phase (from 1), position, sequence, arc: three chapters of each phase, clamped to the arcs that hold its ends.
+
+    counts: key and its number of chapters; arcs: key, arc, start, end, place (of several arcs over a chapter the first by place).
+    """
+    rows = counts.select(key, F.col(n).cast("long").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(phases - 1).cast("long"))).alias("p"))
+    first, last = phase_bounds(F.col("n"), F.col("p"), phases)
+    rows = rows.select(key, (F.col("p") + 1).alias("phase"), first.cast("long").alias("first"), last.cast("long").alias("last"))
+    at = F.array(*[F.struct(F.lit(name).alias("position"), x.alias("at")) for name, x in zip(POSITIONS, (F.col("first"), F.expr("(first + last) div 2"), F.col("last")))])
+    rows = rows.select(key, "phase", "first", "last", F.explode(at).alias("x")).select(key, "phase", "first", "last", "x.*")
+    spread = arcs.where("end >= start").select(key, F.struct("place", "arc", "start", "end").alias("o"), F.explode(F.sequence("start", "end")).alias("at"))
+    held = spread.groupBy(key, "at").agg(F.min("o").alias("o"))
+    found = rows.join(held, [key, "at"], "left")
+    sequence = F.when(F.col("position") == "entry", F.greatest("first", F.coalesce("o.start", "first"))).when(F.col("position") == "payoff", F.least("last", F.coalesce("o.end", "last"))).otherwise(F.col("at"))
+    return found.select(key, "phase", "position", sequence.cast("long").alias("sequence"), F.coalesce(F.col("o.arc").cast("string"), F.lit("unknown")).alias("arc"))

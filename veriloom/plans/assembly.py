@@ -20,10 +20,10 @@ from .registry import query
 p as (select l_orderkey, l_linenumber, row_number() over (partition by o_custkey order by o_orderkey, l_linenumber, l_returnflag) seq, o_custkey work, l_returnflag flag from lineitem join orders on l_orderkey = o_orderkey)
 select ch.work, ch.seq, arcs.arc, arcs.s arc_start, ch.seq - arcs.s + 1 in_arc, p.flag from ch join arcs on arcs.work = ch.work and ch.seq between arcs.s and arcs.e join p on p.work = ch.work and p.seq = ch.seq""")
 def p7(t):
-    own = arcs(t)
-    rows = E.first_interval(chapters(t).select("work", "seq"), own, "work", "seq", "s", "e", "arc", "arc").join(own.select("work", "arc", "s"), ["work", "arc"])
+    own = arcs(t).withColumnRenamed("s", "arc_start")
     flags = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("work"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey", "l_linenumber", "l_returnflag")).cast("long").alias("seq"), F.col("l_returnflag").alias("flag"))
-    return rows.join(flags, ["work", "seq"]).select("work", "seq", "arc", F.col("s").alias("arc_start"), (F.col("seq") - F.col("s") + 1).alias("in_arc"), "flag")
+    rows = E.story_index(chapters(t).select("work", "seq"), own, flags, "work", "seq", "arc_start", "e", "arc")
+    return rows.select("work", "seq", "arc", "arc_start", F.col("in_interval").alias("in_arc"), "flag")
 
 
 @query("p9_w18_observation_selectors", """

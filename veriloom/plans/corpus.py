@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import evidence as E
 from ..operators import profile as P
 from ..operators import segment as S
 from .registry import query
@@ -107,8 +108,8 @@ def f25(t):
 @query("p23_text_checks", """
 select doc_id, strlen(coalesce(text, '')) >= 400 long_enough, length(coalesce(text, '')) between 400 and 700 intro_sized, contains(coalesce(text, ''), 'the ') has_section from documents""")
 def p23(t):
-    text = F.coalesce("text", F.lit(""))
-    return t.documents.select("doc_id", (F.octet_length(text) >= 400).alias("long_enough"), F.length(text).between(400, 700).alias("intro_sized"), F.contains(text, F.lit("the ")).alias("has_section"))
+    found = T.text_checks(F.col("text"), 400, (400, 700), ["the "])
+    return t.documents.select("doc_id", found["long_enough"].alias("long_enough"), found["sized"].alias("intro_sized"), found["has:the "].alias("has_section"))
 
 
 @query("p1_marked_chapters", spelled(r"""
@@ -212,7 +213,7 @@ r as (select *, (sum(b) over (partition by source order by doc_id) - b)::bigint
 select source, doc_id, s start_byte, s + b end_byte, case when (2 * s + b) * 3 < size * 2 then 'early' when (2 * s + b) * 3 < size * 4 then 'middle' else 'late' end band from r""")
 def p10(t):
     rows = t.documents.select("source", "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("b"))
-    rows = rows.withColumns({"e": F.sum("b").over(W.partitionBy("source").orderBy("doc_id")), "size": F.sum("b").over(W.partitionBy("source"))}).withColumn("s", F.col("e") - F.col("b"))
+    rows = E.running_total(rows, "source", "doc_id", "b", 256).withColumnsRenamed({"upto": "e", "whole": "size"}).withColumn("s", F.col("e") - F.col("b"))
     return rows.select("source", "doc_id", F.col("s").alias("start_byte"), F.col("e").alias("end_byte"), S.coverage_band(F.col("s"), F.col("e"), F.col("size")).alias("band"))
 
 
@@ -247,17 +248,18 @@ def w7(t):
 
 
 @query("w8_phase_samples", """
-with d as (select source, doc_id, row_number() over (partition by source order by doc_id) s, count(*) over (partition by source) n from documents),
-p as (select distinct source, n, i, n * i // 5 + 1 a, n * (i + 1) // 5 b from d, unnest(range(5)) u(i)),
-k as (select source, i, unnest([('entry', a), ('midpoint', (a + b) // 2), ('payoff', b)]) x from p where b >= a)
-select k.source, i phase, x[1] kind, d.doc_id from k join d on k.source = d.source and d.s = x[2]""".replace("[('entry', a), ('midpoint', (a + b) // 2), ('payoff', b)]", "[{'k': 'entry', 's': a}, {'k': 'midpoint', 's': (a + b) // 2}, {'k': 'payoff', 's': b}]").replace("x[1]", "x.k").replace("x[2]", "x.s"))
+with oc as (select o_custkey work, o_orderkey arc, count(*) n from orders join lineitem on l_orderkey = o_orderkey group by 1, 2),
+ar as (select work, arc, (sum(n) over w - n + 1)::bigint s, (sum(n) over w)::bigint e from oc window w as (partition by work order by arc)),
+c as (select work, sum(n)::bigint + 2 n from oc group by 1),
+p as (select work, i + 1 phase, n * i // 5 + 1 a, n * (i + 1) // 5 b from c, unnest(range(5)) u(i)),
+k as (select work, phase, a, b, 'entry' pos, a at_ from p union all select work, phase, a, b, 'escalation', (a + b) // 2 from p union all select work, phase, a, b, 'payoff', b from p),
+f as (select k.*, ar.arc, ar.s, ar.e from k left join ar on ar.work = k.work and at_ between s and e)
+select work, phase, pos "position", case pos when 'entry' then greatest(a, coalesce(s, a)) when 'payoff' then least(b, coalesce(e, b)) else at_ end::bigint "sequence", coalesce(arc::varchar, 'unknown') arc from f""")
 def w8(t):
-    d = t.documents.select("source", "doc_id", F.row_number().over(W.partitionBy("source").orderBy("doc_id")).cast("long").alias("s"))
-    p = d.groupBy("source").agg(F.count("*").alias("n")).select("source", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("phase"))
-    a, b = P.phase_bounds(F.col("n"), F.col("phase"))
-    p = p.select("source", "phase", a.cast("long").alias("a"), b.cast("long").alias("b")).where("b >= a")
-    at = F.array(*[F.struct(F.lit(k).alias("kind"), x.alias("s")) for k, x in (("entry", F.col("a")), ("midpoint", F.expr("(a + b) div 2")), ("payoff", F.col("b")))])
-    return p.select("source", "phase", F.explode(at).alias("x")).select("source", "phase", "x.kind", "x.s").join(d, ["source", "s"]).select("source", "phase", "kind", "doc_id")
+    from .evidence import arcs
+
+    own = arcs(t).select("work", "arc", F.col("s").alias("start"), F.col("e").alias("end"), F.col("arc").alias("place"))
+    return P.phase_samples(own.groupBy("work").agg((F.max("end") + 2).alias("n")), own, "work")
 
 
 _SUMMARY = """

@@ -77,22 +77,21 @@ select source, count(*) n, count(quality) selected, count(*) filter (quality = 1
 def j5(t):
     rows = t.documents.join(t.labels, "doc_id", "left")
     c = {"eligible": (F.col("quality") == 1) & (F.col("toxic") == 0), "rejected": F.col("toxic") == 1, "unlabelled": F.col("quality").isNull(), "long_": F.coalesce("n_chars", F.lit(0)) > 1000, "english": F.col("lang") == "en", "missing": F.col("text").isNull()}
-    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count("quality").alias("selected"), *[F.count_if(v).alias(k) for k, v in c.items()])
+    return E.counts(rows, "source", {"selected": F.col("quality").isNotNull(), **c})
 
 
 @query("j15_u4_dangling_references", """
 select l_orderkey, l_linenumber, l_partkey from lineitem where l_partkey not in (select p_partkey from part where p_size > 5)""")
 def j15(t):
-    return t.lineitem.join(t.part.where("p_size > 5"), F.col("l_partkey") == F.col("p_partkey"), "left_anti").select("l_orderkey", "l_linenumber", "l_partkey")
+    return E.dangling(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), t.part.where("p_size > 5"), "l_partkey", "p_partkey")
 
 
 @query("j16_selector_binding", """
 select a.l_orderkey, a.l_linenumber, b.l_orderkey is not null bound from lineitem a
-left join (select * from lineitem where l_quantity < 45) b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber and a.l_partkey = b.l_partkey""")
+left join (select distinct l_orderkey, l_linenumber, l_partkey from lineitem where l_quantity < 45) b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber and a.l_partkey = b.l_partkey""")
 def j16(t):
     keys = ["l_orderkey", "l_linenumber", "l_partkey"]
-    live = t.lineitem.where("l_quantity < 45").select(*keys, F.lit(True).alias("b"))
-    return t.lineitem.select(*keys).join(live, keys, "left").select("l_orderkey", "l_linenumber", F.col("b").isNotNull().alias("bound"))
+    return E.bound(t.lineitem.select(*keys), t.lineitem.where("l_quantity < 45"), keys).select("l_orderkey", "l_linenumber", "bound")
 
 
 @query("j17_pair_comparisons", """
