@@ -398,7 +398,7 @@ def chain_twin(texts, budget):
     """The reads that files in order demand, and the whole transcript, in plain Python."""
     dumps = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    cursor = lambda n, h, i: "cursor-" + sha("\0".join(["firefly-hermes-read-cursor/v1", n, h, str(i)]))
+    cursor = lambda n, h, i: "cursor-" + sha("\0".join([I.CURSOR, n, h, str(i)]))
     name = lambda n: f"input-{n + 1:03d}"
     parts = []
     for text in texts:
@@ -416,11 +416,11 @@ def chain_twin(texts, budget):
                 following = (name(f), cursor(name(f), sha(texts[f]), i + 1))
             else:
                 following = (name(f + 1), cursor(name(f + 1), sha(texts[f + 1]), 0)) if f + 1 < len(texts) else (None, None)
-            payload = {"schemaVersion": "firefly-hermes-read-result/v2", "inputId": name(f), "sha256": sha(texts[f]), "sizeBytes": len(texts[f].encode()), "chunkIndex": i, "chunkCount": len(chunks), "chunkSha256": sha(content), "nextInputId": following[0], "nextCursor": following[1], "content": content}
+            payload = {"schemaVersion": A.READ_RESULT, "inputId": name(f), "sha256": sha(texts[f]), "sizeBytes": len(texts[f].encode()), "chunkIndex": i, "chunkCount": len(chunks), "chunkSha256": sha(content), "nextInputId": following[0], "nextCursor": following[1], "content": content}
             rows.append((len(rows) + 1, name(f), expected, sha(content), *following))
             call = f"call-{len(rows):04d}-" + "0" * 128
             arguments = {"inputId": name(f)} if expected is None else {"inputId": name(f), "cursor": expected}
-            messages += [{"role": "assistant", "finish_reason": "tool_calls", "compacted": 0, "tool_calls": [{"id": call, "function": {"name": "firefly_read_source", "arguments": dumps(arguments)}}]}, {"role": "tool", "tool_call_id": call, "tool_name": "firefly_read_source", "compacted": 0, "content": dumps(payload)}]
+            messages += [{"role": "assistant", "finish_reason": "tool_calls", "compacted": 0, "tool_calls": [{"id": call, "function": {"name": A.READ_TOOL, "arguments": dumps(arguments)}}]}, {"role": "tool", "tool_call_id": call, "tool_name": A.READ_TOOL, "compacted": 0, "content": dumps(payload)}]
             expected = following[1]
     return rows, len(dumps(messages).encode())
 
@@ -486,7 +486,7 @@ def test_slices_and_chunks(spark):
     got = I.chunks(docs(spark, 'ab"c\n'), "doc_id", "text", 5).orderBy("idx").collect()
     assert [r["chunk"] for r in got] == ["ab", '"c', "\n"]
     assert I.split_by_budget("😀😀😀", 5) == ["😀😀😀"] and I.split_by_budget("", 5) == [""]
-    assert got[1]["cursor"] == "cursor-" + hashlib.sha256("\0".join(["firefly-hermes-read-cursor/v1", "0", hashlib.sha256(b'ab"c\n').hexdigest(), "1"]).encode()).hexdigest()
+    assert got[1]["cursor"] == "cursor-" + hashlib.sha256("\0".join([I.CURSOR, "0", hashlib.sha256(b'ab"c\n').hexdigest(), "1"]).encode()).hexdigest()
     with pytest.raises(ValueError):
         I.split_by_budget("a\x01", 5)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from ..functions import text as T
+from .scoring import PACKET_SCHEMA
 
 # Dimensions of a profile in their order, what a source is selected for, and which role needs which.
 DIMENSIONS = (
@@ -203,8 +204,8 @@ def semantic_subset(findings: DataFrame, wanted: DataFrame, group: str, finding:
     return out.select(group, F.transform("x", lambda y: y[finding]).alias("finding_ids"), F.sha2(F.concat(F.lit("["), F.array_join(F.transform("x", lambda y: y[body]), ","), F.lit("]")), 256).alias("set_sha256"))
 
 
-#: What names a packet, and isn't part of what its digest covers.
-PACKET_SCHEMA, PACKET_NAMES = "firefly_review_packet/v2", ("schemaVersion", "packetId", "packetSha256")
+#: Fixed value: what names a packet, and isn't part of what its digest covers.
+PACKET_NAMES = ("schemaVersion", "packetId", "packetSha256")
 
 
 @F.pandas_udf(StructType([StructField("schema_ok", BooleanType()), *[StructField(c, StringType()) for c in ("packet_id", "packet_sha256", "sha256")]]))

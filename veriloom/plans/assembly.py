@@ -248,7 +248,7 @@ def p25(t):
     digest = F.sha2(F.concat(F.lit("{"), body, F.lit("}")), 256)
     k = F.col("event_id") % 4
     name = F.concat(F.lit("frp-"), F.substring(F.when(k == 1, F.sha2(digest, 256)).otherwise(digest), 1, 24))
-    packet = F.concat(F.lit('{"schemaVersion":"firefly_review_packet/v'), F.when(k == 2, "1").otherwise("2"), F.lit('","packetId":"'), name, F.lit('",'), body, F.lit(',"packetSha256":"'), F.when(k == 3, F.upper(digest)).otherwise(digest), F.lit('"}'))
+    packet = F.concat(F.lit('{"schemaVersion":"'), F.when(k == 2, "other").otherwise(A.PACKET_SCHEMA), F.lit('","packetId":"'), name, F.lit('",'), body, F.lit(',"packetSha256":"'), F.when(k == 3, F.upper(digest)).otherwise(digest), F.lit('"}'))
     return A.packet_identity(t.events.select("event_id", packet.alias("packet")), "event_id")
 
 

@@ -60,8 +60,8 @@ w(doc_id, idx, first, last, upto) as (
   select doc_id, 0, 1::bigint, max(i), max(upto) from u where upto <= 1998 group by doc_id
   union all
   select w.doc_id, w.idx + 1, w.last + 1, max(u.i), max(u.upto) from w join u on u.doc_id = w.doc_id and u.i > w.last and u.upto <= w.upto + 1998 group by w.doc_id, w.idx, w.last)
-select w.doc_id, idx::bigint idx, last - first + 1 n, 'cursor-' || sha256('firefly-hermes-read-cursor/v1' || chr(0) || w.doc_id || chr(0) || sha256(text) || chr(0) || idx) "cursor" from w join documents using (doc_id)
-union all select doc_id, 0, 0, 'cursor-' || sha256('firefly-hermes-read-cursor/v1' || chr(0) || doc_id || chr(0) || sha256('') || chr(0) || '0') from documents where coalesce(text, '') = ''""")
+select w.doc_id, idx::bigint idx, last - first + 1 n, 'cursor-' || sha256('@CURSOR' || chr(0) || w.doc_id || chr(0) || sha256(text) || chr(0) || idx) "cursor" from w join documents using (doc_id)
+union all select doc_id, 0, 0, 'cursor-' || sha256('@CURSOR' || chr(0) || doc_id || chr(0) || sha256('') || chr(0) || '0') from documents where coalesce(text, '') = ''""".replace("@CURSOR", S.CURSOR))
 def s9(t):
     rows = S.chunks(t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text", 2000)
     return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), F.length("chunk").cast("long").alias("n"), "cursor")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import nested, text as T
 from ..operators import trace as R
+from ..sources.files import CURSOR
 from .registry import query
 
 
@@ -49,9 +50,9 @@ w(g, place, idx, first, last, upto) as (
   select w.g, w.place, w.idx + 1, w.last + 1, max(u.i), max(u.upto) from w join u on u.g is not distinct from w.g and u.place = w.place and u.i > w.last and u.upto <= w.upto + 3998 group by w.g, w.place, w.idx, w.last),
 ch as (select w.g, w.place, idx, substr(t, first, last - first + 1) content, sha256(t) sha, strlen(t) size from w join f on f.g is not distinct from w.g and f.place = w.place union all select g, place, 0, '', sha256(''), 0 from f where t = ''),
 n as (select *, count(*) over (partition by g, place) cnt, row_number() over (partition by g order by place, idx) at_, lead(place) over (partition by g order by place, idx) np, lead(idx) over (partition by g order by place, idx) ni, lead(sha) over (partition by g order by place, idx) nsha from ch),
-x as (select *, printf('input-%03d', place) input_id, case when at_ > 1 then 'cursor-' || sha256('firefly-hermes-read-cursor/v1' || chr(0) || printf('input-%03d', place) || chr(0) || sha || chr(0) || idx) end cur,
-  case when np is not null then printf('input-%03d', np) end next_id, case when np is not null then 'cursor-' || sha256('firefly-hermes-read-cursor/v1' || chr(0) || printf('input-%03d', np) || chr(0) || nsha || chr(0) || ni) end next_cur from n)
-"""
+x as (select *, printf('input-%03d', place) input_id, case when at_ > 1 then 'cursor-' || sha256('@CURSOR' || chr(0) || printf('input-%03d', place) || chr(0) || sha || chr(0) || idx) end cur,
+  case when np is not null then printf('input-%03d', np) end next_id, case when np is not null then 'cursor-' || sha256('@CURSOR' || chr(0) || printf('input-%03d', np) || chr(0) || nsha || chr(0) || ni) end next_cur from n)
+""".replace("@CURSOR", CURSOR)
 
 
 def _chain(t):
@@ -77,10 +78,10 @@ def j23(t):
 # The length of each call and answer, from the lengths of their parts: what JSON escapes once, and what it escapes twice.
 @query("b5_transcript_bytes", _CHAIN + r""",
 e as (select *, strlen(replace(replace(replace(replace(replace(replace(replace(content, '\', '\\\\'), '"', '\\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t'), chr(8), '\\b'), chr(12), '\\f')) + 6 * (length(content) - length(regexp_replace(content, '[\x00-\x07\x0b\x0e-\x1f]', '', 'g'))) twice from x),
-p as (select g, strlen('{"role":"assistant","finish_reason":"tool_calls","compacted":0,"tool_calls":[{"id":"","function":{"name":"firefly_read_source","arguments":"{\"inputId\":\"\"}"}}]}') + length(input_id) + coalesce(length(cur) + strlen(',\"cursor\":\"\"'), 0)
-  + strlen('{"role":"tool","tool_call_id":"","tool_name":"firefly_read_source","compacted":0,"content":"{\"schemaVersion\":\"firefly-hermes-read-result/v2\",\"inputId\":\"\",\"sha256\":\"\",\"sizeBytes\":,\"chunkIndex\":,\"chunkCount\":,\"chunkSha256\":\"\",\"nextInputId\":,\"nextCursor\":,\"content\":\"\"}"}') + length(input_id) + 64 + length(size::varchar) + length(idx::varchar) + length(cnt::varchar) + 64
+p as (select g, strlen('{"role":"assistant","finish_reason":"tool_calls","compacted":0,"tool_calls":[{"id":"","function":{"name":"@TOOL","arguments":"{\"inputId\":\"\"}"}}]}') + length(input_id) + coalesce(length(cur) + strlen(',\"cursor\":\"\"'), 0)
+  + strlen('{"role":"tool","tool_call_id":"","tool_name":"@TOOL","compacted":0,"content":"{\"schemaVersion\":\"@RESULT\",\"inputId\":\"\",\"sha256\":\"\",\"sizeBytes\":,\"chunkIndex\":,\"chunkCount\":,\"chunkSha256\":\"\",\"nextInputId\":,\"nextCursor\":,\"content\":\"\"}"}') + length(input_id) + 64 + length(size::varchar) + length(idx::varchar) + length(cnt::varchar) + 64
   + coalesce(length(next_id) + 4, 4) + coalesce(length(next_cur) + 4, 4) + twice + 2 * (6 + greatest(4, length(at_::varchar)) + 128) b from e)
-select g source, count(*) chunks, (sum(b) + 2 * count(*) + 1)::bigint transcript_bytes from p group by g""")
+select g source, count(*) chunks, (sum(b) + 2 * count(*) + 1)::bigint transcript_bytes from p group by g""".replace("@TOOL", R.READ_TOOL).replace("@RESULT", R.READ_RESULT))
 def b5(t):
     return R.transcript_bytes(_chain(t), "source")
 
