@@ -247,13 +247,14 @@ def o6(t):
 
 
 @query("o1_korean_order", """
-with w as (select p_partkey, chr(44032 + (p_partkey * 7919 % 11172)::int) || chr(44032 + (p_partkey * 104729 % 11172)::int) title from part)
-select p_partkey, title, row_number() over (order by title, p_partkey) place from w""")
+with w as (select p_partkey, p_size, chr(44032 + (p_partkey * 7919 % 11172)::int) || chr(44032 + (p_partkey * 104729 % 11172)::int) title from part)
+select p_partkey, title, row_number() over (partition by p_size order by title, p_partkey) place from w""")
 def o1(t):
     # Composed Hangul syllables are in dictionary order by code point too, which is what the SQL relies on.
     code = lambda m: F.decode(F.unhex(F.lpad(F.hex(44032 + F.col("p_partkey") * m % 11172), 4, "0")), "UTF-16BE")
-    rows = t.part.select("p_partkey", F.concat(code(7919), code(104729)).alias("title"))
-    return rows.withColumn("place", F.row_number().over(W.orderBy(F.expr("title collate ko"), "p_partkey")).cast("long"))
+    rows = t.part.select("p_partkey", "p_size", F.concat(code(7919), code(104729)).alias("title"))
+    order = W.partitionBy("p_size").orderBy(F.expr("title collate ko"), "p_partkey")
+    return rows.withColumn("place", F.row_number().over(order).cast("long")).drop("p_size")
 
 
 @query("u1_u2_u3_set_checks", """
