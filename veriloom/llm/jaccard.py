@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, cut, fresh, ship, tasks, text_or_empty
+from .common import BLANK_CLASS, cut, discard, fresh, ship, tasks, text_or_empty
 from .components import components
 from .key_filter import key_filter
 
@@ -47,7 +47,7 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9995
 TREES, DEPTH = 25, 8
 #: Up to so many texts below a trie node of the floor depth meet without a longer prefix.
 DENSE = 64
-CHUNK, CHUNK_BYTES, SALTS = 512, 16 << 20, 32
+CHUNK, CHUNK_BYTES, SALTS = 512, 4 << 20, 32
 #: Marks the shingles that a text lacks of its family's first text.
 _LACKS = np.uint64(0xA5A5A5A5A5A5A5A5)
 #: A node is hot when a sample of a 64th of the texts has so many of it; a salt of it gets about HOT * 64 texts.
@@ -65,7 +65,7 @@ def floor_depth(threshold: float = THRESHOLD, trees: int = TREES, recall: float
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 300_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -127,6 +127,7 @@ def _signed(docs: DataFrame, forest: Forest) -> DataFrame:
                 labels.append(forest.labels(x).tobytes() if len(x) else None)
                 sizes.append(len(raw))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(labels, pa.binary()), pa.array(sizes, pa.int64())], names=["id", "digest", "salt", "labels", "size"])
+        _hashes.clear()  # an idle worker holds none
 
     return docs.mapInArrow(run, "id long, digest string, salt int, labels binary, size long")
 
@@ -269,8 +270,8 @@ def _within_dense(below: DataFrame, steps: DataFrame, parts: int, floor: int) ->
     return rows.repartition(parts, "key").sortWithinPartitions("key", "hi", "lo", "node").mapInArrow(run, "u long, v long")
 
 
-def _ties(firsts: DataFrame, parts: int, threshold: float, trees: int, recall: float, dense: int) -> DataFrame:
-    """firsts: node, labels. u, v: a tie for each text that meets others in some tree."""
+def _ties(firsts: DataFrame, parts: int, threshold: float, trees: int, recall: float, dense: int) -> tuple[DataFrame, DataFrame]:
+    """firsts: node, labels. u, v: a tie for each text that meets others in some tree; and the table that it is read from."""
     floor = floor_depth(threshold, trees, recall)
     part = _exploded(firsts.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SAMPLE)) == 0), trees, floor)
     hot = part.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select("key", F.ceil(F.col("n") / HOT).alias("salts"))
@@ -284,7 +285,7 @@ def _ties(firsts: DataFrame, parts: int, threshold: float, trees: int, recall: f
         ties = ties.union(_across_salts(salted, parts))
     if not below.isEmpty():
         ties = ties.union(_within_dense(below, shortened(below, threshold, trees, floor, recall), parts, floor))
-    return ties
+    return ties, met
 
 
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD, sizes: np.ndarray | None = None, lacks: np.ndarray | None = None, base: int = 0) -> np.ndarray:
@@ -344,6 +345,7 @@ def _differences(rows: DataFrame) -> DataFrame:
                 out.append((len(own), lacks, len(base), x.tobytes()))
             columns = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], *[pa.array(c, k) for c, k in zip(columns, kinds[3:])]], names=names)
+        _hashes.clear()
 
     return rows.select("node", "root", "chunk", "text", "base").mapInArrow(run, "node long, root long, chunk int, size long, lacks long, base long, x binary")
 
@@ -400,6 +402,7 @@ def _verified(cells: DataFrame, parts: int, threshold: float) -> DataFrame:
                 found = []
         if rows:
             yield batch_of([judge(rows)])
+        _hashes.clear()
 
     dealt = cells.repartition(parts, "cell").sortWithinPartitions("cell")
     return dealt.select("cell", "a", "b", "chunk", "node", "text", "size", "lacks", "base", "x").mapInArrow(run, "node long, links long, root long")
@@ -448,7 +451,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = same.select(_mark(F.col("digest"), F.col("id")).alias("mark"), "node")
     marked = signed.where("labels is not null").select(_mark(F.col("digest"), F.col("id")).alias("mark"), "labels", "size")
     firsts = cut(marked.join(nodes, "mark").select("node", "labels", "size").dropDuplicates(["node"]))
-    family = components(_ties(firsts, parts, threshold, trees, recall, dense or DENSE))
+    ties, met_at = _ties(firsts, parts, threshold, trees, recall, dense or DENSE)
+    family = components(ties)
+    discard(met_at)
     sized = cut(family.join(firsts.select("node", "size"), "node"))
     sums = sized.groupBy("root").agg(F.count("*").alias("members"), F.sum("size").alias("bytes"))
     sums = sums.select("root", F.greatest(F.ceil(F.col("members") / (2 * CHUNK)), F.ceil(F.col("bytes") / (2 * CHUNK_BYTES))).alias("over"), F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("bytes") / CHUNK_BYTES)).alias("chunks"))
@@ -473,6 +478,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         apart = cut(_differences(crowd.join(bases, ["root", "chunk"])))
         dealt = apart.join(sides, ["root", "chunk"]).select(F.xxhash64("root", "a", "b").alias("cell"), "a", "b", "chunk", "node", F.lit(None).cast("string").alias("text"), "size", "lacks", "base", "x")
         verified = cut(_verified(whole.union(dealt), parts, threshold))
+        discard(apart)
+    discard(firsts, sized, member)
     links = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
     roots = components(verified.select(F.col("node").alias("u"), F.col("root").alias("v")))
     found = same.join(links.join(roots, "node", "left"), "node", "left").withColumn("root", F.coalesce("root", "node"))
