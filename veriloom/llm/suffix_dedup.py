@@ -501,7 +501,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = ship(docs.sparkSession)
     parts = tasks(spark)
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    buckets = max(LEAST_BUCKETS, 4 * parts, min(size >> 28, 1 << 24))  # about 256 MB of text at most stand behind a bucket
+    buckets = max(LEAST_BUCKETS, 4 * parts, min(size >> 28, 16 * parts))  # 256 MB of text behind a bucket, if the estimate is right
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("key"), text_or_empty(text_col).alias("text"), F.col(id_col).isNull().alias("nameless"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     spans = _covered(rows, parts, buckets, bits, False)
