@@ -220,6 +220,8 @@ def _coded(docs, vocabulary, pattern, id_col, text_col, digests: bool, cached: i
                     rows, held = [], 0
             if rows:
                 yield _batch(rows, digests)
+        if cached < CACHED_PIECES:  # where memory is short an idle worker holds the younger generation only
+            codec.pieces.older = {}
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
