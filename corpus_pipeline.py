@@ -13,6 +13,8 @@ from veriloom.llm import bpe, exact_dedup, jaccard, mixing, toxicity
 from veriloom.llm.common import cut, discard
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Pieces that a worker remembers while encoding, next to what earlier stages left in its memory.
+CACHED_PIECES = 300_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded bytes."""
-    coded = bpe.encode_digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    coded = bpe.encode_digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, cached=CACHED_PIECES)
     return coded.withColumnRenamed("id", "doc_id")
 
 
