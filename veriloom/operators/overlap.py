@@ -21,10 +21,10 @@ MOST_BROADCAST = 1_000_000
 def grams(rows: DataFrame, key: str, text: str, size: int, tokens=T.scanner_tokens) -> DataFrame:
     """key, pos (from 0) and a 128-bit key of each run of `size` tokens: 24 bytes a row, however long the tokens."""
     listed = rows.select(key, tokens(F.col(text)).alias("t")).where(F.size("t") >= size)
-    at = F.sequence(F.lit(0), F.size("t") - size)
-    piece = lambda i: F.slice("t", i + 1, size)
-    found = F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(piece(i)).alias("g1"), F.xxhash64(F.lit(7), piece(i)).alias("g2")))
-    return listed.select(key, F.explode(found).alias("x")).select(key, "x.pos", "x.g1", "x.g2")
+    # Explode and hashes are one stage of generated code, so the tokens aren't copied for each place.
+    at = listed.select(key, "t", F.explode(F.sequence(F.lit(0), F.size("t") - size)).alias("pos"))
+    piece = F.slice("t", F.col("pos") + 1, size)
+    return at.select(key, "pos", F.xxhash64(piece).alias("g1"), F.xxhash64(F.lit(7), piece).alias("g2"))
 
 
 def token_overlap(artifacts: DataFrame, sources: DataFrame, artifact: str = "doc_id", source: str = "item_id", text: str = "text", size: int = TOKENS) -> DataFrame:
