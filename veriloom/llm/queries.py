@@ -72,7 +72,33 @@ def op10_line_dedup(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", "n_chunks", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_suffix_dedup, op4_url_filter, op5_top_k, op6_mixing, op7_toxicity, op8_jaccard_join, op9_quality, op10_line_dedup)}
+#: A to Z and the small letters for them.
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle_manifest(spark, sf_dir):
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = _module("merkle").manifest(_table(spark, sf_dir, "documents"), tampering={"text": F.translate("text", CAPITALS, SMALL)}, tampered=tampered)
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_conversation_repair(spark, sf_dir):
+    return _module("conversations").repair_summaries(_table(spark, sf_dir, "conversations"))
+
+
+def op13_simhash(spark, sf_dir):
+    simhash = _module("simhash")
+    found = simhash.near_components(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_bpe, op3_suffix_dedup, op4_url_filter, op5_top_k, op6_mixing, op7_toxicity, op8_jaccard_join, op9_quality, op10_line_dedup,
+        op11_merkle_manifest, op12_conversation_repair, op13_simhash,
+    )
+}
 
 _EXACT_SQL = """
 with d as (select doc_id, coalesce(text, '') t, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') c from documents),
