@@ -7,6 +7,8 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import structure_sql
+
 #: Fixed values of the url query: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -149,4 +151,7 @@ select p.doc_id, p.size, tg.z source_size, tg.target target, cast(case when p.si
 from p join tg on p.source is not distinct from tg.source
 """
 
-ORACLES = {"op1_exact_dedup": _EXACT_SQL, "op4_url_filter": _URL_SQL, "op5_top_k": _TOP_SQL, "op6_mixing": _MIX_SQL}
+ORACLES = {
+    "op1_exact_dedup": _EXACT_SQL, "op4_url_filter": _URL_SQL, "op5_top_k": _TOP_SQL, "op6_mixing": _MIX_SQL,
+    "op11_merkle_manifest": structure_sql.MANIFEST, "op12_conversation_repair": structure_sql.REPAIR,
+}
