@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.text import is_safe_path, is_sha256, trimmed
 from ..operators.segment import integrity_hints, structure
+from ..shared import commit, delete, exists, new_path, written
 from ..shipping import ship
 
 
@@ -73,10 +77,103 @@ def csv_cells_of(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, text).mapInArrow(run, f"k {kind.simpleString()}, row_no long, cells array<string>, header array<string>").withColumnRenamed("k", key)
 
 
+#: Fixed by parse_csv: a record of so few characters may be one empty cell, which is no row.
+_MAYBE_EMPTY = 8
+
+
+def _scan_lines(batches):
+    """Lines in the order of their splits, with what a split can tell alone: both states that it may begin in.
+
+    A split begins outside a quoted part (state 0) or inside one (1); a line is a record's first one if as many quotes,
+    modulo 2, lie before it in the split. For each state the line's record start so far and number of rows so far.
+    """
+    split, n, inside, starts, rows = None, 0, 0, [None, None], [0, 0]
+    for batch in batches:
+        names, keys = batch.column("path"), batch.column("block").to_pylist()
+        quotes = pc.count_substring(batch.column("line"), '"').to_pylist()
+        out: dict = {c: [] for c in ("no", "inside", "odd", "start0", "start1", "rows0", "rows1", "kept")}
+        for path, block, line, q in zip(names.to_pylist(), keys, batch.column("line"), quotes):
+            if (path, block) != split:
+                split, n, inside, starts, rows = (path, block), 0, 0, [None, None], [0, 0]
+            kept = True
+            if q % 2 == 0:
+                text = line.as_py() if len(line.as_buffer()) <= _MAYBE_EMPTY else None
+                kept = text is None or bool(parse_csv(text))
+            starts[inside] = n
+            for c, v in zip(out, (n, inside, q % 2, starts[0], starts[1], rows[0], rows[1], kept)):
+                out[c].append(v)
+            rows[inside] += kept
+            n, inside = n + 1, inside ^ (q % 2)
+        kinds = [pa.int64()] + [pa.int32()] * 2 + [pa.int64()] * 4 + [pa.bool_()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(v, k) for v, k in zip(out.values(), kinds)]], names=[*batch.schema.names, *out])
+
+
+_SCANNED = "path string, block long, line string, no long, inside int, odd int, start0 long, start1 long, rows0 long, rows1 long, kept boolean"
+
+
+def csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of CSV files, whatever a file's size, one task for each split: path, block (where the split begins), line and what the split alone can tell."""
+    ship(spark)
+    read = spark.read.option("lineSep", "\n").text(path)  # a line belongs to the split that it begins in
+    lines = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.make_valid_utf8("value").alias("line"))
+    mark = (F.col("block") == 0) & (F.col("no") == 0)
+    return lines.mapInArrow(_scan_lines, _SCANNED).withColumn("line", F.when(mark, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line")))
+
+
+def _csv_splits(lines: DataFrame) -> DataFrame:
+    """One row for each split: the state it begins in, the record that goes on into it, and the rows before it.
+
+    An exclusive-or over the splits before gives the state; a file that ends within quotes is an error.
+    """
+    of = lines.groupBy("path", "block").agg(
+        F.bit_xor("odd").alias("odd"), *[F.max(f"start{p}").alias(f"last{p}") for p in (0, 1)], *[F.count_if((F.col("inside") == p) & F.col("kept")).alias(f"n{p}") for p in (0, 1)]
+    )
+    by = W.partitionBy("path").orderBy("block")
+    before, whole = by.rowsBetween(W.unboundedPreceding, -1), W.partitionBy("path")
+    open_ = F.raise_error(F.concat(F.lit("CSV has an unclosed quoted field: "), "path")).cast("int")
+    state = F.when(F.sum("odd").over(whole) % 2 == 1, open_).otherwise((F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).cast("int"))
+    pick = lambda name: F.when(F.col("state") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
+    last = F.when(pick("last").isNotNull(), F.struct("block", pick("last").alias("no")))
+    known = of.withColumn("state", state).withColumn("came", last).withColumn("n", pick("n"))
+    return known.select(
+        F.col("path").alias("_p"), F.col("block").alias("_b"), "state", F.last("came", ignorenulls=True).over(before).alias("came"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")
+    )
+
+
+def _parse_records(batches):
+    for batch in batches:
+        cells = [parse_csv(text)[0] for text in batch.column("record").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("row_no"), pa.array(cells, pa.list_(pa.string()))], names=["path", "row_no", "cells"])
+
+
+#: So many splits or headers are broadcast at most; beyond that they are joined by a shuffle.
+MOST_SPLITS = 200_000
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= MOST_SPLITS else rows
+
+
 def csv_cells(spark: SparkSession, path: str) -> DataFrame:
-    """The cells of CSV files, by path; bytes that aren't UTF-8 become replacement characters."""
-    files = spark.read.format("binaryFile").load(path)
-    return csv_cells_of(files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text")), "path", "text")
+    """path, row_no (0 is the header), cells and header of CSV files of any size, the same cells as parse_csv gives.
+
+    Files are read in splits. A record of one line never leaves its task; only the lines of records over several lines
+    meet by a shuffle, wherever the borders of splits lie. Bytes that aren't UTF-8 become replacement characters.
+    """
+    lines = csv_lines(spark, path)
+    splits = _small(written(_csv_splits(lines)))
+    found = lines.join(splits, (F.col("path") == F.col("_p")) & (F.col("block") == F.col("_b")))
+    first = F.col("inside") == F.col("state")
+    own = F.when(F.col("state") == 0, F.col("start0")).otherwise(F.col("start1"))
+    start = F.when(own.isNotNull(), F.struct("block", own.alias("no"))).otherwise(F.col("came"))
+    row_no = F.col("base") + F.when(F.col("state") == 0, F.col("rows0")).otherwise(F.col("rows1"))
+    whole = found.where(first & (F.col("odd") == 0) & F.col("kept")).select("path", row_no.alias("row_no"), F.col("line").alias("record"))
+    parts = found.where(~first | (F.col("odd") == 1)).select("path", start.alias("start"), "block", "no", "line", F.when(first, row_no).alias("row_no"))
+    lines_of = F.array_sort(F.collect_list(F.struct("block", "no", "line")))
+    joined = parts.groupBy("path", "start").agg(F.max("row_no").alias("row_no"), F.array_join(F.transform(lines_of, lambda x: x["line"]), "\n").alias("record"))
+    cells = whole.unionByName(joined.select("path", "row_no", "record")).mapInArrow(_parse_records, "path string, row_no long, cells array<string>")
+    headers = _small(written(cells.where("row_no = 0").select(F.col("path").alias("_p"), F.col("cells").alias("header"))))
+    return cells.join(headers, F.col("path") == F.col("_p")).drop("_p")
 
 
 def csv_records(cells: DataFrame, columns: list[str], *keys: str) -> DataFrame:
@@ -93,14 +190,15 @@ def csv_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 def csv_shape_violations(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """path, row_no and rule: a header other than declared, rows with more or fewer cells than the header."""
     cells = csv_cells(spark, path)
-    wrong = (F.col("row_no") == 0) & (F.array_join("cells", ",") != ",".join(columns))
+    wrong = (F.col("row_no") == 0) & (F.col("cells") != F.array(*map(F.lit, columns)))
     uneven = (F.col("row_no") > 0) & (F.size("cells") != F.size("header"))
     return cells.withColumn("rule", F.when(wrong, "header").when(uneven, "cell-count")).where("rule is not null").select("path", "row_no", "rule")
 
 
 def csv_header_matches(spark: SparkSession, path: str, columns: list[str]) -> bool:
-    head = spark.read.text(path).limit(1).first()
-    return head is not None and head[0].lstrip("﻿").rstrip("\r") == ",".join(columns)
+    """Whether the first row of every file has just these cells; no file is no match."""
+    files = csv_cells(spark, path).where("row_no = 0").agg(F.count("*").alias("n"), F.count_if(F.col("cells") != F.array(*map(F.lit, columns))).alias("other")).first()
+    return files["n"] > 0 and files["other"] == 0
 
 
 def json_documents(spark: SparkSession, path: str, schema: StructType | str, tolerant: bool = False) -> DataFrame:
@@ -186,33 +284,52 @@ def rows_digest(df: DataFrame, text: Column) -> str:
     return hashlib.sha256(":".join(str(x or 0) for x in row).encode()).hexdigest()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+def publish_once(df: DataFrame, folder: str, name: str, text: Column) -> tuple[str, bool]:
+    """Write under a name made from the content's digest, and never over anything: the path, and whether this call wrote it.
+
+    Rows go to a folder of their own, are read back and digested, and get their name by a rename that fails where the
+    name is taken. What is there already, or was there first, is read back as well: other content is an error.
+    `text` is an expression of columns of df that tells rows apart.
+    """
+    spark, digest = df.sparkSession, rows_digest(df, text)
+    path, staged = f"{folder}/{name}-{digest[:24]}", f"{folder}/.staged-{uuid.uuid4().hex}"
+    holds = lambda at: rows_digest(spark.read.schema(df.schema).parquet(at), text) == digest
+    new = False
+    if not exists(spark, path):
+        df.write.parquet(staged)
+        if not holds(staged):
+            delete(spark, staged)
+            raise OSError(f"what was written for {path} reads back otherwise")
+        new = commit(spark, staged, path)
+    if not new and not holds(path):
+        raise FileExistsError(f"{path} holds other rows than its name says")
+    return path, new
 
 
 def publish(df: DataFrame, folder: str, name: str, text: Column) -> str:
-    """Write under a name made from the content's digest; the same content again is left as it is. The path."""
-    path = f"{folder}/{name}-{rows_digest(df, text)[:24]}"
-    if not _exists(df.sparkSession, f"{path}/_SUCCESS"):
-        df.write.mode("overwrite").parquet(path)
-    return path
+    return publish_once(df, folder, name, text)[0]
 
 
 def publish_with_receipt(data: DataFrame, receipt: DataFrame, folder: str, name: str, text: Column) -> tuple[str, str]:
     """Data first, the receipt that makes it visible last. A receipt that is there already must say the same; it is never overwritten."""
     path = publish(data, folder, name, text)
-    spark, at = data.sparkSession, f"{path}.receipt"
+    spark, at, staged = data.sparkSession, f"{path}.receipt", f"{folder}/.staged-{uuid.uuid4().hex}"
     said = receipt.withColumn("data_path", F.lit(path))
-    if not _exists(spark, f"{at}/_SUCCESS"):
-        said.coalesce(1).write.mode("overwrite").json(at)
-    else:
-        digest = lambda df: rows_digest(df, F.to_json(F.struct(*sorted(said.columns))))
-        if digest(spark.read.schema(said.schema).json(at)) != digest(said):
-            raise FileExistsError(f"{at} holds another receipt")
+    digest = lambda df: rows_digest(df, F.to_json(F.struct(*sorted(said.columns)), {"ignoreNullFields": "false"}))
+    if not exists(spark, at):
+        said.coalesce(1).write.json(staged)
+        if commit(spark, staged, at):
+            return path, at
+    if digest(spark.read.schema(said.schema).json(at)) != digest(said):
+        raise FileExistsError(f"{at} holds another receipt")
     return path, at
 
 
+def is_published(spark: SparkSession, receipt: str) -> bool:
+    """Data counts as published once its receipt is there."""
+    return exists(spark, receipt)
+
+
 def upsert_plan(stored: DataFrame, offered: DataFrame, key: str, digest: str) -> DataFrame:
     """What an upsert does to each card: installed, refreshed, reused, or kept when not offered."""
     a, b = stored.select(key, F.col(digest).alias("old")), offered.select(key, F.col(digest).alias("new"))
