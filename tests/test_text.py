@@ -57,6 +57,25 @@ def test_json_leaves(spark):
     assert [r["path"] for r in nested.forbidden_text(rows, "id", "doc", "^x$").collect()] == ["$.b[0]"]
 
 
+def test_json_leaves_of_odd_documents(spark):
+    docs = ['{"a-b": {"c d": [[], {}, [1.5, "é\\n"]]}, "q\\"r": null}', '"whole"', "[true]", "3", "bad", None, '{"x": 1, "x": {"rawProse": "y"}}']
+    rows = spark.createDataFrame(list(enumerate(docs)), "key int, doc string")
+    got = sorted((r["k"], r["path"], r["key"], r["leaf"], r["is_text"]) for r in nested.flatten(rows, "key", "doc").collect())
+    assert got == [
+        (0, "$.a-b", "a-b", None, False), (0, '$.a-b["c d"]', "c d", None, False), (0, '$.a-b["c d"][2][0]', None, "1.5", False), (0, '$.a-b["c d"][2][1]', None, "é\n", True), (0, '$["q\\"r"]', 'q"r', "null", False),
+        (1, "$", None, "whole", True), (2, "$[0]", None, "true", False), (6, "$.x", "x", None, False), (6, "$.x.rawProse", "rawProse", "y", True),
+    ]
+
+
+def test_forbidden_keys_and_policies(spark):
+    keys = "body text prose quote excerpt raw rawText rawProse sourceText".split()
+    rows = spark.createDataFrame([(1, "{" + ",".join(f'"{k.upper()}": [{{"{k}s": 1}}]' for k in keys) + "}")], "id int, doc string")
+    assert sorted(r["key"] for r in nested.forbidden_keys(rows, "id", "doc").collect()) == sorted(k.upper() for k in keys)
+    texts = ["폭력 묘사는 반드시 삭제한다", "성별 편견은 삭제를 자동으로", "폭력은 반드시 삭제하지 않는다", "반드시 폭력 삭제", "폭력" + "가" * 41 + "항상 금지", "폭력\n반드시 삭제", None]
+    assert [g[0] for g in values(spark, texts, nested.states_policy(F.col("t")))] == [True, True, False, False, False, False, False]
+    assert [g[0] for g in values(spark, ["이 자폐증은", "가", None], nested.holds_term(F.col("t")))] == [True, False, False]
+
+
 def test_endings(spark):
     words = ["회사에서는", "김철수가", "나는", "이", "학교", "전략이라고"]
     assert [g[0] for g in values(spark, words, K.token_base(F.col("t")))] == ["회사", "김철수", "나는", "이", "학교", "전략"]

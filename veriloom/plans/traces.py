@@ -100,6 +100,43 @@ def p13(t):
     return rows.groupBy("event_id").agg(F.count("key").alias("keys"), F.count_if(F.col("key").rlike("(?i)^(body|text|prose|quote|k)$")).alias("forbidden"))
 
 
+# Nested documents made from the table; every eleventh doesn't parse. Policies and terms as the fixed values have them.
+_NESTED = r"""
+d as (select doc_id, case when doc_id % 11 = 0 then '{oops' else json_object('meta', json_object('lang', lang, 'n-chars', n_chars), case when doc_id % 4 = 0 then 'RawText' else 'summary' end, coalesce(text, ''),
+  'parts', json_array(json_object('note x', case when doc_id % 7 = 0 then '이 인물은 자폐증이다' else source end, 'excerpt', json_array(1, true, null, case doc_id % 5 when 0 then '폭력 장면은 반드시 삭제' when 1 then '차별 표현 감점은 항상' when 2 then '폭력 장면은 반드시 삭제하지 않는다' else 'x' end))))::varchar end j from documents),
+t as (select d.doc_id, regexp_replace(regexp_replace(fullkey, '\."([A-Za-z_][A-Za-z0-9_-]*)"', '.\1', 'g'), '\."([^"]*)"', '["\1"]', 'g') path, key, type, atom, fullkey
+  from d, json_tree(case when json_valid(j) then j::json else '1'::json end) where json_valid(j) and fullkey <> '$'),
+l as (select doc_id, path, case when fullkey like '%]' then null else key end "key", case when type in ('OBJECT', 'ARRAY') then null when type = 'VARCHAR' then json_extract_string(atom, '$') when type = 'NULL' then 'null' else atom::varchar end leaf, type = 'VARCHAR' is_text from t
+  where type not in ('OBJECT', 'ARRAY') or not fullkey like '%]')
+"""
+
+
+def _nested(t):
+    k = F.col("doc_id")
+    policy = F.when(k % 5 == 0, "폭력 장면은 반드시 삭제").when(k % 5 == 1, "차별 표현 감점은 항상").when(k % 5 == 2, "폭력 장면은 반드시 삭제하지 않는다").otherwise("x")
+    text = lambda c: F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"})
+    value = lambda c: F.regexp_replace(text(c), r'(?s)^\{"x":(.*)\}$', "$1")
+    parts = [
+        F.lit('{"meta":{"lang":'), value(F.col("lang")), F.lit(',"n-chars":'), value(F.col("n_chars")), F.when(k % 4 == 0, '},"RawText":').otherwise('},"summary":'), value(F.coalesce("text", F.lit(""))),
+        F.lit(',"parts":[{"note x":'), value(F.when(k % 7 == 0, "이 인물은 자폐증이다").otherwise(F.col("source"))), F.lit(',"excerpt":[1,true,null,'), value(policy), F.lit("]}]}"),
+    ]
+    return t.documents.select("doc_id", F.when(k % 11 == 0, "{oops").otherwise(F.concat(*parts)).alias("j"))
+
+
+@query("p12_nested_leaves", "with " + _NESTED + """ select doc_id, path, "key", sha256(leaf) leaf, is_text from l""")
+def p12_nested(t):
+    return nested.flatten(_nested(t), "doc_id", "j").withColumn("leaf", F.sha2("leaf", 256))
+
+
+@query("p13_p14_p15_document_violations", "with " + _NESTED + r"""
+select doc_id, 'raw-bearing-key' rule, path from l where lower("key") in ('body', 'text', 'prose', 'quote', 'excerpt', 'raw', 'rawtext', 'rawprose', 'sourcetext')
+union all select doc_id, 'mandatory-policy', path from l where is_text and leaf in ('폭력 장면은 반드시 삭제', '차별 표현 감점은 항상')
+union all select doc_id, 'forbidden-term', path from l where is_text and regexp_matches(leaf, '아스퍼거|자폐증')
+union all select doc_id, 'broken-document', '$' from d where not json_valid(j)""")
+def p13_documents(t):
+    return nested.document_violations(_nested(t), "doc_id", "j")
+
+
 @query("f17_f23_canonical_json", r"""
 select event_id, sha256('{' || chr(10) || '  "k": ' || json_extract_string(props, '$.k') || chr(10) || '}' || chr(10)) canonical, sha256('{"k":' || json_extract_string(props, '$.k') || '}') sorted from events where props is not null""")
 def f17(t):
