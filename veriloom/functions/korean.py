@@ -62,7 +62,10 @@ def organization_stem(token: Column) -> tuple[Column, Column]:
     return F.when(fits, stem), F.when(fits, suffix)
 
 
+#: A Latin letter and more, among which a digit, underscore, hyphen or capital comes after the small letters.
+LATIN = "[A-Za-z][a-z]*[A-Z0-9_-][A-Za-z0-9_-]*"
+
+
 def latin_identifier(token: Column) -> Column:
     """A Latin token with a digit, underscore, hyphen, two capitals or an inner capital."""
-    shape = token.rlike(r"^[A-Za-z][A-Za-z0-9_-]+$")
-    return shape & (token.rlike(r"[0-9_-]") | token.rlike(r"[A-Z].*[A-Z]") | token.rlike(r"[a-z][A-Z]"))
+    return token.rlike(f"^{LATIN}$")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import korean as K
 from ..functions import text as T
+from ..functions.nested import flatten
+from ..shared import written
 from .overlap import surface_copies, term_containment
 
 # Quotation marks, quoted passages, the pieces of a text, and the form of an organisation's stem.
@@ -22,23 +24,59 @@ def _kind(name: str, term: Column) -> Column:
     return F.struct(F.lit(name).alias("kind"), term.alias("term"))
 
 
-def surface_terms(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, kind, term. Neighbours are looked up within the row, so nothing is shuffled before the final distinct.
+#: Distinct tokens that are broadcast with their forms, at most; with more, forms are derived where the tokens are.
+MOST_TOKENS = 500_000
+_LATIN_CAPITALS, _LATIN_SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ_-", "abcdefghijklmnopqrstuvwxyz"
+_HANGUL = "[가-힣]"
 
-    Kinds: exact, anchored (persons named by an attached role, exact terms of candidates only), person, surname,
-    org_stem, org_full, attribution, quoted, latin.
+
+def _derived(low: Column) -> dict[str, Column]:
+    """What the rules ask of a token with Hangul, in lower case."""
+    stem, suffix = K.organization_stem(low)
+    return {"form": T.surface_norm(low), "base": K.token_base(low), "stem": stem, "suffix": suffix, "anchor": K.attached_person(low), "role": K.is_role(low)}
+
+
+def _plain_terms(rows: DataFrame, key: str) -> DataFrame:
+    """Of texts without Hangul: a token's base is its form, and there are no persons, surnames or organisations.
+
+    Forms are the runs of letters and digits once the other token characters are gone, so one pass finds them.
+    """
+    form = lambda x: F.translate(x, _LATIN_CAPITALS, _LATIN_SMALL)
+    runs = F.array_distinct(F.regexp_extract_all(form(F.col("text")), F.lit("[a-z0-9]{2,}"), F.lit(0)))
+    latin = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(rf"(?<![A-Za-z0-9_-]){K.LATIN}"), F.lit(0)), form))
+    exact = rows.select(key, F.lit("exact").alias("kind"), F.explode(runs).alias("term"))
+    return exact.unionByName(rows.select(key, F.lit("latin").alias("kind"), F.explode(latin).alias("term")))
+
+
+def _with_forms(tokens: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """tokens (raw, before, after, ...) with the forms of a token with Hangul, and of the neighbours what rules ask of them.
+
+    A dictionary of the distinct tokens holds the forms, derived once for each, and is joined back.
     """
-    rows = rows.select(key, T.composed(F.col(text)).alias(text))
-    pieces = rows.select(key, F.col(text).alias("text"), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_PIECES), F.lit(0)).alias("p"))
+    found = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(T.SURFACE_TOKEN), F.lit(0)))).alias("low")).where(F.col("low").rlike(_HANGUL)).select(F.lower("low").alias("low")).distinct()
+    forms = found.select("low", *[c.alias(f"d_{n}") for n, c in _derived(F.col("low")).items()])
+    known = written(forms)
+    if known.count() > most:
+        inline = lambda name, only: {f"{only}{n}": F.when(F.col(name).rlike(_HANGUL), c) for n, c in _derived(F.col(name)).items()}
+        tokens = tokens.withColumns(inline("low", "d_"))
+        tokens = tokens.withColumn("before_role", F.when(F.col("before").rlike(_HANGUL), K.is_role(F.col("before"))))
+        return tokens.withColumns({"after_role": F.when(F.col("after").rlike(_HANGUL), K.is_role(F.col("after"))), "next_base": F.when(F.col("after").rlike(_HANGUL), K.token_base(F.col("after")))})
+    known = F.broadcast(known)
+    tokens = tokens.join(known, "low", "left")
+    tokens = tokens.join(known.select(F.col("low").alias("before"), F.col("d_role").alias("before_role")), "before", "left")
+    return tokens.join(known.select(F.col("low").alias("after"), F.col("d_role").alias("after_role"), F.col("d_base").alias("next_base")), "after", "left")
+
+
+def _hangul_terms(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """Of texts with Hangul. Neighbours are looked up within the row, so nothing is shuffled before the final distinct."""
+    pieces = rows.select(key, F.regexp_extract_all("text", F.lit(_PIECES), F.lit(0)).alias("p"))
     near = F.transform("p", lambda x, i: F.struct(x.alias("raw"), F.when(i >= 2, F.get("p", i - 2)).alias("before"), F.get("p", i + 1).alias("gap"), F.get("p", i + 2).alias("after")))
     tokens = pieces.select(key, F.explode(F.filter(near, lambda x: x["raw"].rlike(f"^{T.SURFACE_TOKEN}$"))).alias("x")).select(key, "x.*")
-    # Each derived form is a column of its own, so its regular expression runs once a row.
     tokens = tokens.withColumns({"low": F.lower("raw"), "after": F.lower("after"), "before": F.lower("before"), "spaced": F.coalesce(F.col("gap").rlike(r"^[\t\p{Zs}]+$"), F.lit(False))})
-    tokens = tokens.withColumns({"form": T.surface_norm(F.col("low")), "hangul": F.col("low").rlike("[가-힣]")})
-    tokens = tokens.withColumns({"base": F.when(F.col("hangul"), K.token_base(F.col("low"))).otherwise(F.col("form")), "next_base": F.when(F.col("after").rlike("[가-힣]"), K.token_base(F.col("after")))})
-    stem, suffix = K.organization_stem(F.col("low"))
-    only = lambda c: F.when(F.col("hangul"), c)
-    tokens = tokens.withColumns({"stem": only(stem), "suffix": only(suffix), "anchor": only(K.attached_person(F.col("low"))), "beside": F.coalesce(only(K.is_role(F.col("before")) | K.is_role(F.col("after"))), F.lit(False))})
+    tokens = _with_forms(tokens, rows, most)
+    plain = F.translate("low", _LATIN_CAPITALS, _LATIN_SMALL)
+    tokens = tokens.withColumns({"form": F.coalesce("d_form", plain), "base": F.coalesce("d_base", plain), "stem": F.col("d_stem"), "suffix": F.col("d_suffix"), "anchor": F.col("d_anchor")})
+    tokens = tokens.withColumn("beside", F.col("d_form").isNotNull() & (F.coalesce("before_role", F.lit(False)) | F.coalesce("after_role", F.lit(False))))
     low, base, following, spaced = F.col("form"), F.col("base"), F.col("next_base"), F.col("spaced")
     stem, suffix, person, beside = F.col("stem"), F.col("suffix"), F.col("anchor"), F.col("beside")
     apart = spaced & following.isin(K.ORGANIZATIONS) & base.rlike(_STEM)
@@ -52,9 +90,26 @@ def surface_terms(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
         _kind("exact", F.concat(stem, suffix)), _kind("exact", F.when(apart, F.concat(base, following))),
         _kind("attribution", F.when(owned, base)), _kind("latin", F.when(K.latin_identifier(F.col("raw")), low)),
     )
-    terms = tokens.select(key, F.explode(F.filter(found, lambda x: x["term"].isNotNull() & (x["term"] != ""))).alias("x")).select(key, "x.*")
-    quoted = pieces.select(key, F.explode(F.regexp_extract_all("text", F.lit(QUOTED), F.lit(1))).alias("q")).select(key, F.lit("quoted").alias("kind"), T.surface_norm(F.col("q")).alias("term"))
-    return terms.unionByName(quoted.where("length(term) >= 2")).distinct()
+    return tokens.select(key, F.explode(F.filter(found, lambda x: x["term"].isNotNull() & (x["term"] != ""))).alias("x")).select(key, "x.*")
+
+
+def _terms(rows: DataFrame, key: str, text: str = "text", most_tokens: int = MOST_TOKENS) -> DataFrame:
+    """surface_terms, where a row may repeat."""
+    rows = rows.select(key, T.composed(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    hangul = F.col("text").rlike(_HANGUL)
+    quoted = rows.select(key, F.explode(F.regexp_extract_all("text", F.lit(QUOTED), F.lit(1))).alias("q")).select(key, F.lit("quoted").alias("kind"), T.surface_norm(F.col("q")).alias("term"))
+    plain, other = _plain_terms(rows.where(~hangul), key), rows.where(hangul)
+    terms = plain.unionByName(quoted.where("length(term) >= 2"))
+    return terms if other.isEmpty() else terms.unionByName(_hangul_terms(other, key, most_tokens))
+
+
+def surface_terms(rows: DataFrame, key: str, text: str = "text", most_tokens: int = MOST_TOKENS) -> DataFrame:
+    """key, kind, term.
+
+    Kinds: exact, anchored (persons named by an attached role, exact terms of candidates only), person, surname,
+    org_stem, org_full, attribution, quoted, latin. Most kinds need Hangul: texts without any take a short way.
+    """
+    return _terms(rows, key, text, most_tokens).distinct()
 
 
 #: Which kinds of a candidate's and of a sample's terms a rule compares, each pair a class of its own.
@@ -67,16 +122,21 @@ SHAPES = ["quoted", "latin", "org_full"]
 
 
 def _classed(terms: DataFrame, key: str, side: int) -> DataFrame:
-    """key, class, term: a term once for each class that its kind belongs to on this side."""
+    """key, class, term: a term for each class that its kind belongs to on this side."""
     classes = F.array_compact(F.array(*[F.when(F.col("kind").isin(c[side]), F.lit(name)) for name, c in CLASSES.items()]))
-    return terms.select(key, "term", F.explode(classes).alias("class")).distinct()
+    return terms.select(key, "term", F.explode(classes).alias("class"))
 
 
 def shared_terms(candidate_terms: DataFrame, sample_terms: DataFrame, candidate: str, sample: str) -> DataFrame:
-    """Terms that both sides have in kinds which a rule compares: all rules in one equi-join on class and term."""
+    """Terms that both sides have in kinds which a rule compares: all rules in one equi-join on class and term.
+
+    The candidates' terms are cut down to those of the samples before they move.
+    """
     rule = F.create_map(*[F.lit(x) for name, c in CLASSES.items() for x in (name, c[0])])
-    both = _classed(candidate_terms, candidate, 1).join(_classed(sample_terms, sample, 2), ["class", "term"])
-    return both.select(rule[F.col("class")].alias("rule"), "term", candidate, sample)
+    theirs = written(_classed(sample_terms, sample, 2).distinct())
+    keys = theirs.select("class", "term").distinct()
+    mine = _classed(candidate_terms, candidate, 1).join(F.broadcast(keys) if theirs.count() <= MOST_TOKENS else keys, ["class", "term"], "left_semi").distinct()
+    return mine.join(theirs, ["class", "term"]).select(rule[F.col("class")].alias("rule"), "term", candidate, sample)
 
 
 def contained_terms(terms: DataFrame, texts: DataFrame, owner: str, other: str, text: str = "text") -> DataFrame:
@@ -85,22 +145,61 @@ def contained_terms(terms: DataFrame, texts: DataFrame, owner: str, other: str,
     return hits.select(F.concat("kind", F.lit("-overlap")).alias("rule"), "term", owner, other)
 
 
-def findings(candidates: DataFrame, samples: DataFrame, candidate: str, sample: str, text: str = "text") -> DataFrame:
-    """All ambiguous overlaps, rolled up by rule and term with sorted locations and references.
+def overlaps(candidates: DataFrame, samples: DataFrame, candidate: str, sample: str, text: str = "text") -> DataFrame:
+    """rule, term, candidate, sample of every ambiguous overlap.
 
     Shape terms (quoted, latin, org_full) are sought by containment in both directions, the others by equality.
     """
-    a, b = surface_terms(candidates, candidate, text), surface_terms(samples, sample, text)
+    a, b = written(_terms(candidates, candidate, text)), written(_terms(samples, sample, text))
     parts = [contained_terms(b, candidates, sample, candidate, text), contained_terms(a, samples, candidate, sample, text), shared_terms(a, b, candidate, sample)]
-    rows = reduce(lambda x, y: x.unionByName(y), parts).distinct()
+    return reduce(lambda x, y: x.unionByName(y), parts).distinct()
+
+
+def findings(candidates: DataFrame, samples: DataFrame, candidate: str, sample: str, text: str = "text") -> DataFrame:
+    """All ambiguous overlaps, rolled up by rule and term with sorted locations and references."""
+    rows = overlaps(candidates, samples, candidate, sample, text)
     return rows.groupBy("rule", "term").agg(F.array_sort(F.collect_set(candidate)).alias("locations"), F.array_sort(F.collect_set(sample)).alias("references"))
 
 
-def surface_gate(candidates: DataFrame, samples: DataFrame, protected: DataFrame, candidate: str, sample: str, reference: str, text: str = "text") -> DataFrame:
-    """Per candidate: blockers, findings and the gate: blocked, pending_semantic_review or pass."""
-    copies = surface_copies(candidates, samples, candidate, sample, text).select(candidate, F.lit("exact-private-surface-copy/v1").alias("rule"), F.col(sample).cast("string").alias("ref"))
-    names = term_containment(candidates, protected, candidate, reference, text).select(candidate, F.lit("exact-selection-identity/v1").alias("rule"), F.col(reference).cast("string").alias("ref"))
-    blockers = copies.union(names).distinct().groupBy(candidate).agg(F.count("*").alias("blockers"))
-    found = findings(candidates, samples, candidate, sample, text).select(F.explode("locations").alias(candidate)).groupBy(candidate).agg(F.count("*").alias("findings"))
-    out = candidates.select(candidate).join(blockers, candidate, "left").join(found, candidate, "left").fillna(0, ["blockers", "findings"])
+def candidate_strings(rows: DataFrame, candidate: str, document: str) -> DataFrame:
+    """candidate, location (`$.a[0]`) and text of each string of a JSON document, in NFC."""
+    leaves = flatten(rows.select(F.col(candidate).alias("_candidate"), F.col(document).alias("_document")), "_candidate", "_document").where("is_text")
+    return leaves.select(F.col("_candidate").alias(candidate), F.col("path").alias("location"), T.composed(F.col("leaf")).alias("text"))
+
+
+# The rules that block a candidate.
+COPY_RULE, IDENTITY_RULE = "exact-private-surface-copy/v1", "exact-selection-identity/v1"
+
+
+def surface_blockers(strings: DataFrame, samples: DataFrame, protected: DataFrame, candidate: str, sample: str, reference: str, text: str = "text") -> DataFrame:
+    """candidate, rule, location, ref: strings that copy a sample or hold a protected name, each once."""
+    placed = strings.select(F.struct(candidate, "location").alias("at"), F.col(text).alias("text"))
+    own = samples.select(sample, F.col(text).alias("text"))
+    row = lambda found, rule, ref: found.select(F.col(f"at.{candidate}").alias(candidate), F.lit(rule).alias("rule"), F.col("at.location").alias("location"), F.col(ref).cast("string").alias("ref"))
+    return row(surface_copies(placed, own, "at", sample), COPY_RULE, sample).unionByName(row(term_containment(placed, protected, "at", reference), IDENTITY_RULE, reference)).distinct()
+
+
+def placed_findings(strings: DataFrame, samples: DataFrame, candidate: str, sample: str, text: str = "text") -> DataFrame:
+    """candidate, rule, term, locations, references: a candidate's findings, each with its places in order."""
+    placed = strings.select(F.struct(candidate, "location").alias("at"), F.col(text).alias("text"))
+    rows = overlaps(placed, samples.select(sample, F.col(text).alias("text")), "at", sample).select(F.col(f"at.{candidate}").alias(candidate), "rule", "term", F.col("at.location").alias("location"), sample)
+    return rows.groupBy(candidate, "rule", "term").agg(F.array_sort(F.collect_set("location")).alias("locations"), F.array_sort(F.collect_set(sample)).alias("references"))
+
+
+def gate_report(strings: DataFrame, samples: DataFrame, protected: DataFrame, candidate: str, sample: str, reference: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The blockers of all candidates, and the findings of those that nothing blocks: blocked ones go before terms are sought."""
+    blockers = written(surface_blockers(strings, samples, protected, candidate, sample, reference, text))
+    free = strings.join(blockers.select(candidate).distinct(), candidate, "left_anti")
+    return blockers, placed_findings(free, samples, candidate, sample, text)
+
+
+def surface_gate(candidates: DataFrame, samples: DataFrame, protected: DataFrame, candidate: str, sample: str, reference: str, text: str = "text", strings: DataFrame | None = None) -> DataFrame:
+    """Per candidate: blockers, findings and the gate: blocked, pending_semantic_review or pass. A blocked candidate has no findings.
+
+    `strings` (candidate, location, text) are the candidates' strings where they are documents; else each is one text.
+    """
+    held = candidates.select(candidate, F.lit("$").alias("location"), F.col(text).alias(text)) if strings is None else strings
+    blockers, found = gate_report(held, samples, protected, candidate, sample, reference, text)
+    count = lambda rows, name: rows.groupBy(candidate).agg(F.count("*").alias(name))
+    out = candidates.select(candidate).join(count(blockers, "blockers"), candidate, "left").join(count(found, "findings"), candidate, "left").fillna(0, ["blockers", "findings"])
     return out.withColumn("gate", F.when(F.col("blockers") > 0, "blocked").when(F.col("findings") > 0, "pending_semantic_review").otherwise("pass"))

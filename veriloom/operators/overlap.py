@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import written
 from ..shipping import ship
 
 TOKENS, WINDOW_BYTES, MOST_MATCHES = 12, 120, 100
@@ -63,9 +64,9 @@ def window_overlap(artifacts: DataFrame, sources: DataFrame, artifact: str = "do
     broadcast; else the keys are met first, and bytes are fetched for what meets.
     """
     half = size // 2
-    own = sources.select(F.col(source), _bytes(text).alias("sb"))
+    own = sources.select(F.col(source), _bytes(text).alias("sb")).where(F.octet_length("sb") >= size)
     at = F.sequence(F.lit(0), F.octet_length("sb") - half)
-    keys = own.where(F.octet_length("sb") >= size).select(source, F.explode(F.transform(at, lambda i: F.struct(i.alias("s"), *_hashed(F.substring("sb", i + 1, F.lit(half)))))).alias("x")).select(source, "x.*")
+    keys = own.select(source, F.explode(F.transform(at, lambda i: F.struct(i.alias("s"), *_hashed(F.substring("sb", i + 1, F.lit(half)))))).alias("x")).select(source, "x.*")
     data = artifacts.select(artifact, _bytes(text).alias("b")).where(F.octet_length("b") >= size)
     small = keys.count() <= MOST_BROADCAST
     near = lambda b: F.substring("b", F.greatest(b - half, F.lit(0)) + 1, F.least(b, F.lit(half)) + size)
@@ -88,24 +89,103 @@ def window_overlap(artifacts: DataFrame, sources: DataFrame, artifact: str = "do
 
 
 def surface_copies(candidates: DataFrame, samples: DataFrame, candidate: str, sample: str, text: str = "text", size: int = 5) -> DataFrame:
-    """Pairs of which some run of `size` surface tokens is equal."""
-    left, right = grams(candidates, candidate, text, size, T.surface_tokens), grams(samples, sample, text, size, T.surface_tokens)
-    return left.join(right.drop("pos").distinct(), ["g1", "g2"]).select(candidate, sample).distinct()
+    """Pairs of which some run of `size` surface tokens is equal.
+
+    The candidates' runs are cut down to those of the samples within the scan, and a candidate keeps each run once.
+    """
+    wanted = written(grams(samples, sample, text, size, T.surface_tokens).drop("pos").distinct())
+    keys = wanted.select("g1", "g2").distinct()
+    if wanted.count() <= MOST_BROADCAST:
+        keys = F.broadcast(keys)
+    met = grams(candidates, candidate, text, size, T.surface_tokens).join(keys, ["g1", "g2"], "left_semi").drop("pos").distinct()
+    return met.join(wanted, ["g1", "g2"]).select(candidate, sample).distinct()
+
+
+#: Characters of terms in one automaton, about 100 bytes each.
+MOST_CHARACTERS = 1 << 20
+
+
+def _automaton(terms):
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for term in terms:
+        found.add_word(term, term)
+    if len(found):
+        found.make_automaton()
+    return found
 
 
-def term_containment(candidates: DataFrame, terms: DataFrame, candidate: str, reference: str, text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+def _held(automaton, form: str) -> set[str]:
+    return {term for _, term in automaton.iter(form)} if len(automaton) else set()
+
+
+def _rows_of(keys: pa.Array, owner: list[int], terms: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(owner, pa.int64())), pa.array(terms, pa.string())], names=["k", "term"])
+
+
+def _scan_with(words):
+    """Every text once through the one automaton of all terms."""
+
+    def run(batches):
+        automaton = _automaton(words.value)
+        for batch in batches:
+            hits = [(i, term) for i, form in enumerate(batch.column(1).to_pylist()) for term in _held(automaton, form)]
+            yield _rows_of(batch.column(0), [i for i, _ in hits], [t for _, t in hits])
+
+    return run
+
+
+def _scan_shards(batches):
+    """Sorted rows (shard, block, is_text, k, value): the terms of a shard, then the texts that pass it."""
+    at, terms, automaton = None, [], None
+    for batch in batches:
+        owner, found = [], []
+        places = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        for i, (place, is_text, value) in enumerate(zip(places, batch.column(2).to_pylist(), batch.column(4).to_pylist())):
+            if place != at:
+                at, terms, automaton = place, [], None
+            if not is_text:
+                terms.append(value)
+                continue
+            automaton = _automaton(terms) if automaton is None else automaton
+            for term in _held(automaton, value):
+                owner.append(i)
+                found.append(term)
+        yield _rows_of(batch.column(3), owner, found)
+
+
+def held_terms(texts: DataFrame, terms: DataFrame, key: str, form: str, most: int = MOST_CHARACTERS) -> DataFrame:
+    """key and term of each of the terms (distinct, not empty) that a form contains.
+
+    An Aho-Corasick automaton reads a form once, whatever the number of terms. Terms of up to `most` characters make one
+    automaton, which every task of the scan builds; more are dealt to shards of about that size, and each text goes
+    through each shard once: terms and texts meet by a shuffle, the texts in blocks, so neither side is gathered.
+    """
+    spark = ship(texts.sparkSession)
+    shape = f"k {texts.schema[key].dataType.simpleString()}, term string"
+    total = terms.agg(F.sum(F.length("term"))).first()[0] or 0
+    if total <= most:
+        words = spark.sparkContext.broadcast([r[0] for r in terms.select("term").collect()])  # `most` characters
+        return texts.select(key, form).mapInArrow(_scan_with(words), shape).withColumnRenamed("k", key)
+    shards = -(-total // most)
+    blocks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // shards)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = terms.select(F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"), F.lit(False).alias("is_text"), F.lit(None).cast(texts.schema[key].dataType).alias("k"), F.col("term").alias("value"))
+    passed = texts.select(every(shards).alias("shard"), F.pmod(F.xxhash64(form), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("is_text"), F.col(key).alias("k"), F.col(form).alias("value"))
+    ordered = dealt.unionByName(passed).repartition("shard", "block").sortWithinPartitions("shard", "block", "is_text")
+    return ordered.mapInArrow(_scan_shards, shape).withColumnRenamed("k", key)
+
+
+def term_containment(candidates: DataFrame, terms: DataFrame, candidate: str, reference: str, text: str = "text", also: tuple[str, ...] = (), most: int = MOST_CHARACTERS) -> DataFrame:
     """Pairs where a candidate's normal form contains the term's (two characters or more).
 
-    `also` names further columns of the terms to carry. Terms are cut to their first three characters (or two, if that is all); candidates give their distinct runs of
-    three and two: an equi-join that leaves few pairs for the containment itself.
+    `also` names further columns of the terms to carry.
     """
-    wanted = terms.select(reference, *also, T.surface_norm(F.col("term")).alias("term")).where("length(term) >= 2").withColumn("k", F.substring("term", 1, 3)).distinct()
+    wanted = written(terms.select(reference, *also, T.surface_norm(F.col("term")).alias("term")).where("length(term) >= 2").distinct())
     forms = candidates.select(candidate, T.surface_norm(F.col(text)).alias("form")).where("length(form) >= 2")
-    # Matches of no width: one pass over the text, where substring() would count characters from its start each time.
-    runs = F.concat(*[F.regexp_extract_all("form", F.lit(f"(?=(.{{{n}}}))"), F.lit(1)) for n in (2, 3)])
-    pieces = forms.select(candidate, F.explode(F.array_distinct(runs)).alias("k"))  # no form travels with a run
-    pairs = pieces.join(wanted, "k").select(candidate, reference, "term", *also).distinct()
-    return pairs.join(forms, candidate).where(F.contains("form", "term")).select(candidate, reference, "term", *also).distinct()
+    hits = held_terms(forms, wanted.select("term").distinct(), candidate, "form", most)
+    return hits.join(wanted, "term").select(candidate, reference, "term", *also).distinct()
 
 
 _TOKEN = re.compile("[가-힣A-Za-z0-9]+|[^\\t\\n\\x0b\\x0c\\r \\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]")

@@ -14,7 +14,7 @@ CHAPTERS, ARCS, PHASES, SAMPLES = 751, 131, 5, 15
 SOURCE_FIELDS = r'"(?:text|quote|excerpt|prose|topPatterns)"\s*:'
 # Fixed values of a core manifest.
 CORE = {
-    "version": "1", "id": "chaebol-reference-core-v1", "bindingPolicy": "opt-in-per-book", "stylePolicy": "separate-style-guide-and-profile",
+    "version": 1, "id": "chaebol-reference-core-v1", "bindingPolicy": "opt-in-per-book", "stylePolicy": "separate-style-guide-and-profile",
     "routingPolicy": "primary-chassis-plus-secondary-event-bank", "similarityPolicy": "do-not-penalize-industry-event-order-or-reward-similarity",
     "directCopyPolicy": "forbid-verbatim-prose-fictional-proper-nouns-and-dialogue",
 }
@@ -28,12 +28,21 @@ def _listed(rows: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
     return rows.select(key, F.explode(found).alias("rule"))
 
 
+def _is(document: Column, path: str, want: bool | int | str) -> Column:
+    """Whether the value at a path of a variant is `want`, in type and value: "1" isn't 1. 1.0 is, as JSON has one kind of number."""
+    found = F.try_variant_get(document, f"$.{path}", "variant")
+    if isinstance(want, bool) or isinstance(want, str):
+        same = F.schema_of_variant(found).eqNullSafe(F.lit("BOOLEAN" if isinstance(want, bool) else "STRING")) & F.try_variant_get(document, f"$.{path}", "boolean" if isinstance(want, bool) else "string").eqNullSafe(F.lit(want))
+    else:
+        same = F.schema_of_variant(found).rlike(r"^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$") & F.try_variant_get(document, f"$.{path}", "double").eqNullSafe(F.lit(float(want)))
+    return F.coalesce(same, F.lit(False))
+
+
 def pack_violations(packs: DataFrame, key: str, pack: str = "pack") -> DataFrame:
     """packs: key, pack (JSON text). A row for each invariant of a reference pack that a pack breaks."""
     v = F.try_parse_json(F.col(pack))
-    text = lambda path: F.try_variant_get(v, f"$.{path}", "string")
     size = lambda path: F.size(F.try_variant_get(v, f"$.{path}", "array<variant>"))
-    other = lambda path, want: ~text(path).eqNullSafe(F.lit(str(want)))
+    other = lambda path, want: ~_is(v, path, want)
     count = lambda path, want: ~F.coalesce(size(path) == want, F.lit(False))
     policy = "commercialPolicy.minimumDistanceScore"
     spaced = F.regexp_replace(pack, r"\s+", " ")
@@ -41,7 +50,7 @@ def pack_violations(packs: DataFrame, key: str, pack: str = "pack") -> DataFrame
         "identity": other("version", 1) | other("kind", "reference-transformation-pack"), "language": other("language", "ko"),
         "chapter-count": other("source.chapterCount", CHAPTERS), "arc-count": other("source.naturalArcCount", ARCS),
         "phase-count": count("phases", PHASES), "indexed-chapters": other("storyRetrieval.indexedChapterCount", CHAPTERS), "sample-count": count("styleRetrieval.samples", SAMPLES),
-        "similarity-penalty": other("commercialPolicy.similarityPenalty", "false"),
+        "similarity-penalty": other("commercialPolicy.similarityPenalty", False),
         "distance-score": ~F.coalesce(F.is_variant_null(F.try_variant_get(v, f"$.{policy}", "variant")), F.lit(False)),
         "source-bearing-fields": spaced.rlike(SOURCE_FIELDS),
     }
@@ -54,12 +63,14 @@ _CARDS = "array<struct<id:string,status:string,path:string,roles:array<string>>>
 
 def manifest_violations(manifests: DataFrame, key: str, manifest: str = "manifest") -> DataFrame:
     """manifests: key, manifest (JSON text). key, rule and item for each invariant of a core manifest that is broken."""
-    schema = f"struct<{','.join(f'{c}:string' for c in CORE)},productionEvidence:{_EVIDENCE},cards:{_CARDS}>"
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(F.col(manifest))).startswith("OBJECT"), F.lit(False))
-    rows = manifests.select(key, F.when(is_object, F.from_json(manifest, schema)).alias("m"))
+    schema = f"struct<productionEvidence:{_EVIDENCE},cards:{_CARDS}>"
+    v = F.try_parse_json(F.col(manifest))
+    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    stated = F.struct(*[_is(v, c, want).alias(c) for c, want in CORE.items()])
+    rows = manifests.select(key, F.when(is_object, F.from_json(manifest, schema)).alias("m"), stated.alias("is"))
     missing = rows.where("m is null").select(key, F.lit("not-an-object").alias("rule"), F.lit(None).cast("string").alias("item"))
     rows = rows.where("m is not null")
-    checks = {f"other:{c}": ~F.col(f"m.{c}").eqNullSafe(F.lit(want)) for c, want in CORE.items()}
+    checks = {f"other:{c}": ~F.col(f"is.{c}") for c in CORE}
     checks["too-little-evidence"] = ~F.coalesce(F.size("m.productionEvidence") >= LEAST_EVIDENCE, F.lit(False))
     six = F.coalesce(F.size("m.cards") == CARDS, F.lit(False))
     checks["card-count"] = ~six
@@ -118,6 +129,25 @@ def _numbered(c: str) -> Column:
     return T.strict_number(F.col(c))
 
 
+def _covering_arcs(rows: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """key, row_no, expected_arc: of the arcs that cover a row's chapter the one that begins last.
+
+    Spans of any length are cut into aligned blocks of powers of two, at most two of a size, and a chapter lies in one
+    block of each size that occurs: an equi-join of a few rows for each side, however long arcs are.
+    """
+    ends = lambda c: F.col(c).cast("decimal(20,0)").cast("long")
+    whole = spans.where("e >= s and s % 1 = 0 and e % 1 = 0 and abs(s) < 1e15 and abs(e) < 1e15").select(key, "arc_id", F.struct("s", "row_no").alias("o"), ends("s").alias("a"), (ends("e") + 1).alias("b"))
+    # Block (k, i) holds the chapters i * 2^k to (i + 1) * 2^k - 1. It is taken if it lies within the span and its double doesn't.
+    level = whole.select("*", F.explode(F.sequence(F.lit(0), F.lit(50))).alias("k")).withColumn("w", F.expr("shiftleft(1L, k)")).where("w <= b - a")
+    up = level.withColumns({"lo": F.expr("-floor(-a / w)").cast("long"), "hi": F.expr("floor(b / w)").cast("long")})
+    inside = lambda i: (F.expr("2 * w") * F.floor(i / 2) >= F.col("a")) & (F.expr("2 * w") * (F.floor(i / 2) + 1) <= F.col("b"))
+    edges = F.filter(F.array_distinct(F.array("lo", F.col("lo") + 1, F.col("hi") - 1, F.col("hi") - 2)), lambda i: (i >= F.col("lo")) & (i < F.col("hi")) & ~inside(i))
+    blocks = up.select(key, "arc_id", "o", "k", F.explode(edges).alias("i"))
+    sizes = F.array(*[F.lit(r["k"]) for r in blocks.select("k").distinct().collect()]).cast("array<int>")  # 51 at most
+    at = rows.where("sequence_no % 1 = 0 and abs(sequence_no) < 1e15").select(key, "row_no", ends("sequence_no").alias("q"), F.explode(sizes).alias("k")).withColumn("i", F.expr("floor(q / shiftleft(1L, k))").cast("long"))
+    return at.join(blocks, [key, "k", "i"]).groupBy(key, "row_no").agg(F.max_by("arc_id", "o").alias("expected_arc"))
+
+
 def work_violations(works: DataFrame, chapters: DataFrame, arcs: DataFrame, pacing: DataFrame, key: str = "work") -> DataFrame:
     """key, severity, rule, detail: a work's three tables (all cells strings) against each other and its number of chapters.
 
@@ -143,11 +173,11 @@ def work_violations(works: DataFrame, chapters: DataFrame, arcs: DataFrame, paci
     ]
     last = works.join(spans.groupBy(key).agg(F.max_by("e", F.struct("s", "row_no")).alias("last")), key, "left")
     out.append(say(last.where(~F.coalesce(F.col("last"), F.lit(0.0)).eqNullSafe(F.col("marker_count").cast("double"))), "arcs:coverage", F.col("last").cast("long")))
-    laid = spans.where("e >= s and e - s < 1000000").select(key, "arc_id", F.struct("s", "row_no").alias("o"), F.explode(F.sequence(F.col("s").cast("long"), F.col("e").cast("long"))).alias("sequence_no"))
-    laid = laid.groupBy(key, "sequence_no").agg(F.max_by("arc_id", "o").alias("expected_arc"))
     known = arcs.select(key, "arc_id", F.lit(True).alias("known")).distinct()
     for name, rows in tables.items():
-        judged = rows.withColumn("sequence_no", _numbered("sequence").cast("long")).join(laid, [key, "sequence_no"], "left").join(known, [key, "arc_id"], "left")
+        judged = rows.withColumn("sequence_no", _numbered("sequence")).join(known, [key, "arc_id"], "left")
+        laid = _covering_arcs(judged.select(key, "row_no", "sequence_no"), spans, key)
+        judged = judged.join(laid, [key, "row_no"], "left")
         out += [say(judged.where("known is null"), f"{name}:unknown-arc", F.col("arc_id")), say(judged.where("expected_arc is not null and not (arc_id <=> expected_arc)"), f"{name}:other-arc", F.col("sequence"))]
     for name, rows in (("chapters", chapters), ("arcs", arcs), ("pacing", pacing)):
         for column in REPEATS[name]:

@@ -106,11 +106,9 @@ r as (select item_id, regexp_replace(lower(text), '[^가-힣a-z0-9]+', '', 'g')
 select doc_id, 'item' kind, item_id reference, term from d join r on contains(f, term) where length(term) >= 2
 union all select doc_id, 'nation', n_nationkey, term from d join n on contains(f, term) where length(term) >= 2""")
 def j10(t):
-    items = t.benchmark.select("item_id", F.col("text").alias("term"))
-    nations = t.nation.select("n_nationkey", F.col("n_name").alias("term"))
-    a = O.term_containment(t.documents, items, "doc_id", "item_id").select("doc_id", F.lit("item").alias("kind"), F.col("item_id").cast("long").alias("reference"), "term")
-    b = O.term_containment(t.documents, nations, "doc_id", "n_nationkey").select("doc_id", F.lit("nation").alias("kind"), F.col("n_nationkey").cast("long").alias("reference"), "term")
-    return a.unionByName(b)
+    items = t.benchmark.select(F.lit("item").alias("kind"), F.col("item_id").cast("long").alias("reference"), F.col("text").alias("term"))
+    nations = t.nation.select(F.lit("nation").alias("kind"), F.col("n_nationkey").cast("long").alias("reference"), F.col("n_name").alias("term"))
+    return O.term_containment(t.documents, items.unionByName(nations), "doc_id", "reference", also=("kind",)).select("doc_id", "kind", "reference", "term")
 
 
 @query("a25_source_set_digest", """

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import new_path
 from ..sources import files as S
 from .registry import query
 
@@ -32,6 +31,17 @@ def s2(t):
     return S.csv_records(S.csv_cells_of(texts, "file", "csv"), ["doc_id", "body", "source", "missing"])
 
 
+# The table as CSV files with line feeds, quotes and commas in quoted fields, read in splits.
+@query("s2_s3_csv_splits", """
+select doc_id::varchar doc_id, coalesce(text, '') body, coalesce(source, '') source, 4::bigint cells from documents""")
+def s2_splits(t):
+    path = new_path(t.spark)
+    rows = t.documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("body"), F.coalesce("source", F.lit("")).alias("source"), F.lit("x,y").alias("last"))
+    rows.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="")
+    cells = S.csv_cells(t.spark, path)
+    return S.csv_records(cells.withColumn("cells", F.concat("cells", F.array(F.size("cells").cast("string")))).withColumn("header", F.concat("header", F.array(F.lit("n")))), ["doc_id", "body", "source", "n"]).select("doc_id", "body", "source", F.col("n").cast("long").alias("cells"))
+
+
 @query("s4_f23_tolerant_json", """
 select event_id, case when event_id % 4 = 3 then null else json_extract_string(props, '$.k') end k, event_id % 4 <> 3 and props is not null parsed from events""")
 def s4(t):
@@ -67,17 +77,20 @@ def s9(t):
     return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), F.length("chunk").cast("long").alias("n"), "cursor")
 
 
-@query("s10_s11_s12_s13_published", "select n_nationkey, n_name, true once, true seen from nation")
+# Published twice in different orders, then read back from the places that publishing gave: rows, lines, receipt.
+@query("s10_s11_s12_s13_published", """
+select n_nationkey, n_name, true written, true reused, (select count(*) from nation) said, true from_lines from nation""")
 def s12(t):
-    conf = t.spark.conf
-    folder = f"{conf.get('spark.checkpoint.dir', None) or conf.get('spark.sql.warehouse.dir').rstrip('/')}/_veriloom-published"
+    folder = new_path(t.spark)
     rows = t.nation.select("n_nationkey", "n_name")
     text = F.concat_ws("\0", "n_nationkey", "n_name")
-    path, receipt = S.publish_with_receipt(rows, rows.agg(F.count("*").alias("n")), folder, "nation", text)
-    again = S.publish_with_receipt(rows.orderBy("n_name"), rows.agg(F.count("*").alias("n")), folder, "nation", text)
-    S.write_lines(rows, f"{folder}/lines-{uuid.uuid4().hex}")
-    seen = t.spark.read.schema("n long, data_path string").json(receipt).select("data_path").first()[0] == path
-    return t.spark.read.parquet(path).withColumns({"once": F.lit(again == (path, receipt)), "seen": F.lit(seen)})
+    first, new = S.publish_once(rows, folder, "nation", text)
+    pack = S.publish_pack(rows, rows.agg(F.count("*").alias("n")), folder, "nation", text)
+    again, repeated = S.publish_once(rows.orderBy("n_name"), folder, "nation", text)
+    said = t.spark.read.schema("n long, data_path string, lines_path string").json(pack["receipt"])
+    lines = t.spark.read.schema(rows.schema).json(said.first()["lines_path"]).withColumn("from_lines", F.lit(True))
+    found = t.spark.read.parquet(said.first()["data_path"]).withColumns({"written": F.lit(new), "reused": F.lit(again == first == pack["data"] and not repeated)})
+    return found.crossJoin(F.broadcast(said.select(F.col("n").alias("said")))).join(lines, ["n_nationkey", "n_name"], "left").withColumn("from_lines", F.coalesce("from_lines", F.lit(False)))
 
 
 @query("s14_s15_upsert_plan", """

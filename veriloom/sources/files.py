@@ -310,19 +310,32 @@ def publish(df: DataFrame, folder: str, name: str, text: Column) -> str:
     return publish_once(df, folder, name, text)[0]
 
 
+def _publish_lines(df: DataFrame, path: str) -> str:
+    """One JSON object a line at `path`, which is made once; what is there already must hold the same rows."""
+    spark = df.sparkSession
+    digest = lambda rows: rows_digest(rows, F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))
+    if not exists(spark, path):
+        staged = f"{path.rpartition('/')[0]}/.staged-{uuid.uuid4().hex}"
+        write_lines(df, staged)
+        if commit(spark, staged, path):
+            return path
+    if digest(spark.read.schema(df.schema).json(path)) != digest(df):
+        raise FileExistsError(f"{path} holds other rows")
+    return path
+
+
 def publish_with_receipt(data: DataFrame, receipt: DataFrame, folder: str, name: str, text: Column) -> tuple[str, str]:
     """Data first, the receipt that makes it visible last. A receipt that is there already must say the same; it is never overwritten."""
     path = publish(data, folder, name, text)
-    spark, at, staged = data.sparkSession, f"{path}.receipt", f"{folder}/.staged-{uuid.uuid4().hex}"
-    said = receipt.withColumn("data_path", F.lit(path))
-    digest = lambda df: rows_digest(df, F.to_json(F.struct(*sorted(said.columns)), {"ignoreNullFields": "false"}))
-    if not exists(spark, at):
-        said.coalesce(1).write.json(staged)
-        if commit(spark, staged, at):
-            return path, at
-    if digest(spark.read.schema(said.schema).json(at)) != digest(said):
-        raise FileExistsError(f"{at} holds another receipt")
-    return path, at
+    return path, _publish_lines(receipt.withColumn("data_path", F.lit(path)).coalesce(1), f"{path}.receipt")
+
+
+def publish_pack(tracked: DataFrame, receipt: DataFrame, folder: str, name: str, text: Column, private: DataFrame | None = None) -> dict[str, str]:
+    """A pack: tracked rows, the private rows (else the same ones) as JSON lines, and last the receipt that names both."""
+    data = publish(tracked, folder, name, text)
+    lines = _publish_lines(tracked if private is None else private, f"{data}.lines")
+    said = receipt.withColumns({"data_path": F.lit(data), "lines_path": F.lit(lines)})
+    return {"data": data, "lines": lines, "receipt": _publish_lines(said.coalesce(1), f"{data}.pack")}
 
 
 def is_published(spark: SparkSession, receipt: str) -> bool:
