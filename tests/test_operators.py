@@ -377,6 +377,41 @@ def test_next_fit(spark):
     assert {r["g"]: r["covered"] for r in P.exact_cover(packed.where("not (g = 3 and i = 0)"), rows, "g", "part", "i").collect()} == {g: g != 3 for g in groups}
 
 
+def test_next_fit_of_one_group_over_many_tasks(spark):
+    rng = random.Random(8)
+    costs = [rng.choice([0, 0, 1, 9, 40, 101, None]) for _ in range(2500)]
+    rows = spark.createDataFrame([(None, f"{i:05}", c) for i, c in enumerate(costs)] + [("other", "a", 500)], "g string, i string, c int")
+    packed = P.next_fit(rows, "g", "i", "c", 100)
+    got = {r["i"]: r["part"] for r in packed.where("g is null").collect()}
+    assert [got[f"{i:05}"] for i in range(2500)] == next_fit([c or 0 for c in costs], 100)
+    assert packed.where("g is not null").first()["part"] == 1
+    assert P.next_fit(rows.limit(0), "g", "i", "c", 100).collect() == []
+
+
+def test_greedy_by_the_cost_of_whole_parts(spark):
+    rng = random.Random(3)
+    words = {g: ["x" * rng.choice([1, 3, 8, 30, 70]) for _ in range(rng.randrange(1, 80))] for g in (1, 2, None, 5)}
+
+    def cost(part):  # not additive: what repeats is free; long parts have none
+        return None if len(part) > 9 else len(json.dumps(sorted(set(part))))
+
+    want = {}
+    for g, items in words.items():
+        part, i = 0, 0
+        while i < len(items):
+            n = max((k for k in range(1, len(items) - i + 1) if (c := cost(items[i : i + k])) is not None and c <= 60), default=0)
+            part += n > 0
+            want |= {(g, k): (part, None) if n else (None, "fits-no-part") for k in range(i, i + max(n, 1))}
+            i += max(n, 1)
+    rows = spark.createDataFrame([(g, i, w) for g, ws in words.items() for i, w in enumerate(ws)], "g int, i long, w string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r["g"], r["i"]): (r["part"], r["error"]) for r in P.greedy_by_cost(rows, "g", "i", "w", 60, cost).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
 def test_budgets(spark):
     got = spark.range(1).select(*P.context_budget(F.lit(100)), P.input_gate(F.lit(380_000)), P.input_gate(F.lit(380_001))).first()
     assert tuple(got) == (16_384 + 50 + 48_000, True, True, False)

@@ -317,14 +317,14 @@ p as (select c_custkey k, case k % 8 when 0 then 'en' else 'ko' end lang, case k
 
 @query("g8_pack_invariants", "with " + _PACK.strip().replace("case k %", "case c_custkey %").replace("(select c_custkey, c_custkey k from customer)", "customer") + """
 select k, 'language' rule from p where k % 8 = 0 union all select k, 'chapter-count' from p where k % 9 = 1 union all select k, 'phase-count' from p where k % 10 = 2 union all select k, 'similarity-penalty' from p where k % 11 = 3
-union all select k, 'distance-score' from p where k % 12 = 4 union all select k, 'source-bearing-fields' from p where k % 13 = 5""")
+union all select k, 'distance-score' from p where k % 12 = 4 union all select k, 'source-bearing-fields' from p where k % 13 = 5 union all select k, 'indexed-chapters' from p where k % 14 = 7 union all select k, 'identity' from p where k % 15 = 8""")
 def g8(t):
     k = F.col("c_custkey")
     when = lambda m, r, yes, no: F.when(k % m == r, yes).otherwise(no)
     listed = lambda n: F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit("{}"), n), ","), F.lit("]"))
     pack = F.concat(
-        F.lit('{"version":1,"kind":"reference-transformation-pack","language":"'), when(8, 0, "en", "ko"), F.lit('","source":{"chapterCount":'), when(9, 1, "750", "751"), F.lit(',"naturalArcCount":131},"phases":'), when(10, 2, listed(4), listed(5)),
-        F.lit(',"storyRetrieval":{"indexedChapterCount":751},"styleRetrieval":{"samples":'), listed(15), F.lit('},"commercialPolicy":{"similarityPenalty":'), when(11, 3, "true", "false"), F.lit(',"minimumDistanceScore":'), when(12, 4, "1", "null"), F.lit("}"), when(13, 5, ',"quote" : "x"', ""), F.lit("}"),
+        F.lit('{"version":'), when(15, 8, '"1"', "1"), F.lit(',"kind":"reference-transformation-pack","language":"'), when(8, 0, "en", "ko"), F.lit('","source":{"chapterCount":'), when(9, 1, "750", "751"), F.lit(',"naturalArcCount":131},"phases":'), when(10, 2, listed(4), listed(5)),
+        F.lit(',"storyRetrieval":{"indexedChapterCount":'), when(14, 7, '"751"', "751"), F.lit('},"styleRetrieval":{"samples":'), listed(15), F.lit('},"commercialPolicy":{"similarityPenalty":'), when(11, 3, "true", "false"), F.lit(',"minimumDistanceScore":'), when(12, 4, "1", "null"), F.lit("}"), when(13, 5, ',"quote" : "x"', ""), F.lit("}"),
     )
     return V.pack_violations(t.customer.select(k.alias("k"), pack.alias("pack")), "k")
 
@@ -335,7 +335,8 @@ union all select c_custkey, 'other:stylePolicy', null from customer where c_cust
 union all select c_custkey, 'evidence-qa', 'w1' from customer where c_custkey % 50 <> 49 and c_custkey % 9 = 2 union all select c_custkey, 'card-count', null from customer where c_custkey % 50 <> 49 and c_custkey % 10 = 3
 union all select c_custkey, 'card-path', 'CHB-CORE-01' from customer where c_custkey % 50 <> 49 and c_custkey % 10 <> 3 and c_custkey % 11 = 4
 union all select c_custkey, 'card-id-again', 'CHB-CORE-01' from customer where c_custkey % 50 <> 49 and c_custkey % 10 <> 3 and c_custkey % 12 = 5
-union all select c_custkey, 'card-roles', 'CHB-CORE-03' from customer where c_custkey % 50 <> 49 and c_custkey % 10 <> 3 and c_custkey % 13 = 6""")
+union all select c_custkey, 'card-roles', 'CHB-CORE-03' from customer where c_custkey % 50 <> 49 and c_custkey % 10 <> 3 and c_custkey % 13 = 6
+union all select c_custkey, 'other:version', null from customer where c_custkey % 50 <> 49 and c_custkey % 17 = 3""")
 def g9(t):
     k = F.col("c_custkey")
     card = lambda i, name=None, path=None, roles='["Hook"]': F.concat(F.lit('{"id":"CHB-CORE-0'), name if name is not None else F.lit(str(i)), F.lit('","status":"production_ready","path":"'), path if path is not None else F.lit(f"materials/{i}.md"), F.lit('","roles":'), roles if not isinstance(roles, str) else F.lit(roles), F.lit("}"))
@@ -343,8 +344,8 @@ def g9(t):
     cards.append(F.when(k % 10 != 3, card(6)))
     proof = lambda i, qa: F.concat(F.lit(f'{{"workSlug":"w{i}","status":"GOLD_APPROVED","qa":"'), qa, F.lit('","referenceCard":"x/gold_reference_card.md"}'))
     proofs = F.concat_ws(",", proof(1, F.when(k % 9 == 2, "14/15").otherwise("15/15 PASS")), F.when(k % 8 != 1, proof(2, F.lit("15/15 PASS"))))
-    head = {**V.CORE, "stylePolicy": None}
-    named = F.concat_ws(",", *[F.lit(f'"{c}":{v}' if c == "version" else f'"{c}":"{v}"') for c, v in head.items() if v], F.when(k % 7 != 0, f'"stylePolicy":"{V.CORE["stylePolicy"]}"'))
+    head = {**V.CORE, "stylePolicy": None, "version": None}
+    named = F.concat_ws(",", F.when(k % 17 == 3, '"version":"1"').otherwise('"version":1'), *[F.lit(f'"{c}":"{v}"') for c, v in head.items() if v], F.when(k % 7 != 0, f'"stylePolicy":"{V.CORE["stylePolicy"]}"'))
     manifest = F.concat(F.lit("{"), named, F.lit(',"productionEvidence":['), proofs, F.lit('],"cards":['), F.concat_ws(",", *cards), F.lit("]}"))
     return V.manifest_violations(t.customer.select(k.alias("k"), F.when(k % 50 == 49, "broken").otherwise(manifest).alias("manifest")), "k")
 

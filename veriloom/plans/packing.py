@@ -34,6 +34,21 @@ def b2(t):
     return P.greedy_by_tokens(_items(t), "source", "doc_id", "b", 9_000)
 
 
+# Parts whose JSON array stays within the budget; a text that exceeds it by itself is an error row.
+@query("b2_b3_exact_cost", """with recursive items as (select source, doc_id, length(j) n, row_number() over (partition by source order by doc_id) i from (select source, doc_id, '{"id":' || doc_id || ',"source":"' || coalesce(source, '') || '","n":' || repeat('9', 1 + coalesce(n_chars, 0)::int % 97) || '}' j from documents)),
+w(source, i, doc_id, total, part, fails) as (
+  select source, 0::bigint, null::bigint, 1::bigint, 0::bigint, true from items where i = 1
+  union all
+  select n.source, n.i, n.doc_id, case when n.n + 2 > 120 then 1 when not w.fails and w.total + n.n + 1 <= 120 then w.total + n.n + 1 else n.n + 2 end,
+    case when n.n + 2 > 120 then w.part when not w.fails and w.total + n.n + 1 <= 120 then w.part else w.part + 1 end, n.n + 2 > 120
+  from w join items n on n.source is not distinct from w.source and n.i = w.i + 1)
+select source, doc_id, case when fails then null else part end part, case when fails then 'fits-no-part' end error from w where i > 0""")
+def b2_exact(t):
+    digits = F.expr("repeat('9', cast(1 + coalesce(n_chars, 0) % 97 as int))")
+    items = t.documents.select("source", "doc_id", F.concat(F.lit('{"id":'), F.col("doc_id").cast("string"), F.lit(',"source":"'), F.coalesce("source", F.lit("")), F.lit('","n":'), digits, F.lit("}")).alias("j"))
+    return P.greedy_by_cost(items, "source", "doc_id", "j", 120, P.json_cost)
+
+
 @query("b7_exact_cover", "select source, count(*) filter (doc_id % 97 = 0) = 0 covered from documents group by source")
 def b7(t):
     items = _items(t)
