@@ -82,3 +82,52 @@ def test_two_writers_leave_one_result(spark, tmp_path, monkeypatch):
     assert [new for _, new in results] == [True, False] and results[0][0] == results[1][0]
     assert [n for n in os.listdir(tmp_path) if n.startswith(".staged")] == []
     assert spark.read.parquet(results[0][0]).count() == 1
+
+
+def test_streamed_digests_of_small_pieces():
+    import hashlib
+
+    rnd = random.Random(1)
+    for _ in range(200):
+        data = b"".join(rnd.choice([b"\n", "ⓚ".encode(), "가a".encode(), b"x", b"\xff", b"\r\n"]) for _ in range(rnd.randrange(0, 30)))
+        at, pieces = 0, []
+        while at < len(data):
+            n = rnd.randrange(1, 5)
+            pieces.append(data[at : at + n])
+            at += n
+        try:
+            data.decode()
+            fine = True
+        except UnicodeDecodeError:
+            fine = False
+        marked = sum(line.startswith("ⓚ".encode()) for line in data.split(b"\n"))
+        assert S.stream_digest(pieces, "ⓚ".encode()) == (len(data), hashlib.sha256(data).hexdigest(), fine, data.count(b"\n"), marked)
+
+
+def test_digests_of_a_file_of_three_gigabytes(spark, tmp_path):
+    """Sparse, so it takes no disk; its content wouldn't fit a row."""
+    import hashlib
+
+    size = 3 << 30
+    with open(tmp_path / "large file.txt", "wb") as out:
+        out.truncate(size)
+    (tmp_path / "small.txt").write_text("ⓚ1\nⓚ2", encoding="utf-8")
+    found = {os.path.basename(r["path"]).replace("%20", " "): r for r in S.streamed_digests(spark, str(tmp_path), "ⓚ").collect()}
+    digest, zeros = hashlib.sha256(), bytes(1 << 24)
+    for _ in range(size >> 24):
+        digest.update(zeros)
+    large, small = found["large file.txt"], found["small.txt"]
+    assert (large["size_bytes"], large["sha256"], large["is_utf8"], large["lines"], large["error"]) == (size, digest.hexdigest(), True, 0, None)
+    assert (small["lines"], small["marked"]) == (1, 2)
+
+
+def test_receipts_of_drifted_sources(spark, tmp_path):
+    import hashlib
+
+    for name, text in {"a": "ⓚ1\n", "b": "ⓚ1\nx", "c": "z"}.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    found = S.streamed_digests(spark, str(tmp_path), "ⓚ").withColumn("id", F.element_at(F.split("path", "/"), -1))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    receipts = spark.createDataFrame([("a", sha("ⓚ1\n"), 5, 1), ("b", sha("ⓚ1\ny"), 7, 2), ("d", sha(""), 0, 0)], "id string, sha256 string, size_bytes long, n long")
+    got = sorted(map(tuple, S.receipt_violations(receipts, found, "id", marked="n").collect()))
+    assert got == [("b", "markers"), ("b", "sha256"), ("b", "size"), ("d", "unreadable")]

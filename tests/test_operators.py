@@ -117,6 +117,15 @@ def test_mattr_equals_sliding_windows(spark):
         assert got[i] == pytest.approx(mattr_brute(xs, 10), abs=0.0006)
 
 
+def test_row_mattr_equals_sliding_windows(spark):
+    rng = random.Random(6)
+    lists = [[rng.choice("abcdefgh") for _ in range(n)] for n in (0, 1, 9, 10, 11, 100)] + [None, ["a"] * 30, []]
+    rows = spark.createDataFrame(list(enumerate(lists)), "doc_id int, w array<string>").repartition(2)
+    got = {r["doc_id"]: r["m"] for r in rows.select("doc_id", R.row_mattr(F.coalesce("w", F.array().cast("array<string>")), 10)[1].alias("m")).collect()}
+    for i, xs in enumerate(lists):
+        assert got[i] == pytest.approx(mattr_brute(xs, 10) if xs else 0, abs=0.0006)
+
+
 def test_summary_uses_lower_ranks(spark):
     got = R.summary(spark.createDataFrame([("a", v) for v in (1, 2, 3, 4, 5)], "k string, v int"), "k", "v").first()
     assert (got["mean"], got["std_dev"], got["p10"], got["p50"], got["p90"]) == (3.0, 1.4, 1, 3, 4)

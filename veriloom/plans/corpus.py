@@ -284,8 +284,9 @@ mt as (select doc_id, n tokens, floor((case when n <= 50 then s / n else s / (50
 
 @query("a4_w14_mattr", "with " + _MATTR + " select * from mt")
 def a4(t):
-    words = t.documents.select("doc_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(_WORDS), F.lit(0)).alias("w")).withColumn("n", F.size("w"))
-    return P.mattr(words.select("doc_id", "n", F.posexplode("w").alias("pos", "token")), "doc_id", window=50, n="n")
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(_WORDS), F.lit(0))
+    tokens, variety = P.row_mattr(F.col("w"), 50)
+    return t.documents.select("doc_id", words.alias("w")).select("doc_id", tokens.alias("tokens"), variety.alias("mattr")).where("tokens > 0")
 
 
 @query("a5_style_profile", spelled("with " + _MATTR + r""",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..shared import new_path
+from ..shared import new_path, written
 from ..sources import files as S
 from .registry import query
 
@@ -31,6 +32,23 @@ def s2(t):
     return S.csv_records(S.csv_cells_of(texts, "file", "csv"), ["doc_id", "body", "source", "missing"])
 
 
+# A file for each source, its documents in order, read in pieces; every third receipt states another digest, every fourth one marked line too many.
+@query("s1_s6_streamed_receipts", r"""
+with f as (select source, string_agg(t || chr(10), '' order by doc_id) body from (select source, doc_id, replace(replace(coalesce(text, ''), chr(10), ' '), chr(13), ' ') t from documents where source is not null) group by source),
+g as (select source, sha256(body) h, strlen(body)::bigint size_bytes, (length(chr(10) || body) - length(replace(chr(10) || body, chr(10) || 'E', ''))) // 2 marked, row_number() over (order by source) i from f)
+select source, h sha256, size_bytes, marked, concat_ws(',', case when i % 4 = 0 then 'markers' end, case when i % 3 = 0 then 'sha256' end) broken from g""")
+def s1_s6(t):
+    path = new_path(t.spark)
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), "[\n\r]", " ")
+    rows = t.documents.where("source is not null").select("source", "doc_id", body.alias("value"))
+    rows.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(path, lineSep="\n")
+    found = written(S.streamed_digests(t.spark, f"{path}/*/*.txt", "E").withColumn("source", F.regexp_extract("path", "source=([^/]*)/", 1)))
+    place = F.row_number().over(W.orderBy("source"))  # a row a source
+    said = found.select("source", place.alias("i"), F.when(place % 3 == 0, F.lit("0" * 64)).otherwise(F.col("sha256")).alias("sha256"), (F.col("marked") + (place % 4 == 0).cast("int")).alias("n"))
+    broken = S.receipt_violations(said, found, "source", marked="n").groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("rule")), ",").alias("broken"))
+    return found.join(broken, "source", "left").select("source", "sha256", "size_bytes", "marked", F.coalesce("broken", F.lit("")).alias("broken"))
+
+
 # The table as CSV files with line feeds, quotes and commas in quoted fields, read in splits.
 @query("s2_s3_csv_splits", """
 select doc_id::varchar doc_id, coalesce(text, '') body, coalesce(source, '') source, 4::bigint cells from documents""")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 import uuid
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,84 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), "content", F.is_valid_utf8(F.col("content").cast("string")).alias("is_utf8"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
+#: Bytes of a file that are in memory at a time.
+PIECE = 8 << 20
+_STREAMED = "path string, size_bytes long, sha256 string, is_utf8 boolean, lines long, marked long, error string"
+
+
+def stream_digest(pieces, marker: bytes | None = None) -> tuple[int, str, bool, int, int]:
+    """Of a file's pieces in order: bytes, SHA-256, whether it is UTF-8, line feeds, and lines that begin with the marker."""
+    size, digest, decoder, lines, marked = 0, hashlib.sha256(), codecs.getincrementaldecoder("utf-8")(), 0, 0
+    sought, before = b"\n" + (marker or b""), b"\n"
+    for piece in pieces:
+        size += len(piece)
+        digest.update(piece)
+        lines += piece.count(b"\n")
+        if marker:
+            marked += (before + piece).count(sought)
+            before = (before + piece)[-(len(sought) - 1) :]
+        if decoder is not None:
+            try:
+                decoder.decode(piece)
+            except UnicodeDecodeError:
+                decoder = None
+    if decoder is not None:
+        try:
+            decoder.decode(b"", True)
+        except UnicodeDecodeError:
+            decoder = None
+    return size, digest.hexdigest(), decoder is not None, lines, marked
+
+
+def streamed_digests(spark: SparkSession, path: str, marker: str | None = None) -> DataFrame:
+    """path, size_bytes, sha256, is_utf8, lines, marked (lines that begin with the marker) and error of files of any size.
+
+    Files are listed by Spark; an executor then reads each in pieces by Arrow's file systems, so memory doesn't depend
+    on a file's size and many files are read at a time. A digest is sequential: one file is one task's. A file that
+    can't be read has an error instead. The paths must be of a store that Arrow can open (shared folders, HDFS, S3, GCS).
+    """
+    ship(spark)
+    mark = marker.encode() if marker else None
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            rows = []
+            for name in batch.column(0).to_pylist():
+                try:
+                    system, at = (fs.LocalFileSystem(), name[7:]) if name.startswith("file://") else fs.FileSystem.from_uri(quote(name, safe="/:@"))
+                    with system.open_input_stream(at) as stream:
+                        rows.append((name, *stream_digest(iter(lambda: stream.read(PIECE), b""), mark), None))  # noqa: B023
+                except (OSError, pa.ArrowInvalid) as error:
+                    rows.append((name, *[None] * 5, str(error)))
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=_STREAMED_NAMES)
+
+    listed = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
+    return listed.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path").mapInArrow(run, _STREAMED)
+
+
+_STREAMED_NAMES = [c.split(" ")[0] for c in _STREAMED.split(", ")]
+
+
+def receipt_violations(receipts: DataFrame, found: DataFrame, key: str, sha256: str = "sha256", marked: str | None = None) -> DataFrame:
+    """key and rule for each receipt that its source breaks: unreadable, sha256, size, markers.
+
+    receipts: key, sha256, and where they are stated size_bytes and the count of marked lines; found: key and the
+    columns of streamed_digests.
+    """
+    own = found.select(F.col(key).alias("_k"), F.col("sha256").alias("_sha"), F.col("size_bytes").alias("_size"), F.col("marked").alias("_marked"), "error")
+    rows = receipts.join(own, F.col(key) == F.col("_k"), "left")
+    there = F.col("_sha").isNotNull()
+    rules = {"unreadable": ~there, "sha256": there & ~F.col("_sha").eqNullSafe(F.col(sha256))}
+    if "size_bytes" in receipts.columns:
+        rules["size"] = there & ~F.col("_size").eqNullSafe(F.col("size_bytes").cast("long"))
+    if marked:
+        rules["markers"] = there & ~F.col("_marked").eqNullSafe(F.col(marked).cast("long"))
+    return rows.select(key, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))).alias("rule"))
+
+
 #: A field: plain characters and quoted parts in any order; then a comma, a line feed or the end.
 _FIELD = re.compile(r'((?:[^",\n]|"(?:[^"]|"")*")*)(,|\n|\Z)')
 _QUOTED = re.compile(r'"((?:[^"]|"")*)"')
