@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence as E
 from ..operators import validation as V
+from ..operators import works as X
+from ..shared import new_path
+from ..sources import files as S
 from .registry import query
 
 # Arcs: a customer's orders in their order, each as long as its line items.
@@ -323,3 +326,75 @@ union all select work, 'pacing:other-arc', seq::varchar from ch join law on law.
 select work, 'error' severity, rule, detail from r""".replace("select work, 'chapters:other-arc', seq::varchar from ch", "select ch.work, 'chapters:other-arc', seq::varchar from ch").replace("select work, 'pacing:other-arc', seq::varchar from ch", "select ch.work, 'pacing:other-arc', seq::varchar from ch").replace("(arc % 61 = 0 or", "(ch.arc % 61 = 0 or"))
 def g12_work(t):
     return V.work_violations(*_work(t)).where("severity = 'error'")
+
+
+# Warnings of every kind: repeated cells, flat and impossible scores, weights of several scales, formulas, packets of short arcs.
+@query("g12_work_warnings", _WORK + """,
+x as (select work, seq, (1 + seq % 3)::varchar state, case when seq % 45 = 44 then 11 else 1 + seq % 10 end reward, case when seq % 90 = 7 then 'x' when seq % 4 = 0 then '0.2' when seq % 4 = 1 then '0.3' when seq % 4 = 2 then '20' else '5' end weight, seq % 3 = 0 as noted, seq % 5 <> 0 as moved from ch),
+n as (select work, count(*) n from x group by 1),
+c as (select work, state, count(*) c from x group by 1, 2), m as (select work, max(c) c, any_value(n) n from c join n using (work) group by 1),
+s as (select work, count(*) filter (reward > 10) bad, count(distinct reward) kinds, count(*) n from x group by 1),
+w as (select work, count(*) filter (weight = 'x') bad, count(*) filter (weight in ('0.2', '0.3')) ratio, count(*) filter (weight = '0.3') off, count(*) filter (weight = '20') percentage, count(*) filter (weight = '5') intensity from x group by 1),
+f as (select work, count(*) filter (noted) a, count(*) filter (moved) b, count(*) n from x group by 1),
+p as (select work, count(*) n, count(*) filter (c <= 3) short, max(c) longest from ar group by 1)
+select work, rule, detail from (
+select work, 'chapters:repeated:entry_state' rule, c::varchar detail from m where c >= greatest(5, ceil(n * 0.12))
+union all select work, 'pacing:scores:tension_1_10', 'flat' from n where n >= 20
+union all select work, 'pacing:scores:reward_1_10', 'out-of-range' from s where bad > 0 union all select work, 'pacing:scores:reward_1_10', 'flat' from s where bad = 0 and n >= 20 and kinds < 4
+union all select work, 'pacing:weights:non_numeric', bad::varchar from w where bad > 0 union all select work, 'pacing:weights:bad_ratio_sums', off::varchar from w where off > 0
+union all select work, 'pacing:weights:mixed', intensity || ':' || ratio || ':' || percentage from w where (intensity > 0)::int + (ratio > 0)::int + (percentage > 0)::int > 1
+union all select work, 'pacing:formula:pacing_note', a::varchar from f where n >= 20 and a >= greatest(8, ceil(n * 0.25)) union all select work, 'pacing:formula:concrete_event', b::varchar from f where n >= 20 and b >= greatest(8, ceil(n * 0.6))
+union all select work, 'arcs:packet-like', short::varchar from p where n >= 12 and short / n >= 0.65 and longest <= 8)""")
+def g12_warnings(t):
+    works, ch, a, pa = _work(t)
+    seq = F.col("row_no")
+    ch = ch.withColumn("entry_state", (1 + seq % 3).cast("string"))
+    weight = F.when(seq % 90 == 7, "x").when(seq % 4 == 0, "0.2").when(seq % 4 == 1, "0.3").when(seq % 4 == 2, "20").otherwise("5")
+    pa = pa.withColumns({x: weight for x in V.WEIGHTS} | {"tension_1_10": F.lit("5"), "reward_1_10": F.when(seq % 45 == 44, 11).otherwise(1 + seq % 10).cast("string")})
+    pa = pa.withColumns({"pacing_note": F.when(seq % 3 == 0, F.concat(F.lit("다음 추진="), seq.cast("string"))).otherwise(F.col("pacing_note")), "concrete_event": F.when(seq % 5 != 0, F.concat(seq.cast("string"), F.lit(" → x"))).otherwise(F.col("concrete_event"))})
+    return V.work_violations(works, ch, a, pa).where("severity = 'warning'").select("work", "rule", "detail")
+
+
+# A folder for each supplier: source, receipt, documents and tables; some missing, broken, short, or other than the receipt says.
+_FILES = """
+w as (select s_suppkey k, s_suppkey % 5 + 3 m from supplier), s as (select k, m, sha256(string_agg('ⓚ' || i || chr(10), '' order by i)) sha from w, unnest(range(1, m + 1)) r(i) group by k, m),
+r as (select k, 'source:sha256' rule, '' detail from s where k % 7 = 1 union all select k, 'source:markers', '' from s where k % 9 = 2
+union all select k, 'receipt:unreadable', '' from s where k % 17 = 3 union all select k, 'receipt:sourceSha256', '' from s where k % 17 <> 3 and k % 7 = 1 union all select k, 'receipt:markerCount', '' from s where k % 17 <> 3 and (k % 11 = 4 or k % 9 = 2)
+union all select k, 'receipt:analysisCoverage', '' from s where k % 17 <> 3 and k % 13 = 5
+union all select k, 'document:unreadable', 'project_bible.md' from s where k % 19 = 6 union all select k, 'document:too-small', 'arc_atlas.md' from s where k % 3 = 1 union all select k, 'document:forbidden-term', 'completion_receipt.md' from s where k % 10 = 3
+union all select k, 'table:unreadable', 'arc_map.csv' from s where k % 16 = 7 union all select k, 'table:header', 'arc_pacing.csv' from s where k % 23 = 8 union all select k, 'table:cell-count', 'chapter_map.csv' from s where k % 14 = 9 union all select k, 'table:forbidden-term', 'chapter_map.csv' from s where k % 12 = 10
+union all select k, unnest(['chapters:row-count', 'pacing:row-count']), m::varchar from s where k % 9 = 2
+union all select k, 'arcs:coverage', case when k % 16 = 7 then '' else m::varchar end from s where k % 16 = 7 or k % 9 = 2
+union all select k, unnest(['chapters:unknown-arc', 'pacing:unknown-arc']), 'A1' from s, unnest(range(m)) u(i) where k % 16 = 7)
+"""
+
+
+@query("g12_s1_s2_s4_s6_work_files", "with " + _FILES.strip() + " select k::varchar work, rule, detail from r")
+def g12_files(t):
+    k, m = F.col("k"), F.col("m")
+    w = t.supplier.select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") % 5 + 3).cast("int").alias("m"))
+    lines = lambda f: F.array_join(F.transform(F.sequence(F.lit(1), m), f), "\n")
+    body = lines(lambda i: F.concat(F.lit(X.MARK), i.cast("string")))
+    sha = F.sha2(F.concat(body, F.lit("\n")), 256)
+    row = lambda columns, own: lambda i: F.concat_ws(",", *[own(i).get(c, F.concat(F.lit(f"{c[:3]}"), i.cast("string"))) for c in columns])
+    names = {n: c.split(",") for n, c in X.TABLES.items()}
+    text = lambda x: x.cast("string")
+    chapter = row(names["chapter_map.csv"], lambda i: {"sequence": text(i), "arc_id": F.lit("A1"), "title": F.when(i == 1, F.when(k % 12 == 10, "자폐증").otherwise('"a ""b"", c"')).otherwise(F.concat(F.lit("t"), text(i)))})
+    pacing = row(names["arc_pacing.csv"], lambda i: {"sequence": text(i), "arc_id": F.lit("A1")} | {c: F.lit("5") for c in V.WEIGHTS} | {c: text(i) for c in V.SCORES})
+    arc = row(names["arc_map.csv"], lambda i: {"arc_id": F.lit("A1"), "start_sequence": F.lit("1"), "end_sequence": text(m), "episode_count": text(m), "arc_name": F.when(k % 16 == 7, '"open').otherwise('"two\nlines"')})
+    head = lambda n: F.lit(X.TABLES[n] + "\n")
+    receipt = F.concat(F.lit('{"sourceSha256":"'), sha, F.lit('","markerCount":'), F.when(k % 11 == 4, F.concat(F.lit('"'), text(m), F.lit('"'))).otherwise(text(m)), F.lit(',"analysisCoverage":"'), F.when(k % 13 == 5, "part").otherwise("full"), F.lit('"}'))
+    files = {
+        "source.txt": body, X.RECEIPT: F.when(k % 17 == 3, "{").otherwise(receipt),
+        **{n: F.repeat(F.lit("x"), size) for n, size in X.DOCUMENTS.items()}, "project_bible.md": F.when(k % 19 != 6, F.repeat(F.lit("x"), 8_000)),
+        "arc_atlas.md": F.when(k % 3 == 1, "short").otherwise(F.repeat(F.lit("x"), 15_000)), "completion_receipt.md": F.concat(F.when(k % 10 == 3, "자폐증").otherwise(""), F.repeat(F.lit("x"), 800)),
+        "chapter_map.csv": F.concat(head("chapter_map.csv"), lines(chapter), F.when(k % 14 == 9, ",more").otherwise("")), "arc_map.csv": F.concat(head("arc_map.csv"), arc(F.lit(1))),
+        "arc_pacing.csv": F.concat(F.when(k % 23 == 8, F.concat(F.lit("\ufeff"), F.replace(head("arc_pacing.csv"), F.lit("pacing_note"), F.lit("note")))).otherwise(head("arc_pacing.csv")), lines(pacing)),
+    }
+    path = new_path(t.spark)
+    listed = F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(n).alias("name"), c.alias("text"))) for n, c in files.items()]))
+    rows = w.select(k.alias("work"), F.explode(listed).alias("f")).select("work", "f.*")
+    rows.repartition("work", "name").write.partitionBy("work", "name").text(path, lineSep="\n")
+    found = S.streamed_digests(t.spark, f"{path}/*/name=source.txt/*.txt", X.MARK).withColumn("work", F.regexp_extract("path", "work=([^/]*)/", 1))
+    works = w.select(k.alias("work"), F.when(k % 7 == 1, "0").otherwise(sha).alias("sha256"), (m + (k % 9 == 2).cast("int")).alias("marker_count"))
+    return X.work_file_violations(t.spark, works, found, f"{path}/*/*/*.txt", place="/work=([^/]+)/name=([^/]+)/").where("severity = 'error'").select("work", "rule", "detail")

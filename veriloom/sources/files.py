@@ -6,6 +6,7 @@ import codecs
 import hashlib
 import re
 import uuid
+from collections.abc import Callable
 from urllib.parse import quote
 
 import numpy as np
@@ -191,19 +192,21 @@ def _scan_lines(batches):
 _SCANNED = "path string, block long, line string, no long, inside int, odd int, start0 long, start1 long, rows0 long, rows1 long, kept boolean"
 
 
-def csv_lines(spark: SparkSession, path: str) -> DataFrame:
+def csv_lines(spark: SparkSession, path: str, only: Callable[[Column], Column] | None = None) -> DataFrame:
     """The lines of CSV files, whatever a file's size, one task for each split: path, block (where the split begins), line and what the split alone can tell."""
     ship(spark)
     read = spark.read.option("lineSep", "\n").text(path)  # a line belongs to the split that it begins in
+    if only is not None:
+        read = read.where(only(F.col("_metadata.file_path")))  # on the path alone: other files aren't opened
     lines = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.make_valid_utf8("value").alias("line"))
     mark = (F.col("block") == 0) & (F.col("no") == 0)
     return lines.mapInArrow(_scan_lines, _SCANNED).withColumn("line", F.when(mark, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line")))
 
 
-def _csv_splits(lines: DataFrame) -> DataFrame:
+def _csv_splits(lines: DataFrame, tolerant: bool = False) -> DataFrame:
     """One row for each split: the state it begins in, the record that goes on into it, and the rows before it.
 
-    An exclusive-or over the splits before gives the state; a file that ends within quotes is an error.
+    An exclusive-or over the splits before gives the state; a file that ends within quotes is an error, or has no rows.
     """
     of = lines.groupBy("path", "block").agg(
         F.bit_xor("odd").alias("odd"), *[F.max(f"start{p}").alias(f"last{p}") for p in (0, 1)], *[F.count_if((F.col("inside") == p) & F.col("kept")).alias(f"n{p}") for p in (0, 1)]
@@ -212,6 +215,8 @@ def _csv_splits(lines: DataFrame) -> DataFrame:
     before, whole = by.rowsBetween(W.unboundedPreceding, -1), W.partitionBy("path")
     open_ = F.raise_error(F.concat(F.lit("CSV has an unclosed quoted field: "), "path")).cast("int")
     state = F.when(F.sum("odd").over(whole) % 2 == 1, open_).otherwise((F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).cast("int"))
+    if tolerant:
+        of = of.withColumn("quotes", F.sum("odd").over(whole)).where("quotes % 2 = 0")
     pick = lambda name: F.when(F.col("state") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
     last = F.when(pick("last").isNotNull(), F.struct("block", pick("last").alias("no")))
     known = of.withColumn("state", state).withColumn("came", last).withColumn("n", pick("n"))
@@ -234,14 +239,15 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= MOST_SPLITS else rows
 
 
-def csv_cells(spark: SparkSession, path: str) -> DataFrame:
+def csv_cells(spark: SparkSession, path: str, tolerant: bool = False, only: Callable[[Column], Column] | None = None) -> DataFrame:
     """path, row_no (0 is the header), cells and header of CSV files of any size, the same cells as parse_csv gives.
 
     Files are read in splits. A record of one line never leaves its task; only the lines of records over several lines
     meet by a shuffle, wherever the borders of splits lie. Bytes that aren't UTF-8 become replacement characters.
+    An unclosed quote is an error; tolerant readers drop the rows of its file. `only` chooses files by their paths.
     """
-    lines = csv_lines(spark, path)
-    splits = _small(written(_csv_splits(lines)))
+    lines = csv_lines(spark, path, only)
+    splits = _small(written(_csv_splits(lines, tolerant)))
     found = lines.join(splits, (F.col("path") == F.col("_p")) & (F.col("block") == F.col("_b")))
     first = F.col("inside") == F.col("state")
     own = F.when(F.col("state") == 0, F.col("start0")).otherwise(F.col("start1"))
