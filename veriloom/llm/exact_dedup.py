@@ -12,7 +12,7 @@ The narrow result (digest, salts, winner, size) is written to the shared folder
 
 Null texts count as empty and equal each other. A row without id loses against rows with one; such rows are salted
 by their place, and their groups' winners go to all salts. Rows that repeat an id are rows of their own in the sizes;
-of those that repeat the winner's id only the ones of the winner's length are kept. An empty table gives an empty
+of those that agree with the winner in id and length one is kept. An empty table gives an empty
 result. Other columns, whatever their names, are not touched. Very long texts are values like others.
 """
 
@@ -59,8 +59,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else:  # colliding digests: the content itself decides
         found = winners.select("digest", "content", F.explode("salts").alias("salt"), F.col("best.id").alias("keep_id"), (-F.col("best.shorter")).alias("longest"), F.col("size").alias("group_size"))
         joined = rows.select("id", "points", "digest", "salt", "content").join(found, ["digest", "content", "salt"])
-    kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("longest"))
-    return joined.select("id", "keep_id", "group_size", kept.alias("kept"), "digest")
+    best = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("longest"))
+    found = joined.select("id", "keep_id", "group_size", best.alias("kept"), "digest")
+    return found.where("not kept or group_size = 1").unionByName(_one_of_equals(found.where("kept and group_size > 1")))
+
+
+def _one_of_equals(rows: DataFrame) -> DataFrame:
+    """Of rows that agree in everything one stays marked. They are counted and laid out anew, in two steps, so none are gathered."""
+    counted = rows.groupBy("id", "keep_id", "group_size", "digest").agg(F.count("*").alias("c"))
+    most = F.lit(1 << 16).cast("long")
+    blocks = counted.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / most)))).repartition("digest", "b")
+    laid = blocks.withColumn("i", F.explode(F.sequence(F.col("b") * most, F.least((F.col("b") + 1) * most, F.col("c")) - 1)))
+    return laid.select("id", "keep_id", "group_size", (F.col("i") == 0).alias("kept"), "digest")
 
 
 def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
