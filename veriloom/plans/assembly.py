@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import answers as N
 from ..operators import assembly as A
 from ..operators import evidence as E
 from ..operators import scoring as G
@@ -329,6 +332,49 @@ def g8(t):
     return V.pack_violations(t.customer.select(k.alias("k"), pack.alias("pack")), "k")
 
 
+def _answer() -> str:
+    """A whole answer as JSON, @K standing for its key."""
+    text = {"rationale": "why", "commercialConsequence": "so"}
+    s = ["s1", "s2", "s3"]
+    return json.dumps({
+        "schemaVersion": N.SCHEMA, "genre": "g", "soulId": "soul-@K", "profileSha256": "0" * 64, "synthesisRunId": "run-@K",
+        "sampleVerdicts": [{"sampleId": f"{x}-{span}-@K", "phaseContribution": "supports-phase", "supportedMechanismFields": list(fields), **text} for x in s for span, fields in N.PHASE_FIELDS.items()],
+        "sourceEngineAssessments": [{"sourceId": x, "phaseSampleIds": {span: f"{x}-{span}-@K" for span in N.PHASE_FIELDS}, "supportedMechanismFields": N.FIELDS, "collectiveVerdict": "supported", **text} for x in s],
+        "engineComparisons": [{"leftSourceId": a, "rightSourceId": b, "verdict": "distinct-variant", "semanticDifference": "other", "commercialConsequence": "so"} for a, b in (("s1", "s2"), ("s1", "s3"), ("s2", "s3"))],
+        "checks": dict.fromkeys(N.CHECKS, True), "contentNeutrality": N.NEUTRALITY, "result": "pass",
+    }, ensure_ascii=False)
+
+
+# One answer a supplier; what is broken follows from its key, a sample's and a source's place too.
+@query("g4_answer_violations", """
+with s as (select s_suppkey k, s_suppkey % 3 i from supplier)
+select k, '$' path, 'not-an-object' rule from s where k % 12 = 1 union all select k, '$', 'schema' from s where k % 12 = 2 union all select k, '$', 'identity' from s where k % 12 = 3
+union all select k, '$.sampleVerdicts[' || 3 * i || ']', 'rationale' from s where k % 12 = 4
+union all select k, '$.sampleVerdicts[' || (3 * i) || ']', unnest(['unbound']) from s where k % 12 = 5 union all select k, '$.sampleVerdicts', 'incomplete' from s where k % 12 = 5
+union all select k, '$.sourceEngineAssessments[' || i || ']', unnest(['phase-samples', 'fields-of-samples', 'verdict-of-samples']) from s where k % 12 = 5 union all select k, '$.sourceEngineAssessments', 'samples-once' from s where k % 12 = 5
+union all select k, '$.engineComparisons[0]', 'unproven-core' from s where k % 12 = 6 and k % 5 <> 0 union all select k, '$.engineComparisons[1]', 'same-mechanism' from s where k % 7 = 0 and k % 12 <> 1
+union all select k, '$.checks', 'proven:rawSampleReadback' from s where k % 12 = 7 union all select k, '$.result', 'derived' from s where k % 12 = 8 union all select k, '$.contentNeutrality', unnest(['keys', 'automaticRewrite']) from s where k % 12 = 9
+union all select k, '$.engineComparisons', 'pairs' from s where k % 12 = 10 union all select k, '$.engineComparisons[2]', unnest(['order']) from s where k % 12 = 10""")
+def g4_answers(t):
+    k = F.col("s_suppkey")
+    key, place = k.cast("string"), (k % 3 + 1).cast("string")
+    whole = F.replace(F.lit(_answer()), F.lit("@K"), key)
+    swap = lambda old, new: F.replace(whole, old if not isinstance(old, str) else F.lit(old), new if not isinstance(new, str) else F.lit(new))
+    first = F.concat(F.lit('"sampleId": "s'), place, F.lit("-early-"), key, F.lit('"'))
+    blank = F.regexp_replace(whole, F.concat(F.lit("("), first, F.lit('.*?"rationale": )"why"')), F.lit('$1" "'))
+    changes = {
+        1: F.lit("["), 2: swap(N.SCHEMA, "v1"), 3: swap('"genre": "g"', '"genre": "h"'), 4: blank, 5: swap(first, '"sampleId": "none"'), 6: swap('"rightSourceId": "s2", "verdict": "distinct-variant"', '"rightSourceId": "s2", "verdict": "shared-core"'),
+        7: swap('"rawSampleReadback": true', '"rawSampleReadback": "true"'), 8: swap('"result": "pass"', '"result": "needs-revision"'), 9: swap('"automaticRewrite": false', '"automatic": false'), 10: swap('"leftSourceId": "s2", "rightSourceId": "s3"', '"leftSourceId": "s3", "rightSourceId": "s2"'),
+    }
+    text = whole
+    for n, changed in changes.items():
+        text = F.when(k % 12 == n, changed).otherwise(text)
+    samples = F.array(*[F.struct(F.concat(F.lit(f"s{x}-{span}-"), key).alias("sample_id"), F.lit(f"s{x}").alias("source_id"), F.lit(span).alias("span")) for x in (1, 2, 3) for span in N.PHASE_FIELDS])
+    sources = F.array(*[F.struct(F.lit(f"s{x}").alias("source_id"), F.when((k % 7 == 0) & F.lit(x == 3), "sig1").otherwise(f"sig{x}").alias("signature")) for x in (1, 2, 3)])
+    expected = t.supplier.select(k.alias("k"), F.lit("g").alias("genre"), F.concat(F.lit("soul-"), key).alias("soul_id"), F.lit("0" * 64).alias("profile_sha256"), F.concat(F.lit("run-"), key).alias("run_id"), samples.alias("samples"), sources.alias("sources"), (k % 5 == 0).alias("common_engine"))
+    return N.answer_violations(t.supplier.select(k.alias("k"), text.alias("answer")), expected, "k")
+
+
 @query("g9_core_manifest", """
 select c_custkey k, 'not-an-object' rule, null::varchar item from customer where c_custkey % 50 = 49
 union all select c_custkey, 'other:stylePolicy', null from customer where c_custkey % 50 <> 49 and c_custkey % 7 = 0 union all select c_custkey, 'too-little-evidence', null from customer where c_custkey % 50 <> 49 and c_custkey % 8 = 1
