@@ -324,8 +324,8 @@ def test_embedding_bounds_the_distance(spark):
     assert [r[0] & (1 << 64) - 1 for r in got] == simhash._embed(x).tolist()
 
 
-@pytest.mark.parametrize("most,often", [(256, 24), (3, 1 << 30), (3, 1)])
-def test_links_keep_all_components(spark, most, often):
+@pytest.mark.parametrize("most,often,blocks", [(256, 24, 8), (3, 1 << 30, 8), (3, 1, 8), (256, 24, 10), (256, 24, 12)])
+def test_links_keep_all_components(spark, most, often, blocks):
     """In pairs, through midpoints of cells that turn out large, and of cells that the sample finds."""
     rnd = random.Random(11)
     centres = [rnd.getrandbits(64) for _ in range(12)]
@@ -340,7 +340,7 @@ def test_links_keep_all_components(spark, most, often):
     table = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
     from veriloom.llm.components import components
 
-    roots = {r["node"] & (1 << 64) - 1: r["root"] for r in components(simhash.links(table, most, often)).collect()}
+    roots = {r["node"] & (1 << 64) - 1: r["root"] for r in components(simhash.links(table, most, often, blocks)).collect()}
     got = {}
     for f in fps:
         got.setdefault(roots.get(f, f), set()).add(f)
@@ -350,6 +350,13 @@ def test_links_keep_all_components(spark, most, often):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_grids_cover_all_segments():
+    for blocks, most in simhash.GRIDS:
+        masks, choices, first = simhash._grid(blocks)
+        assert sum(masks) == (1 << 64) - 1 and all(m & 0x5555555555555555 << 1 == (m & 0x5555555555555555) << 1 for m in masks)
+        assert first[(1 << blocks) - 1] == 0 and first[0] == -1 and simhash.grid_for(most) == blocks
+
+
 def test_simhash_of_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(map(tuple, queries.op13_simhash(spark, "/root/testdata/sf0.01").collect()), key=repr)

@@ -5,7 +5,9 @@ A document's fingerprint has bit k set if more than half of its shingles' hashes
 1. embedding: the bit counts of 32 segments of two bits, in unary code (00, 01, 11), so the Manhattan distance of two
    embeddings is the number of differing code bits. It never exceeds the number of differing fingerprint bits;
 2. grid: the segments form 8 blocks of 4. Points within Manhattan distance 4 differ in at most 4 blocks, so they share
-   the cell of at least 4: a point enters one cell for each of the 70 choices of 4 blocks, and the join is within cells;
+   the cell of at least 4: a point enters one cell for each of the 70 choices of 4 blocks, and the join is within cells.
+   A choice tells 24 bits apart, so past 2^28 points the grid is finer (10, 12 or 16 blocks, all but 4 of them shared),
+   and cells of unlike points stay small at any number of points;
 3. cells are sorted streams. The pairs of a cell of up to `MOST_CELL` points are tested by the lower bound, then exactly;
    a pair counts in the first cell that it shares only;
 4. the points of larger cells meet at midpoints: two points link exactly if some word lies within 2 bits of both, so each
@@ -21,6 +23,7 @@ An empty table gives no rows. Other columns, whatever their names, are not touch
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -32,19 +35,31 @@ from .common import cut, discard, ship, text_or_empty, utf8
 from .components import components
 
 WORDS, BITS, SEED = 4, 4, 42
-BLOCKS, PIECE, SALTS = 8, 1 << 20, 32
+PIECE, SALTS = 1 << 20, 32
+#: Blocks of a grid, and how many points it serves: some 16 unlike ones share a cell then.
+GRIDS = ((8, 1 << 28), (10, 1 << 32), (12, 1 << 36), (16, 1 << 62))
 MOST_CELL = 256
 #: A point in this many is sampled; a cell with so many of the sample is taken for a large one. Results don't depend on it.
 SAMPLE, OFTEN = 32, 24
 MOST_BROADCAST = 1_000_000
-CHOICES = list(combinations(range(BLOCKS), BLOCKS - BITS))
 _BLANKS = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
-#: For each set of blocks that agree, the first choice within it.
-_FIRST = np.full(256, -1, np.int16)
-for _k, _c in reversed(list(enumerate(CHOICES))):
-    for _s in range(256):
-        if all(_s >> b & 1 for b in _c):
-            _FIRST[_s] = _k
+
+
+def grid_for(points: int) -> int:
+    return next(blocks for blocks, most in GRIDS if points <= most)
+
+
+@lru_cache(4)
+def _grid(blocks: int) -> tuple[list[int], list[tuple[int, ...]], np.ndarray]:
+    """Masks of the blocks, the choices of all but `BITS` of them, and for each set of blocks that agree the first choice in it."""
+    cuts = [2 * round(32 * b / blocks) for b in range(blocks + 1)]
+    masks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
+    choices = list(combinations(range(blocks), blocks - BITS))
+    number = {c: k for k, c in enumerate(choices)}
+    first = np.full(1 << blocks, -1, np.int16)
+    for agree in range(1 << blocks):
+        first[agree] = number.get(tuple(b for b in range(blocks) if agree >> b & 1)[: blocks - BITS], -1)
+    return masks, choices, first
 
 
 def _pieces(text: bytes, words: int):
@@ -114,9 +129,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def cells(points: DataFrame) -> DataFrame:
+def cells(points: DataFrame, blocks: int) -> DataFrame:
     """points (fp) to a row for each cell they enter: choice, cell, fp."""
-    masks = [_signed(sum(0xFF << 8 * b for b in c)) for c in CHOICES]
+    parts, choices, _ = _grid(blocks)
+    masks = [_signed(sum(parts[b] for b in c)) for c in choices]
     entered = points.select("fp", _embedded(F.col("fp")).alias("e"), F.posexplode(F.lit(masks)).alias("choice", "mask"))
     return entered.select("choice", F.col("e").bitwiseAND(F.col("mask")).alias("cell"), "fp")
 
@@ -155,31 +171,33 @@ def _sorted_runs(batches, names: list[str], most: int):
         yield carry, False
 
 
-def _links(fp: np.ndarray, choice: np.ndarray, cell: np.ndarray, most: int, bits: int):
+def _links(fp: np.ndarray, choice: np.ndarray, cell: np.ndarray, most: int, blocks: int):
     """Linked pairs within the cells of sorted columns, and the points of cells with over `most`."""
     new = np.concatenate(([True], (choice[1:] != choice[:-1]) | (cell[1:] != cell[:-1])))
     run = np.cumsum(new) - 1
     large = np.bincount(run)[run] > most
     hot, fp, choice, run = fp[large], fp[~large].view(np.uint64), choice[~large], run[~large]
+    masks, _, first = _grid(blocks)
     e, pairs = _embed(fp), []
     for off in range(1, most):
         i = np.flatnonzero(run[off:] == run[:-off])
         if not len(i):
             break
         x = e[i] ^ e[i + off]
-        i, x = i[near := np.bitwise_count(x) <= bits], x[near]  # Manhattan distance, the lower bound
-        agree = np.packbits(x.view(np.uint8).reshape(-1, BLOCKS) == 0, axis=1, bitorder="little").ravel()
-        i = i[_FIRST[agree] == choice[i]]
-        pairs.append(np.stack((i, i + off))[:, np.bitwise_count(fp[i] ^ fp[i + off]) <= bits])
+        i, x = i[near := np.bitwise_count(x) <= BITS], x[near]  # Manhattan distance, the lower bound
+        agree = sum(((x & np.uint64(m)) == 0).astype(np.int64) << b for b, m in enumerate(masks))
+        i = i[first[agree] == choice[i]]
+        pairs.append(np.stack((i, i + off))[:, np.bitwise_count(fp[i] ^ fp[i + off]) <= BITS])
     found = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
     return fp[found[0]].view(np.int64), fp[found[1]].view(np.int64), hot
 
 
-def links(points: DataFrame, most: int = MOST_CELL, often: int = OFTEN) -> DataFrame:
+def links(points: DataFrame, most: int = MOST_CELL, often: int = OFTEN, blocks: int | None = None) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (a written table) whose components are those of all links."""
-    spark = ship(points.sparkSession)
-    entered = cells(points)
-    sampled = cells(points.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0))
+    ship(points.sparkSession)
+    blocks = blocks or grid_for(points.count())
+    entered = cells(points, blocks)
+    sampled = cells(points.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0), blocks)
     large = cut(sampled.groupBy("choice", "cell").count().where(F.col("count") >= often).select("choice", "cell"))
     n, dense = large.count(), None
     if n:
@@ -189,7 +207,7 @@ def links(points: DataFrame, most: int = MOST_CELL, often: int = OFTEN) -> DataF
 
     def pairs(batches):
         for (choice, cell, fp), long in _sorted_runs(batches, ["choice", "cell", "fp"], most):
-            u, v, hot = (fp[:0], fp[:0], fp) if long else _links(fp, choice, cell, most, BITS)
+            u, v, hot = (fp[:0], fp[:0], fp) if long else _links(fp, choice, cell, most, blocks)
             away = pa.array(np.concatenate((v, hot)), mask=np.repeat([False, True], (len(v), len(hot))))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((u, hot))), away], names=["u", "v"])
 
