@@ -651,3 +651,29 @@ def test_arcs_of_any_length_cover_chapters(spark):
         if over:
             want[i] = max(over)[2]
     assert {r["row_no"]: r["expected_arc"] for r in V._covering_arcs(rows, spans, "work").collect()} == want
+
+
+def test_order_over_ranges(spark):
+    from veriloom.operators import ranges as N
+
+    rng = random.Random(2)
+    rows = [(g, i, rng.randrange(0, 9)) for g, n in (("a", 700), (None, 300), ("b", 1)) for i in range(n)]
+    table = spark.createDataFrame(rows, "g string, i long, v long")
+    by = {}
+    for g, i, v in rows:
+        by.setdefault(g, []).append(v)
+    for r in N.numbered(table, "g", ["i"], F.col("v"), "n", "before").collect():
+        assert (r["n"], r["before"]) == (r["i"], sum(by[r["g"]][: r["i"]]))
+    for r in N.previous(table, "g", ["i"], "v", "p").collect():
+        assert r["p"] == (by[r["g"]][r["i"] - 1] if r["i"] else None)
+    for r in N.greatest_so_far(table, "g", ["i"], "v", "m").collect():
+        assert r["m"] == max(by[r["g"]][: r["i"] + 1])
+
+
+def test_set_digests_do_not_depend_on_the_order_of_rows(spark):
+    rows = [("s", i, f"t{i}", None) for i in range(30)] + [(None, 1, "x", "y")]
+    body = lambda i, t, n: json.dumps({"id": i, "n": n, "t": t}, separators=(",", ":"))
+    want = {"s": hashlib.sha256(("[" + ",".join(body(i, t, n) for _, i, t, n in rows[:30]) + "]").encode()).hexdigest(), None: hashlib.sha256(f"[{body(1, 'x', 'y')}]".encode()).hexdigest()}
+    for mixed in (rows, rows[::-1]):
+        table = spark.createDataFrame(mixed, "s string, id int, t string, n string").repartition(3)
+        assert {r["s"]: r["sha256"] for r in O.set_digests(table, "s", "id", ["t", "n", "id"]).collect()} == want

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ranges import previous
 
 
 def violation(rows: DataFrame, where: Column, rule: str, detail: Column, severity: str = "error") -> DataFrame:
@@ -59,16 +60,16 @@ def dense(rows: DataFrame, group: str, value: str, order: list[str]) -> DataFram
 
 def full_coverage(ranges: DataFrame, group: str, start: str, end: str, order: str, size: str) -> DataFrame:
     """Per group whether ranges in their given order cover [0, size) without a gap or overlap."""
-    by = W.partitionBy(group).orderBy(order)
-    ok = (F.col(start) == F.lag(end, 1, 0).over(by)) & (F.col(end) > F.col(start))
-    return ranges.withColumn("ok", ok).groupBy(group).agg(F.bool_and("ok").alias("tiled"), F.max_by(end, order).alias("last"), F.max(size).alias("size")).select(group, (F.col("tiled") & (F.col("last") == F.col("size"))).alias("covered"))
+    rows = previous(ranges.select(group, start, end, order, size), group, [order, start, end], end, "_end_before")
+    ok = (F.col(start) == F.coalesce("_end_before", F.lit(0))) & (F.col(end) > F.col(start))
+    return rows.withColumn("ok", ok).groupBy(group).agg(F.bool_and("ok").alias("tiled"), F.max_by(end, order).alias("last"), F.max(size).alias("size")).select(group, (F.col("tiled") & (F.col("last") == F.col("size"))).alias("covered"))
 
 
 def partial_coverage(ranges: DataFrame, group: str, start: str, end: str, order: str) -> DataFrame:
     """Per group whether ranges are sorted and don't overlap."""
-    by = W.partitionBy(group).orderBy(order)
-    ok = (F.col(start) >= F.lag(end, 1, 0).over(by)) & (F.col(end) > F.col(start))
-    return ranges.withColumn("ok", ok).groupBy(group).agg(F.bool_and("ok").alias("sorted_apart"))
+    rows = previous(ranges.select(group, start, end, order), group, [order, start, end], end, "_end_before")
+    ok = (F.col(start) >= F.coalesce("_end_before", F.lit(0))) & (F.col(end) > F.col(start))
+    return rows.withColumn("ok", ok).groupBy(group).agg(F.bool_and("ok").alias("sorted_apart"))
 
 
 def modal_value(rows: DataFrame, group: str, value: str, order: str, share: float = 0.12, least: int = 5) -> DataFrame:

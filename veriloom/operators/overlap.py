@@ -258,3 +258,42 @@ def leak_receipts(artifacts: DataFrame, matches: DataFrame, artifact: str = "doc
     counts = matches.groupBy(artifact).agg(F.least(F.count("*"), F.lit(most).cast("long")).alias("match_count"))
     out = artifacts.select(artifact).join(counts, artifact, "left").fillna(0, ["match_count"])
     return out.withColumns({"truncated": F.col("match_count") >= most, "status": F.when(F.col("match_count") == 0, "pass").otherwise("quarantine")})
+
+
+def set_digests(rows: DataFrame, group: str, order: str, columns: list[str]) -> DataFrame:
+    """group and sha256 of the canonical JSON list of its rows, sorted by `order`: the same for any order of the table.
+
+    A row is compact JSON with sorted keys, nulls kept. Rows come to a group's task sorted by Spark and are digested as
+    they pass, so no set is held; a digest of a list is one task's.
+    """
+    ship(rows.sparkSession)
+    body = T.sorted_json(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+    ordered = rows.select(F.col(group).alias("k"), F.col(order).alias("_o"), body.alias("body")).repartition("k").sortWithinPartitions("k", "_o", "body").select("k", "body")
+    kind = ordered.schema["k"].dataType.simpleString()
+
+    def run(batches):
+        import hashlib
+
+        key, running, kinds = None, None, None
+
+        def given(keys, digests):
+            return pa.RecordBatch.from_arrays([pa.array(keys, kinds), pa.array(digests, pa.string())], names=["k", "sha256"])
+
+        for batch in batches:
+            kinds, keys, digests = batch.schema.field(0).type, [], []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if running is None or k != key:
+                    if running is not None:
+                        running.update(b"]")
+                        keys.append(key)
+                        digests.append(running.hexdigest())
+                    key, running = k, hashlib.sha256(b"[")
+                else:
+                    running.update(b",")
+                running.update(text.encode())
+            yield given(keys, digests)
+        if running is not None:
+            running.update(b"]")
+            yield given([key], [running.hexdigest()])
+
+    return ordered.mapInArrow(run, f"k {kind}, sha256 string").withColumnRenamed("k", group)

@@ -46,3 +46,13 @@ def greatest_so_far(rows: DataFrame, group: str, order: list[str], value: str, n
     offsets = ranged.groupBy("_r_part", group).agg(F.max(value).alias("_r_m")).select("_r_part", group, F.max("_r_m").over(earlier).alias("_r_m0"))
     local = ranged.withColumn("_r_m", F.max(value).over(W.partitionBy("_r_part", group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
     return _joined(local, offsets, group).withColumn(name, F.greatest("_r_m", "_r_m0")).drop("_r_part", "_r_m", "_r_m0")
+
+
+def previous(rows: DataFrame, group: str, order: list[str], value: str, name: str) -> DataFrame:
+    """rows with the value of the group's row before, null for the first. The order tells rows of a group apart."""
+    ranged = _ranged(rows, group, order)
+    ends = ranged.groupBy("_r_part", group).agg(F.max_by(F.struct(value), F.struct(*order)).alias("_r_m"))
+    carried = ends.select("_r_part", group, F.lag("_r_m").over(W.partitionBy(group).orderBy("_r_part"))[value].alias("_r_m0"))  # a row a range
+    by = W.partitionBy("_r_part", group).orderBy(*order)
+    local = ranged.withColumns({"_r_m": F.lag(value).over(by), "_r_i": F.row_number().over(by)})
+    return _joined(local, carried, group).withColumn(name, F.when(F.col("_r_i") == 1, F.col("_r_m0")).otherwise(F.col("_r_m"))).drop("_r_part", "_r_m", "_r_m0", "_r_i")

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ..functions.text import without_line_numbers
+from ..shared import written
 from ..sources.files import budgeted_chunks, cursor_of
+from .ranges import numbered
 
 
 def pairing(calls: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,13 +52,15 @@ def chunk_chain(files: DataFrame, group: str, order: str, text: str, budget: int
     Per chunk: group, at (from 1 over all files), input_id, sha256, size_bytes, chunk_index, chunk_count, chunk_sha256,
     cursor (null for the first read), next_input_id, next_cursor (null at the end), content.
     """
-    narrow = files.select(group, order, F.coalesce(F.col(text), F.lit("")).alias("t"))
-    place = F.row_number().over(W.partitionBy(group).orderBy(order))
     named = lambda n: F.concat(F.lit("input-"), F.when(F.length(n.cast("string")) < 3, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string")))
-    rows = narrow.withColumns({"place": place, "sha256": F.sha2("t", 256), "size_bytes": F.octet_length("t").cast("long"), "chunks": budgeted_chunks(F.col("t"), F.lit(budget))})
-    by = W.partitionBy(group).orderBy("place")
-    rows = rows.withColumns({"chunk_count": F.size("chunks"), "after": F.lead("sha256").over(by), "input_id": named(F.col("place"))})
-    rows = rows.withColumn("before", F.coalesce(F.sum("chunk_count").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    texts = files.select(F.col(group).alias("_g"), F.col(order).alias("_o"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    cut = texts.select("_g", "_o", F.sha2("t", 256).alias("sha256"), F.octet_length("t").cast("long").alias("size_bytes"), budgeted_chunks(F.col("t"), F.lit(budget)).alias("chunks"))
+    files = written(cut.select("*", F.size("chunks").alias("chunk_count"), F.monotonically_increasing_id().alias("_row")))
+    # Places, and the digest of the file after, go by rows without texts; texts meet them by row.
+    narrow = written(numbered(files.select("_g", "_o", "_row", "sha256", "chunk_count"), "_g", ["_o", "_row"], F.col("chunk_count"), "_n", "before"))
+    following = narrow.select(F.col("_g").alias("_h"), (F.col("_n") - 1).alias("_m"), F.col("sha256").alias("after"))
+    places = narrow.join(following, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_n") == F.col("_m")), "left").select("_row", (F.col("_n") + 1).alias("place"), "before", "after")
+    rows = files.join(places, "_row").withColumn("input_id", named(F.col("place"))).withColumnRenamed("_g", group)
     x = rows.select(group, "place", "input_id", "sha256", "size_bytes", "chunk_count", "after", "before", F.explode("chunks").alias("x")).select("*", "x.idx", "x.chunk")
     last = F.col("idx") + 1 == F.col("chunk_count")
     first = (F.col("idx") == 0) & (F.col("place") == 1)
@@ -71,7 +75,8 @@ def chunk_chain(files: DataFrame, group: str, order: str, text: str, budget: int
 
 def replay(trace: DataFrame, chain: DataFrame, group: str, order: str) -> DataFrame:
     """Trace rows (group, order, input_id, cursor, chunk_sha256) against the chain: the n-th read of a group must be its n-th chunk."""
-    at = trace.withColumn("at", F.row_number().over(W.partitionBy(group).orderBy(order)).cast("long"))
+    trace = trace.select(F.col(group).alias("_g"), F.col(order).alias("_o"), "input_id", "cursor", "chunk_sha256")
+    at = numbered(trace, "_g", ["_o"], F.lit(0), "_n", "_0").withColumn("at", F.col("_n") + 1).withColumnRenamed("_g", group)
     got = at.select(group, "at", F.lit(True).alias("read"), F.col("input_id").alias("got_id"), F.col("cursor").alias("got_cursor"), F.col("chunk_sha256").alias("got_sha"))
     both = got.join(chain.select(group, "at", "input_id", "cursor", "chunk_sha256"), [group, "at"], "full")
     state = (

@@ -117,3 +117,11 @@ def a25(t):
     one = F.struct("item_id", F.concat(F.col("item_id").cast("string"), F.lit(":"), F.sha2("text", 256)).alias("x"))
     rows = t.benchmark.agg(F.array_sort(F.collect_list(one)).alias("xs"))
     return rows.select(F.lit("benchmark").alias("name"), F.sha2(F.array_join(F.transform("xs", lambda x: x["x"]), "\n"), 256).alias("set_sha256"))
+
+
+# Sets of documents by source, in canonical JSON with keys in order; the table comes in another order.
+@query("a25_canonical_set_digests", """
+select source, sha256('[' || string_agg('{"doc_id":' || doc_id || ',"lang":' || coalesce('"' || lang || '"', 'null') || ',"text_sha256":"' || sha256(coalesce(text, '')) || '"}', ',' order by doc_id) || ']') sha256 from documents group by source""")
+def a25_sets(t):
+    rows = t.documents.select("source", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "lang").orderBy(F.desc("text_sha256"))
+    return O.set_digests(rows, "source", "doc_id", ["text_sha256", "lang", "doc_id"])
