@@ -189,6 +189,59 @@ def profile_patterns(patterns: DataFrame, observations: DataFrame, group: str =
     return rows.withColumns({"source_ids": sources, "pattern_id": F.concat(F.lit("pattern-"), F.substring(F.sha2(T.canonical_json(signature), 256), 1, 24))})
 
 
+def profile_engines(engines: DataFrame, observations: DataFrame, group: str = "genre") -> DataFrame:
+    """Each source's commercial engine with its evidence by span, its signature and an id that follows from it.
+
+    engines: group, source_id, the fields of MECHANISM, and evidence (struct of an observation id for each band);
+    observations as for profile_patterns. `missing` counts spans without an observation of the source.
+    """
+    spans = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(span).alias("span"), F.col(f"evidence.{span}").alias("observation_id")) for i, span in enumerate(BANDS)])
+    named = engines.select(group, "source_id", F.explode(spans).alias("e")).select(group, "source_id", "e.*")
+    seen = observations.select("source_id", "observation_id", "segment_id", "kind", _ordered("selectors").alias("s"), F.lit(True).alias("there"))
+    found = named.join(seen, ["source_id", "observation_id"], "left")
+    ranges = F.transform("s", lambda x: F.struct(F.lit("utf8-byte").alias("type"), x["start_byte"].alias("startByte"), x["end_byte"].alias("endByte")))
+    item = F.struct("i", F.struct(F.col("source_id").alias("sourceId"), F.col("observation_id").alias("observationId"), F.col("segment_id").alias("segmentId"), "kind", "span", ranges.alias("selectors")).alias("item"))
+    evidence = found.groupBy(group, "source_id").agg(F.array_sort(F.collect_list(F.when(F.col("there"), item))).alias("x"), F.count_if(F.col("there").isNull()).alias("missing"))
+    signed = engines.select(group, "source_id", F.struct(*T.MECHANISM).alias("mechanism"), T.mechanism_signature([F.col(c) for c in T.MECHANISM], F.col("source_id").cast("string")).alias("signature_sha256"))
+    rows = signed.join(evidence, [group, "source_id"]).withColumn("engine_id", F.concat(F.lit("engine-"), F.substring("signature_sha256", 1, 24)))
+    return rows.select(group, "source_id", "engine_id", "mechanism", "signature_sha256", F.transform("x", lambda y: y["item"]).alias("evidence"), "missing")
+
+
+def engine_violations(engines: DataFrame, sources: DataFrame, group: str = "genre", most: int = 3) -> DataFrame:
+    """group, source_id and rule: one engine for each source of the group and no other, distinct ids, whole evidence.
+
+    engines as profile_engines gives them; sources: group, source_id.
+    """
+    times = engines.groupBy(group, "source_id").agg(F.count("*").alias("times"), F.max("missing").alias("missing"), F.max("engine_id").alias("engine_id"))
+    shared = engines.groupBy(group, "engine_id").agg(F.count("*").alias("sharing"))
+    both = sources.select(group, "source_id", F.lit(True).alias("bound")).distinct().join(times, [group, "source_id"], "full").join(shared, [group, "engine_id"], "left")
+    checks = {"unbound-source": F.col("bound").isNull(), "no-engine": F.col("times").isNull(), "repeated-source": F.coalesce(F.col("times") > 1, F.lit(False)), "repeated-id": F.coalesce((F.col("sharing") > 1) & (F.col("times") == 1), F.lit(False)), "missing-span": F.coalesce(F.col("missing") > 0, F.lit(False))}
+    count = sources.groupBy(group).agg(F.countDistinct("source_id").alias("n")).where(F.col("n") != most).select(group, F.lit(None).cast(sources.schema["source_id"].dataType).alias("source_id"), F.lit("wrong-count").alias("rule"))
+    return _rules(both, checks, group, "source_id").unionByName(count)
+
+
+# The routing catalogue's schema, and what it may and may not do.
+ROUTING_SCHEMA = "genre-soul-reference-routing-catalog/v1"
+ROUTING_AUTHORITY = {"scope": "reference-lab-advisory-only", "mayWriteInkOSCanon": False, "mayActivateRetrieval": False, "mayPromoteSoul": False, "ownerDecisionRequired": True}
+
+
+def routing_catalogue(profiles: DataFrame, routes: DataFrame, group: str = "genre") -> DataFrame:
+    """group and catalogue (JSON): a profile's candidate routes in their places, each planned and none active, and its digest.
+
+    profiles: group, soul_id, version, profile_path, profile_sha256, input_sha256; routes: group, place, role, source_id, rationale.
+    """
+    needs = F.create_map(*[F.lit(x) for pair in ROLE_BASIS.items() for x in pair])
+    one = F.struct("role", F.col("source_id").alias("sourceId"), needs[F.col("role")].alias("selectionBasis"), "rationale", F.lit(True).alias("planned"), F.lit(False).alias("retrievalActive"))
+    listed = routes.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", one.alias("route")))), lambda x: x["route"]).alias("routes"))
+    body = F.struct(
+        F.lit(ROUTING_SCHEMA).alias("schemaVersion"), F.lit("candidate").alias("state"), F.col(group).cast("string").alias("genre"), F.col("soul_id").alias("soulId"), "version",
+        F.struct(F.col("profile_path").alias("path"), F.col("profile_sha256").alias("sha256")).alias("profile"), F.coalesce("routes", F.array().cast(listed.schema["routes"].dataType)).alias("routes"),
+        F.struct(*[F.lit(v).alias(k) for k, v in ROUTING_AUTHORITY.items()]).alias("authority"), F.col("input_sha256").alias("privateRunInputDigest"),
+    )
+    rows = profiles.join(listed, group, "left").select(group, T.canonical_json(F.to_json(body, {"ignoreNullFields": "false"})).alias("catalogue"))
+    return rows.withColumn("sha256", F.sha2("catalogue", 256))
+
+
 def profile_dimensions(patterns: DataFrame, group: str = "genre") -> DataFrame:
     """Per group and dimension, in the fixed order, the sorted ids of its patterns; none is left out."""
     every = patterns.select(group).distinct().select(group, F.posexplode(F.array(*map(F.lit, DIMENSIONS))).alias("place", "dimension"))

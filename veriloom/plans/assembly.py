@@ -235,6 +235,62 @@ def p20_dimensions(t):
     return A.profile_dimensions(_profiled(t)).select("genre", F.col("place").cast("long").alias("place"), "dimension", F.size("pattern_ids").cast("long").alias("n"))
 
 
+# A nation's first four customers as sources of a genre; a source's first, second and third order are its evidence.
+_ENGINES = """
+c as (select c_nationkey genre, c_custkey s, c_name, c_mktsegment seg, row_number() over (partition by c_nationkey order by c_custkey) i from customer qualify i <= 4),
+o as (select o_custkey s, o_orderkey o, row_number() over (partition by o_custkey order by o_orderkey) j from orders), sel as (select l_orderkey o, string_agg(l_partkey || '-' || (l_partkey + l_quantity::bigint), '+' order by l_partkey, l_partkey + l_quantity::bigint) r from lineitem group by 1),
+v as (select c.*, a.o o1, b.o o2, d.o o3 from c left join o a on a.s = c.s and a.j = 1 left join o b on b.s = c.s and b.j = 2 left join o d on d.s = c.s and d.j = 3),
+h as (select *, sha256('{"schemaVersion":"genre-soul-commercial-engine-signature/v1","sourceId":"' || s || '","mechanism":{"protagonistRepeatedVerb":"' || case when i = 2 then 'x y' else c_name end || '","pressure":"' || seg || '","activeChoice":"a","resistance":"b","payoff":"c","recognition":"' || genre || '"}}') sig from v),
+ev as (select h.s, genre, i, 'engine-' || substr(sig, 1, 24) engine_id, (s1.r is null)::int + (s2.r is null)::int + (s3.r is null)::int missing, concat_ws(',', 'early:' || o1 || ':' || s1.r, 'middle:' || o2 || ':' || s2.r, 'late:' || o3 || ':' || s3.r) evidence
+  from h left join sel s1 on s1.o = o1 left join sel s2 on s2.o = o2 left join sel s3 on s3.o = o3)
+"""
+
+
+def _engines(t):
+    first = F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey"))
+    c = t.customer.select("c_nationkey", "c_custkey", "c_name", "c_mktsegment", first.alias("i")).where("i <= 4")
+    o = t.orders.select("o_custkey", "o_orderkey", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).alias("j")).where("j <= 3")
+    o = o.groupBy("o_custkey").agg(*[F.max(F.when(F.col("j") == j, F.col("o_orderkey"))).alias(span) for j, span in enumerate(A.BANDS, 1)])
+    mechanism = [F.when(F.col("i") == 2, "  x \n y ").otherwise(F.col("c_name")), F.col("c_mktsegment"), F.lit("a"), F.lit("b"), F.lit("c"), F.col("c_nationkey").cast("string")]
+    rows = c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_nationkey").alias("genre"), F.col("c_custkey").alias("source_id"), "i", *[m.alias(n) for m, n in zip(mechanism, T.MECHANISM)], F.struct(*A.BANDS).alias("evidence"))
+    seen = _observations(t).select(F.col("work").alias("source_id"), "observation_id", F.lit("seg").alias("segment_id"), "kind", "selectors")
+    return rows, A.profile_engines(rows, seen)
+
+
+@query("p20_profile_engines", "with " + _ENGINES.strip() + " select genre, s source_id, engine_id, missing, evidence from ev")
+def p20_engines(t):
+    text = F.transform("evidence", lambda e: F.concat_ws(":", e["span"], e["observationId"].cast("string"), F.array_join(F.transform(e["selectors"], lambda x: F.concat_ws("-", x["startByte"], x["endByte"])), "+")))
+    return _engines(t)[1].select("genre", "source_id", "engine_id", "missing", F.array_join(text, ",").alias("evidence"))
+
+
+@query("p20_engine_violations", "with " + _ENGINES.strip() + """
+select genre, s source_id, 'no-engine' rule from ev where i in (1, 3) union all select genre, s + 1000000, 'unbound-source' from ev where i = 1
+union all select genre, s + case when i = 1 then 1000000 else 0 end, 'missing-span' from ev where i <> 3 and (missing > 0 or i = 1)
+union all select genre, null, 'wrong-count' from ev group by genre having count(*) <> 3""")
+def p20_engine_rules(t):
+    rows, _ = _engines(t)
+    seen = _observations(t).select(F.col("work").alias("source_id"), "observation_id", F.lit("seg").alias("segment_id"), "kind", "selectors")
+    stray = F.when(F.col("i") == 1, 1_000_000).otherwise(0)
+    given = rows.where("i <> 3").withColumn("source_id", F.col("source_id") + stray)
+    return A.engine_violations(A.profile_engines(given, seen), rows.select("genre", "source_id"))
+
+
+@query("p20_routing_catalogue", """
+with c as (select c_nationkey genre, c_custkey s, row_number() over (partition by c_nationkey order by c_custkey) i from customer qualify i <= 3),
+r as (select genre, string_agg('    {' || chr(10) || '      "role": "' || ['spine', 'style', 'supporting'][i] || '",' || chr(10) || '      "sourceId": ' || s || ',' || chr(10) || '      "selectionBasis": "' || ['commercial-anchor', 'surface-anchor', 'genre-breadth'][i] || '",' || chr(10)
+  || '      "rationale": "r' || i || '",' || chr(10) || '      "planned": true,' || chr(10) || '      "retrievalActive": false' || chr(10) || '    }', ',' || chr(10) order by i) routes from c group by genre)
+select n_nationkey genre, sha256('{' || chr(10) || '  "schemaVersion": "genre-soul-reference-routing-catalog/v1",' || chr(10) || '  "state": "candidate",' || chr(10) || '  "genre": "' || n_nationkey || '",' || chr(10) || '  "soulId": "' || n_name || '",' || chr(10) || '  "version": "v1",' || chr(10)
+  || '  "profile": {' || chr(10) || '    "path": "p/' || n_nationkey || '",' || chr(10) || '    "sha256": "' || sha256(n_name) || '"' || chr(10) || '  },' || chr(10) || '  "routes": [' || case when routes is null then '' else chr(10) || routes || chr(10) || '  ' end || '],' || chr(10)
+  || '  "authority": {' || chr(10) || '    "scope": "reference-lab-advisory-only",' || chr(10) || '    "mayWriteInkOSCanon": false,' || chr(10) || '    "mayActivateRetrieval": false,' || chr(10) || '    "mayPromoteSoul": false,' || chr(10) || '    "ownerDecisionRequired": true' || chr(10) || '  },' || chr(10)
+  || '  "privateRunInputDigest": "' || sha256(n_nationkey::varchar) || '"' || chr(10) || '}' || chr(10)) sha256 from nation left join r on genre = n_nationkey""")
+def p20_routing(t):
+    profiles = t.nation.select(F.col("n_nationkey").alias("genre"), F.col("n_name").alias("soul_id"), F.lit("v1").alias("version"), F.concat(F.lit("p/"), F.col("n_nationkey").cast("string")).alias("profile_path"), F.sha2("n_name", 256).alias("profile_sha256"), F.sha2(F.col("n_nationkey").cast("string"), 256).alias("input_sha256"))
+    place = F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey"))
+    routes = t.customer.select(F.col("c_nationkey").alias("genre"), F.col("c_custkey").alias("source_id"), place.alias("place")).where("place <= 3")
+    routes = routes.withColumns({"role": F.get(F.array(*map(F.lit, A.ROLE_BASIS)), F.col("place") - 1), "rationale": F.concat(F.lit("r"), F.col("place").cast("string"))})
+    return A.routing_catalogue(profiles, routes).drop("catalogue")
+
+
 @query("p21_semantic_subset", """
 select o_custkey, string_agg(o_orderkey::varchar, ',' order by o_orderkey) finding_ids, sha256('[' || string_agg('{"o":' || o_orderkey || '}', ',' order by o_orderkey) || ']') set_sha256 from orders where o_orderstatus <> 'P' group by 1""")
 def p21(t):
