@@ -117,6 +117,18 @@ def formula_frequency(rows: DataFrame, group: str, text: str, pattern: str, shar
     return out.withColumn("formulaic", (F.col("n") >= rows_needed) & (F.col("hits") >= F.greatest(F.lit(least), F.ceil(F.col("n") * share))))
 
 
+def uniform_state(rows: DataFrame, group: str, state: str) -> DataFrame:
+    """Per group whether all rows are of one state (a null is none), and that state."""
+    own = F.col(state)
+    one = (F.min(own) == F.max(own)) & (F.count(own) == F.count("*"))
+    return rows.groupBy(group).agg(F.coalesce(one, F.lit(False)).alias("uniform"), F.when(one, F.max(own)).alias("state"))
+
+
+def latest_completion(rows: DataFrame, group: str, completed: str, done: Column | None = None) -> DataFrame:
+    """Per group the latest time of the rows that are done, null where none is."""
+    return rows.groupBy(group).agg(F.max(F.col(completed) if done is None else F.when(done, F.col(completed))).alias("latest"))
+
+
 def claims(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Full outer reconciliation on a key: the state of each key, and the columns that differ."""
     a, b = left.select(key, F.struct(*columns).alias("l")), right.select(key, F.struct(*columns).alias("r"))

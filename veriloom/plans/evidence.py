@@ -260,6 +260,65 @@ def o1(t):
     return rows.withColumn("place", F.row_number().over(order).cast("long")).drop("p_size")
 
 
+# Titles where the collation and code points differ: letters of either case, single jamo, blanks, digits, marks.
+@query("o1_korean_titles", """
+with w as (select p_partkey, p_size, case p_partkey % 7 when 0 then lower(p_name) when 1 then upper(p_name) when 2 then chr(12593 + (p_partkey % 30)::int) || p_partkey when 3 then chr(4352 + (p_partkey % 19)::int) when 4 then ' ' || p_name when 5 then chr(44032 + (p_partkey * 7919 % 11172)::int) || 'é' else '_' || p_partkey end title from part)
+select p_partkey, title, row_number() over (partition by p_size order by title collate ko, p_partkey) place from w""")
+def o1_titles(t):
+    k, name = F.col("p_partkey"), F.col("p_name")
+    char = lambda code: F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+    forms = [F.lower(name), F.upper(name), F.concat(char(12593 + k % 30), k.cast("string")), char(4352 + k % 19), F.concat(F.lit(" "), name), F.concat(char(44032 + k * 7919 % 11172), F.lit("é")), F.concat(F.lit("_"), k.cast("string"))]
+    rows = t.part.select("p_partkey", "p_size", F.get(F.array(*forms), (k % 7).cast("int")).alias("title"))
+    order = W.partitionBy("p_size").orderBy(F.expr("title collate ko"), "p_partkey")
+    return rows.withColumn("place", F.row_number().over(order).cast("long")).drop("p_size")
+
+
+# All twelve claims of a grant against its selector, a different one broken by each row.
+_CLAIMS = ("requestId", "packetId", "packetSha256", "matchId", "selectorSha256", "coordinateKind", "sourceId", "sourceSha256", "startByte", "endByte", "expectedSliceSha256", "maxBytes")
+
+
+@query("j20_grant_claims", """
+with k as (select o_orderkey k from orders)
+select k, case when k % 29 = 12 then 'left-only' when k % 29 = 13 then 'right-only' when k % 29 < 12 then 'differs' else 'equal' end state, case when k % 29 < 12 then [@NAMES][k % 29 + 1] else '' end unlike from k""".replace("@NAMES", ", ".join(f"'{c}'" for c in _CLAIMS)))
+def j20(t):
+    k = F.col("k")
+    rows = t.orders.select(F.col("o_orderkey").alias("k"), "o_custkey", "o_orderstatus", "o_orderpriority")
+    text = F.concat_ws("/", F.col("o_custkey").cast("string"), "o_orderstatus", "o_orderpriority")
+    made = {c: F.sha2(F.concat(F.lit(c), text), 256) if c.endswith("256") else F.col("o_custkey") + i if c.endswith(("Byte", "Bytes")) else F.concat(F.lit(c), text) for i, c in enumerate(_CLAIMS)}
+    grants = rows.where(k % 29 != 13).select("k", *[v.alias(c) for c, v in made.items()])
+    broken = {c: F.when(k % 29 == i, F.lit(None) if i % 2 else (v + 1 if c.endswith(("Byte", "Bytes")) else F.concat(v, F.lit("x")))).otherwise(v) for i, (c, v) in enumerate(made.items())}
+    selectors = rows.where(k % 29 != 12).select("k", *[v.alias(c) for c, v in broken.items()])
+    return E.claims(grants, selectors, "k", list(_CLAIMS))
+
+
+# Observations by chapters, by ranges, by both (no selectors), and by a chapter that isn't there.
+@query("p9_chapter_selectors", "with " + _ARCS.strip() + """,
+i as (select work, row_number() over (partition by work order by arc) q, (s - 1) * 10 a, e * 10 b from arcs), w as (select distinct work from arcs),
+c as (select work, unnest(case when work % 4 = 0 then [2, 1, 2] when work % 4 = 3 then [1, 9999] else [] end) q from w),
+r as (select work, unnest([5, 0, 5]) a, unnest([9, 5, 9]) b from w where work % 4 = 1),
+x as (select c.work, c.q, a, b from c left join i on i.work = c.work and i.q = c.q union all select work, null, a, b from r),
+ob as (select *, row_number() over (partition by work order by a nulls first, b nulls first, coalesce(q, -1)) place, lag(a) over (partition by work order by a nulls first, b nulls first, coalesce(q, -1)) = a and lag(b) over (partition by work order by a nulls first, b nulls first, coalesce(q, -1)) = b again from x)
+select work, q::bigint "sequence", a::bigint start_byte, b::bigint end_byte, place, coalesce(again, false) repeated from ob""")
+def p9_chapters(t):
+    from ..operators.segment import observation_selectors
+
+    a = arcs(t)
+    index = a.select("work", F.row_number().over(W.partitionBy("work").orderBy("arc")).alias("sequence"), ((F.col("s") - 1) * 10).cast("long").alias("start_byte"), (F.col("e") * 10).cast("long").alias("end_byte"))
+    k = F.col("work") % 4
+    numbers = lambda *xs: F.array(*[F.lit(x) for x in xs])
+    ranges = F.array(*[F.struct(F.lit(x).cast("long").alias("start_byte"), F.lit(y).cast("long").alias("end_byte")) for x, y in ((5, 9), (0, 5), (5, 9))])
+    seen = a.select("work").distinct().select("work", F.lit("o").alias("name"), F.when(k.isin(0, 2), numbers(2, 1, 2)).when(k == 3, numbers(1, 9999)).alias("sequences"), F.when(k.isin(1, 2), ranges).alias("ranges"))
+    found = observation_selectors(seen, index, "work", "name", "sequences", "ranges").drop("name")
+    return found.withColumns({"sequence": F.col("sequence").cast("long"), "place": F.col("place").cast("long")})
+
+
+@query("a21_a22_runs_by_status", """
+select o_custkey, count(distinct o_orderstatus) = 1 uniform, case when count(distinct o_orderstatus) = 1 then max(o_orderstatus) end state, strftime(max(o_orderdate) filter (o_orderstatus = 'F'), '%Y-%m-%d') latest from orders group by 1""")
+def a21_runs(t):
+    found = E.uniform_state(t.orders, "o_custkey", "o_orderstatus").join(E.latest_completion(t.orders, "o_custkey", "o_orderdate", F.col("o_orderstatus") == "F"), "o_custkey")
+    return found.select("o_custkey", "uniform", "state", F.date_format("latest", "yyyy-MM-dd").alias("latest"))
+
+
 @query("u1_u2_u3_set_checks", """
 with s as (select o_custkey k, list(o_orderstatus order by o_orderkey) xs from orders group by o_custkey)
 select k, array_to_string(list_sort(list_distinct(xs)), '') distinct_sorted, xs = list_sort(list_distinct(xs)) unique_sorted, list_sort(list_distinct(xs)) = ['F', 'O', 'P'] complete, len(list_filter(list_distinct(xs), lambda x: x not in ('F', 'O'))) = 0 subset from s""")
