@@ -207,6 +207,13 @@ def test_top_k_keeps_every_dimension_and_repeats(spark):
     assert got == top_brute(rows)
 
 
+def test_top_k_broadcasts_no_queries(spark):
+    rows = spark.range(400).selectExpr("id vec_id", "array(cast(id as float), cast(id % 7 as float), 1f) embedding")
+    found = topk.top_k(rows, "id % 50 = 0")
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 8 * 5
+
+
 def test_top_k_prunes():
     rng = np.random.default_rng(4)
     y = (rng.normal(size=(20_000, 64)) * np.geomspace(3000, 1, 20_000)[:, None]).astype(np.int64)

@@ -246,7 +246,8 @@ def top_k(table: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_
                 search.scan(names, whole_numbers(y, scale))
                 yield search.rows()
 
-    met = asked.repartition(lanes, "lane").join(blocks.repartition(lanes, "lane"), ["lane", "dim"]).select("n", "queries", "candidates")
+    # Never a broadcast: a plan's estimate has the queries once, but every lane gets them, so the driver would hold them `lanes` times.
+    met = blocks.repartition(lanes, "lane", "dim").join(asked.repartition(lanes, "lane", "dim").hint("merge"), ["lane", "dim"]).select("n", "queries", "candidates")
     found = met.mapInArrow(run, "query_id long, vec_id long, score long, beyond binary")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
