@@ -9,6 +9,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from veriloom.functions import text as T
 from veriloom.operators import evidence as E
 from veriloom.operators import findings as N
 from veriloom.operators import overlap as O
@@ -325,6 +326,23 @@ def test_findings_equal_a_plain_twin(spark):
         assert r["locations"] == sorted({c for x, t, c, _ in want if (x, t) == (r["rule"], r["term"])}) and r["references"] == sorted({s for x, t, _, s in want if (x, t) == (r["rule"], r["term"])})
 
 
+def test_texts_get_their_normal_form_once(spark):
+    texts = docs(spark, "Xy7 김사장", "nothing")
+    steps = lambda df: df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+    assert steps(N.surface_terms(texts, "doc_id")) == 0  # they are written, over as many tasks as a shuffle has
+    assert steps(O.grams(texts, "doc_id", "text", 2, T.surface_tokens)) == 1
+    held = O.term_containment(texts, spark.createDataFrame([(1, "xy7")], "r int, term string"), "doc_id", "r")
+    assert steps(held) == 1 and [(r["doc_id"], r["r"]) for r in held.collect()] == [(0, 1)]
+
+
+def test_findings_make_no_pairs(spark):
+    many = docs(spark, *["김민수 회장 iPhone7"] * 300)
+    found = {(r["rule"], r["term"]): (len(r["locations"]), r["references"]) for r in N.findings(many, many.withColumnRenamed("doc_id", "item_id"), "doc_id", "item_id").collect()}
+    assert found["latin-overlap", "iphone7"] == (300, list(range(300))) and found["person-overlap", "김민수"][0] == 300
+    plan = N.findings(many, many.withColumnRenamed("doc_id", "item_id"), "doc_id", "item_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("doc_id#" in line and "item_id#" in line for line in plan.splitlines() if "Union" not in line and "Relation" not in line)
+
+
 def test_surface_terms_without_a_dictionary(spark):
     """Past the most tokens that are broadcast, forms are derived in place."""
     texts = docs(spark, *SENTENCES)
