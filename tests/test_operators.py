@@ -18,6 +18,7 @@ from veriloom.operators import profile as R
 from veriloom.operators import scoring as G
 from veriloom.operators import segment as S
 from veriloom.operators import trace as A
+from veriloom.operators import validation as V
 from veriloom.sources import files as I
 
 
@@ -695,3 +696,31 @@ def test_set_digests_do_not_depend_on_the_order_of_rows(spark):
     for mixed in (rows, rows[::-1]):
         table = spark.createDataFrame(mixed, "s string, id int, t string, n string").repartition(3)
         assert {r["s"]: r["sha256"] for r in O.set_digests(table, "s", "id", ["t", "n", "id"]).collect()} == want
+
+
+def test_work_errors_with_arcs_that_overlap(spark):
+    rng = random.Random(5)
+    arcs = [(w, i, rng.choice(["a", "b", "c", f"d{i}", None]), str(s), str(s + rng.randint(-1, 9)), "1") for w in range(6) for i in range(8) for s in [rng.randint(1, 20)]]
+    rows = [(w, i, rng.choice([str(i), "x", "2.5", str(rng.randint(0, 30))]), rng.choice(["a", "b", "c", "zz", None])) for w in range(6) for i in range(1, 25)]
+    works = spark.createDataFrame([(w, 24 + w % 2) for w in range(6)], "work int, marker_count int")
+    table = spark.createDataFrame(rows, "work int, row_no int, sequence string, arc_id string")
+    spans = spark.createDataFrame(arcs, "work int, row_no int, arc_id string, start_sequence string, end_sequence string, episode_count string")
+    got = sorted((r["work"], r["rule"], r["detail"]) for r in V.work_errors(works, table, spans, table).collect() if not r["rule"].startswith("arcs:"))
+    want = []
+    for name in ("chapters", "pacing"):
+        want += [(w, f"{name}:row-count", "24") for w in range(6) if w % 2]
+        for w, i, sequence, arc in rows:
+            number = None if sequence == "x" else float(sequence)
+            want += [(w, f"{name}:sequence", sequence)] * (number != i) + [(w, f"{name}:unknown-arc", arc or "")] * (arc is None or arc not in {a[2] for a in arcs if a[0] == w})
+            over = [(int(a[3]), a[1], a[2]) for a in arcs if a[0] == w and number is not None and number % 1 == 0 and int(a[3]) <= number <= int(a[4])]
+            if over and (last := max(over, key=lambda x: x[:2])[2]) is not None and last != arc:
+                want.append((w, f"{name}:other-arc", sequence))
+    assert got == sorted(want)
+
+
+def test_work_violations_share_their_passes(spark):
+    cells = lambda names: spark.range(3).selectExpr("id % 2 work", "id row_no", *[f"cast(id as string) {n}" for n in names])
+    chapters, arcs = cells(["sequence", "arc_id", *V.REPEATS["chapters"]]), cells(["arc_id", "start_sequence", "end_sequence", "episode_count", *V.REPEATS["arcs"]])
+    pacing = cells(["sequence", "arc_id", "concrete_event", *V.REPEATS["pacing"], *V.SCORES, *V.WEIGHTS])
+    found = V.work_violations(spark.range(2).selectExpr("id work", "2 marker_count"), chapters, arcs, pacing)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 30

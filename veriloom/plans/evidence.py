@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evidence as E
 from ..operators import validation as V
 from ..operators import works as X
-from ..shared import new_path
+from ..shared import new_path, written
 from ..sources import files as S
 from .registry import query
 
@@ -355,11 +355,11 @@ mk as (select work, count(*) m from ch group by work)
 
 
 def _work(t):
-    c = chapters(t)
+    c = written(chapters(t))
     k = F.col("arc")
     text = lambda x: x.cast("string")
     order = W.partitionBy("work").orderBy("arc")
-    a = arcs(t).select("work", "arc", F.row_number().over(order).alias("row_no"), text(k).alias("arc_id"), text(F.col("s") + (k % 53 == 0).cast("int")).alias("start_sequence"), text(F.col("e")).alias("end_sequence"), text(F.col("n") + (k % 59 == 0).cast("int")).alias("episode_count"), *[text(k).alias(x) for x in V.REPEATS["arcs"]])
+    a = written(arcs(t)).select("work", "arc", F.row_number().over(order).alias("row_no"), text(k).alias("arc_id"), text(F.col("s") + (k % 53 == 0).cast("int")).alias("start_sequence"), text(F.col("e")).alias("end_sequence"), text(F.col("n") + (k % 59 == 0).cast("int")).alias("episode_count"), *[text(k).alias(x) for x in V.REPEATS["arcs"]])
     seq, arc = F.col("seq"), F.col("true_arc")
     sequence = text(F.when(seq % 67 == 0, 0).otherwise(seq))
     told = F.when(arc % 61 == 0, "zz").otherwise(text(arc))
@@ -384,7 +384,7 @@ union all select work, 'chapters:other-arc', seq::varchar from ch join law on la
 union all select work, 'pacing:other-arc', seq::varchar from ch join law on law.work = ch.work and q = seq where law.arc <> ch.arc)
 select work, 'error' severity, rule, detail from r""".replace("select work, 'chapters:other-arc', seq::varchar from ch", "select ch.work, 'chapters:other-arc', seq::varchar from ch").replace("select work, 'pacing:other-arc', seq::varchar from ch", "select ch.work, 'pacing:other-arc', seq::varchar from ch").replace("(arc % 61 = 0 or", "(ch.arc % 61 = 0 or"))
 def g12_work(t):
-    return V.work_violations(*_work(t)).where("severity = 'error'")
+    return V.work_errors(*_work(t))
 
 
 # Warnings of every kind: repeated cells, flat and impossible scores, weights of several scales, formulas, packets of short arcs.
@@ -411,7 +411,7 @@ def g12_warnings(t):
     weight = F.when(seq % 90 == 7, "x").when(seq % 4 == 0, "0.2").when(seq % 4 == 1, "0.3").when(seq % 4 == 2, "20").otherwise("5")
     pa = pa.withColumns({x: weight for x in V.WEIGHTS} | {"tension_1_10": F.lit("5"), "reward_1_10": F.when(seq % 45 == 44, 11).otherwise(1 + seq % 10).cast("string")})
     pa = pa.withColumns({"pacing_note": F.when(seq % 3 == 0, F.concat(F.lit("다음 추진="), seq.cast("string"))).otherwise(F.col("pacing_note")), "concrete_event": F.when(seq % 5 != 0, F.concat(seq.cast("string"), F.lit(" → x"))).otherwise(F.col("concrete_event"))})
-    return V.work_violations(works, ch, a, pa).where("severity = 'warning'").select("work", "rule", "detail")
+    return V.work_warnings(works, ch, a, pa).select("work", "rule", "detail")
 
 
 # A folder for each supplier: source, receipt, documents and tables; some missing, broken, short, or other than the receipt says.
