@@ -149,9 +149,14 @@ def _covering_arcs(rows: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     return at.join(blocks, [key, "k", "i"]).groupBy(key, "row_no").agg(F.max_by("arc_id", "o").alias("expected_arc"))
 
 
+def _parts(rows: DataFrame) -> int:
+    """Said outright, so that partitions aren't made larger than the sorts of their windows hold in memory."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _spans(arcs: DataFrame, key: str) -> DataFrame:
     """arcs with their numbers s, e and n, the start that the arc before asks for, and whether their id is a repeat."""
-    spans = arcs.select(key, "row_no", "arc_id", _numbered("start_sequence").alias("s"), _numbered("end_sequence").alias("e"), _numbered("episode_count").alias("n")).repartition(key)
+    spans = arcs.select(key, "row_no", "arc_id", _numbered("start_sequence").alias("s"), _numbered("end_sequence").alias("e"), _numbered("episode_count").alias("n")).repartition(_parts(arcs), key)
     order = W.partitionBy(key).orderBy(F.col("s").asc_nulls_last(), "row_no")
     return written(spans.withColumns({"expected": F.coalesce(F.lag("e").over(order) + 1, F.lit(1.0)), "again": F.row_number().over(W.partitionBy(key, "arc_id").orderBy(F.col("s").asc_nulls_last(), "row_no")) > 1}))
 
@@ -171,7 +176,7 @@ def _judged(chapters: DataFrame, pacing: DataFrame, spans: DataFrame, key: str)
     number = _numbered("sequence")
     rows = E.union([t.select(key, F.lit(n).alias("name"), "row_no", "sequence", "arc_id", F.when((number % 1 == 0) & (F.abs(number) < 1e15), number).alias("q"), F.lit(None).cast("double").alias("e")) for n, t in (("chapters", chapters), ("pacing", pacing))])
     fits = F.expr("e >= s and s % 1 = 0 and e % 1 = 0 and abs(s) < 1e15 and abs(e) < 1e15")
-    both = rows.unionByName(spans.select(key, F.lit("").alias("name"), "row_no", F.lit(None).cast("string").alias("sequence"), "arc_id", F.when(fits, F.col("s")).alias("q"), F.when(fits, F.col("e")).alias("e"))).repartition(key)
+    both = rows.unionByName(spans.select(key, F.lit("").alias("name"), "row_no", F.lit(None).cast("string").alias("sequence"), "arc_id", F.when(fits, F.col("s")).alias("q"), F.when(fits, F.col("e")).alias("e"))).repartition(_parts(spans), key)
     is_arc, so_far = F.col("name") == "", W.partitionBy(key).orderBy(F.col("q").asc_nulls_first(), "name", "row_no").rowsBetween(W.unboundedPreceding, 0)
     both = both.withColumns({
         "place": F.row_number().over(W.partitionBy(key, "name").orderBy("row_no")),
