@@ -131,3 +131,9 @@ def test_receipts_of_drifted_sources(spark, tmp_path):
     receipts = spark.createDataFrame([("a", sha("ⓚ1\n"), 5, 1), ("b", sha("ⓚ1\ny"), 7, 2), ("d", sha(""), 0, 0)], "id string, sha256 string, size_bytes long, n long")
     got = sorted(map(tuple, S.receipt_violations(receipts, found, "id", marked="n").collect()))
     assert got == [("b", "markers"), ("b", "sha256"), ("b", "size"), ("d", "unreadable")]
+
+
+def test_write_files_places_each_text_at_once(spark, tmp_path):
+    rows = spark.createDataFrame([(f"work={i}/name=a b.md/part.txt", f"글 {i}\n") for i in range(40)], "at string, text string")
+    assert S.write_files(rows, f"file://{tmp_path}/x") == 40 and S.write_files(rows.limit(0), f"{tmp_path}/y") == 0
+    assert {str(p.relative_to(tmp_path / "x")): p.read_text() for p in (tmp_path / "x").rglob("*") if p.is_file()} == {r["at"]: r["text"] for r in rows.collect()}

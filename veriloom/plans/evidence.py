@@ -453,7 +453,8 @@ def g12_files(t):
     path = new_path(t.spark)
     listed = F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(n).alias("name"), c.alias("text"))) for n, c in files.items()]))
     rows = w.select(k.alias("work"), F.explode(listed).alias("f")).select("work", "f.*")
-    rows.repartition("work", "name").write.partitionBy("work", "name").text(path, lineSep="\n")
-    found = S.streamed_digests(t.spark, f"{path}/*/name=source.txt/*.txt", X.MARK).withColumn("work", F.regexp_extract("path", "work=([^/]*)/", 1))
+    at = F.concat(F.col("work").cast("string"), F.lit("/"), "name")
+    S.write_files(rows.select(at.alias("at"), F.concat("text", F.lit("\n")).alias("text")), path)
+    found = S.streamed_digests(t.spark, f"{path}/*/source.txt", X.MARK).withColumn("work", F.regexp_extract("path", "/([^/]+)/source.txt$", 1))
     works = w.select(k.alias("work"), F.when(k % 7 == 1, "0").otherwise(sha).alias("sha256"), (m + (k % 9 == 2).cast("int")).alias("marker_count"))
-    return X.work_file_violations(t.spark, works, found, f"{path}/*/*/*.txt", place="/work=([^/]+)/name=([^/]+)/").where("severity = 'error'").select("work", "rule", "detail")
+    return X.work_file_violations(t.spark, works, found, f"{path}/*").where("severity = 'error'").select("work", "rule", "detail")

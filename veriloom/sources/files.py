@@ -88,6 +88,30 @@ def streamed_digests(spark: SparkSession, path: str, marker: str | None = None)
     return listed.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path").mapInArrow(run, _STREAMED)
 
 
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Each text of rows (at, text) as the file `at` of a folder, by Arrow's file systems; how many files were written.
+
+    Spark's partitioned writer moves every file twice when it commits. Here a task writes its files in place; if it is
+    repeated, it writes the same ones. `at` tells rows apart.
+    """
+    spark = ship(rows.sparkSession)
+
+    def run(batches):
+        from pyarrow import fs
+
+        plain = re.sub("^file:/+", "/", folder)
+        system, root = (fs.LocalFileSystem(), plain) if plain.startswith("/") else fs.FileSystem.from_uri(quote(folder, safe="/:@"))
+        for batch in batches:
+            for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system.create_dir(f"{root}/{at.rpartition('/')[0]}", recursive=True)
+                with system.open_output_stream(f"{root}/{at}") as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    dealt = rows.select("at", "text").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "at")
+    return dealt.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 _STREAMED_NAMES = [c.split(" ")[0] for c in _STREAMED.split(", ")]
 
 
