@@ -137,3 +137,42 @@ def test_write_files_places_each_text_at_once(spark, tmp_path):
     rows = spark.createDataFrame([(f"work={i}/name=a b.md/part.txt", f"글 {i}\n") for i in range(40)], "at string, text string")
     assert S.write_files(rows, f"file://{tmp_path}/x") == 40 and S.write_files(rows.limit(0), f"{tmp_path}/y") == 0
     assert {str(p.relative_to(tmp_path / "x")): p.read_text() for p in (tmp_path / "x").rglob("*") if p.is_file()} == {r["at"]: r["text"] for r in rows.collect()}
+
+
+def test_term_across_pieces_of_a_file():
+    rnd = random.Random(5)
+    for _ in range(300):
+        data = b"".join(rnd.choice(["자", "폐", "증", "자폐", "x"]).encode() for _ in range(rnd.randrange(0, 12))) + rnd.choice([b"", b"\xec"])
+        pieces, at = [], 0
+        while at < len(data):
+            n = rnd.randrange(1, 6)
+            pieces.append(data[at : at + n])
+            at += n
+        assert S.holds_any(pieces, ["자폐증".encode(), b"xx"]) == (len(data), "자폐증" in data.decode(errors="replace") or b"xx" in data)
+
+
+def test_work_files_are_read_by_folder_and_never_listed(spark, tmp_path):
+    """60 works: a listing of their folders would be a stage of 60 tasks. Tables over `most` bytes are read in splits, with the same result."""
+    from veriloom.operators import works as X
+
+    head = X.TABLES["arc_map.csv"] + "\n"
+    texts = {
+        "a b+%/arc_map.csv": head + 'A1,"two\nlines",1,2\n', "a b+%/chapter_map.csv": X.TABLES["chapter_map.csv"] + '\n1,"자폐증"\n', "a b+%/arc_pacing.csv": '"open\n',
+        "a b+%/arc_atlas.md": "x" * 15_000 + "자폐증", "a b+%/completion_receipt.md": "short", "a b+%/source_receipt.json": '{"markerCount":2,"sourceSha256":"0"}',
+        "other/arc_atlas.md": "not listed", "w1/arc_map.csv": head,
+    }
+    S.write_files(spark.createDataFrame(list(texts.items()), "at string, text string"), str(tmp_path))
+    ids = ["a b+%", *[f"w{i}" for i in range(59)]]
+    works = spark.createDataFrame([(w, "0", 2) for w in ids], "work string, sha256 string, marker_count int")
+    sources = S.streamed_digests(spark, works.select(F.concat(F.lit(f"{tmp_path}/"), "work", F.lit("/source.txt")).alias("path")), X.MARK).withColumn("work", F.regexp_extract("path", "/([^/]+)/source.txt$", 1))
+    told = lambda **more: sorted(map(tuple, X.work_file_violations(spark, works, sources, str(tmp_path), **more).where("severity = 'error'").collect()))
+    spark.sparkContext.setJobGroup("work files", "")
+    found = told()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("work files") for s in tracker.getJobInfo(j).stageIds]
+    assert len(stages) > 10 and all(s is None or s.numTasks < 60 for s in stages)
+    own = {(r, d) for w, _, r, d in found if w == "a b+%"}
+    assert {("receipt:analysisCoverage", ""), ("document:forbidden-term", "arc_atlas.md"), ("document:too-small", "completion_receipt.md"), ("table:unreadable", "arc_pacing.csv"), ("table:cell-count", "arc_map.csv"), ("table:forbidden-term", "chapter_map.csv"), ("source:unreadable", "")} <= own
+    assert not {("receipt:unreadable", ""), ("table:header", "arc_map.csv"), ("table:unreadable", "chapter_map.csv")} & own and ("w1", "error", "table:unreadable", "arc_map.csv") not in found
+    assert {w for w, *_ in found} == set(ids) and told(most=20) == found

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evidence as E
 from ..operators import validation as V
 from ..operators import works as X
-from ..shared import new_path, written
+from ..shared import new_path, spread, written
 from ..sources import files as S
 from .registry import query
 
@@ -452,9 +452,9 @@ def g12_files(t):
     }
     path = new_path(t.spark)
     listed = F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(n).alias("name"), c.alias("text"))) for n, c in files.items()]))
-    rows = w.select(k.alias("work"), F.explode(listed).alias("f")).select("work", "f.*")
+    rows = spread(w).select(k.alias("work"), F.explode(listed).alias("f")).select("work", "f.*")
     at = F.concat(F.col("work").cast("string"), F.lit("/"), "name")
     S.write_files(rows.select(at.alias("at"), F.concat("text", F.lit("\n")).alias("text")), path)
-    found = S.streamed_digests(t.spark, f"{path}/*/source.txt", X.MARK).withColumn("work", F.regexp_extract("path", "/([^/]+)/source.txt$", 1))
+    found = S.streamed_digests(t.spark, w.select(F.concat(F.lit(f"{path}/"), text(k), F.lit("/source.txt")).alias("path")), X.MARK).withColumn("work", F.regexp_extract("path", "/([^/]+)/source.txt$", 1))
     works = w.select(k.alias("work"), F.when(k % 7 == 1, "0").otherwise(sha).alias("sha256"), (m + (k % 9 == 2).cast("int")).alias("marker_count"))
-    return X.work_file_violations(t.spark, works, found, f"{path}/*").where("severity = 'error'").select("work", "rule", "detail")
+    return X.work_file_violations(t.spark, works, found, path).where("severity = 'error'").select("work", "rule", "detail")

@@ -59,24 +59,31 @@ def stream_digest(pieces, marker: bytes | None = None) -> tuple[int, str, bool,
     return size, digest.hexdigest(), decoder is not None, lines, marked
 
 
-def streamed_digests(spark: SparkSession, path: str, marker: str | None = None) -> DataFrame:
+def _opened(path: str):
+    """Arrow's file system of a path, and the path in it."""
+    from pyarrow import fs
+
+    plain = re.sub("^file:/+", "/", path)
+    return (fs.LocalFileSystem(), plain) if plain.startswith("/") else fs.FileSystem.from_uri(quote(path, safe="/:@"))
+
+
+def streamed_digests(spark: SparkSession, path: str | DataFrame, marker: str | None = None) -> DataFrame:
     """path, size_bytes, sha256, is_utf8, lines, marked (lines that begin with the marker) and error of files of any size.
 
-    Files are listed by Spark; an executor then reads each in pieces by Arrow's file systems, so memory doesn't depend
-    on a file's size and many files are read at a time. A digest is sequential: one file is one task's. A file that
-    can't be read has an error instead. The paths must be of a store that Arrow can open (shared folders, HDFS, S3, GCS).
+    Files are listed by Spark, or given as a table of paths; an executor then reads each in pieces by Arrow's file
+    systems, so memory doesn't depend on a file's size and many files are read at a time. A digest is sequential: one
+    file is one task's. A file that can't be read has an error instead. The paths must be of a store that Arrow can open
+    (shared folders, HDFS, S3, GCS).
     """
     ship(spark)
     mark = marker.encode() if marker else None
 
     def run(batches):
-        from pyarrow import fs
-
         for batch in batches:
             rows = []
             for name in batch.column(0).to_pylist():
                 try:
-                    system, at = (fs.LocalFileSystem(), name[7:]) if name.startswith("file://") else fs.FileSystem.from_uri(quote(name, safe="/:@"))
+                    system, at = _opened(name)
                     with system.open_input_stream(at) as stream:
                         rows.append((name, *stream_digest(iter(lambda: stream.read(PIECE), b""), mark), None))  # noqa: B023
                 except (OSError, pa.ArrowInvalid) as error:
@@ -84,32 +91,90 @@ def streamed_digests(spark: SparkSession, path: str, marker: str | None = None)
             kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=_STREAMED_NAMES)
 
-    listed = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
+    listed = path.select("path") if isinstance(path, DataFrame) else spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
     return listed.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path").mapInArrow(run, _STREAMED)
 
 
 def write_files(rows: DataFrame, folder: str) -> int:
     """Each text of rows (at, text) as the file `at` of a folder, by Arrow's file systems; how many files were written.
 
-    Spark's partitioned writer moves every file twice when it commits. Here a task writes its files in place; if it is
-    repeated, it writes the same ones. `at` tells rows apart.
+    Spark's partitioned writer moves every file twice when it commits. Here a task writes its files in place, as the rows
+    come, so a caller spreads them; if it is repeated, it writes the same ones. `at` tells rows apart.
     """
-    spark = ship(rows.sparkSession)
+    ship(rows.sparkSession)
 
     def run(batches):
-        from pyarrow import fs
-
-        plain = re.sub("^file:/+", "/", folder)
-        system, root = (fs.LocalFileSystem(), plain) if plain.startswith("/") else fs.FileSystem.from_uri(quote(folder, safe="/:@"))
+        system, root = _opened(folder)
+        made = None
         for batch in batches:
-            for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                system.create_dir(f"{root}/{at.rpartition('/')[0]}", recursive=True)
+            for at, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                inner = at.rpartition("/")[0]
+                if inner != made:  # a folder's files come together
+                    system.create_dir(f"{root}/{inner}", recursive=True)
+                    made = inner
                 with system.open_output_stream(f"{root}/{at}") as out:
-                    out.write(text.encode())
+                    out.write(text.as_buffer())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    dealt = rows.select("at", "text").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "at")
-    return dealt.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return rows.select("at", "text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def holds_any(pieces, sought: list[bytes]) -> tuple[int, bool]:
+    """Of a file's pieces in order: bytes, and whether one of the byte strings occurs, also across pieces."""
+    size, held, before, most = 0, False, b"", max(map(len, sought), default=1) - 1
+    for piece in pieces:
+        size += len(piece)
+        if not held:
+            near = before + piece
+            held = any(x in near for x in sought)
+            before = near[len(near) - min(most, len(near)) :]
+    return size, held
+
+
+def read_files(folders: DataFrame, key: str, whole: list[str], split: list[str] = (), scanned: list[str] = (), terms: list[str] = (), most: int = PIECE) -> DataFrame:
+    """key, name, size, content and held of the files by these names in the folder of each row (key, folder).
+
+    Nothing is listed: a task opens the files of its folders by Arrow's file systems; one that can't be read isn't there.
+    Files of `whole` have their content, those of `split` if it is `most` bytes at most; files of `scanned` are read in pieces
+    and tell whether they hold one of the terms. No byte of a term's UTF-8 form can begin or end within another character.
+    """
+    ship(folders.sparkSession)
+    kind, sought = folders.schema[key].dataType.simpleString(), [t.encode() for t in terms]
+
+    def told(system, at: str, name: str):
+        with system.open_input_stream(at) as stream:
+            if name in scanned:
+                return *holds_any(iter(lambda: stream.read(PIECE), b""), sought), None
+            content = stream.read() if name in whole else stream.read(most + 1)
+        if name in whole or len(content) <= most:
+            return len(content), None, content
+        return system.get_file_info(at).size, None, None
+
+    def given(rows: list, kinds):
+        columns = list(zip(*rows)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [kinds, pa.string(), pa.int64(), pa.bool_(), pa.binary()])], names=["k", "name", "size", "held", "content"])
+
+    def run(batches):
+        rows, held, kinds = [], 0, None
+        for batch in batches:
+            kinds = batch.schema.field(0).type
+            for k, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system, at = _opened(folder)
+                for name in (*whole, *split, *scanned):
+                    try:
+                        size, found, content = told(system, f"{at}/{name}", name)
+                    except (OSError, pa.ArrowInvalid):
+                        continue
+                    rows.append((k, name, size, found, content))
+                    held += len(content or b"")
+                    if held >= PIECE or len(rows) >= 10_000:
+                        yield given(rows, kinds)
+                        rows, held = [], 0
+        if rows:
+            yield given(rows, kinds)
+
+    dealt = folders.select(key, "folder").repartition(max(1, int(folders.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+    return dealt.mapInArrow(run, f"k {kind}, name string, size long, held boolean, content binary").withColumnRenamed("k", key)
 
 
 _STREAMED_NAMES = [c.split(" ")[0] for c in _STREAMED.split(", ")]
@@ -164,20 +229,39 @@ def parse_csv(text: str) -> list[list[str]]:
     return [r for r in rows if r != [""]]
 
 
-def csv_cells_of(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, row_no (0 is the header), cells, header of each CSV text. One text is read by one task, as quoted parts may hold line feeds."""
+def csv_cells_of(rows: DataFrame, key: str, text: str, tolerant: bool = False) -> DataFrame:
+    """key, row_no (0 is the header), cells, header of each CSV text. One text is read by one task, as quoted parts may hold line feeds.
+
+    An unclosed quote is an error; tolerant readers drop the rows of its text.
+    """
     ship(rows.sparkSession)
     kind = rows.schema[key].dataType
 
     def run(batches):
+        cells = pa.list_(pa.string())
+
+        def given(keys, owner, places, parts, headers):
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(owner, pa.int64())), pa.array(places, pa.int64()), pa.array(parts, cells), pa.array(headers, cells)], names=["k", "row_no", "cells", "header"])
+
         for batch in batches:
+            owner, places, parts, headers = [], [], [], []
             for n, raw in enumerate(batch.column(1).to_pylist()):
-                found = parse_csv(raw or "")
-                for i in range(0, len(found), 10_000):
-                    part = found[i : i + 10_000]
-                    cells = pa.list_(pa.string())
-                    owner = batch.column(0).take(pa.array([n] * len(part), pa.int64()))
-                    yield pa.RecordBatch.from_arrays([owner, pa.array(range(i, i + len(part)), pa.int64()), pa.array(part, cells), pa.array([found[0]] * len(part), cells)], names=["k", "row_no", "cells", "header"])
+                try:
+                    found = parse_csv(raw or "")
+                except ValueError:
+                    if not tolerant:
+                        raise
+                    continue
+                for i, part in enumerate(found):
+                    owner.append(n)
+                    places.append(i)
+                    parts.append(part)
+                    headers.append(found[0])
+                    if len(owner) >= 10_000:
+                        yield given(batch.column(0), owner, places, parts, headers)
+                        owner, places, parts, headers = [], [], [], []
+            if owner:
+                yield given(batch.column(0), owner, places, parts, headers)
 
     return rows.select(key, text).mapInArrow(run, f"k {kind.simpleString()}, row_no long, cells array<string>, header array<string>").withColumnRenamed("k", key)
 
