@@ -344,6 +344,17 @@ def test_findings_make_no_pairs(spark):
     assert not any("doc_id#" in line and "item_id#" in line for line in plan.splitlines() if "Union" not in line and "Relation" not in line)
 
 
+def test_findings_past_what_is_broadcast_and_over_line_ends(spark):
+    """A line feed between two words isn't a blank; terms met by shuffles are those met within the scan."""
+    texts = docs(spark, *SENTENCES, "한빛 \n그룹", "새별 은행", "KİX9 한빛")
+    samples = texts.withColumnRenamed("doc_id", "item_id")
+    stems = {(r["doc_id"], r["term"]) for r in N.surface_terms(texts, "doc_id").where("kind = 'org_stem'").collect()}
+    assert (len(SENTENCES), "한빛") not in stems and (len(SENTENCES) + 1, "새별") in stems
+    for made in (N.findings, N.overlaps):
+        rows = lambda **more: sorted(map(repr, made(texts, samples, "doc_id", "item_id", **more).collect()))  # noqa: B023, E731
+        assert rows(most=0) == rows() != []
+
+
 def test_surface_terms_without_a_dictionary(spark):
     """Past the most tokens that are broadcast, forms are derived in place."""
     texts = docs(spark, *SENTENCES)
