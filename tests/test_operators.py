@@ -388,6 +388,18 @@ def test_gate_by_place_leaves_blocked_candidates_without_findings(spark):
     assert gates == {"c1": (1, False, "blocked"), "c2": (0, True, "pending_semantic_review"), "c3": (0, False, "pass"), "c4": (1, False, "blocked"), "c5": (0, False, "pass")}
 
 
+def test_blockers_of_one_pass_are_those_of_each_rule(spark):
+    """One pass over the strings for both rules: a stage of its own for a rule would join the strings' grams."""
+    rng = random.Random(8)
+    words = ["One", "two", "x_1", "a-b", "İz", "가나", "Peru", unicodedata.normalize("NFD", "다라")]
+    texts = [rng.choice([" ", ", ", "\n"]).join(rng.choice(words) for _ in range(rng.randrange(0, 30))) for _ in range(60)]
+    strings = spark.createDataFrame([(i, "$", x) for i, x in enumerate([*texts, None, "pe-RU"])], "doc_id int, location string, text string")
+    samples = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(9))) for i in range(40)], "item_id int, text string")
+    protected = spark.createDataFrame([(1, "Peru"), (2, "가나 다라"), (3, "x"), (4, None)], "n int, term string")
+    rows = lambda **more: sorted(map(tuple, N.surface_blockers(strings, samples, protected, "doc_id", "item_id", "n", **more).collect()))
+    assert rows(most=0) == rows() and {r[1] for r in rows()} == {N.COPY_RULE, N.IDENTITY_RULE} and (61, N.IDENTITY_RULE, "$", "1") in rows()
+
+
 def test_decomposed_hangul_matches(spark):
     rows = spark.createDataFrame([(1, unicodedata.normalize("NFD", "한빛 그룹의 약속"))], "id int, text string")
     got = O.term_containment(rows, spark.createDataFrame([("t", "한빛그룹")], "ref string, term string"), "id", "ref").collect()
